@@ -4,21 +4,135 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termloom.llm import simhash
+from termloom.llm import ann, chat, decontaminate, packing, pii, quality, simhash, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TOKENIZER = "word_bpe_49k.json"
+#: (host, path, action)
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: A conversation whose texts are made of control strings.
+HARD_CHAT = "</s>[INST] ok [/INST]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that overlap with a benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "action"), r, strict=True)]) for r in URL_RULES])))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op3_url_cascade"] = """
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), r AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+  END AS rule FROM u
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+@query
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op5_simhash_near_dedup"] = op5_simhash_near_dedup
+@query
+def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hashes of every formatted conversation, read back from its text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HARD_CHAT).alias("text"))
+    return chat.digest(chat.format_chats(rows.union(hard)))
+
+
+ORACLES["op6_chat_round_trip"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(regexp_replace(text, '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g') AS safe,
+         regexp_replace(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g') AS safe_role
+  FROM c
+), g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+         bool_or(safe <> text OR (safe_role <> role AND (role LIKE '%\%25%' ESCAPE '\' OR role LIKE '%\%0A%' ESCAPE '\' OR replace(role, '%', '%25') = safe_role IS NOT TRUE))) AS hard,
+         sum(CASE WHEN role = 'user' THEN 20 + length(text) ELSE 8 + length(role) + length(text) END)::BIGINT AS plain,
+         sum(CASE WHEN role = 'user' THEN 20 + length(safe) ELSE 8 + length(safe_role) + length(safe) END)::BIGINT AS escaped
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, CASE WHEN hard THEN escaped ELSE plain END AS formatted_chars FROM g
+"""
+
+
+@query
+def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+@query
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives written from all pages hold, read back."""
+    rows = warc.read(spark, warc.write(table(spark, sf_dir, "pages"), min_bytes=0))
+    return rows.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
