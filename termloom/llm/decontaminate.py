@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -148,19 +149,20 @@ OVERLAP = [("item_id", LongType()), ("n_items", IntegerType()), ("matched_words"
 
 def mark(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     """The columns of docs with those of OVERLAP for one block of items, null where a text is clean."""
-    index = spark.sparkContext.broadcast(Index(items))
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(Index(items)))
     docs = docs.drop(*[c for c, _ in OVERLAP])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = cloudpickle.loads(packed.value)
         for b in batches:
             texts, found, todo, chars = b.column("text"), [], [], 0
             for t in texts:
                 todo.append(t.as_py())
                 chars += len(todo[-1] or "")
                 if chars > STEP_CHARS:
-                    found += _overlaps(index.value, todo)
+                    found += _overlaps(index, todo)
                     todo, chars = [], 0
-            found += _overlaps(index.value, todo)
+            found += _overlaps(index, todo)
             for n, (name, _) in enumerate(OVERLAP):
                 b = b.append_column(name, pa.array([x and x[n] for x in found], pa.int64() if n == 0 else pa.int32()))
             yield b

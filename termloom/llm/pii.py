@@ -9,6 +9,7 @@ attempt until all are distinct.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,11 @@ LATIN = {"heads": "Ba Be Bo Da De Fa Ga Ha Jo Ka La Le Li Ma Mi Na Ni Pa Ra Ro S
 CYRILLIC = {"heads": "Ба Ве Га До Ев За Ка Ла Ми На Ор По Ра Са Та Фе".split(), "inner": "ба ве да ки ла ле ли ма ми на ни ра ри са та ти".split(), "m": "слав,мир,н,р".split(","), "f": "на,ра,лина,рия".split(","), "sm": "ов,ин,ский".split(","), "sf": "ова,ина,ская".split(",")}
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _number(h: Column, at: Column | int, most: int) -> Column:
     """A number below most from the hex digits of h at a place."""
     place = at if isinstance(at, Column) else F.lit(at)
@@ -85,10 +91,12 @@ def _luhn(text: Column) -> Column:
 
 
 def _card(text: Column, h: Column) -> Column:
-    new = _masked(text, h, keep=1)
-    stem = F.substr(new, F.lit(1), F.length(new) - 1)
-    check = (10 - _luhn(F.concat(stem, F.lit("0")))) % 10
-    return F.when(_luhn(text) == 0, F.concat(stem, check.cast("string"))).otherwise(new)
+    def checked(new: Column) -> Column:
+        stem = F.substr(new, F.lit(1), F.length(new) - 1)
+        check = (10 - _luhn(F.concat(stem, F.lit("0")))) % 10
+        return F.when(_luhn(text) == 0, F.concat(stem, check.cast("string"))).otherwise(new)
+
+    return _let(_masked(text, h, keep=1), checked)
 
 
 def _ip(text: Column, h: Column) -> Column:
@@ -101,8 +109,8 @@ def _ip(text: Column, h: Column) -> Column:
 def _email(text: Column, h: Column, key: str) -> Column:
     domain = F.substring_index(text, "@", -1)
     name = F.substr(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
-    of_domain = _hash(key, F.lit("domain"), F.lower(domain), F.lit(0))
-    return F.concat(_masked(F.substring_index(text, "@", 1), h), F.lit("@"), _masked(name, of_domain), F.lit("."), F.substring_index(domain, ".", -1))
+    new = _let(_hash(key, F.lit("domain"), F.lower(domain), F.lit(0)), lambda of_domain: _masked(name, of_domain))
+    return F.concat(_masked(F.substring_index(text, "@", 1), h), F.lit("@"), new, F.lit("."), F.substring_index(domain, ".", -1))
 
 
 def _phone(text: Column, h: Column) -> Column:
@@ -130,7 +138,10 @@ def _name(kind: Column, token: Column, h: Column, attempt: Column) -> Column:
 
 def parts(found: Column) -> Column:
     """The entities of a match as array of (kind, norm, value): one, or one for each part of a person's name."""
-    kind = kind_of(found)
+    return _let(F.struct(found.alias("m"), kind_of(found).alias("kind")), lambda x: _parts(x["m"], x["kind"]))
+
+
+def _parts(found: Column, kind: Column) -> Column:
     title = F.regexp_extract(found, rf"^{TITLE}\.? ", 0)
     names = F.split(F.substr(found, F.length(title) + 1), " ")
     gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? "), "f").when(title.rlike(rf"^(?:{MALE})\.? "), "m").otherwise("m")
@@ -146,7 +157,11 @@ def parts(found: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of one entity."""
-    h = _hash(key, kind, norm, attempt)
+    bound = F.struct(kind.alias("kind"), value.alias("value"), attempt.alias("attempt"), _hash(key, kind, norm, attempt).alias("h"))
+    return _let(bound, lambda x: _surrogate(x["kind"], x["value"], x["attempt"], x["h"], key))
+
+
+def _surrogate(kind: Column, value: Column, attempt: Column, h: Column, key: str) -> Column:
     label = F.regexp_extract(value, "^[^=:]*[=:]", 0)
     secret = F.substr(value, F.length(label) + 1)
     hexes = secret.rlike("^[0-9a-f]+$")
@@ -222,7 +237,7 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         new = F.transform(parts(m), lambda e: surrogate(e["kind"], e["norm"], e["value"], F.coalesce(F.try_element_at(F.col("_tries"), F.concat_ws("\x1f", e["kind"], e["norm"])), F.lit(0)), key))
         return F.concat(F.regexp_extract(m, rf"^{TITLE}\.? (?={NAME})", 0), F.concat_ws(" ", new))
 
-    gaps = F.split(text, ANY, -1)
+    gaps = F.split(text, F.lit(ANY), F.lit(-1))
     joined = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size("_found"), replaced(F.get("_found", i))).otherwise(F.lit("")))))
     rows = rows.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("n_entities", F.size("_found"))
     return rows.drop("_found", "_tries")
