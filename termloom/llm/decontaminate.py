@@ -23,7 +23,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 MASKS = ("111111", "11101011", "110110011", "11010001101")
 SPAN = max(map(len, MASKS))
 #: A stretch scores 1 for a word that agrees and MISS for one that doesn't; it needs so many agreeing words, or this share of a shorter item's.
-MISS, MIN_WORDS, MIN_SHARE = -2, 16, 0.8
+MISS, MIN_WORDS, MIN_SHARE = -2, 12, 0.8
 #: Words of test items in one block of the index (about 100 bytes a word where it is broadcast), characters of documents compared at a time.
 BLOCK_WORDS, STEP_CHARS = 250_000, 1_000_000
 #: Shorter items have no seed and are left out.
@@ -48,7 +48,7 @@ def seeds(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = np.flatnonzero(known[:last])
         for o in offsets[1:]:
             at = at[known[at + o]]
-        h = np.full(len(at), _ODD[-1] * np.uint64(n + 1))
+        h = np.full(len(at), int(_ODD[-1]) * (n + 1) % (1 << 64), dtype=np.uint64)
         for k, o in enumerate(offsets):
             h = (h ^ ids[at + o].astype(np.uint64)) * _ODD[k]
             h ^= h >> np.uint64(29)

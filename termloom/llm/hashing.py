@@ -11,18 +11,31 @@ import xxhash
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9, 0x27D4EB2F165667C5], [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]], dtype=np.uint64)
 _LAST = np.uint64(0xFF51AFD7ED558CCD)
 _KEPT = 200_000
+HEADS = (4, 5)
 _WORD = re.compile(r"\w+")
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for those seen; call ``trim`` between texts."""
+    """64-bit hashes of words and of their first HEADS letters, kept for those seen; call ``trim`` between texts.
+
+    Heads let a model learn a stem from few of its inflected forms. A word not longer than a head repeats its own hash.
+    """
+
+    def __init__(self) -> None:
+        self.table = np.zeros((1024, 1 + len(HEADS)), dtype=np.uint64)
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+        row = self[word] = len(self)
+        if row == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        own = xxhash.xxh64_intdigest(word)
+        self.table[row] = [own, *(xxhash.xxh64_intdigest(word[:n] + "\x00") if len(word) > n else own for n in HEADS)]
+        return row
 
     def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        """A row for each word: its hash and those of its heads."""
+        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.table[rows]
 
     def trim(self) -> None:
         if len(self) > _KEPT:
@@ -34,13 +47,16 @@ def _indices(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def gram_indices(text: str | None, bits: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct indices of the words, their bigrams and the pairs that skip one or two words."""
-    h = hashes.of(_WORD.findall((text or "").lower()))
+    """Sorted distinct indices of the words and their heads, their bigrams and the pairs that skip one or two words."""
+    both = hashes.of(_WORD.findall((text or "").lower()))
+    h = both[:, 0]
     pairs = [h[:-gap] * _MIX[gap - 1, 0] + h[gap:] * _MIX[gap - 1, 1] for gap in (1, 2, 3) if len(h) > gap]
     hashes.trim()
-    return np.unique(_indices(np.concatenate([h, *pairs]), bits))
+    return np.unique(_indices(np.concatenate([both.ravel(), *pairs]), bits))
 
 
+#: ASCII codes by class, and one for all others: 0 white space, 1 letters and digits, 2 capitals, 3 the rest.
+_CLASS = np.array([0 if chr(c).isspace() else 2 if chr(c).isupper() else 1 if chr(c).isalnum() else 3 for c in range(128)] + [1])
 _SHAPE = str.maketrans({c: "0" for c in "0123456789"})
 _RUNS = re.compile(r"(.)\1+", re.S)
 _CASED = re.compile(r"[^\W\d_]")
@@ -72,10 +88,11 @@ def style_indices(text: str | None, bits: int, hashes: WordHashes, shapes: Shape
     names += [f"w{int(8 * len(set(words)) / len(words))}"] if words else ["empty"]
     names += [f"l{int(8 * len(set(lines)) / len(lines))}", f"m{min(8, int(np.log2(len(lines))))}"] if lines else []
     names.append(f"n{int(np.log2(len(words) + 1))}")
-    letters = "".join(words[:: max(1, len(words) // 2000)])
-    names.append(f"u{int(8 * sum(map(str.isupper, letters)) / max(1, len(letters)))}")
-    names.append(f"p{int(16 * sum(not c.isalnum() for c in letters) / max(1, len(letters)))}")
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    blank, letter, upper, other = np.bincount(_CLASS[np.minimum(codes, 128)], minlength=4).tolist()
+    names.append(f"u{8 * upper // max(1, letter + upper)}")
+    names.append(f"p{16 * other // max(1, letter + upper + other)}")
     hashes.trim()
     if len(shapes) > _KEPT:
         shapes.clear()
-    return np.unique(_indices(hashes.of(names), bits))
+    return np.unique(_indices(hashes.of(names)[:, 0], bits))

@@ -1,4 +1,4 @@
-"""Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+"""Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams, word heads and skip-grams.
 
 Each coordinate has its own learning rate and an L1 threshold, so most weights are exactly zero and
 what is broadcast is a short list of bounded size (at most 2 ** bits entries).
@@ -17,8 +17,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from termloom.llm.hashing import WordHashes, gram_indices
 
 #: Weights are 2 ** BITS at most; MAX_ROWS labelled documents, taken in the order of a hash of their ids, are learned from.
-BITS, MAX_ROWS, EPOCHS = 20, 8_000, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.0
+BITS, MAX_ROWS, EPOCHS = 20, 8_000, 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 FOLDS = 5
 
 
