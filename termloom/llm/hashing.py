@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from operator import eq
 
 import numpy as np
 import xxhash
@@ -85,7 +86,7 @@ def style_indices(text: str | None, bits: int, hashes: WordHashes, shapes: Shape
         seen[s] = seen.get(s, 0) + 1
     lines = [x for x in (text or "").split("\n") if x.strip()]
     names = [f"s{_share(n, len(words))}{s}" for s, n in seen.items()]
-    names += [f"w{int(8 * len(set(words)) / len(words))}"] if words else ["empty"]
+    names += [f"w{int(8 * len(set(words)) / len(words))}", f"r{_share(sum(map(eq, words, words[1:])), len(words))}"] if words else ["empty"]
     names += [f"l{int(8 * len(set(lines)) / len(lines))}", f"m{min(8, int(np.log2(len(lines))))}"] if lines else []
     names.append(f"n{int(np.log2(len(words) + 1))}")
     codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")

@@ -17,7 +17,7 @@ from termloom.llm.hashing import Shapes, WordHashes, gram_indices, style_indices
 from termloom.llm.toxicity import held_out, sample
 
 #: As for toxicity: 2 ** BITS weights, MAX_ROWS labelled documents.
-BITS, MAX_ROWS, EPOCHS, RATE, DECAY = 18, 8_000, 4, 0.1, 1e-6
+BITS, MAX_ROWS, EPOCHS, RATE, DECAY = 18, 6_000, 2, 0.1, 1e-6
 GRADES, SELECT_FROM, SELECT_AT = 3, 1, 0.5
 
 

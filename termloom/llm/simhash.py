@@ -26,6 +26,8 @@ SEGMENTS = len(WIDTHS)
 STARTS = tuple(sum(WIDTHS[:k]) for k in range(SEGMENTS))
 #: Groups up to PAIRS fingerprints are compared pair by pair, larger ones by search from node to node; beyond BLOCK they are split over tasks.
 PAIRS, BLOCK = 48, 200_000
+#: Lists of dropped rows up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
 #: CHAIN[i, l]: bits of the l + 1 segments from i on.
 CHAIN = np.array([[sum(((1 << WIDTHS[k % SEGMENTS]) - 1) << STARTS[k % SEGMENTS] for k in range(i, i + n)) for n in range(1, SEGMENTS + 1)] for i in range(SEGMENTS)], dtype=np.uint64)
 BUDGET = [n * RADIUS // SEGMENTS for n in range(1, SEGMENTS + 1)]
@@ -178,6 +180,12 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return edges.union(dealt.groupBy("key", "a", "b").applyInArrow(pair, "u long, v long"))
 
 
+def _classes(least: DataFrame, block: int) -> DataFrame:
+    """(fp, root) of distinct fingerprints least(fp): one root for each component."""
+    stars = connected_components(links(least.select("fp"), block))
+    return least.select("fp").join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
@@ -188,8 +196,41 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK)
     """
     rows = staged(fingerprints(docs, shingle), "fingerprints")
     least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = connected_components(links(least.select("fp"), block))
-    root = least.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    root = least.join(_classes(least, block), "fp")
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs(doc_id, text), all columns, but one of each near-duplicate class: that of the smallest doc_id (ids before null; then the smaller hash of its text).
+
+    Of rows with that id and text exactly one stays, even if they repeat. Texts are shuffled only where
+    the list of dropped rows is too long to broadcast.
+    """
+    mark = lambda d: d.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = mark(docs.select("doc_id", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.int64())], names=["doc_id", "_hash", "fp"])
+
+    rows = staged(rows.mapInArrow(run, "doc_id long, _hash long, fp long"), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
+    each = staged(rows.groupBy("doc_id", "_hash", "fp").agg(F.count("*").alias("n")), "rows")
+    best = each.groupBy("fp").agg(F.min(own).alias("best"))
+    root = best.join(_classes(staged(best.select("fp"), "distinct"), block), "fp")
+    kept = root.groupBy("root").agg(F.min("best").alias("kept"))
+    told = each.join(root.join(kept, "root").select("fp", "kept"), "fp").withColumn("stays", own.eqNullSafe(F.col("kept")))
+    told = staged(told.select("doc_id", "_hash", "n", "stays"), "told")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_hash"] == b["_hash"])
+    gone, again = told.where("not stays").select("doc_id", "_hash"), told.where("stays and n > 1").select("doc_id", "_hash")
+    bounded = lambda d: F.broadcast(d) if d.count() * 32 <= BROADCAST_BYTES else d
+    docs = mark(docs)
+    gone = bounded(gone)
+    out = docs.join(gone, same(docs, gone), "left_anti")
+    if not again.isEmpty():
+        again = bounded(again)
+        out = out.join(again, same(out, again), "left_anti").unionByName(out.join(again, same(out, again), "left_semi").dropDuplicates(["doc_id", "_hash"]))
+    return out.drop("_hash")
