@@ -9,6 +9,9 @@ of a fixed number of tasks together; only these summaries are shuffled, never to
 from __future__ import annotations
 
 import os
+import sys
+import types
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,7 +25,7 @@ from termloom.session import staged
 
 CAPACITY, OPEN_BINS, SEPARATOR = 2048, 1024, 0
 #: Tasks whose open bins are packed together, text characters tokenised at a time, chunks of text whose ids are kept.
-MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 200_000
+MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 400_000
 
 
 class Bins:
@@ -61,27 +64,63 @@ class Bins:
                 yield x, self.capacity - free
 
 
+#: Marks that, at the end of a chunk of letters, are tokens of their own whatever the letters are.
+_MARKS = ".,;:!?*#%$&|"
+
+
 def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """Little-endian 32-bit ids of texts, as the tokenizer at path gives them, each text whole.
 
-    The tokenizer normalises and splits at white space, so ids of the pieces between blanks and line
-    feeds, kept for those seen before, concatenate to those of the text.
+    The tokenizer lower-cases and splits at white space, so the ids of the chunks between blanks, kept for
+    those seen before, concatenate to those of the text. New words of letters are encoded many at once
+    and told apart by the token that ends a word. Texts with marks of special tokens, or not in NFC, are
+    encoded as they are.
     """
+    store = sys.modules.setdefault("termloom_kept", types.ModuleType("termloom_kept")).__dict__
+    if path in store:  # Python workers serve many tasks; what one has learned helps the next
+        return store[path]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer, kept = Tokenizer.from_file(path), {}
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    ends[[n for t, n in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(new: list[str]) -> None:
+        cores = [c.rstrip(_MARKS) for c in new]
+        words = list({c for c in cores if c.isalpha()} - kept.keys())
+        rest = {c for c, core in zip(new, cores, strict=True) if not core.isalpha()}
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = ids_of([" ".join(some)])[0]
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(some):
+                rest.update(some)  # not one word each after all
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            for c, i, j in zip(some, bounds, bounds[1:], strict=False):
+                kept[c] = raw[i:j]
+        rest.update(c[len(core) :] for c, core in zip(new, cores, strict=True) if core.isalpha())
+        rest = list(rest - kept.keys())
+        for c, ids in zip(rest, ids_of(rest), strict=True):
+            kept[c] = ids.tobytes()
+        for c, core in zip(new, cores, strict=True):
+            if c not in kept:
+                kept[c] = kept[core] + kept[c[len(core) :]]
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = [c for c in set().union(*split) if c not in kept]
-        for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            kept[c] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, s)) for s in split]
-        if len(kept) > KEPT_CHUNKS:
-            kept.clear()
+        plain = [t is None or "<|" not in t and unicodedata.is_normalized("NFC", t) for t in texts]
+        split = [(t or "").replace("\n", " ").replace("Σ", "σ").lower().split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
+        if new := set().union(*(s for s in split if s)) - kept.keys():
+            learn(list(new))
+        out = [b"".join(map(kept.__getitem__, s)) if s else ids_of([t])[0].tobytes() for s, t in zip(split, texts, strict=True)]
+        if len(kept) > KEPT_CHUNKS:  # frequent chunks came first
+            for c in list(kept)[KEPT_CHUNKS // 3 :]:
+                del kept[c]
         return out
 
+    store[path] = encode
     return encode
 
 
