@@ -3,9 +3,361 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "tokenize_counts"
+from termloom.functions import phonetics, text
+from termloom.operators import decide, evaluate, memory, retrieve
+from termloom.plans import fixtures as fx
+from termloom.settings import Settings
+
+FLAGSHIP = "correct_text"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+EXACT = Settings(encoder="null")
+# Pieces of SQL that stand for the same definitions in DuckDB.
+TOKEN = r"[\p{L}\p{N}_''’@#\-\x{0900}-\x{0D7F}]+"
+NOT_NORMAL = r"[^\p{L}\p{N}_\s''\-\x{0900}-\x{0D7F}]+"
+AS_OF = "2024-01-20 00:00:00"
+
+
+def low(x: str) -> str:
+    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def norm(x: str) -> str:
+    return low(rf"trim(regexp_replace(regexp_replace({x}, '{NOT_NORMAL}', ' ', 'g'), '\s+', ' ', 'g'))")
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- text ---------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))::BIGINT AS n_tokens FROM documents")
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT text AS form, {norm('text')} AS norm FROM benchmark UNION SELECT p_name, {norm('p_name')} FROM part")
+def normalise_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "benchmark").select(F.col("text").alias("form")).union(fx.table(spark, sf_dir, "part").select("p_name"))
+    return rows.distinct().withColumn("norm", text.normalise(F.col("form")))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS w, string_split_regex(coalesce(text, ''), '{TOKEN}') AS g FROM conversations),
+n AS (SELECT *, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS s FROM t)
+SELECT conv_id, turn, (n + greatest(n - 1, 0))::BIGINT AS n_spans,
+       (CASE WHEN n < 2 THEN s ELSE 3 * s - length(w[1]) - length(w[n]) + coalesce(list_sum(list_transform(g[2:n], lambda x: length(x))), 0) END)::BIGINT AS chars
+FROM n
+""")
+def ngram_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "conversations").withColumn("toks", text.tokens(F.col("text")))
+    rows = rows.withColumn("found", text.spans(F.coalesce("text", F.lit("")), F.col("toks"), 2))
+    chars = F.aggregate("found", F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"]))
+    return rows.select("conv_id", "turn", F.size("found").cast("long").alias("n_spans"), chars.alias("chars"))
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(coalesce(text, ''), '{TOKEN}'), lambda x: {low('x')}) AS w FROM conversations),
+i AS (SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM t WHERE len(w) > 0),
+d AS (SELECT conv_id, turn, len(list_distinct(list_concat(w[greatest(i - 4, 1):i - 1], w[i + 1:i + 4]))) AS n FROM i)
+SELECT conv_id, turn, count(*)::BIGINT AS spans, sum(n)::BIGINT AS near FROM d GROUP BY conv_id, turn
+""")
+def window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "conversations").withColumn("toks", text.tokens(F.col("text"))).where(F.size("toks") > 0)
+    sizes = F.transform("toks", lambda t, i: F.size(text.window(F.col("toks"), i, i + 1)))
+    rows = rows.withColumn("sizes", sizes).select("conv_id", "turn", F.size("sizes").cast("long").alias("n"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+    return rows.groupBy("conv_id", "turn").agg(F.sum("n").alias("spans"), F.sum("s").alias("near"))
+
+
+_REGION_SQL = [p.replace("'", "''") for p in text.REGIONS]
+
+
+@query(
+    "SELECT doc_id, ("
+    + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}'))" for p in _REGION_SQL)
+    + ")::BIGINT AS n_regions, ("
+    + " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '{p}'), lambda x: length(x))), 0)" for p in _REGION_SQL)
+    + ")::BIGINT AS chars FROM documents"
+)
+def protected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "documents").withColumn("found", text.regions(F.col("text")))
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_regions"), F.aggregate("found", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("chars"))
+
+
+def _fold_sql(x: str) -> str:
+    for pattern, new in text.FOLDS:
+        if pattern.startswith("(.)"):
+            for c in ascii_lowercase:
+                x = f"regexp_replace({x}, '{c}{c}+', '{c}', 'g')"
+        else:
+            x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return x
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))) AS word FROM documents),
+f AS (SELECT word, {_fold_sql('word')} AS folded FROM w WHERE regexp_full_match(word, '[a-z]+'))
+SELECT word, CASE WHEN folded = '' THEN word ELSE folded END AS folded FROM f
+""")
+def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folding is defined on lower-case Latin letters."""
+    rows = fx.table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word"))
+    rows = rows.select(F.lower("word").alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    return rows.withColumn("folded", text.fold(F.col("word")))
+
+
+@query(r"""
+SELECT lang, count(*)::BIGINT AS docs, count(*) FILTER (regexp_matches(text, '[\x{0900}-\x{0D7F}]'))::BIGINT AS indic,
+       count(*) FILTER (regexp_full_match(text, '[\x00-\x7F''’\-\s]*'))::BIGINT AS latin
+FROM (SELECT lang, text FROM documents UNION ALL SELECT 'indic', 'भावना'
+      UNION ALL SELECT 'indic', 'ಭಾವನ and more') GROUP BY lang
+""")
+def script_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "documents").select("lang", "text")
+    extra = spark.range(1).select(F.lit("indic").alias("lang"), F.explode(F.array(F.lit("भावना"), F.lit("ಭಾವನ and more"))).alias("text"))
+    own = rows.union(extra)
+    return own.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(text.is_indic(F.col("text"))).alias("indic"), F.count_if(text.is_latin(F.col("text"))).alias("latin"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{TOKEN}'), lambda x: {low('x')}))) AS word FROM documents)
+SELECT word, count(*)::BIGINT AS n FROM w GROUP BY word HAVING count(*) >= 20
+""")
+def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.common_words(fx.table(spark, sf_dir, "documents"), 20)
+
+
+# --- memory and utterances made of part names ---------------------------------
+
+_NAMES = "names AS (SELECT DISTINCT p_name AS name, regexp_replace(p_name, '^([^aeiou]*)([aeiou])', '\\1\\2\\2') AS heard FROM part WHERE p_name IS NOT NULL)"
+_CARRIERS = ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in enumerate(fx.CARRIERS))
+_UTTERANCES = f"""{_NAMES}, carriers(carrier, said) AS (VALUES {_CARRIERS}),
+utterances AS (SELECT name || '#' || carrier AS utterance_id, name, heard, carrier,
+  replace(replace(replace(said, '{{f}}', heard), '{{c}}', name), '{{F}}', upper(heard[1]) || heard[2:]) AS text FROM names, carriers)"""
+_FORMS = f"forms AS (SELECT replace(name, ' ', '_') AS lexeme_id, name AS canonical, name AS form, 'canonical' AS via, 0 AS ordinal, {norm('name')} AS norm FROM names UNION ALL SELECT replace(name, ' ', '_'), name, heard, 'observed_variant', 1, {norm('heard')} FROM names)"
+_SPANS = rf"""toks AS (SELECT utterance_id, text, regexp_extract_all(text, '{TOKEN}') AS w, string_split_regex(text, '{TOKEN}') AS g FROM utterances),
+pos AS (SELECT utterance_id, text, w, g, unnest(range(1, len(w))) AS i FROM toks),
+spans AS (SELECT utterance_id, text, w[i] || g[i + 1] || w[i + 1] AS span,
+  coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(g[1:i], lambda x: length(x))) AS s FROM pos),
+found AS (SELECT u.utterance_id, u.text, s.s::INTEGER AS span_start, (s.s + length(s.span))::INTEGER AS span_end, s.span AS span_text, f.lexeme_id, f.canonical,
+  arg_min(f.via, f.ordinal) AS via FROM spans s JOIN utterances u USING (utterance_id) JOIN forms f ON f.norm = {norm('s.span')} GROUP BY ALL)"""
+
+
+@query(f"WITH {_UTTERANCES}, {_FORMS}, {_SPANS} SELECT utterance_id, lexeme_id, span_start, span_end, span_text, via FROM found")
+def exact_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieve.candidates(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), EXACT)
+    return found.select("utterance_id", F.explode("found").alias("c")).select("utterance_id", "c.lexeme_id", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.text").alias("span_text"), "c.via")
+
+
+@query(rf"""
+WITH terms AS (SELECT DISTINCT {low('w')} AS term FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS w FROM benchmark) WHERE length({low('w')}) >= 7),
+known AS (SELECT DISTINCT {norm('term')} AS norm FROM terms),
+longest AS (SELECT least(5, max(len(string_split(norm, ' ')))) AS n FROM known),
+t AS (SELECT conv_id || '#' || turn AS utterance_id, unnest(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS w FROM conversations)
+SELECT DISTINCT utterance_id FROM t WHERE {norm('w')} IN (SELECT norm FROM known) AND (SELECT n FROM longest) = 1
+""")
+def gate_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = fx.benchmark_terms(spark, sf_dir)
+    return retrieve.gate(fx.turns(spark, sf_dir), fx.lexemes(terms, F.col("term")), EXACT)
+
+
+_PROTECTED = "EXISTS (SELECT 1 FROM (SELECT regexp_extract_all(text, '\"[^\"]*\"') AS q) WHERE len(list_filter(q, lambda x: strpos(x, span_text) > 0)) > 0)"
+_VERDICTS = f"""decided AS (SELECT *, {_PROTECTED} AS quoted, span_text = canonical AS own, CASE WHEN via = 'observed_variant' THEN 0.66::DOUBLE ELSE 0.0::DOUBLE END AS score FROM found),
+verdicts AS (SELECT utterance_id, text, lexeme_id, canonical, span_start, span_end, span_text, CASE WHEN quoted OR own THEN 0.0::DOUBLE ELSE score END AS score,
+  CASE WHEN quoted OR own OR score < 0.3 THEN 'abstain' ELSE 'apply' END AS verdict,
+  CASE WHEN quoted THEN 'verbatim_region' WHEN own THEN 'already_canonical' WHEN score < 0.3 THEN 'below_threshold' ELSE 'exact_observed_variant' END AS reason FROM decided)"""
+
+
+@query(f"WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS} SELECT utterance_id, lexeme_id, span_start, round(score, 6) AS score, verdict, reason FROM verdicts")
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decide.resolve(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT)
+    return rows.select("utterance_id", "lexeme_id", "span_start", F.round("score", 6).alias("score"), "verdict", "reason")
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}
+SELECT utterance_id, lexeme_id, span_start, CASE reason WHEN 'verbatim_region' THEN 2 WHEN 'already_canonical' THEN 3 ELSE 11 END::INTEGER AS n_outcomes,
+       CASE reason WHEN 'verbatim_region' THEN 'verbatim' WHEN 'already_canonical' THEN 'already_canonical' ELSE 'recency' END AS last_policy FROM verdicts""")
+def policy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decide.resolve(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT)
+    return rows.select("utterance_id", "lexeme_id", "span_start", F.size("outcomes").alias("n_outcomes"), F.element_at("outcomes", -1)["policy"].alias("last_policy"))
+
+
+_APPLIED = """applied AS (SELECT utterance_id, max(text[:span_start] || CASE WHEN upper(span_text[1]) = span_text[1] AND lower(span_text[1]) <> span_text[1]
+  THEN upper(canonical[1]) || canonical[2:] ELSE canonical END || text[span_end + 1:]) AS output_text, count(*) AS n FROM verdicts WHERE verdict = 'apply' GROUP BY utterance_id)"""
+_OUTPUT = f"""{_APPLIED}, first AS (SELECT utterance_id, arg_min(reason, (CASE verdict WHEN 'apply' THEN 0 ELSE 1 END, span_start, span_end, lexeme_id)) AS primary_reason FROM verdicts GROUP BY utterance_id),
+corrected AS (SELECT u.utterance_id, u.carrier, u.name, u.heard, u.text, coalesce(a.output_text, u.text) AS output_text, f.utterance_id IS NOT NULL AS gate_passed,
+  coalesce(a.output_text <> u.text, false) AS intervened, f.primary_reason FROM utterances u LEFT JOIN applied a USING (utterance_id) LEFT JOIN first f USING (utterance_id))"""
+
+
+@query(f"WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT} SELECT utterance_id, output_text, gate_passed, intervened, primary_reason FROM corrected")
+def correct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decide.correct(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT)
+    return rows.select("utterance_id", "output_text", "gate_passed", "intervened", "primary_reason")
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, loose AS (SELECT utterance_id, text[:span_start] || canonical || text[span_end + 1:] AS output_b FROM decided WHERE via = 'observed_variant' AND quoted)
+SELECT c.utterance_id, c.output_text AS output_a, l.output_b FROM corrected c JOIN loose l USING (utterance_id)""")
+def ablation_no_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stack would do without the policy that leaves quoted text alone."""
+    other = EXACT.with_(policies=tuple(p for p in EXACT.policies if p != "verbatim"))
+    return decide.counterfactual(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT, other).select("utterance_id", "output_a", "output_b")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrected part utterances as cases: carriers 0, 4 and 5 want a change."""
+    rows = decide.correct(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT)
+    said = F.get(F.array(*map(F.lit, fx.CARRIERS)), F.col("carrier"))
+    titled = F.concat(F.upper(F.substr("name", F.lit(1), F.lit(1))), F.substr("name", F.lit(2)))
+    wanted = F.replace(F.replace(F.replace(said, F.lit("{f}"), F.col("name")), F.lit("{c}"), F.col("name")), F.lit("{F}"), titled)
+    cases = rows.select("utterance_id", "carrier", F.col("text").alias("source"), F.col("output_text").alias("output"), F.col("primary_reason").alias("reason"), F.when(F.col("carrier").isin(0, 4, 5), "apply").otherwise("abstain").alias("expect"), wanted.alias("expected"), F.lit(None).cast("string").alias("expected_reason"))
+    return evaluate.judge(cases)
+
+
+_JUDGED = """judged AS (SELECT utterance_id, carrier, CASE WHEN carrier IN (0, 4, 5) THEN CASE
+  WHEN output_text = replace(replace(text, upper(heard[1]) || heard[2:], upper(name[1]) || name[2:]), heard, name) THEN 'useful' WHEN output_text = text THEN 'missed' ELSE 'harmful' END
+  ELSE CASE WHEN output_text = text THEN 'correct_abstention' ELSE 'harmful' END END AS outcome FROM corrected)"""
+
+
+@query(f"WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, {_JUDGED} SELECT utterance_id, outcome, outcome IN ('useful', 'correct_abstention') AS passed FROM judged")
+def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("utterance_id", "outcome", "passed")
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, {_JUDGED},
+p AS (SELECT carrier::VARCHAR AS carrier, outcome, (outcome IN ('useful', 'correct_abstention'))::INTEGER AS ok FROM judged),
+g AS (SELECT CASE WHEN grouping(carrier) = 0 THEN 'carrier' WHEN grouping(outcome) = 0 THEN 'outcome' ELSE 'all' END AS slice, coalesce(carrier, outcome) AS value, count(*)::BIGINT AS cases, sum(ok)::BIGINT AS passed FROM p GROUP BY GROUPING SETS ((carrier), (outcome), ()))
+SELECT slice, value, cases, passed, round(passed / cases, 4) AS pass_rate FROM g""")
+def eval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.summarise(_judged(spark, sf_dir).withColumn("kind", F.col("outcome")), ["carrier", "kind"])
+    return rows.select(F.when(F.col("slice") == "kind", "outcome").otherwise(F.col("slice")).alias("slice"), "value", "cases", "passed", "pass_rate")
+
+
+@query(f"""WITH {_NAMES}, w AS (SELECT replace(name, ' ', '_') AS id, string_split(name, ' ') AS w FROM names),
+e AS (SELECT a.id AS lexeme_id, b.id AS other, a.w[1] = b.w[1] AS rival, a.w[2] = b.w[2] AS partner FROM w a JOIN w b ON a.id <> b.id)
+SELECT w.id AS lexeme_id, count(*) FILTER (e.partner)::INTEGER AS n_partners, count(*) FILTER (e.rival)::INTEGER AS n_rivals FROM w LEFT JOIN e ON e.lexeme_id = w.id GROUP BY w.id""")
+def edge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decide.neighbours(fx.part_memory(spark, sf_dir), fx.name_edges(spark, sf_dir))
+    return rows.select("lexeme_id", F.size("partners").alias("n_partners"), F.size("rivals").alias("n_rivals"))
+
+
+# --- memory from the event log --------------------------------------------------
+
+_WEIGHT = "CASE event_type WHEN 'signup' THEN 3.0 WHEN 'purchase' THEN 1.0 WHEN 'view' THEN 0.25 WHEN 'click' THEN 0.5 WHEN 'error' THEN 2.0 ELSE 0.0 END"
+
+
+def _posterior_sql(until: str | None = None, clock: str = fx.CLOCK) -> str:
+    age = f"((epoch_us(TIMESTAMP '{clock}') - epoch_us(ts)) / 8.64e10)"
+    w = f"{_WEIGHT} * CASE WHEN {age} <= 0 THEN 1 ELSE exp(-ln(2.0) * {age} / 90.0) END"
+    keep = f" AND ts <= TIMESTAMP '{until}'" if until else ""
+    return f"""SELECT user_id::VARCHAR AS lexeme_id, 1 + coalesce(sum({w}) FILTER (event_type <> 'error'{keep}), 0) AS alpha,
+      1 + coalesce(sum({w}) FILTER (event_type = 'error'{keep}), 0) AS beta FROM events WHERE user_id IS NOT NULL GROUP BY user_id"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("lexeme_id", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"))
+
+
+@query(f"SELECT lexeme_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM ({_posterior_sql()})")
+def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(memory.posterior(fx.event_lexemes(spark, sf_dir), fx.event_log(spark, sf_dir), F.lit(fx.CLOCK).cast("timestamp")))
+
+
+@query(f"SELECT lexeme_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM ({_posterior_sql(AS_OF)})")
+def posterior_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    until = F.lit(AS_OF).cast("timestamp")
+    return _rounded(memory.posterior(fx.event_lexemes(spark, sf_dir), fx.event_log(spark, sf_dir), F.lit(fx.CLOCK).cast("timestamp"), until=until))
+
+
+_REVERTS = "r AS (SELECT user_id::VARCHAR AS lexeme_id, 'app:' || (json_extract_string(props, '$.k')::BIGINT % 3) AS scope, count(*)::INTEGER AS reverts FROM events WHERE event_type = 'error' AND user_id IS NOT NULL{} GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+@query(f"WITH {_REVERTS.format('')} SELECT * FROM r")
+def suppression_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.reverts(fx.event_log(spark, sf_dir))
+
+
+def _state_sql(until: str | None) -> str:
+    keep = f" AND ts <= TIMESTAMP '{until}'" if until else ""
+    return f"""SELECT p.lexeme_id, CASE WHEN p.lexeme_id IN (SELECT lexeme_id FROM r{1 if until else 0}) THEN 'suppressed' WHEN alpha / (alpha + beta) < 0.35 THEN 'dormant'
+      WHEN alpha / (alpha + beta) >= 0.6 AND alpha + beta - 2 >= 1.5 THEN 'active' ELSE 'proposed' END AS state, round(alpha / (alpha + beta), 3) AS confidence FROM ({_posterior_sql(until)}) p""", keep
+
+
+_NOW_STATE, _THEN_STATE = _state_sql(None), _state_sql(AS_OF)
+_R0, _R1 = _REVERTS.replace("r AS", "r0 AS", 1).format(""), _REVERTS.replace("r AS", "r1 AS", 1).format(_THEN_STATE[1])
+
+
+@query(f"WITH {_R0} SELECT lexeme_id, state FROM ({_NOW_STATE[0]})")
+def lexeme_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = memory.project(fx.event_lexemes(spark, sf_dir), fx.event_log(spark, sf_dir), F.lit(fx.CLOCK).cast("timestamp"))
+    return rows.select("lexeme_id", "state")
+
+
+@query(f"""WITH {_R0}, {_R1}, a AS ({_THEN_STATE[0]}), b AS ({_NOW_STATE[0]})
+SELECT * FROM (SELECT lexeme_id, CASE WHEN a.state <> b.state THEN 'state' WHEN a.confidence <> b.confidence THEN 'confidence' END AS change, a.state AS state_before, b.state AS state_after
+FROM a FULL JOIN b USING (lexeme_id)) WHERE change IS NOT NULL""")
+def memory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexemes, log, now = fx.event_lexemes(spark, sf_dir), fx.event_log(spark, sf_dir), F.lit(fx.CLOCK).cast("timestamp")
+    before = memory.project(lexemes, log, now, until=F.lit(AS_OF).cast("timestamp"))
+    return memory.diff(before, memory.project(lexemes, log, now)).select("lexeme_id", "change", "state_before", "state_after")
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS form FROM documents)
+SELECT {low('form')} AS key, count(*)::INTEGER AS count, arg_min(form, (doc_id, form)) AS form FROM w GROUP BY 1""")
+def merge_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("form"))
+    seen = rows.select(F.lit("all").alias("lexeme_id"), "form", F.lit("observed").alias("provenance"), F.timestamp_seconds("doc_id").alias("at"))
+    return memory.merged_variants(seen).select(text.casefold(F.col("form")).alias("key"), "count", "form")
+
+
+@query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, round(max(value) FILTER (i = least(n - 1, floor(n * 0.5))), 3) AS p50, round(max(value) FILTER (i = least(n - 1, floor(n * 0.95))), 3) AS p95 FROM o GROUP BY event_type""")
+def latency_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.nearest_rank(fx.table(spark, sf_dir, "events"), "value", [0.5, 0.95], ["event_type"])
+
+
+@query(f"""WITH {_NAMES}, c AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{TOKEN}'), lambda x: {low('x')}))) AS word FROM documents) GROUP BY word HAVING count(*) >= 20),
+t AS (SELECT DISTINCT {low('w')} AS term FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS w FROM benchmark) WHERE length({low('w')}) >= 7)
+SELECT term AS lexeme_id, (term IN (SELECT word FROM c))::INTEGER AS guards FROM t""")
+def common_word_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards for terms that documents use as ordinary words. The list is joined, as it grows with the corpus."""
+    terms = fx.benchmark_terms(spark, sf_dir)
+    common = memory.common_words(fx.table(spark, sf_dir, "documents"), 20).join(terms.select(F.col("term").alias("word")), "word", "left_semi")
+    rows = terms.join(common.select(F.col("word").alias("term"), F.lit(1).alias("guards")), "term", "left")
+    return rows.select(F.col("term").alias("lexeme_id"), F.coalesce("guards", F.lit(0)).alias("guards"))
+
+
+# --- sounds ---------------------------------------------------------------------
+
+
+@query()
+def phonetic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.names(spark, sf_dir).select(F.explode(F.array("name", "heard")).alias("form")).distinct()
+    return rows.withColumn("keys", F.concat_ws(" ", phonetics.keys_of(F.col("form"))))
+
+
+@query()
+def phonetic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.names(spark, sf_dir).withColumn("distance", F.round(phonetics.distance_of(F.col("name"), F.col("heard")), 6))
+
+
+@query()
+def sound_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the full stack, where mishearings are not on file."""
+    memory_ = fx.lexemes(fx.names(spark, sf_dir), F.col("name"))
+    found = retrieve.candidates(fx.part_utterances(spark, sf_dir), memory_)
+    return found.select("utterance_id", F.posexplode("found").alias("rank", "c")).select("utterance_id", "rank", "c.lexeme_id", "c.text", "c.via", F.round("c.score", 6).alias("score"))
