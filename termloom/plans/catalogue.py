@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import phonetics, text
-from termloom.operators import decide, evaluate, memory, retrieve
+from termloom.operators import decide, evaluate, generate, learn, memory, retrieve
 from termloom.plans import fixtures as fx
 from termloom.settings import Settings
 
@@ -361,3 +361,59 @@ def sound_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     memory_ = fx.lexemes(fx.names(spark, sf_dir), F.col("name"))
     found = retrieve.candidates(fx.part_utterances(spark, sf_dir), memory_)
     return found.select("utterance_id", F.posexplode("found").alias("rank", "c")).select("utterance_id", "rank", "c.lexeme_id", "c.text", "c.via", F.round("c.score", 6).alias("score"))
+
+
+# --- checks, learning, cases ------------------------------------------------------
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT},
+t AS (SELECT utterance_id, regexp_extract_all(text, '{TOKEN}') AS a, regexp_extract_all(output_text, '{TOKEN}') AS b FROM corrected)
+SELECT utterance_id, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i]))::INTEGER AS distance,
+       len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) / len(a) > 0.34 AS rejected FROM t""")
+def overreach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections change single tokens here, so the distance is the number of places that differ."""
+    rows = decide.correct(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT)
+    far = text.edit_distance(text.words(F.col("text")), text.words(F.col("output_text")))
+    return rows.select("utterance_id", far.alias("distance"), text.overreaches(F.col("text"), F.col("output_text")).alias("rejected"))
+
+
+@query(f"""WITH {_UTTERANCES}, w AS (SELECT utterance_id, regexp_replace(text, '^[^\\p{{L}}]+', '') AS text FROM utterances)
+SELECT utterance_id, CASE WHEN upper(text[1]) = text[1] AND lower(text[1]) <> text[1] THEN 'Known' ELSE 'known' END AS cased FROM w""")
+def match_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.part_utterances(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"^[^\p{L}]+", ""))
+    return rows.select("utterance_id", text.match_case(F.col("text"), F.lit("known")).alias("cased"))
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of each mishearing, a rewrite of it, and a revert, as one memory's log for each second word."""
+    rows = fx.names(spark, sf_dir)
+    at = lambda n: F.timestamp_seconds(F.lit(1_704_067_200 + 3600 * n))
+    made = F.array(
+        *[F.struct(F.lit(n).alias("n"), F.lit(s).alias("source"), before.alias("before_form"), after.alias("after_form"), at(n).alias("at"))
+          for n, s, before, after in (
+              (0, "post_edit", F.col("heard"), F.col("name")),
+              (1, "post_edit", F.col("heard"), F.col("name")),
+              (2, "post_edit", F.col("name"), F.lit("something else entirely here")),
+              (3, "revert", F.col("heard"), F.col("name")),
+          )]
+    )
+    rows = rows.select("name", F.inline(made))
+    none = F.lit(None).cast("string")
+    return rows.select(F.get(F.split("name", " "), 1).alias("memory_id"), F.concat_ws("#", "name", "n").alias("id"), "source", none.alias("polarity"), "at", "before_form", "after_form", F.lit("global").alias("scope"), none.alias("scope_ref"), none.alias("lexeme_id"), none.alias("note"))
+
+
+@query()
+def observation_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.judged(_edits(spark, sf_dir)).select("id", "source", "polarity", "accepted", F.round("phonetic_distance", 6).alias("phonetic_distance"), "note")
+
+
+@query()
+def learner_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = learn.fold(learn.judged(_edits(spark, sf_dir)))
+    return rows.select("memory_id", "lexeme_id", "canonical", "state", F.size("variants").alias("n_variants"))
+
+
+@query()
+def generate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = fx.names(spark, sf_dir).select("name")
+    return generate.cases(names, ["please ask {f} today", "{f} is ready", "we met {f} and left"])
