@@ -16,7 +16,7 @@ def read_persona(spark: SparkSession, path: str, now: str) -> tuple[DataFrame, D
     x = rows.select(clock.alias("clock"), F.explode("lexemes").alias("x"))
     used = F.coalesce(F.to_timestamp("x.last_used"), F.col("clock"))
     moved = F.timestamp_micros(F.unix_micros(used) + F.unix_micros(today) - F.unix_micros(F.coalesce("clock", today)))
-    guards = F.transform("x.guards", lambda g: F.struct(g["kind"].alias("kind"), g["payload.form"].alias("form"), g["payload.support_tokens"].alias("support_tokens"), g["payload.veto_tokens"].alias("veto_tokens"), g["payload.applies_to_forms"].alias("applies_to_forms"), F.lit(None).cast("int").alias("reverts"), F.lit(None).cast("string").alias("scope"), F.lit(False).alias("synthesised"), g["note"].alias("note")))
+    guards = F.transform("x.guards", lambda g: F.struct(g["kind"].alias("kind"), g["payload"]["form"].alias("form"), g["payload"]["support_tokens"].alias("support_tokens"), g["payload"]["veto_tokens"].alias("veto_tokens"), g["payload"]["applies_to_forms"].alias("applies_to_forms"), F.lit(None).cast("int").alias("reverts"), F.lit(None).cast("string").alias("scope"), F.lit(False).alias("synthesised"), g["note"].alias("note")))
     everywhere = F.array(F.struct(F.lit("global").alias("scope"), F.lit(None).cast("string").alias("ref")))
     alpha, beta = F.coalesce("x.confidence.alpha", F.lit(1.0)), F.coalesce("x.confidence.beta", F.lit(1.0))
     lexemes = x.select(
