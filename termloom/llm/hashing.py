@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 from operator import eq
 
 import numpy as np
@@ -11,11 +13,17 @@ import xxhash
 #: Odd multipliers that tell the kinds of pairs apart.
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9, 0x27D4EB2F165667C5], [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]], dtype=np.uint64)
 _LAST = np.uint64(0xFF51AFD7ED558CCD)
-_KEPT = 200_000
+_KEPT = 400_000
 HEADS = (4, 5)
 _WORD = re.compile(r"\w+")
 
 
+def shared(kind: type) -> dict:
+    """The worker process's one table of a kind: Python workers serve many tasks, and what one has learned helps the next."""
+    store = sys.modules.setdefault("termloom_kept", types.ModuleType("termloom_kept")).__dict__
+    return store.setdefault(kind.__name__, kind())
+
+
 class WordHashes(dict):
     """64-bit hashes of words and of their first HEADS letters, kept for those seen; call ``trim`` between texts.
 
@@ -67,6 +75,11 @@ class Shapes(dict):
     """The shape of a word: letters as a or A, digits as 0, runs as one."""
 
     def __missing__(self, word: str) -> str:
+        core = word.rstrip(".,")
+        if core.isalpha() and core[1:].islower():  # most words
+            tail = "".join(c for c, before in zip(word[len(core) :], " " + word[len(core) :], strict=False) if c != before)
+            found = self[word] = ("Aa" if core[0].isupper() else "a") + tail
+            return found
         cut = word[:64]
         found = self[word] = _RUNS.sub(r"\1", _CASED.sub(lambda m: "A" if m[0].isupper() else "a", cut).translate(_SHAPE))
         return found

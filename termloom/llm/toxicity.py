@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from termloom.llm.hashing import WordHashes, gram_indices
+from termloom.llm.hashing import WordHashes, gram_indices, shared
 
 #: Weights are 2 ** BITS at most; MAX_ROWS labelled documents, taken in the order of a hash of their ids, are learned from.
 BITS, MAX_ROWS, EPOCHS = 20, 8_000, 5
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MA
     """Indices and weights (the bias at 2 ** bits) learned from docs(doc_id, text) and labels(doc_id, toxic)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = shared(WordHashes)
         for b in batches:
             found = [gram_indices(t.as_py(), bits, hashes) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "at"])
@@ -90,7 +90,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     at, w = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dense = WordHashes(), np.zeros((1 << bits) + 1)
+        hashes, dense = shared(WordHashes), np.zeros((1 << bits) + 1)
         dense[at] = w
         for b in batches:
             logits = np.array([dense[gram_indices(t.as_py(), bits, hashes)].sum() for t in b.column("text")]) + dense[-1]
