@@ -32,7 +32,11 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)",
     "person": rf"(?<![\p{{L}}-]){TITLE}\.? {NAME}(?: {NAME}){{0,2}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No entity starts inside an ASCII word; one look back spares most positions the alternatives.
+ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: What every text with an entity holds: a digit, an at sign, a password's mark, or one of these.
+MARKS = "[0-9@=:]"
+HEADS = ("AKIA", "ASIA", "Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Se\u00f1or", "Monsieur", "Signor", "Madame", "Mme", "\u0433-", "\u0433\u043e\u0441\u043f\u043e")
 LATIN = {"heads": "Ba Be Bo Da De Fa Ga Ha Jo Ka La Le Li Ma Mi Na Ni Pa Ra Ro Sa Si Ta Te To Va Vi Wa Ya Za".split(), "inner": "ba da fi ga la le li lo ma me mi na ne ni no ra re ri ro sa se si ta te ti to va ve vi".split(), "m": "n,r,s,d,l,k".split(","), "f": "na,la,ra,ia,sa,da".split(","), "s": "mann,berg,ton,son,ford,well,ley,ner".split(",")}
 CYRILLIC = {"heads": "Ба Ве Га До Ев За Ка Ла Ми На Ор По Ра Са Та Фе".split(), "inner": "ба ве да ки ла ле ли ма ми на ни ра ри са та ти".split(), "m": "слав,мир,н,р".split(","), "f": "на,ра,лина,рия".split(","), "sm": "ов,ин,ский".split(","), "sf": "ова,ина,ская".split(",")}
 
@@ -42,7 +46,11 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def _number(h: Column, at: Column | int, most: int) -> Column:
+def _hinted(text: Column) -> Column:
+    return reduce(lambda x, w: x | text.contains(w), HEADS, text.rlike(MARKS))
+
+
+def _number(h: Column, at: Column | int, most: Column | int) -> Column:
     """A number below most from the hex digits of h at a place."""
     place = at if isinstance(at, Column) else F.lit(at)
     return F.conv(F.substr(h, (place * 4 % 184 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % most
@@ -65,15 +73,12 @@ def _normal(kind: Column, found: Column) -> Column:
     return F.when(kind == "email", F.lower(found)).when(kind == "ip", found).when(kind == "password", F.regexp_replace(found, "^[^=:]*[=:]", "")).when(kind == "key", bare).otherwise(F.lower(bare))
 
 
-def _masked(text: Column, h: Column, hexes: bool = False, keep: int = 0) -> Column:
-    """text with other digits and letters of the same class and case; separators and the first keep characters of a class stay."""
+def _masked(text: Column, h: Column, hexes: Column, keep: Column) -> Column:
+    """text with other digits and letters of the same class and case (any hex digit where hexes); separators and the first keep digits and letters stay."""
 
     def other(c: Column, k: Column) -> Column:
-        pick = lambda of: F.substr(F.lit(of), _number(h, k, len(of)) + 1, F.lit(1))
-        if hexes:
-            return pick("0123456789abcdef")
-        low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        return F.when(c == "0", pick("0123456789")).when(c.between("1", "9"), pick("123456789")).when(c.between("a", "z"), pick(low)).otherwise(pick(up))
+        of = F.when(hexes, "0123456789abcdef").when(c == "0", "0123456789").when(c < "A", "123456789").when(c >= "a", "abcdefghijklmnopqrstuvwxyz").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return _let(of, lambda x: F.substr(x, _number(h, k, F.length(x)) + 1, F.lit(1)))
 
     def step(acc: Column, c: Column) -> Column:
         counts = c.rlike("[A-Za-z0-9]")
@@ -90,13 +95,11 @@ def _luhn(text: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(text: Column, h: Column) -> Column:
-    def checked(new: Column) -> Column:
-        stem = F.substr(new, F.lit(1), F.length(new) - 1)
-        check = (10 - _luhn(F.concat(stem, F.lit("0")))) % 10
-        return F.when(_luhn(text) == 0, F.concat(stem, check.cast("string"))).otherwise(new)
-
-    return _let(_masked(text, h, keep=1), checked)
+def _checked(text: Column, new: Column) -> Column:
+    """new with the check digit that text's validity asks for."""
+    stem = F.substr(new, F.lit(1), F.length(new) - 1)
+    check = (10 - _luhn(F.concat(stem, F.lit("0")))) % 10
+    return F.when(_luhn(text) == 0, F.concat(stem, check.cast("string"))).otherwise(new)
 
 
 def _ip(text: Column, h: Column) -> Column:
@@ -106,27 +109,23 @@ def _ip(text: Column, h: Column) -> Column:
     return F.concat_ws(".", head, octet(2), octet(3))
 
 
-def _email(text: Column, h: Column, key: str) -> Column:
-    domain = F.substring_index(text, "@", -1)
-    name = F.substr(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
-    new = _let(_hash(key, F.lit("domain"), F.lower(domain), F.lit(0)), lambda of_domain: _masked(name, of_domain))
-    return F.concat(_masked(F.substring_index(text, "@", 1), h), F.lit("@"), new, F.lit("."), F.substring_index(domain, ".", -1))
-
-
-def _phone(text: Column, h: Column) -> Column:
-    code = F.regexp_extract(text, r"^\+\d{1,3}(?=[ .(-])", 0)
-    return F.concat(code, _masked(F.substr(text, F.length(code) + 1), h))
+def _domain(text: Column, key: str) -> Column:
+    """An at sign and the surrogate of an address's domain, whose last part stays."""
+    whole = F.substring_index(text, "@", -1)
+    last = F.substring_index(whole, ".", -1)
+    name = F.substr(whole, F.lit(1), F.length(whole) - F.length(last) - 1)
+    return _let(_hash(key, F.lit("domain"), F.lower(whole), F.lit(0)), lambda h: F.concat(F.lit("@"), _masked(name, h, F.lit(False), F.lit(0)), F.lit("."), last))
 
 
 def _pick(of: list[str], h: Column, at: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, of)), _number(h, at, len(of)) + 1)
+    return F.get(F.split(F.lit(" ".join(of)), " "), _number(h, at, len(of)))
 
 
 def _name(kind: Column, token: Column, h: Column, attempt: Column) -> Column:
     """A made-up name of the kind's script, gender and part; further attempts are longer."""
 
     def made(table: dict, end: Column) -> Column:
-        more = F.concat_ws("", F.transform(F.sequence(F.lit(1), attempt + 2), lambda i: F.element_at(F.array(*map(F.lit, table["inner"])), _number(h, i + 4, len(table["inner"])) + 1)))
+        more = F.concat_ws("", F.transform(F.sequence(F.lit(1), attempt + 2), lambda i: F.get(F.split(F.lit(" ".join(table["inner"])), " "), _number(h, i + 4, len(table["inner"])))))
         return F.concat(_pick(table["heads"], h, 0), more, end)
 
     end_of = lambda t, k: _pick(t[k], h, 1)
@@ -162,21 +161,16 @@ def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: s
 
 
 def _surrogate(kind: Column, value: Column, attempt: Column, h: Column, key: str) -> Column:
-    label = F.regexp_extract(value, "^[^=:]*[=:]", 0)
-    secret = F.substr(value, F.length(label) + 1)
-    hexes = secret.rlike("^[0-9a-f]+$")
-    return (
-        F.when(kind == "email", _email(value, h, key))
-        .when(kind == "ip", _ip(value, h))
-        .when(kind == "card", _card(value, h))
-        .when(kind == "phone", _phone(value, h))
-        .when(kind == "hex", _masked(value, h, hexes=True))
-        .when(kind == "key", _masked(value, h, keep=4))
-        .when(kind == "iban", _masked(value, h, keep=2))
-        .when(kind == "password", F.concat(label, F.when(hexes, _masked(secret, h, hexes=True)).otherwise(_masked(secret, h))))
-        .when(kind.rlike("^(latin|cyrillic)_"), _name(kind, value, h, attempt))
-        .otherwise(_masked(value, h))
-    )
+    label = F.when(kind == "password", F.regexp_extract(value, "^[^=:]*[=:]", 0)).when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
+    body = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(F.substr(value, F.length(label) + 1))
+    hexes = (kind == "hex") | ((kind == "password") & body.rlike("^[0-9a-f]+$"))
+    keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
+    masked = _let(F.struct(body.alias("body"), hexes.alias("hexes"), keep.alias("keep")), lambda x: _masked(x["body"], h, x["hexes"], x["keep"]))
+
+    def whole(new: Column) -> Column:
+        return F.when(kind == "card", _checked(value, new)).when(kind == "email", F.concat(new, _domain(value, key))).otherwise(F.concat(label, new))
+
+    return F.when(kind == "ip", _ip(value, h)).when(kind.rlike("^(latin|cyrillic)_"), _name(kind, value, h, attempt)).otherwise(_let(masked, whole))
 
 
 def _compared(kind: Column, of: Column) -> Column:
@@ -220,18 +214,19 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     attempt are joined by document; without any there is no join and no shuffle of texts.
     """
     text = F.col("text")
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    found = F.coalesce(F.when(_hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), none)
     entities = docs.select(F.explode(found).alias("m")).select(F.inline(parts(F.col("m")))).select("kind", "norm").distinct()
     exceptions = collisions(staged(entities, "entities"), key)
     rows = docs.withColumn("_found", found)
-    none = F.create_map().cast("map<string,int>")
+    untried = F.create_map().cast("map<string,int>")
     if exceptions is None:
-        rows = rows.withColumn("_tries", none)
+        rows = rows.withColumn("_tries", untried)
     else:
         rows = rows.withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text")))
         named = rows.select("_row", F.explode("_found").alias("m")).select("_row", F.inline(parts(F.col("m")))).select("_row", "kind", "norm").distinct()
         tries = named.join(exceptions, ["kind", "norm"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("_tries"))
-        rows = rows.join(tries, rows["_row"].eqNullSafe(tries["_row"]), "left").drop(tries["_row"]).drop("_row").withColumn("_tries", F.coalesce("_tries", none))
+        rows = rows.join(tries, rows["_row"].eqNullSafe(tries["_row"]), "left").drop(tries["_row"]).drop("_row").withColumn("_tries", F.coalesce("_tries", untried))
 
     def replaced(m: Column) -> Column:
         new = F.transform(parts(m), lambda e: surrogate(e["kind"], e["norm"], e["value"], F.coalesce(F.try_element_at(F.col("_tries"), F.concat_ws("\x1f", e["kind"], e["norm"])), F.lit(0)), key))
