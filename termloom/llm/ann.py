@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a data and of a query block on average, trees, bits of a string.
 BLOCK, QUERY_BLOCK, TREES, BITS = 8_192, 4_096, 48, 32
-#: Candidates to ascend to, repeats in several trees included: this share of the block, and at least so many (but eight times the block at most).
-SHARE, LEAST = 0.75, 8_000
+#: Candidates to ascend to, repeats in several trees included: this share of the block, and at least so many; blocks of up to WHOLE rows are candidates whole.
+SHARE, LEAST, WHOLE = 0.75, 6_000, 1_024
 
 
 def _usable(v: Column) -> Column:
@@ -53,32 +53,34 @@ class Forest:
             high = np.stack([np.searchsorted(s, o | free, "right") for s, o in zip(self.sorted, own, strict=True)])
             return low, high
 
+        low, high = bounds(np.full(len(q), BITS))
+        same = high - low  # rows with the query's whole string, itself included, count once, not in each tree
         least, most = np.zeros(len(q), dtype=np.int64), np.full(len(q), BITS)
         while (least < most).any():  # all trees ascend together; the level is found by halving
             mid = (least + most + 1) // 2
             low, high = bounds(mid)
-            enough = (high - low).sum(axis=0) >= want
+            enough = (high - low - same).sum(axis=0) + same.max(axis=0) >= want
             least, most = np.where(enough, mid, least), np.where(enough, most, mid - 1)
         return bounds(least)
 
     def nearest(self, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, id, score) of the k best candidates of each query; ties to the smaller id."""
-        want = int(min(TREES * len(ids), max(SHARE * len(ids), min(LEAST, 8 * len(ids)))))
+        want = int(max(SHARE * len(ids), LEAST)) if len(ids) > WHOLE else TREES * len(ids) + 1
         low, high = self.ranges(q, want)
-        out, rough = [], self.x.astype(np.float32)
+        out, rough, repeats = [], self.x.astype(np.float32), len(ids) - len(np.unique(ids))
         for n in range(len(q)):
             hit = np.zeros(len(ids), dtype=bool)
             for t in range(TREES):
                 hit[self.order[t, low[t, n] : high[t, n]]] = True
             hit &= ids != q_ids[n]
             at = np.flatnonzero(hit)
-            if len(at) > 4 * k:  # a first look in single precision, wide enough for its error
+            if len(at) > 4 * k + repeats:  # a first look in single precision, wide enough for its error
                 s = rough[at] @ q[n].astype(np.float32)
-                floor = np.partition(s, len(s) - k)[len(s) - k] - 1e-4 * np.linalg.norm(q[n]) * np.linalg.norm(self.x[at], axis=1).max()
+                floor = np.partition(s, -k - repeats)[-k - repeats] - 1e-4 * np.linalg.norm(q[n]) * np.linalg.norm(self.x[at], axis=1).max()
                 at = at[s >= floor]
             score = (self.x[at] * q[n]).sum(axis=1)
             best = np.lexsort((ids[at], -score))
-            best = best[: k + np.count_nonzero(np.bincount(np.unique(ids[at], return_inverse=True)[1]) > 1)] if len(at) else best
+            best = best[: k + repeats]
             out.append((np.full(len(best), q_ids[n]), ids[at[best]], score[best]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
