@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Each task packs its documents as they come: a bounded number of bins stays open, their numbers kept by
-free space in a bitset, so the best fit is one shift and one lowest set bit. When a bin must be opened
-and no slot is left, the fullest closes. The bins that a task leaves open are packed once more, those
-of a fixed number of tasks together; only these summaries are shuffled, never tokens.
+Each task packs its documents as they come, the pieces of a few hundred at a time by falling length. A
+bounded number of bins stays open, their numbers kept by free space in a bitset, so the best fit is one
+shift and one lowest set bit. When a bin must be opened and no slot is left, the fullest closes. The bins
+that a task leaves open are packed once more, those of a fixed number of tasks together; only these
+summaries are shuffled, never tokens.
 """
 
 from __future__ import annotations
@@ -161,7 +162,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
                     ids += separator
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
-                        rows.append((doc, piece, at // 4, n := len(part) // 4, zlib.crc32(part), *bins.place(n), part if with_ids else None, False))
+                        rows.append([doc, piece, at // 4, len(part) // 4, zlib.crc32(part), None, None, part if with_ids else None, False])
+                for row in sorted(rows, key=lambda r: -r[3]):  # long pieces come first, short ones fill what they leave
+                    row[5:7] = bins.place(row[3])
                 yield made(rows)
         yield made([(None, None, None, used, None, n, None, None, True) for n, used in bins.left_open()])
 
