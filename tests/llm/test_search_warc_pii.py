@@ -24,14 +24,14 @@ def nearest(x, ids, q_rows, k):
 def test_recall_and_exact_scores(spark, monkeypatch, block):
     monkeypatch.setattr(ann, "BLOCK", block)
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((2000, 16)).astype(np.float32).astype(float) * rng.uniform(0.5, 2, (2000, 1))
+    x = (rng.standard_normal((2000, 16)) * rng.uniform(0.5, 2, (2000, 1))).astype(np.float32).astype(float)
     x[100:400] = x[100]  # a hot vector
     ids = list(range(2000))
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, label int")
     got = {}
     for r in ann.search(df, df.where("vec_id % 20 = 0"), 20).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    want = nearest(x.astype(np.float32).astype(float), ids, range(0, 2000, 20), 20)
+    want = nearest(x, ids, range(0, 2000, 20), 20)
     hits = 0
     for q, own in got.items():
         own.sort()
@@ -126,7 +126,7 @@ def test_surrogates_keep_form(spark):
     assert re.sub(r"\D", "", c) == re.sub(r"\D", "", d)
     valid = lambda n: sum(int(x) if k % 2 == 0 else (int(x) * 2 - 9 * (int(x) > 4)) for k, x in enumerate(reversed(n))) % 10 == 0
     one, two = re.fullmatch(r"card (4\d{3} \d{4} \d{4} \d{4}), (4\d{15})###", got[2][0]).groups()
-    assert valid(one.replace(" ", "")) and not valid("4315726095712222")
+    assert valid(one.replace(" ", "")) and two != "4315726095712222"
     assert re.fullmatch(r"at 10\.\d+\.\d+\.\d+, 192\.168\.\d+\.\d+ and \d+\.\d+\.\d+\.\d+\.", got[3][0])
     assert re.fullmatch(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18}', got[4][0]) and "0641917" not in got[4][0]
     assert re.fullmatch(r"AKIA[A-Z0-9]{16}", got[5][0])
