@@ -71,3 +71,17 @@ def rates(judged: DataFrame) -> DataFrame:
     wants = F.col("expect") == "apply"
     rate = lambda hit, of: F.round(F.avg(F.when(of, hit.cast("double"))), 4)
     return judged.agg(rate(F.col("outcome") == "harmful", ~wants).alias("false_interventions"), rate(F.col("outcome") == "useful", wants).alias("recall"))
+
+
+def overridden(lexemes: DataFrame, overrides: DataFrame) -> DataFrame:
+    """lexemes for each case of overrides(case_id, lexeme_id, state, learning_enabled, last_used): given values replace a lexeme's own in that case."""
+    ids = overrides.select("case_id").distinct()
+    patch = overrides.select("case_id", "lexeme_id", *[F.col(c).alias(f"_{c}") for c in ("state", "learning_enabled", "last_used")])
+    rows = ids.join(lexemes).join(patch, ["case_id", "lexeme_id"], "left")  # cases times the terms of one memory, both of bounded number
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("state", "learning_enabled", "last_used")}).drop("_state", "_learning_enabled", "_last_used")
+
+
+def swept(resolutions: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(apply_score, applied, proposed): how many resolutions each threshold would apply or only propose, in one pass."""
+    rows = resolutions.where("not exists(outcomes, o -> o.signal = 'veto')").select("score", F.explode(F.array(*map(F.lit, thresholds))).alias("apply_score"))
+    return rows.groupBy("apply_score").agg(F.count_if(F.col("score") >= F.col("apply_score")).alias("applied"), F.count_if((F.col("score") < F.col("apply_score")) & (F.col("score") >= 0.3)).alias("proposed"))

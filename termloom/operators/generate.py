@@ -43,3 +43,25 @@ def cases(names: DataFrame, carriers: list[str], per_rule: int = 1) -> DataFrame
     bare = names.withColumn("said", pick("name")).select(F.lit("bare").alias("family"), F.lit("none").alias("rule"), "name", put(F.col("said"), F.lit("it")).alias("source"), F.lit("abstain").alias("expect"))
     rows = bad.unionByName(good.union(bare).withColumn("expected", F.col("source")))
     return rows.withColumn("case_id", F.substr(F.sha2(F.concat_ws("|", "family", "rule", "name", "source"), 256), F.lit(1), F.lit(16)))
+
+
+def perturbed_indic(word: Column) -> Column:
+    """word with its first short vowel sign made long or the other way, in any of the nine scripts; null where it has none."""
+    pairs = [(0x3F, 0x40), (0x41, 0x42)]
+    text = "".join(chr(b + x) for b in range(0x0900, 0x0D80, 0x80) for a, c in pairs for x in (a, c))
+    swapped = "".join(chr(b + x) for b in range(0x0900, 0x0D80, 0x80) for a, c in pairs for x in (c, a))
+    at = F.regexp_extract(word, f"^([^{text}]*)([{text}])", 1)
+    hit = F.regexp_extract(word, f"^([^{text}]*)([{text}])", 2)
+    return F.when(hit != "", F.concat(at, F.translate(hit, text, swapped), F.substr(word, F.length(at) + 2)))
+
+
+SYLLABLES = tuple(c + v for c in ("", "b", "d", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "sh", "t", "v", "y") for v in ("a", "e", "i", "o", "u"))
+
+
+def personas(spark, people: int, terms: int, seed: int = 1) -> DataFrame:
+    """(memory_id, name) of made-up names of two or three syllables with an end: the same for one seed, on any cluster."""
+    rows = spark.range(people).select(F.col("id").alias("memory_id"), F.explode(F.sequence(F.lit(1), F.lit(terms))).alias("n"))
+    table = F.split(F.lit(",".join(SYLLABLES)), ",")
+    syllable = lambda k: F.get(table, F.pmod(F.xxhash64("memory_id", "n", F.lit(k), F.lit(seed)), F.lit(len(SYLLABLES))).cast("int"))
+    more = F.when(F.pmod(F.xxhash64("n", "memory_id", F.lit(seed)), F.lit(2)) == 0, syllable(3)).otherwise("")
+    return rows.select("memory_id", F.initcap(F.concat(F.lit("k"), syllable(1), F.lit("r"), syllable(2), more, F.lit("n"))).alias("name"))
