@@ -32,7 +32,7 @@ def brute(text, items):
         b = dc.words(t)
         if i is None or len(b) < dc.SHORTEST:
             continue
-        best = 0
+        best, top = 0, 0
         for shift in range(-len(b), len(w)):
             run = n = 0
             for j, x in enumerate(b):
@@ -41,7 +41,8 @@ def brute(text, items):
                     run, n = (run + 1, n + 1) if same else (run - 2, n)
                     if run <= 0:
                         run = n = 0
-                    best = max(best, n) if same else best
+                    if run > top or run == top and n > best:
+                        best, top = n, run
         if best >= min(dc.MIN_WORDS, -(-len(b) * 4 // 5)):
             out.append((best, i))
     return out
@@ -85,7 +86,7 @@ def test_pipeline_stages(spark, tmp_path):
         text[i] += " scoundrel grumbler scoundrel"
     text[301], text[302] = text[201], text[201] + "\n"
     text[310] = text[211][:150] + " " + ITEMS[4][1]
-    text[320] = text[221] + " reach me at someone@somewhere.org"
+    text[320] = " ".join(rng.choices(VOCABULARY, k=60)) + " reach me at someone@somewhere.org"
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in text.items()], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
