@@ -13,7 +13,7 @@ import xxhash
 #: Odd multipliers that tell the kinds of pairs apart.
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9, 0x27D4EB2F165667C5], [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]], dtype=np.uint64)
 _LAST = np.uint64(0xFF51AFD7ED558CCD)
-_KEPT = 400_000
+_KEPT = 250_000
 HEADS = (4, 5)
 _WORD = re.compile(r"\w+")
 

@@ -26,7 +26,7 @@ from termloom.session import staged
 
 CAPACITY, OPEN_BINS, SEPARATOR = 2048, 1024, 0
 #: Tasks whose open bins are packed together, text characters tokenised at a time, chunks of text whose ids are kept.
-MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 400_000
+MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 300_000
 
 
 class Bins:
