@@ -9,7 +9,7 @@ rest of the chain prunes pairs before the full Hamming check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -180,9 +180,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return edges.union(dealt.groupBy("key", "a", "b").applyInArrow(pair, "u long, v long"))
 
 
-def _classes(least: DataFrame, block: int) -> DataFrame:
-    """(fp, root) of distinct fingerprints least(fp): one root for each component."""
-    stars = connected_components(links(least.select("fp"), block))
+def _classes(least: DataFrame, stars: DataFrame) -> DataFrame:
+    """(fp, root) of distinct fingerprints least(fp): one root for each component, from the stars (u, v) of all."""
     return least.select("fp").join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -196,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK)
     """
     rows = staged(fingerprints(docs, shingle), "fingerprints")
     least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = least.join(_classes(least, block), "fp")
+    root = least.join(_classes(least, connected_components(links(least.select("fp"), block))), "fp")
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -208,26 +207,34 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> Da
     Of rows with that id and text exactly one stays, even if they repeat. Texts are shuffled only where
     the list of dropped rows is too long to broadcast.
     """
-    mark = lambda d: d.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = mark(docs.select("doc_id", "text"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.int64())], names=["doc_id", "_hash", "fp"])
 
-    rows = staged(rows.mapInArrow(run, "doc_id long, _hash long, fp long"), "fingerprints")
+    rows = staged(marked(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, _hash long, fp long"), "fingerprints")
+    return one_of_each(docs, rows, lambda fps: connected_components(links(fps, block)))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs(text) and a hash of each text, null as empty."""
+    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, stars: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs(doc_id, text) that survivors() keeps, from rows(doc_id, _hash, fp) and the stars (u, v) that the distinct fp have."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
     each = staged(rows.groupBy("doc_id", "_hash", "fp").agg(F.count("*").alias("n")), "rows")
     best = each.groupBy("fp").agg(F.min(own).alias("best"))
-    root = best.join(_classes(staged(best.select("fp"), "distinct"), block), "fp")
+    fps = staged(best.select("fp"), "distinct")
+    root = best.join(_classes(fps, stars(fps)), "fp")
     kept = root.groupBy("root").agg(F.min("best").alias("kept"))
     told = each.join(root.join(kept, "root").select("fp", "kept"), "fp").withColumn("stays", own.eqNullSafe(F.col("kept")))
     told = staged(told.select("doc_id", "_hash", "n", "stays"), "told")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_hash"] == b["_hash"])
     gone, again = told.where("not stays").select("doc_id", "_hash"), told.where("stays and n > 1").select("doc_id", "_hash")
     bounded = lambda d: F.broadcast(d) if d.count() * 32 <= BROADCAST_BYTES else d
-    docs = mark(docs)
+    docs = marked(docs)
     gone = bounded(gone)
     out = docs.join(gone, same(docs, gone), "left_anti")
     if not again.isEmpty():
