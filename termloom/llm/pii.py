@@ -20,16 +20,26 @@ from termloom.session import staged
 MALE, FEMALE = r"Mr|Herr|Señor|Monsieur|Signor|г-н|господин", r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Signora|г-жа|госпожа"
 TITLE = rf"(?:{FEMALE}|{MALE}|Dr|Prof)"
 NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Countries by the length of their IBANs. Others are taken in whole groups of four.
+IBAN = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban(length: int, countries: str) -> str:
+    """IBANs of one length, compact or in groups of four and a shorter last one."""
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "password": r"(?i:password|passwd|pwd|secret)[=:][^\s\"'<>,;]{6,}",
+    "password": r"(?i:password|passwd|pwd|secret)[=:][ \t]*[^\s\"'<>,;]{6,}",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(_iban(n, c) for n, c in IBAN.items()) + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7})(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,3}|0\d)(?:[ .-]\d{2}){3,4}|\+\d{8,15}|\+\d{1,3}[ .-](?:\(\d{1,4}\)|\d{1,4})[ .-]\d{6,8})(?!\w)",
     "person": rf"(?<![\p{{L}}-]){TITLE}\.? {NAME}(?: {NAME}){{0,2}}",
 }
 #: No entity starts inside an ASCII word; one look back spares most positions the alternatives.
@@ -70,7 +80,7 @@ def kind_of(found: Column) -> Column:
 def _normal(kind: Column, found: Column) -> Column:
     """What makes two mentions one entity: letters without case, no separators, passwords without their label."""
     bare = F.regexp_replace(found, "[^A-Za-z0-9]", "")
-    return F.when(kind == "email", F.lower(found)).when(kind == "ip", found).when(kind == "password", F.regexp_replace(found, "^[^=:]*[=:]", "")).when(kind == "key", bare).otherwise(F.lower(bare))
+    return F.when(kind == "email", F.lower(found)).when(kind == "ip", found).when(kind == "password", F.regexp_replace(found, r"^[^=:]*[=:][ \t]*", "")).when(kind == "key", bare).otherwise(F.lower(bare))
 
 
 def _masked(text: Column, h: Column, hexes: Column, keep: Column) -> Column:
@@ -161,7 +171,7 @@ def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: s
 
 
 def _surrogate(kind: Column, value: Column, attempt: Column, h: Column, key: str) -> Column:
-    label = F.when(kind == "password", F.regexp_extract(value, "^[^=:]*[=:]", 0)).when(kind == "phone", F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)).otherwise("")
+    label = F.when(kind == "password", F.regexp_extract(value, r"^[^=:]*[=:][ \t]*", 0)).when(kind == "phone", F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ .(-])|[17]|\d{2})", 0)).otherwise("")
     body = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(F.substr(value, F.length(label) + 1))
     hexes = (kind == "hex") | ((kind == "password") & body.rlike("^[0-9a-f]+$"))
     keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)

@@ -135,6 +135,34 @@ def test_surrogates_keep_form(spark):
     assert re.fullmatch(r"SSN \d{3}-\d{2}-\d{4}, DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", got[10][0]) or got[10][0].startswith("SSN ")
 
 
+IBANS = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "SI56263300012039086", "AT611904300234573201", "CH9300762011623852957", "DE89370400440532013000", "GB29NWBK60161331926819", "AE070331234567890123456", "ES9121000418450200051332", "PT50000201231234567890154", "TR330006100519786457841326", "FR1420041010050500013M02606", "PL61109010140000071219812874", "BR1800360305000010009795493C1", "KW81CBKU0000000000001234560101", "MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015", "RU0304452522540817810538091310419"]
+
+
+def test_ibans_of_every_length(spark):
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in IBANS]
+    assert {len(x) for x in IBANS} == set(pii.IBAN)
+    got = swapped(spark, [f"pay {x} AND more" for x in IBANS + spaced])
+    for i, x in enumerate(IBANS + spaced):
+        m = re.fullmatch(r"pay (.+) AND more", got[i][0])
+        assert m and got[i][1] == 1 and m[1] != x and re.sub("[A-Z]", "A", re.sub(r"\d", "0", m[1])) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", x)), x
+        assert m[1][:2] == x[:2] and not m[1].endswith(x[6:]) and m[1].replace(" ", "") == got[i % len(IBANS)][0][4:-9]
+
+
+def test_spaced_passwords_and_foreign_phones(spark):
+    phones = ["+491701234567", "+33 1 23 45 67 89", "+33123456789", "01 23 45 67 89", "+49 170 1234567", "+39 06 12345678", "+33 (0)1 23 45 67 89"]
+    got = swapped(spark, [f"call {x}, please" for x in phones] + ["password: hunter2secret!", "password=hunter2secret!", "Passwd:\thunter2secret!"])
+    for i, x in enumerate(phones):
+        m = re.fullmatch(r"call (.+), please", got[i][0])
+        assert m and got[i][1] == 1 and m[1] != x and re.sub(r"\d", "0", m[1]) == re.sub(r"\d", "0", x), (x, got[i])
+        assert not x.startswith("+") or m[1][:3] == x[:3]
+    assert re.sub(r"\D", "", got[1][0]) == re.sub(r"\D", "", got[2][0])
+    a, b, c = (got[len(phones) + k][0] for k in range(3))
+    assert a.startswith("password: ") and b.startswith("password=") and c.startswith("Passwd:\t")
+    assert a[10:] == b[9:] == c[8:] and "hunter2" not in a
+    plain = ["at 12.50 37.20 41.10", "on 2024-01-01 10:20:30", "secret: no"]
+    assert [got for got in swapped(spark, plain).values()] == [(t, 0) for t in plain]
+
+
 def test_key_and_coreference(spark):
     a, b, other = swapped(spark, TEXTS), swapped(spark, TEXTS[::-1]), swapped(spark, TEXTS, "another")
     assert {v for v in a.values()} == {v for v in b.values()}
