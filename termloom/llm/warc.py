@@ -103,7 +103,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at a place of uncompressed data and the place after it; raises Damaged if a check fails."""
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + 65536)
+    end = data.find(b"\r\n\r\n", at)  # a url may be of any length
     if end < 0:
         raise Damaged("no end of header")
     fields = {}

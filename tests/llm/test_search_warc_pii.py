@@ -103,6 +103,14 @@ def test_salvage_checks_digests():
     assert list(warc.salvage(b"")) == []
 
 
+def test_very_long_urls(spark, tmp_path):
+    urls = ["http://x/" + "a" * 100_000, "http://x/" + " " * 100_000, "http://x/é"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = warc.read(spark, warc.write(pages, str(tmp_path / "u"))).collect()
+    assert [r.gap for r in got] == [None] * 3
+    assert {r.page_id: r.url for r in got} == {i: u.replace(" ", "%20") for i, u in enumerate(urls)}
+
+
 # --- personal data
 
 
