@@ -138,50 +138,91 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     }, start + n + 4
 
 
-def _inflate(data: memoryview) -> tuple[bytes, int]:
-    """The first gzip member's content and its length; raises Damaged."""
+def _inflate(data: memoryview) -> tuple[bytes, int, str | None]:
+    """What the first gzip member holds, the bytes it takes and None; of a broken one what can be inflated, and the reason."""
     z = zlib.decompressobj(31)
     out, fed = [], 0
     try:
         while not z.eof:
             part = data[fed : fed + 65536]
             if not len(part):
-                raise Damaged("truncated member")
+                return b"".join(out), fed, "truncated member"
             fed += len(part)
             out.append(z.decompress(part))
             if sum(map(len, out[-1:])) > LARGEST:
-                raise Damaged("member too large")
+                return b"".join(out[:-1]), fed, "member too large"
     except zlib.error as e:
-        raise Damaged("member checksum" if "check" in str(e) else "member") from e
-    return b"".join(out), fed - len(z.unused_data)
+        z, last = zlib.decompressobj(31), fed - len(part)
+        out = [z.decompress(data[at : min(at + 65536, last)]) for at in range(0, last, 65536)]
+        try:
+            for at in range(last, fed):  # byte by byte up to the damage
+                out.append(z.decompress(data[at : at + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), at, "member checksum" if "check" in str(e) else "member"
+    return b"".join(out), fed - len(z.unused_data), None
+
+
+def _records(raw: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """(start, end, record, None) of each valid record of a member's content and (start, end, None, reason) of what lies between."""
+    at, gap, reason = 0, None, ""
+    while at < len(raw):
+        try:
+            r, end = parse_record(raw, at)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            at = raw.find(b"WARC/1.", at + 1)
+            at = len(raw) if at < 0 else at
+            continue
+        if gap is not None:
+            yield gap, at, None, reason
+            gap = None
+        yield at, end, r, None
+        at = end
+    if gap is not None:
+        yield gap, len(raw), None, reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(start, end, record, None) of each valid record and (start, end, None, reason) of each gap, in order; together with empty members they cover data."""
+    """(start, end, record, None) of each valid record and (start, end, None, reason) of each gap, in order; together with empty members they cover data.
+
+    Records of one member share its place, and so do the gaps between them, whose reasons tell the bytes
+    of its content. Records saved from a broken member have its start as their end too; the gap that
+    covers its bytes follows.
+    """
     view, at, gap, reason = memoryview(data), 0, None, ""
+    saved: set[bytes] = set()  # of the broken members in the gap: stored bytes are seen again by the search
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b", at):
-                raw, n = _inflate(view[at:])
-                found, end = [], 0
-                while end < len(raw):
-                    r, end = parse_record(raw, end)
-                    found.append(r)
+                raw, n, broken = _inflate(view[at:])
+                found = list(_records(raw))
+                valid = [x for x in found if x[2]]
+                if broken or (found and not valid):
+                    new = [x for x in valid if raw[x[0] : x[1]] not in saved]
+                    if new and gap is not None and gap < at:
+                        yield gap, at, None, reason
+                        gap = None
+                    for s, e, r, _ in new:
+                        saved.add(raw[s:e])
+                        yield at, at, r, None
+                    raise Damaged(broken or found[0][3])
                 end = at + n
             else:
                 r, end = parse_record(data, at)
-                found = [r]
+                found = [] if data[at:end] in saved else [(at, end, r, None)]
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
             m = _NEXT.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
-        if gap is not None:
+        if gap is not None and found:
             yield gap, at, None, reason
-            gap = None
-        for r in found:
-            yield at, end, r, None
+            gap, saved = None, set()
+        for s, e, r, why in found:
+            yield at, end, r, why and f"{why} (bytes {s} to {e} of the member's content)"
         at = end
     if gap is not None:
         yield gap, len(data), None, reason

@@ -103,6 +103,48 @@ def test_salvage_checks_digests():
     assert list(warc.salvage(b"")) == []
 
 
+def several(n):
+    rng = np.random.default_rng(n)
+    return [warc.record(i, "http://x", rng.bytes(3000).hex().encode()) for i in range(n)]
+
+
+def ids(data):
+    return [r["page_id"] for _, _, r, _ in warc.salvage(bytes(data)) if r]
+
+
+def test_valid_records_around_a_bad_one_in_a_member():
+    r = several(6)
+    r[2] = r[2].replace(b"WARC-Block-Digest: sha1:", b"WARC-Block-Digest: sha1:X")
+    one = warc.member(b"".join(r))
+    after = warc.member(several(8)[7])
+    found = list(warc.salvage(one + warc.EMPTY_MEMBER + after))
+    assert ids(one + warc.EMPTY_MEMBER + after) == [0, 1, 3, 4, 5, 7]
+    gaps = [(s, e, why) for s, e, x, why in found if x is None]
+    start = len(r[0]) + len(r[1])
+    assert gaps == [(0, len(one), f"block digest (bytes {start} to {start + len(r[2])} of the member's content)")]
+
+
+def test_records_of_a_broken_member():
+    whole = warc.member(b"".join(several(40)))
+    after = warc.member(several(80)[79])
+    cut = whole[: len(whole) * 6 // 10]
+    got = ids(cut)
+    assert got == list(range(len(got))) and 20 <= len(got) < 30
+    assert ids(cut + after) == [*got, 79]
+    hit = bytearray(whole)
+    hit[len(whole) // 2 : len(whole) // 2 + 400] = bytes(400)
+    got = ids(bytes(hit) + after)
+    assert got[:15] == list(range(15)) and got[-1] == 79
+    crc = bytearray(whole)
+    crc[-6] ^= 0xFF
+    assert ids(bytes(crc) + after) == [*range(40), 79]
+    stored = bytearray(warc.member(several(3)[0] + several(3)[1], 0))
+    stored[-6] ^= 0xFF
+    assert ids(bytes(stored)) == [0, 1]  # not seen twice
+    found = list(warc.salvage(bytes(crc) + after))
+    assert [(s, e, why) for s, e, x, why in found if x is None] == [(0, len(crc), "member checksum")]
+
+
 def test_very_long_urls(spark, tmp_path):
     urls = ["http://x/" + "a" * 100_000, "http://x/" + " " * 100_000, "http://x/é"]
     pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
