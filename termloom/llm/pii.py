@@ -2,9 +2,13 @@
 
 A surrogate is a function of a secret key and the entity, so one entity has one surrogate wherever it
 stands. It keeps type and format: separators, letter case and classes, country codes, network digit and
-check digit of cards, the form of network addresses, gender and script of names. A pass over all
-entities finds surrogates shared by two of them, or equal to a real one, and gives those a further
-attempt until all are distinct.
+check digit of cards, check digits of bank accounts, the form of network addresses, gender and script of
+names. A pass over all entities finds surrogates shared by two of them, or equal to a real one, and gives
+those a further attempt until all are distinct. Parts of an address before and after its at sign are
+entities of their own.
+
+The patterns repeat single characters, possessive groups or groups of few repetitions only: Java's
+matcher recurses for any other repeated group, and a long text would overflow its stack.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.columns import unused
 from termloom.session import staged
 
 MALE, FEMALE = r"Mr|Herr|Señor|Monsieur|Signor|г-н|господин", r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Signora|г-жа|госпожа"
@@ -31,7 +36,7 @@ def _iban(length: int, countries: str) -> str:
 
 
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "password": r"(?i:password|passwd|pwd|secret)[=:][ \t]*[^\s\"'<>,;]{6,}",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
@@ -47,8 +52,8 @@ ANY = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) +
 #: What every text with an entity holds: a digit, an at sign, a password's mark, or one of these.
 MARKS = "[0-9@=:]"
 HEADS = ("AKIA", "ASIA", "Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Se\u00f1or", "Monsieur", "Signor", "Madame", "Mme", "\u0433-", "\u0433\u043e\u0441\u043f\u043e")
-LATIN = {"heads": "Ba Be Bo Da De Fa Ga Ha Jo Ka La Le Li Ma Mi Na Ni Pa Ra Ro Sa Si Ta Te To Va Vi Wa Ya Za".split(), "inner": "ba da fi ga la le li lo ma me mi na ne ni no ra re ri ro sa se si ta te ti to va ve vi".split(), "m": "n,r,s,d,l,k".split(","), "f": "na,la,ra,ia,sa,da".split(","), "s": "mann,berg,ton,son,ford,well,ley,ner".split(",")}
-CYRILLIC = {"heads": "Ба Ве Га До Ев За Ка Ла Ми На Ор По Ра Са Та Фе".split(), "inner": "ба ве да ки ла ле ли ма ми на ни ра ри са та ти".split(), "m": "слав,мир,н,р".split(","), "f": "на,ра,лина,рия".split(","), "sm": "ов,ин,ский".split(","), "sf": "ова,ина,ская".split(",")}
+LATIN = {"heads": "Ba Be Bo Da De Fa Ga Ha Jo Ka La Le Li Ma Mi Na Ni Pa Ra Ro Sa Si Ta Te To Va Vi Wa Ya Za".split(), "inner": "ba da fi ga la le li lo ma me mi na ne ni no ra re ri ro sa se si ta te ti to va ve vi".split(), "m": "n,r,s,d,l,k".split(","), "f": "na,la,ra,ia,sa,da".split(","), "x": "e,i,y,o".split(","), "s": "mann,berg,ton,son,ford,well,ley,ner".split(",")}
+CYRILLIC = {"heads": "Ба Ве Га До Ев За Ка Ла Ми На Ор По Ра Са Та Фе".split(), "inner": "ба ве да ки ла ле ли ма ми на ни ра ри са та ти".split(), "m": "слав,мир,н,р".split(","), "f": "на,ра,лина,рия".split(","), "x": "ли,ри,ко,ло".split(","), "sm": "ов,ин,ский".split(","), "sf": "ова,ина,ская".split(","), "sx": "енко,ко,ых".split(",")}
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -80,22 +85,38 @@ def kind_of(found: Column) -> Column:
 def _normal(kind: Column, found: Column) -> Column:
     """What makes two mentions one entity: letters without case, no separators, passwords without their label."""
     bare = F.regexp_replace(found, "[^A-Za-z0-9]", "")
-    return F.when(kind == "email", F.lower(found)).when(kind == "ip", found).when(kind == "password", F.regexp_replace(found, r"^[^=:]*[=:][ \t]*", "")).when(kind == "key", bare).otherwise(F.lower(bare))
+    return F.when(kind.isin("email", "domain"), F.lower(found)).when(kind == "ip", found).when(kind == "password", F.regexp_replace(found, r"^[^=:]*[=:][ \t]*", "")).when(kind == "key", bare).otherwise(F.lower(bare))
+
 
+def _masked(text: Column, h: Column, hexes: Column, keep: Column, by_place: Column) -> Column:
+    """text with other digits and letters of the same class and case (any hex digit where hexes); separators and the first keep digits and letters stay.
 
-def _masked(text: Column, h: Column, hexes: Column, keep: Column) -> Column:
-    """text with other digits and letters of the same class and case (any hex digit where hexes); separators and the first keep digits and letters stay."""
+    Digits and letters are numbered without the separators between them, or by_place with them: texts of any length are then masked in linear time.
+    """
 
     def other(c: Column, k: Column) -> Column:
         of = F.when(hexes, "0123456789abcdef").when(c == "0", "0123456789").when(c < "A", "123456789").when(c >= "a", "abcdefghijklmnopqrstuvwxyz").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         return _let(of, lambda x: F.substr(x, _number(h, k, F.length(x)) + 1, F.lit(1)))
 
-    def step(acc: Column, c: Column) -> Column:
-        counts = c.rlike("[A-Za-z0-9]")
-        new = F.when(counts & (acc["k"] >= keep), other(c, acc["k"])).otherwise(c)
-        return F.struct((acc["k"] + counts.cast("int")).alias("k"), F.concat(acc["out"], new).alias("out"))
+    def one(c: Column, i: Column) -> Column:
+        k = F.when(by_place, i).otherwise(F.length(F.translate(F.substr(text, F.lit(1), i), " .()+-", "")))
+        return F.when(c.rlike("[A-Za-z0-9]"), _let(k, lambda n: F.when(n >= keep, other(c, n)).otherwise(c))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder of a bank account number (no separators) with its first four characters moved to its end, letters read as 10 to 35."""
+    turned = F.split(F.upper(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))), "")
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.when(c < "A", a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
 
-    return F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("k"), F.lit("").alias("out")), step)["out"]
+
+def _valid_iban(text: Column, new: Column) -> Column:
+    """new with the check digits (its third and fourth character) that make it valid, if text is."""
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    head, rest = F.substr(new, F.lit(1), F.lit(2)), F.substr(new, F.lit(5))
+    check = F.lpad((98 - _mod97(F.concat(head, F.lit("00"), plain(rest)))).cast("string"), 2, "0")
+    return F.when(_mod97(plain(text)) == 1, F.concat(head, check, rest)).otherwise(new)
 
 
 def _luhn(text: Column) -> Column:
@@ -119,12 +140,16 @@ def _ip(text: Column, h: Column) -> Column:
     return F.concat_ws(".", head, octet(2), octet(3))
 
 
-def _domain(text: Column, key: str) -> Column:
-    """An at sign and the surrogate of an address's domain, whose last part stays."""
-    whole = F.substring_index(text, "@", -1)
+def _longer(new: Column, attempt: Column, h: Column) -> Column:
+    """new, from the fourth attempt on with more and more hex digits: short parts of addresses never run out."""
+    return F.when(attempt < 4, new).otherwise(F.concat(new, F.substr(h, F.lit(100), attempt - 2)))
+
+
+def _domain(whole: Column, h: Column, attempt: Column) -> Column:
+    """The surrogate of an address's domain, whose last part stays."""
     last = F.substring_index(whole, ".", -1)
     name = F.substr(whole, F.lit(1), F.length(whole) - F.length(last) - 1)
-    return _let(_hash(key, F.lit("domain"), F.lower(whole), F.lit(0)), lambda h: F.concat(F.lit("@"), _masked(name, h, F.lit(False), F.lit(0)), F.lit("."), last))
+    return F.concat(_longer(_masked(name, h, F.lit(False), F.lit(0), F.lit(True)), attempt, h), F.lit("."), last)
 
 
 def _pick(of: list[str], h: Column, at: int) -> Column:
@@ -139,21 +164,25 @@ def _name(kind: Column, token: Column, h: Column, attempt: Column) -> Column:
         return F.concat(_pick(table["heads"], h, 0), more, end)
 
     end_of = lambda t, k: _pick(t[k], h, 1)
-    latin = F.when(kind.endswith("s"), end_of(LATIN, "s")).when(kind.contains("_f"), end_of(LATIN, "f")).otherwise(end_of(LATIN, "m"))
-    cyrillic = F.when(kind.endswith("fs"), end_of(CYRILLIC, "sf")).when(kind.endswith("s"), end_of(CYRILLIC, "sm")).when(kind.contains("_f"), end_of(CYRILLIC, "f")).otherwise(end_of(CYRILLIC, "m"))
+    latin = F.when(kind.endswith("s"), end_of(LATIN, "s")).when(kind.contains("_f"), end_of(LATIN, "f")).when(kind.contains("_x"), end_of(LATIN, "x")).otherwise(end_of(LATIN, "m"))
+    cyrillic = F.when(kind.endswith("fs"), end_of(CYRILLIC, "sf")).when(kind.endswith("xs"), end_of(CYRILLIC, "sx")).when(kind.endswith("s"), end_of(CYRILLIC, "sm"))
+    cyrillic = cyrillic.when(kind.contains("_f"), end_of(CYRILLIC, "f")).when(kind.contains("_x"), end_of(CYRILLIC, "x")).otherwise(end_of(CYRILLIC, "m"))
     out = F.when(kind.startswith("cyrillic"), made(CYRILLIC, cyrillic)).otherwise(made(LATIN, latin))
     return F.when((F.upper(token) == token) & (F.length(token) > 1), F.upper(out)).otherwise(out)
 
 
 def parts(found: Column) -> Column:
-    """The entities of a match as array of (kind, norm, value): one, or one for each part of a person's name."""
+    """The entities of a match as array of (kind, norm, value): one, or one for each part of a person's name or an address.
+
+    What stands before an address's at sign is named by the whole address, so equal ones in two domains are two entities.
+    """
     return _let(F.struct(found.alias("m"), kind_of(found).alias("kind")), lambda x: _parts(x["m"], x["kind"]))
 
 
 def _parts(found: Column, kind: Column) -> Column:
     title = F.regexp_extract(found, rf"^{TITLE}\.? ", 0)
     names = F.split(F.substr(found, F.length(title) + 1), " ")
-    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? "), "f").when(title.rlike(rf"^(?:{MALE})\.? "), "m").otherwise("m")
+    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? "), "f").when(title.rlike(rf"^(?:{MALE})\.? "), "m").otherwise("x")
 
     def token(t: Column, i: Column) -> Column:
         cyrillic, last = t.rlike(r"\p{IsCyrillic}"), i == F.size(names) - 1
@@ -161,38 +190,44 @@ def _parts(found: Column, kind: Column) -> Column:
         return F.struct(sort.alias("kind"), F.lower(t).alias("norm"), t.alias("value"))
 
     one = F.array(F.struct(kind.alias("kind"), _normal(kind, found).alias("norm"), found.alias("value")))
-    return F.when(kind == "person", F.transform(names, token)).otherwise(one)
+    entity = lambda k, n, v: F.struct(F.lit(k).alias("kind"), n.alias("norm"), v.alias("value"))
+    domain = F.substring_index(found, "@", -1)
+    address = F.array(entity("email", F.lower(found), F.substring_index(found, "@", 1)), entity("domain", F.lower(domain), domain))
+    return F.when(kind == "person", F.transform(names, token)).when(kind == "email", address).otherwise(one)
 
 
 def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one entity."""
+    """The replacement of one entity, as parts() gives them."""
     bound = F.struct(kind.alias("kind"), value.alias("value"), attempt.alias("attempt"), _hash(key, kind, norm, attempt).alias("h"))
-    return _let(bound, lambda x: _surrogate(x["kind"], x["value"], x["attempt"], x["h"], key))
+    return _let(bound, lambda x: _surrogate(x["kind"], x["value"], x["attempt"], x["h"]))
 
 
-def _surrogate(kind: Column, value: Column, attempt: Column, h: Column, key: str) -> Column:
+def _surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Column:
     label = F.when(kind == "password", F.regexp_extract(value, r"^[^=:]*[=:][ \t]*", 0)).when(kind == "phone", F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ .(-])|[17]|\d{2})", 0)).otherwise("")
-    body = F.when(kind == "email", F.substring_index(value, "@", 1)).otherwise(F.substr(value, F.length(label) + 1))
+    body = F.substr(value, F.length(label) + 1)
     hexes = (kind == "hex") | ((kind == "password") & body.rlike("^[0-9a-f]+$"))
     keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
-    masked = _let(F.struct(body.alias("body"), hexes.alias("hexes"), keep.alias("keep")), lambda x: _masked(x["body"], h, x["hexes"], x["keep"]))
+    given = F.struct(body.alias("body"), hexes.alias("hexes"), keep.alias("keep"))
+    masked = _let(given, lambda x: _masked(x["body"], h, x["hexes"], x["keep"], kind.isin("password", "email")))
 
     def whole(new: Column) -> Column:
-        return F.when(kind == "card", _checked(value, new)).when(kind == "email", F.concat(new, _domain(value, key))).otherwise(F.concat(label, new))
+        return F.when(kind == "card", _checked(value, new)).when(kind == "iban", _valid_iban(value, new)).when(kind == "email", _longer(new, attempt, h)).otherwise(F.concat(label, new))
 
-    return F.when(kind == "ip", _ip(value, h)).when(kind.rlike("^(latin|cyrillic)_"), _name(kind, value, h, attempt)).otherwise(_let(masked, whole))
+    return F.when(kind == "ip", _ip(value, h)).when(kind == "domain", _domain(value, h, attempt)).when(kind.rlike("^(latin|cyrillic)_"), _name(kind, value, h, attempt)).otherwise(_let(masked, whole))
 
 
-def _compared(kind: Column, of: Column) -> Column:
-    return F.when(kind.rlike("^(latin|cyrillic)_"), F.lower(of)).otherwise(_normal(kind, of))
+def _compared(kind: Column, norm: Column, of: Column) -> Column:
+    """What must be distinct: parts before an at sign only within their domain, as domains' surrogates are distinct themselves."""
+    return F.when(kind.rlike("^(latin|cyrillic)_"), F.lower(of)).when(kind == "email", F.concat_ws("@", F.lower(of), F.substring_index(norm, "@", -1))).otherwise(_normal(kind, of))
 
 
 def collisions(entities: DataFrame, key: str, max_attempts: int = 50) -> DataFrame | None:
     """(kind, norm, attempt) of the entities(kind, norm), distinct, whose first surrogate isn't their own; None if there are none."""
 
     def tried(rows: DataFrame, n: int) -> DataFrame:
-        new = surrogate(F.col("kind"), F.col("norm"), F.col("norm"), F.lit(n), key)
-        return rows.select("kind", "norm", F.lit(n).alias("attempt"), _compared(F.col("kind"), new).alias("new"))
+        value = F.when(F.col("kind") == "email", F.substring_index("norm", "@", 1)).otherwise(F.col("norm"))
+        new = surrogate(F.col("kind"), F.col("norm"), value, F.lit(n), key)
+        return rows.select("kind", "norm", F.lit(n).alias("attempt"), _compared(F.col("kind"), F.col("norm"), new).alias("new"))
 
     def split(rows: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Those whose surrogate is free and theirs, and the rest. Of several with one surrogate the least entity keeps it."""
@@ -200,7 +235,7 @@ def collisions(entities: DataFrame, key: str, max_attempts: int = 50) -> DataFra
         marked = rows.join(owner, ["kind", "new"], "left").withColumn("own", F.col("owner").eqNullSafe(F.col("norm")))
         return marked.where("own").drop("own", "owner"), marked.where("not own").select("kind", "norm")
 
-    real = entities.select("kind", F.col("norm").alias("new"))
+    real = entities.where("kind <> 'email'").select("kind", F.col("norm").alias("new"))  # no address with a new domain is a real one
     done, rest = split(tried(entities, 0), real)
     rest = staged(rest, "rest")
     if rest.isEmpty():
@@ -223,26 +258,27 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     n_entities is replaced; an empty table gives an empty result. Rare surrogates that need a further
     attempt are joined by document; without any there is no join and no shuffle of texts.
     """
-    text = F.col("text")
+    text, names = F.col("text"), [c for c in docs.columns if c.lower() != "n_entities"]
+    row, own, again = (unused(docs, c) for c in ("row", "found", "tries"))
     none = F.array().cast("array<string>")
     found = F.coalesce(F.when(_hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), none)
     entities = docs.select(F.explode(found).alias("m")).select(F.inline(parts(F.col("m")))).select("kind", "norm").distinct()
     exceptions = collisions(staged(entities, "entities"), key)
-    rows = docs.withColumn("_found", found)
+    rows = docs.select(*names, found.alias(own))
     untried = F.create_map().cast("map<string,int>")
     if exceptions is None:
-        rows = rows.withColumn("_tries", untried)
+        rows = rows.withColumn(again, untried)
     else:
-        rows = rows.withColumn("_row", F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text")))
-        named = rows.select("_row", F.explode("_found").alias("m")).select("_row", F.inline(parts(F.col("m")))).select("_row", "kind", "norm").distinct()
-        tries = named.join(exceptions, ["kind", "norm"]).groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("_tries"))
-        rows = rows.join(tries, rows["_row"].eqNullSafe(tries["_row"]), "left").drop(tries["_row"]).drop("_row").withColumn("_tries", F.coalesce("_tries", untried))
+        rows = rows.withColumn(row, F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text")))
+        named = rows.select(F.col(row).alias("row"), F.explode(own).alias("m")).select("row", F.inline(parts(F.col("m")))).select("row", "kind", "norm").distinct()
+        tries = named.join(exceptions, ["kind", "norm"]).groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("tries"))
+        tries = tries.select(F.col("row").alias(unused(docs, "other")), F.col("tries").alias(again))
+        rows = rows.join(tries, F.col(row).eqNullSafe(F.col(tries.columns[0])), "left").drop(row, tries.columns[0]).withColumn(again, F.coalesce(F.col(again), untried))
 
     def replaced(m: Column) -> Column:
-        new = F.transform(parts(m), lambda e: surrogate(e["kind"], e["norm"], e["value"], F.coalesce(F.try_element_at(F.col("_tries"), F.concat_ws("\x1f", e["kind"], e["norm"])), F.lit(0)), key))
-        return F.concat(F.regexp_extract(m, rf"^{TITLE}\.? (?={NAME})", 0), F.concat_ws(" ", new))
+        new = F.transform(parts(m), lambda e: surrogate(e["kind"], e["norm"], e["value"], F.coalesce(F.try_element_at(F.col(again), F.concat_ws("\x1f", e["kind"], e["norm"])), F.lit(0)), key))
+        return F.concat(F.regexp_extract(m, rf"^{TITLE}\.? (?={NAME})", 0), F.when(kind_of(m) == "email", F.concat_ws("@", new)).otherwise(F.concat_ws(" ", new)))
 
     gaps = F.split(text, F.lit(ANY), F.lit(-1))
-    joined = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size("_found"), replaced(F.get("_found", i))).otherwise(F.lit("")))))
-    rows = rows.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("n_entities", F.size("_found"))
-    return rows.drop("_found", "_tries")
+    joined = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(own), replaced(F.get(own, i))).otherwise(F.lit("")))))
+    return rows.withColumn("text", F.when(F.size(own) > 0, joined).otherwise(text)).withColumn("n_entities", F.size(own)).select(*names, "n_entities")
