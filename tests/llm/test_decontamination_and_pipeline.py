@@ -1,5 +1,8 @@
+import itertools
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -12,6 +15,7 @@ VOCABULARY = ["".join(RNG.choices("abcdefghij", k=5)) for _ in range(400)]
 words = lambda n: [RNG.choice(VOCABULARY) for _ in range(n)]
 ITEMS = [(i, " ".join(words(30))) for i in range(12)] + [(12, " ".join(words(8))), (13, None), (14, ""), (15, "too short"), (None, "a b c d e f g h")]
 ITEMS.append((16, ITEMS[0][1]))
+ITEMS += [(20 + n, " ".join(words(n))) for n in range(1, 12)] + [(40, "今日はとてもいい天気ですね"), (41, "你好吗")]
 
 
 def changed(text, n):
@@ -26,24 +30,25 @@ def placed(text):
 
 
 def brute(text, items):
-    """Every item at every shift: the best stretch, +1 for a word that agrees and -2 for one that doesn't."""
+    """Every item at every shift: the best stretch (the first of equals), +1 for a word that agrees and -2 for one that doesn't."""
     w, out = dc.words(text), []
     for i, t in items:
         b = dc.words(t)
-        if i is None or len(b) < dc.SHORTEST:
+        if i is None or not b or len(b) < dc.SHORTEST_INSIDE and len(w) != len(b):
             continue
-        best, top = 0, 0
+        best = 0
         for shift in range(-len(b), len(w)):
-            run = n = 0
+            run = n = most = words_ = 0
             for j, x in enumerate(b):
                 if 0 <= shift + j < len(w):
                     same = x == w[shift + j]
                     run, n = (run + 1, n + 1) if same else (run - 2, n)
                     if run <= 0:
                         run = n = 0
-                    if run > top or run == top and n > best:
-                        best, top = n, run
-        if best >= min(dc.MIN_WORDS, -(-len(b) * 4 // 5)):
+                    if run > most:
+                        most, words_ = run, n
+            best = max(best, words_)
+        if best >= (len(b) if len(b) < dc.SHORT else min(dc.MIN_WORDS, -(-len(b) * 4 // 5))):
             out.append((best, i))
     return out
 
@@ -52,6 +57,10 @@ def brute(text, items):
 def docs(spark):
     rows = [(i, placed(changed(ITEMS[i % 12][1], i // 12)), "x", i) for i in range(60)] + [(100 + i, " ".join(words(80)), "x", 0) for i in range(30)]
     rows += [(200, placed(" ".join(ITEMS[3][1].split()[5:20])), "x", 0), (201, None, "x", 0), (202, "", "x", 0), (203, placed(ITEMS[12][1]), "x", 0), (204, ITEMS[2][1] + " " + ITEMS[5][1], "x", 0), (None, placed(ITEMS[1][1]), "x", 0), (0, rows[0][1], "x", 0), (205, ITEMS[7][1], "x", 0)]
+    short = {i: t for i, t in ITEMS if i is not None and i > 20}
+    rows += [(300 + i, placed(t), "x", 0) for i, t in short.items()] + [(400 + i, t, "x", 0) for i, t in short.items()]
+    rows += [(500 + 20 * i + k, placed(" ".join([*t.split()[:k], "zzz", *t.split()[k + 1 :]])), "x", 0) for i, t in short.items() for k in range(len(t.split()))]
+    rows += [(5000, "x今日はとてもいい天気ですねy", "x", 0), (5001, "今日は寒い", "x", 0)]
     return spark.createDataFrame(rows, "doc_id long, text string, item_id string, n_items int"), rows
 
 
@@ -70,6 +79,37 @@ def test_against_brute_force(spark, docs, monkeypatch, block):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] not in want)
 
 
+def test_accepted_overlaps_have_a_seed():
+    """Each pattern of substitutions that verification accepts, in items of up to 17 words, has a window of a mask."""
+    for n in range(dc.SHORT, 18):
+        index = dc.Index([(1, " ".join(f"w{i}" for i in range(n)))])
+        for k in range(0, n - index.needed(0, 99) + 1):
+            for zeros in itertools.combinations(range(n), k):
+                ids = index.ids[:n].copy()
+                ids[list(zeros)] = np.uint64(2)
+                if index.stretch(ids, 0, 0)[0] >= index.needed(0, 99):
+                    assert len(index.diagonals(np.concatenate((ids, np.zeros(dc.SPAN, dtype=np.uint64))), np.array([0, n + dc.SPAN]))), (n, zeros)
+
+
+def test_repeated_words_take_bounded_memory():
+    index = dc.Index([(1, "ha " * 20_000), (2, "a b " * 2_000)])
+    tracemalloc.start()
+    got = index.overlaps(*dc.laid_out(["ha " * 100_000, "b a " * 3_000, "x " * 50], dc.WordIds()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << 30
+    assert got[0][:3] == (1, 1, 20_000) and got[1][:3] == (2, 1, 4_000) and 2 not in got
+
+
+def test_one_scan_of_documents_whatever_the_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 40)
+    df, rows = docs
+    items = dc.items_of(spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert len(list(dc.blocks(items))) >= 10
+    near = dc.suspects(df, items)
+    assert near.columns == df.columns and near.count() < len(rows)
+
+
 def test_empty_sides(spark, docs):
     df, rows = docs
     none = spark.createDataFrame([], "item_id long, text string")
