@@ -72,7 +72,7 @@ _CASED = re.compile(r"[^\W\d_]")
 
 
 class Shapes(dict):
-    """The shape of a word: letters as a or A, digits as 0, runs as one."""
+    """The shape of a word: letters as a or A, digits as 0, runs as one. Those of long words are not kept."""
 
     def __missing__(self, word: str) -> str:
         core = word.rstrip(".,")
@@ -80,8 +80,9 @@ class Shapes(dict):
             tail = "".join(c for c, before in zip(word[len(core) :], " " + word[len(core) :], strict=False) if c != before)
             found = self[word] = ("Aa" if core[0].isupper() else "a") + tail
             return found
-        cut = word[:64]
-        found = self[word] = _RUNS.sub(r"\1", _CASED.sub(lambda m: "A" if m[0].isupper() else "a", cut).translate(_SHAPE))
+        found = _RUNS.sub(r"\1", _CASED.sub(lambda m: "A" if m[0].isupper() else "a", word).translate(_SHAPE))
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -98,7 +99,7 @@ def style_indices(text: str | None, bits: int, hashes: WordHashes, shapes: Shape
         s = shapes[w]
         seen[s] = seen.get(s, 0) + 1
     lines = [x for x in (text or "").split("\n") if x.strip()]
-    names = [f"s{_share(n, len(words))}{s}" for s, n in seen.items()]
+    names = [f"s{_share(n, len(words))}{s}" if len(s) <= 64 else f"s{_share(n, len(words))}{s[:8]}{xxhash.xxh64_hexdigest(s)}" for s, n in seen.items()]
     names += [f"w{int(8 * len(set(words)) / len(words))}", f"r{_share(sum(map(eq, words, words[1:])), len(words))}"] if words else ["empty"]
     names += [f"l{int(8 * len(set(lines)) / len(lines))}", f"m{min(8, int(np.log2(len(lines))))}"] if lines else []
     names.append(f"n{int(np.log2(len(words) + 1))}")

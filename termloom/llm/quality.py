@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.hashing import Shapes, WordHashes, gram_indices, shared, style_indices
-from termloom.llm.toxicity import held_out, sample
+from termloom.llm.toxicity import examples, held_out
 
 #: As for toxicity: 2 ** BITS weights, MAX_ROWS labelled documents.
 BITS, MAX_ROWS, EPOCHS, RATE, DECAY = 18, 6_000, 2, 0.1, 1e-6
@@ -87,8 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, rating: Column, grades: int = GRADES
         cut = model.thresholds() if rows else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1 - np.arange(len(cut))), pa.int32()), pa.array(np.append(model.w[at], cut))], names=["at", "w"])
 
-    chosen = sample(labels, rating, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # at most max_rows rows of 12 bytes
+    rows = examples(docs, labels, rating, max_rows)
     rows = rows.mapInArrow(features, "doc_id long, y int, at array<int>, style int").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id", "at")
     found = rows.mapInArrow(train, "at int, w double").toArrow()
     at, w = found.column("at").to_numpy(), found.column("w").to_numpy()
@@ -101,7 +100,7 @@ def quality(docs: DataFrame, labels: DataFrame, rating: Column | None = None, gr
     tail_probability is that of grade select_from or better; keep is 1 where it is at least 0.5. Labels
     are taken from ``rating`` (grades 0 to grades - 1) outside the held-out fold. Null texts count as
     empty. Without usable labels all is kept: the best grade with certainty. Rows that repeat a doc_id
-    are scored by their own texts; extra columns are ignored; an empty table gives an empty result.
+    are scored by their own texts, and one of them is learned from; extra columns are ignored; an empty table gives an empty result.
     """
     at, w, cut = fit(docs, labels, grade(labels) if rating is None else rating, grades, bits, max_rows)
 

@@ -10,14 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from termloom.llm.hashing import WordHashes, gram_indices, shared
+from termloom.session import staged
 
-#: Weights are 2 ** BITS at most; MAX_ROWS labelled documents, taken in the order of a hash of their ids, are learned from.
-BITS, MAX_ROWS, EPOCHS = 20, 8_000, 5
+#: Weights are 2 ** BITS at most; MAX_ROWS labelled documents, taken in the order of a hash of their ids, are learned from, and of them so many as have MAX_CHARS characters together.
+BITS, MAX_ROWS, MAX_CHARS, EPOCHS = 20, 8_000, 64_000_000, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 FOLDS = 5
 
@@ -60,6 +61,21 @@ def sample(labels: DataFrame, target: Column, max_rows: int = MAX_ROWS) -> DataF
     return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def examples(docs: DataFrame, labels: DataFrame, target: Column, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, y, text) of the sampled labels' documents: one text for each id (of rows that repeat it the one with the least hash), and the first in the order of the ids' hashes with at most max_chars characters together.
+
+    Only hashes and lengths are grouped, so however often an id repeats, one row of it leaves each task.
+    """
+    chosen = F.broadcast(staged(sample(labels, target, max_rows), "labels"))  # at most max_rows rows of 12 bytes
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = own.join(chosen, "doc_id").select("doc_id", "y", F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n")).alias("of"))
+    one = staged(rows.groupBy("doc_id", "y").agg(F.min("of").alias("of")).select("doc_id", "y", "of.hash", "of.n"), "examples")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of at most max_rows rows
+    kept = F.broadcast(one.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("doc_id", "y", "hash"))
+    texts = own.join(kept, "doc_id").where(F.xxhash64("text") == F.col("hash"))
+    return texts.groupBy("doc_id", "y").agg(F.first("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Indices and weights (the bias at 2 ** bits) learned from docs(doc_id, text) and labels(doc_id, toxic)."""
 
@@ -78,15 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MA
         at, w = model.result()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w)], names=["at", "w"])
 
-    chosen = sample(labels, F.col("toxic").cast("int"), max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # at most max_rows rows of 12 bytes
+    rows = examples(docs, labels, F.col("toxic").cast("int"), max_rows)
     rows = rows.mapInArrow(features, "doc_id long, y int, at array<int>").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id", "at")
     found = rows.mapInArrow(train, "at int, w double").toArrow()
     return found.column("at").to_numpy(), found.column("w").to_numpy()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """The columns of docs and ``score``: the probability that the whole text is toxic (null and empty texts: the bias alone; a model without weights: 0)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, name: str = "score") -> DataFrame:
+    """The columns of docs and ``name``: the probability that the whole text is toxic (null and empty texts: the bias alone; a model without weights: 0)."""
     at, w = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,16 +110,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
         for b in batches:
             logits = np.array([dense[gram_indices(t.as_py(), bits, hashes)].sum() for t in b.column("text")]) + dense[-1]
             found = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) if len(w) else np.zeros(len(logits))
-            yield b.append_column("score", pa.array(found, pa.float64()))
+            yield b.append_column(name, pa.array(found, pa.float64()))
 
-    docs = docs.drop("score")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    docs = docs.drop(name)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text), learned from labels(doc_id, toxic).
 
-    Null texts count as empty. Without usable labels each score is 0.
+    Null texts count as empty. Without usable labels each score is 0. Of rows that repeat a labelled
+    doc_id one is learned from.
     Rows that repeat a doc_id are scored by their own texts; a null id is not held out; extra columns
     are ignored; an empty table gives an empty result.
     """

@@ -1,10 +1,11 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import quality, toxicity
+from termloom.llm import hashing, quality, toxicity
 from termloom.llm.hashing import Shapes, WordHashes, gram_indices, style_indices
 
 GOOD = "the of and to in is for on with as by at from this that it was are be or".split()
@@ -51,6 +52,34 @@ def test_labels_of_the_held_out_fold_change_nothing(tables):
     assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and len(a[0]) < 2000
 
 
+def test_repeats_of_a_labelled_id_are_learned_from_once(spark, tables):
+    docs, labels, _ = tables
+    some = labels.where("toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").first().doc_id
+    many = spark.range(100_000).select(F.lit(some).alias("doc_id"), F.lit("one and the same").alias("text"))
+    found = toxicity.examples(docs.select("doc_id", "text").union(many), labels, F.col("toxic").cast("int")).groupBy("doc_id").count()
+    assert found.where("count > 1").count() == 0
+    rows = toxicity.examples(docs, labels, F.col("toxic").cast("int"), max_chars=3000).agg(F.sum(F.length("text"))).first()[0]
+    assert 0 < rows <= 3000
+
+
+def test_scores_against_a_plain_scorer(spark, tables):
+    docs, labels, _ = tables
+    at, w = toxicity.fit(docs, labels)
+    weight = dict(zip(at.tolist(), w.tolist(), strict=True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs.select("doc_id", "text"), (at, w)).limit(40).collect():
+        used = set(hashing.gram_indices(r.text, toxicity.BITS, hashing.WordHashes()).tolist())
+        z = sum(weight.get(i, 0.0) for i in used) + weight.get(1 << toxicity.BITS, 0.0)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9 and r.doc_id in texts
+    at, w, cut = quality.fit(docs, labels, quality.grade(labels))
+    weight = dict(zip(at.tolist(), w.tolist(), strict=True))
+    for r in quality.quality(docs, labels).where("doc_id between 100 and 140").join(docs.select("doc_id", "text"), "doc_id").collect():
+        found, n = quality._features(r.text, quality.BITS, hashing.WordHashes(), hashing.Shapes())
+        f = sum(weight.get(int(i), 0.0) * (1.0 if k < n else 0.5 / math.sqrt(max(1, len(found) - n))) for k, i in enumerate(found))
+        tail = [1 / (1 + math.exp(-(f - c))) for c in cut]
+        assert abs(r.expected_grade - sum(tail)) < 1e-6 and abs(r.tail_probability - tail[0]) < 1e-6
+
+
 def test_no_labels_no_rows(spark, tables):
     docs, labels, n = tables
     assert {(r.score, r.predicted) for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {(0.0, 0)}
@@ -95,3 +124,5 @@ def test_features_are_of_the_whole_text():
     assert not np.array_equal(style_indices(a, 20, h, s), style_indices(a + " ***" * 3000, 20, h, s))
     assert len(gram_indices(None, 20, h)) == 0 and len(style_indices("", 20, h, s)) > 0
     assert len(h.of([f"x{i}" for i in range(3000)])) == 3000
+    chunk = "".join(f"a{i}-" for i in range(40))  # one word of over 64 characters
+    assert not np.array_equal(style_indices(chunk + "x", 20, h, s), style_indices(chunk + "X!", 20, h, s)) and all(len(w) <= 64 for w in s)
