@@ -15,6 +15,8 @@ once more; a conversation that then differs fails the job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _FORMS = ((r"(<\\*)", r"(/?s>)"), (r"(\[\\*)", r"(/?INST\])"))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def escape(text: Column) -> Column:
     for head, tail in _FORMS:
         text = F.regexp_replace(text, head + tail, r"$1\\$2")
@@ -67,9 +74,29 @@ def parse(formatted: Column) -> Column:
     return F.when(whole, F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn))
 
 
+def _pieces(formatted: Column) -> Column:
+    """The turns of a rendered conversation, each without its end mark."""
+    return _let(F.split(formatted, "</s>", -1), lambda p: F.slice(p, 1, F.size(p) - 1))
+
+
+def loss_mask(formatted: Column) -> Column:
+    """For each turn of a rendered conversation the start and end (code points from the turn's own start) of what is learned: an assistant's text, else nothing."""
+
+    def one(p: Column) -> Column:
+        own = p.startswith("<s>assistant\n")
+        return F.struct(F.when(own, 13).otherwise(0).alias("start"), F.when(own, F.length(p)).otherwise(0).alias("end"))
+
+    return F.transform(_pieces(formatted), one)
+
+
+def learned(formatted: Column, mask: Column) -> Column:
+    """All text under the mask of a rendered conversation, unescaped, nothing between."""
+    return F.concat_ws("", F.zip_with(_pieces(formatted), mask, lambda p, m: F.when(m["end"] > m["start"], unescape(F.substr(p, m["start"] + 1, m["end"] - m["start"])))))
+
+
 def spans(formatted: Column) -> Column:
-    """Start and end (code points) of each assistant's text in a rendered conversation: the loss mask."""
-    pieces = F.slice(F.split(formatted, "</s>", -1), 1, F.size(F.split(formatted, "</s>", -1)) - 1)
+    """Start and end (code points) of each assistant's text in a rendered conversation: the loss mask from the conversation's start."""
+    pieces = _pieces(formatted)
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc: Column, p: Column) -> Column:
@@ -81,7 +108,7 @@ def spans(formatted: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns) of conversations(conv_id, turn, role, text); turns are those parsed from formatted.
+    """(conv_id, formatted, turns, loss_mask) of conversations(conv_id, turn, role, text); turns are those parsed from formatted, loss_mask tells what of each turn is learned.
 
     Turns are in the order of turn, role and text, nulls first; null roles and texts are empty, rows
     that repeat stay turns of their own, rows without a conv_id form one conversation, extra columns are
@@ -96,14 +123,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     chats = chats.withColumn("formatted", F.when(kept, F.col("plain")).otherwise(_render(F.col("source"), True)))
     chats = chats.withColumn("turns", parse(F.col("formatted")))
     same = F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("no round trip: conversation "), F.col("conv_id").cast("string"))))
-    return chats.select("conv_id", "formatted", same.alias("turns"))
+    return chats.select("conv_id", "formatted", same.alias("turns"), loss_mask(F.col("formatted")).alias("loss_mask"))
 
 
 def digest(chats: DataFrame) -> DataFrame:
-    """Counts and hashes of what format_chats gives, all read back from the formatted text."""
+    """Counts and hashes of what format_chats gives, all read back from the formatted text: turns by the parser, the learned text by the loss mask."""
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
-    chats = chats.withColumn("loss", loss)
+    chats = chats.withColumn("loss", learned(F.col("formatted"), F.col("loss_mask")))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

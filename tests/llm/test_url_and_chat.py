@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def test_urls_against_brute_force(spark, monkeypatch, bound):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: brute(u, rules) for i, u in enumerate(urls)}
 
 
+def test_long_hosts_take_little(spark):
+    host = ".".join(["a"] * 40_000)
+    tracemalloc.start()
+    assert list(urlfilter.candidates(host, "/x/" * 1000, {1: [0, 3], 3: [1], 2: [0]})) == ["a.a/", "a/x/", "a"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1_000_000
+
+
 def test_urls_without_rules_or_rows(spark):
     rules = spark.createDataFrame([], "host string, path string, action string")
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id long, url string")
@@ -71,6 +81,8 @@ def test_loss_spans_hold_the_assistants_texts(spark):
     rows = [(1, 0, "user", "</s>", "", 1), (1, 1, "assistant", "🙂</s> ok", "", 1), (1, 2, "user", "q", "", 1), (1, 3, "assistant", "", "", 1)]
     r = chats(spark, rows).withColumn("at", chat.spans(F.col("formatted"))).first()
     assert [r.formatted[s.start : s.end].replace("<\\", "<") for s in r.at] == ["🙂</s> ok", ""]
+    cut = [p[m.start : m.end] for p, m in zip(r.formatted.split("</s>"), r.loss_mask, strict=False)]
+    assert [c.replace("<\\", "<") for c in cut] == ["", "🙂</s> ok", "", ""]
     assert chats(spark, rows[:0]).count() == 0
 
 
