@@ -113,14 +113,17 @@ def build(listed: DataFrame, first: Bloom | None, wrong: DataFrame) -> Cascade:
     return Cascade(levels)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
-    """The universe's keys of a URL, longest first: its host and parents, each with the starts of its path that rules can have."""
-    found, at = [], 0
+def candidates(host: str, path: str, shapes: dict[int, list[int]]) -> Iterator[str]:
+    """The universe's keys of a URL, longest first: its host and parents, each with a start of its path, of lengths that rules have: shapes, by the host's length those of the path. Made one at a time."""
+    own, found = len(host), []
+    at = 0
     while True:
-        found += [host[at:] + path[:n] for n in lengths if n <= len(path)]
+        found += [(own - at + n, at, n) for n in shapes.get(own - at, ()) if n <= len(path)]
         at = host.find(".", at) + 1
         if not at:
-            return iter(sorted(found, key=lambda k: -len(k)))
+            break
+    for _, at, n in sorted(found, key=lambda x: -x[0]):
+        yield host[at:] + path[:n]
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -134,7 +137,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     keyed = rules.where("host <> '' and (coalesce(path, '') = '' or path like '/%')").select(F.concat("host", F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), (F.col("action") == "block").cast("int").alias("block"))
     keyed = staged(keyed.groupBy("key").agg(F.first("n").alias("n"), F.max("block").alias("block")), "rules")
-    lengths = [r.n for r in keyed.select("n").distinct().collect()]  # lengths of paths, not rules
+    shapes = shapes_of(keyed)
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     try:
         first = _filled(keyed, 1, FIRST_RATE)
@@ -143,7 +146,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
         def universe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys = {k for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in candidates(h, p, lengths)}
+                keys = {k for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in candidates(h, p, shapes)}
                 yield pa.RecordBatch.from_arrays([pa.array([k for k in keys if first and k in first], pa.string())], names=["key"])
 
         wrong = staged(urls.select("host", "path").mapInArrow(universe, "key string").distinct().join(keyed, "key", "left_anti"), "wrong")
@@ -151,23 +154,31 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
         wrong_block = _passing(keyed.where("block = 0"), first_block) if first_block else keyed.limit(0).select("key")
         blocks = build(blocking, first_block, staged(wrong_block, "wrong"))
     except OverflowError:
-        return judge_by_join(urls, keyed, lengths)
+        return judge_by_join(urls, keyed, shapes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [next((k for k in candidates(h, p, lengths) if k in listed), None) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            found = [next((k for k in candidates(h, p, shapes) if k in listed), None) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             verdicts = ["block" if k is not None and k in blocks else "allow" for k in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return urls.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
-def judge_by_join(urls: DataFrame, keyed: DataFrame, lengths: list[int]) -> DataFrame:
+def shapes_of(keyed: DataFrame) -> dict[int, list[int]]:
+    """The lengths of paths by the length of their host, of the rules keyed(key, n): lengths only, a few thousand however many rules there are."""
+    found: dict[int, list[int]] = {}
+    for r in keyed.select("n", (F.length("key") - F.col("n")).alias("h")).distinct().collect():
+        found.setdefault(r.h, []).append(r.n)
+    return found
+
+
+def judge_by_join(urls: DataFrame, keyed: DataFrame, shapes: dict[int, list[int]]) -> DataFrame:
     """The same result for lists beyond the bound: keys of distinct URLs are joined with the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, p, k) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in candidates(h, p, lengths)]
+            rows = [(h, p, k) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in candidates(h, p, shapes)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows, strict=True) if rows else ([], [], []))], names=["host", "path", "key"])
 
     keys = urls.select("host", "path").distinct().mapInArrow(run, "host string, path string, key string")
