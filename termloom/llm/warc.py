@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.llm.skew import join_hot
 from termloom.session import scratch_dir, staged
 
 #: An empty gzip member.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0]) + bytes(8)
-#: Payload bytes an archive is planned for, records it holds at most, the largest record read, and the most bytes of shared digests that are broadcast.
-ARCHIVE_BYTES, ARCHIVE_RECORDS, LARGEST, BROADCAST_BYTES = 48_000_000, 20_000, 1 << 30, 32 << 20
+#: Payload bytes an archive is planned for, records it holds at most, payload bytes it can hold at most, and the size classes of payloads that are written apart so that they can't: the last class has one a file.
+ARCHIVE_BYTES, ARCHIVE_RECORDS, MOST_BYTES, CLASSES = 48_000_000, 20_000, 1_300_000_000, (1 << 16, 1 << 21, 1 << 26)
+#: What a damaged archive's member may inflate to: no more fits in a row.
+LARGEST = (1 << 31) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
@@ -67,21 +70,19 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/termloom-warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
+    size_class = lambda c: sum((c > most).cast("int") for most in CLASSES)
     same = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), F.max(F.octet_length("html")).alias("bytes"))
-    size = F.sum(F.col("n") * F.col("bytes")).alias("bytes")
     same = staged(same, "digests")
-    total = same.agg(F.sum("n").alias("n"), size).first()
-    shared = same.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).select("sha", "last", F.lit(True).alias("shared"))
-    if shared.count() * 64 <= BROADCAST_BYTES:
-        shared = F.broadcast(shared)
-    rows = rows.join(shared, "sha", "left")
+    sizes = {r.k: r for r in same.groupBy(size_class(F.col("bytes")).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")).collect()}
+    shared = same.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).select("sha", "last", F.lit(True).alias("shared"), "n")
+    rows = join_hot(rows, shared, "sha", "n", sum(r.n for r in sizes.values()), "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"), size_class(F.octet_length("html")).alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, size = [], 0
-            for page_id, url, html, refers_to, again in zip(*b.columns, strict=True):
+            for page_id, url, html, refers_to, again, _ in zip(*b.columns, strict=True):
                 found.append(member(record(page_id.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py(), again.as_py())))
                 size += len(found[-1])
                 if size > 8_000_000:
@@ -89,14 +90,25 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
                     found, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["value"])
 
-    most = max(1, min(ARCHIVE_RECORDS, int(ARCHIVE_BYTES / max(1, (total.bytes or 0) / (total.n or 1)))))
-    out = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(path)
+    for k in sizes or [0]:
+        n, size = (sizes[k].n, sizes[k].bytes) if sizes else (1, 0)
+        most = max(1, min(ARCHIVE_RECORDS, int(ARCHIVE_BYTES / max(1, size / n)), MOST_BYTES // CLASSES[k] if k < len(CLASSES) else 1))
+        out = rows.where(F.col("k") == k).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+        out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(f"{path}/size-{k}")
     return path
 
 
 class Damaged(ValueError):
-    pass
+    """A failed check. end: where the damaged record ends if the length that it tells fits what follows, else None."""
+
+    end: int | None = None
+
+
+def _damaged(reason: str, data: bytes, end: int) -> Damaged:
+    found = Damaged(reason)
+    if data[end - 4 : end] == b"\r\n\r\n" and (end == len(data) or data.startswith((b"WARC/1.", b"\x1f\x8b"), end)):
+        found.end = end
+    return found
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
@@ -121,11 +133,11 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     if data[start + n : start + n + 4] != b"\r\n\r\n":
         raise Damaged("no end mark")
     if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
-        raise Damaged("block digest")
+        raise _damaged("block digest", data, start + n + 4)
     head, _, payload = block.partition(b"\r\n\r\n")
     length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
     if fields.get("warc-type") == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != f"sha1:{digest(payload)}":
-        raise Damaged("payload digest")
+        raise _damaged("payload digest", data, start + n + 4)
     number = lambda k: int(fields[k]) if re.fullmatch(r"-?\d+", fields.get(k, "")) else None
     return {
         "page_id": number("warc-x-page-id"),
@@ -141,7 +153,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
 def _inflate(data: memoryview) -> tuple[bytes, int, str | None]:
     """What the first gzip member holds, the bytes it takes and None; of a broken one what can be inflated, and the reason."""
     z = zlib.decompressobj(31)
-    out, fed = [], 0
+    out, fed, size = [], 0, 0
     try:
         while not z.eof:
             part = data[fed : fed + 65536]
@@ -149,8 +161,9 @@ def _inflate(data: memoryview) -> tuple[bytes, int, str | None]:
                 return b"".join(out), fed, "truncated member"
             fed += len(part)
             out.append(z.decompress(part))
-            if sum(map(len, out[-1:])) > LARGEST:
-                return b"".join(out[:-1]), fed, "member too large"
+            size += len(out[-1])
+            if size > LARGEST:
+                return b"".join(out), fed, f"member of more than {LARGEST} bytes"
     except zlib.error as e:
         z, last = zlib.decompressobj(31), fed - len(part)
         out = [z.decompress(data[at : min(at + 65536, last)]) for at in range(0, last, 65536)]
@@ -172,7 +185,7 @@ def _records(raw: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = raw.find(b"WARC/1.", at + 1)
+            at = e.end or raw.find(b"WARC/1.", at + 1)  # what stands within a damaged record isn't a record
             at = len(raw) if at < 0 else at
             continue
         if gap is not None:
@@ -215,8 +228,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            m = _NEXT.search(data, at + 1)
-            at = m.start() if m else len(data)
+            m = None if e.end else _NEXT.search(data, at + 1)
+            at = e.end or (m.start() if m else len(data))
             continue
         if gap is not None and found:
             yield gap, at, None, reason
@@ -232,18 +245,26 @@ ROWS = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Records (gap null) and quarantined gaps (gap: the reason; only archive, start, end besides) of the archives in a folder."""
+    """Records (gap null) and quarantined gaps (gap: the reason; only archive, start, end besides) of the archives in a folder and its subfolders.
+
+    After a damaged record whose length fits what follows, the search goes on behind it, so a record that
+    stands in its payload is not taken for one of the archive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string())])
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
-                rows = []
+                rows, size = [], 0
                 for start, end, r, why in salvage(content.as_py()):
                     if r and not with_payload:
                         r["payload"] = None
                     rows.append((r or {}) | {"archive": name.as_py(), "start": start, "end": end, "gap": why})
+                    size += 200 + len((r or {}).get("payload") or b"")
+                    if size > 8_000_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, ROWS)

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.llm import ann, warc
 
@@ -102,6 +103,23 @@ def test_salvage_checks_digests():
     assert list(warc.salvage(b"")) == []
 
 
+def test_a_record_within_a_damaged_payload_is_none():
+    inner = warc.record(9, "http://y", b"inner")
+    outer = warc.record(1, "http://x", b"about archives: " + inner + b" and more").replace(b"about", b"ab0ut")
+    after = warc.record(2, "http://z", b"last")
+    for data in (outer + after, warc.member(outer + after), warc.member(outer) + warc.member(after)):
+        assert ids(data) == [2]
+
+
+def test_sizes_are_written_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (10, 100, 1000))
+    monkeypatch.setattr(warc, "MOST_BYTES", 200)
+    pages = spark.createDataFrame([(i, "u", "x" * n + str(i)) for i, n in enumerate([1] * 30 + [50] * 5 + [500] * 3 + [5000] * 2)], "page_id long, url string, html string")
+    path = warc.write(pages.coalesce(1), str(tmp_path / "s"))
+    held = warc.read(spark, path).groupBy("archive").agg(F.sum("payload_bytes").alias("n"), F.count("*").alias("c")).collect()
+    assert sum(r.c for r in held) == 40 and all(r.n <= 300 or r.c == 1 for r in held)
+
+
 def several(n):
     rng = np.random.default_rng(n)
     return [warc.record(i, "http://x", rng.bytes(3000).hex().encode()) for i in range(n)]
