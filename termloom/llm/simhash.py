@@ -17,7 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.columns import unused
 from termloom.llm.components import connected_components
+from termloom.llm.skew import join_hot
 from termloom.session import staged
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -194,11 +196,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK)
     unless it has no other. Extra columns are ignored, an empty table gives an empty result.
     """
     rows = staged(fingerprints(docs, shingle), "fingerprints")
-    least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = least.join(_classes(least, connected_components(links(least.select("fp"), block))), "fp")
-    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    root = staged(least.join(_classes(least, connected_components(links(least.select("fp"), block))), "fp"), "classes")
+    ids = root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named = staged(join_hot(root, ids, "root", "m", root.count()).select("fp", "component_id", "n"), "named")
+    return join_hot(rows, named, "fp", "n", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -212,32 +214,34 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> Da
             found = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.int64())], names=["doc_id", "_hash", "fp"])
 
-    rows = staged(marked(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, _hash long, fp long"), "fingerprints")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("_hash"))
+    rows = staged(texts.mapInArrow(run, "doc_id long, _hash long, fp long"), "fingerprints")
     return one_of_each(docs, rows, lambda fps: connected_components(links(fps, block)))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """docs(text) and a hash of each text, null as empty."""
-    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def text_hash() -> Column:
+    """A hash of the column text, null as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame, stars: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs(doc_id, text) that survivors() keeps, from rows(doc_id, _hash, fp) and the stars (u, v) that the distinct fp have."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
     each = staged(rows.groupBy("doc_id", "_hash", "fp").agg(F.count("*").alias("n")), "rows")
-    best = each.groupBy("fp").agg(F.min(own).alias("best"))
-    fps = staged(best.select("fp"), "distinct")
-    root = best.join(_classes(fps, stars(fps)), "fp")
-    kept = root.groupBy("root").agg(F.min("best").alias("kept"))
-    told = each.join(root.join(kept, "root").select("fp", "kept"), "fp").withColumn("stays", own.eqNullSafe(F.col("kept")))
+    best = staged(each.groupBy("fp").agg(F.min(own).alias("best"), F.count("*").alias("own")), "distinct")
+    root = staged(best.join(_classes(best, stars(best.select("fp"))), "fp"), "classes")
+    kept = root.groupBy("root").agg(F.min("best").alias("kept"), F.count("*").alias("m"))
+    named = staged(join_hot(root, kept, "root", "m", root.count()).select("fp", "kept", "own"), "named")
+    told = join_hot(each, named, "fp", "own", each.count()).withColumn("stays", own.eqNullSafe(F.col("kept")))
     told = staged(told.select("doc_id", "_hash", "n", "stays"), "told")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_hash"] == b["_hash"])
-    gone, again = told.where("not stays").select("doc_id", "_hash"), told.where("stays and n > 1").select("doc_id", "_hash")
+    doc, text = unused(docs, "told_doc"), unused(docs, "told_hash")
     bounded = lambda d: F.broadcast(d) if d.count() * 32 <= BROADCAST_BYTES else d
-    docs = marked(docs)
-    gone = bounded(gone)
-    out = docs.join(gone, same(docs, gone), "left_anti")
+    listed = lambda d: bounded(d.select(F.col("doc_id").alias(doc), F.col("_hash").alias(text)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (text_hash() == F.col(text))
+    out = docs.join(listed(told.where("not stays")), same, "left_anti")
+    again = told.where("stays and n > 1")
     if not again.isEmpty():
-        again = bounded(again)
-        out = out.join(again, same(out, again), "left_anti").unionByName(out.join(again, same(out, again), "left_semi").dropDuplicates(["doc_id", "_hash"]))
-    return out.drop("_hash")
+        again = listed(again)
+        twice = out.join(again, same).dropDuplicates([doc, text]).select(*docs.columns)
+        out = out.join(again, same, "left_anti").unionByName(twice)
+    return out
