@@ -173,10 +173,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: i
     found_open = found.where("open").select("sequence_id", F.col("length").alias("used"))
 
     def merge(t: pa.Table) -> pa.Table:
-        """Packs open bins as items, largest first; a merged sequence takes the number of its first."""
+        """Packs open bins as items, largest first, with as many bins open; a merged sequence takes the number of its first."""
         rows = sorted(zip(t.column("used").to_pylist(), t.column("sequence_id").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
         now = [0]
-        bins = Bins(capacity, len(rows) + 1, lambda: now[0])
+        bins = Bins(capacity, open_bins, lambda: now[0])
         out = []
         for used, own in rows:
             now[0] = own
