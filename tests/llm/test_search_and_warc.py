@@ -44,6 +44,39 @@ def test_recall_and_exact_scores(spark, monkeypatch, block):
     assert [v for _, v, _ in sorted(got[100])] == [v for _, v in want[100]]  # ties to the smaller id
 
 
+def share_and_recall(spark, x, k=20):
+    """What share of the rows a query's exact scores are computed for, and its recall."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    seen = ann._found(df, asked, k, 20).groupBy("query_id", "vec_id", "seen").count().groupBy("query_id").agg(F.sum_distinct("seen").alias("n"))
+    got = {}
+    for r in ann.search(df, asked, k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest(x, list(range(len(x))), range(0, len(x), 20), k)
+    return seen.agg(F.avg("n")).first()[0] / len(x), np.mean([len(got[q] & {v for _, v in own}) / k for q, own in want.items()])
+
+
+def test_clustered_vectors_are_routed(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 1000)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 32))[rng.integers(0, 60, 5000)] + 0.3 * rng.standard_normal((5000, 32))
+    assert ann.routing(x, 20, 20)[0] > 0
+    share, recall = share_and_recall(spark, x)
+    assert recall >= 0.9 and share < 0.2
+
+
+@pytest.mark.parametrize("scale", [1e25, 1e160, 1e-200])
+def test_large_and_small_values(spark, scale):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8)) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), 5).collect()
+    assert len(got) == 75
+    if scale == 1e25:
+        want = nearest(x, list(range(300)), range(0, 300, 20), 5)
+        assert np.mean([r.vec_id in {v for _, v in want[r.query_id]} for r in got]) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (20, [2.0, 0.0])]
