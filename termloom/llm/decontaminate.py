@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.columns import unused
-from termloom.llm.hashing import shared
+from termloom.llm.hashing import shared, trim
 from termloom.session import staged
 
 #: Fixed masks: 1 marks a position that counts. No overlap that is accepted lacks a seed, for items of SHORT words or more.
@@ -36,6 +36,8 @@ SPAN = max(map(len, MASKS))
 MISS, MIN_WORDS, MIN_SHARE = -2, 12, 0.8
 #: Words of test items in one block of the index (about 100 bytes a word where it is broadcast), characters of documents compared at a time, hits laid out at a time.
 BLOCK_WORDS, STEP_CHARS, STEP_HITS = 250_000, 1_000_000, 2_000_000
+#: Words whose hashes a worker keeps.
+KEPT = 120_000
 #: Bits of the filter for each word of the items, and at most (32 MB).
 FILTER_BITS, MOST_BITS = 256, 1 << 28
 
@@ -84,8 +86,7 @@ class WordIds(dict):
 
     def of(self, ws: list[str]) -> np.ndarray:
         found = np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
-        if len(self) > 500_000:
-            self.clear()
+        trim(self, KEPT)
         return found
 
 
@@ -278,7 +279,7 @@ def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
     known, masks = seed_filter(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = shared(WordIds)
+        kept = shared("decontaminate", "words", WordIds)
         for b in batches:
             near = []
             for texts in _steps(b.column("text")):
@@ -303,7 +304,7 @@ def overlaps(near: DataFrame, items: DataFrame) -> DataFrame | None:
         packed = spark.sparkContext.broadcast(cloudpickle.dumps(Index(block)))
 
         def run(batches: Iterator[pa.RecordBatch], packed: Broadcast = packed) -> Iterator[pa.RecordBatch]:
-            index, kept = cloudpickle.loads(packed.value), shared(WordIds)
+            index, kept = cloudpickle.loads(packed.value), shared("decontaminate", "words", WordIds)
             for b in batches:
                 at, rows = 0, []
                 for texts in _steps(b.column("text")):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections.abc import Callable
 from operator import eq
 
 import numpy as np
@@ -13,15 +14,27 @@ import xxhash
 #: Odd multipliers that tell the kinds of pairs apart.
 _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0x165667B19E3779F9, 0x27D4EB2F165667C5], [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]], dtype=np.uint64)
 _LAST = np.uint64(0xFF51AFD7ED558CCD)
-_KEPT = 250_000
+_KEPT = 120_000
 HEADS = (4, 5)
 _WORD = re.compile(r"\w+")
 
 
-def shared(kind: type) -> dict:
-    """The worker process's one table of a kind: Python workers serve many tasks, and what one has learned helps the next."""
+def shared(owner: str, name: str, make: Callable[[], object]) -> object:
+    """The worker process's table of a name: Python workers serve many tasks, and what one has learned helps the next. Tables of other owners go, so memory doesn't add up over the stages of a job."""
     store = sys.modules.setdefault("termloom_kept", types.ModuleType("termloom_kept")).__dict__
-    return store.setdefault(kind.__name__, kind())
+    if store.get("owner") != owner:
+        store.clear()
+        store["owner"] = owner
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def trim(table: dict, most: int) -> None:
+    """Of a table of more than most entries keep the first third: frequent words came first."""
+    if len(table) > most:
+        for key in list(table)[most // 3 :]:
+            del table[key]
 
 
 class WordHashes(dict):
@@ -47,8 +60,7 @@ class WordHashes(dict):
         return self.table[rows]
 
     def trim(self) -> None:
-        if len(self) > _KEPT:
-            self.clear()
+        trim(self, _KEPT)
 
 
 def _indices(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -108,6 +120,5 @@ def style_indices(text: str | None, bits: int, hashes: WordHashes, shapes: Shape
     names.append(f"u{8 * upper // max(1, letter + upper)}")
     names.append(f"p{16 * other // max(1, letter + upper + other)}")
     hashes.trim()
-    if len(shapes) > _KEPT:
-        shapes.clear()
+    trim(shapes, _KEPT)
     return np.unique(_indices(hashes.of(names)[:, 0], bits))

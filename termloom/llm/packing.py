@@ -10,8 +10,6 @@ summaries are shuffled, never tokens.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.hashing import shared, trim
 from termloom.session import staged
 
 CAPACITY, OPEN_BINS, SEPARATOR = 2048, 1024, 0
 #: Tasks whose open bins are packed together, text characters tokenised at a time, chunks of text whose ids are kept.
-MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 300_000
+MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 200_000
 
 
 class Bins:
@@ -77,9 +76,10 @@ def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     and told apart by the token that ends a word. Texts with marks of special tokens, or not in NFC, are
     encoded as they are.
     """
-    store = sys.modules.setdefault("termloom_kept", types.ModuleType("termloom_kept")).__dict__
-    if path in store:  # Python workers serve many tasks; what one has learned helps the next
-        return store[path]
+    return shared("packing", path, lambda: _encoder(path))
+
+
+def _encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -116,12 +116,9 @@ def encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
         if new := set().union(*(s for s in split if s)) - kept.keys():
             learn(list(new))
         out = [b"".join(map(kept.__getitem__, s)) if s else ids_of([t])[0].tobytes() for s, t in zip(split, texts, strict=True)]
-        if len(kept) > KEPT_CHUNKS:  # frequent chunks came first
-            for c in list(kept)[KEPT_CHUNKS // 3 :]:
-                del kept[c]
+        trim(kept, KEPT_CHUNKS)
         return out
 
-    store[path] = encode
     return encode
 
 

@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, rating: Column, grades: int = GRADES
     """Indices and weights that aren't zero, and the thresholds (none without usable labels)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shapes = shared(WordHashes), shared(Shapes)
+        hashes, shapes = shared("hashing", "words", WordHashes), shared("hashing", "shapes", Shapes)
         for b in batches:
             found = [_features(t.as_py(), bits, hashes, shapes) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "y", "at", "style"])
@@ -105,7 +105,7 @@ def quality(docs: DataFrame, labels: DataFrame, rating: Column | None = None, gr
     at, w, cut = fit(docs, labels, grade(labels) if rating is None else rating, grades, bits, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shapes, dense = shared(WordHashes), shared(Shapes), np.zeros(1 << bits)
+        hashes, shapes, dense = shared("hashing", "words", WordHashes), shared("hashing", "shapes", Shapes), np.zeros(1 << bits)
         dense[at] = w
         for b in batches:
             found = [_features(t.as_py(), bits, hashes, shapes) for t in b.column(1)]

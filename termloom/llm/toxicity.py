@@ -80,13 +80,13 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MA
     """Indices and weights (the bias at 2 ** bits) learned from docs(doc_id, text) and labels(doc_id, toxic)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared(WordHashes)
+        hashes = shared("hashing", "words", WordHashes)
         for b in batches:
             found = [gram_indices(t.as_py(), bits, hashes) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.asarray(at.values, dtype=np.int64), y.as_py()) for b in batches for y, at in zip(b.column(1), b.column(2), strict=True)]
+        rows = [(np.asarray(at.values, dtype=np.int32), y.as_py()) for b in batches for y, at in zip(b.column(1), b.column(2), strict=True)]
         model = Ftrl(bits)
         for _ in range(EPOCHS):
             for at, y in rows:
@@ -105,7 +105,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
     at, w = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dense = shared(WordHashes), np.zeros((1 << bits) + 1)
+        hashes, dense = shared("hashing", "words", WordHashes), np.zeros((1 << bits) + 1)
         dense[at] = w
         for b in batches:
             logits = np.array([dense[gram_indices(t.as_py(), bits, hashes)].sum() for t in b.column("text")]) + dense[-1]
