@@ -1,6 +1,7 @@
 """Command line: ``python -m termloom STORE COMMAND ...`` over a store of Parquet tables.
 
     seed FILE --now TIME      replace the memory by a persona file's
+    words FILE                replace the common words that guard it
     inspect                   lexemes with counts
     search [--state S] [--q Q]
     correct FILE OUT          JSON lines of utterances to JSON lines of decisions
@@ -21,14 +22,14 @@ from termloom.operators import decide, memory
 from termloom.session import local_session
 from termloom.settings import Settings
 from termloom.sources import schemas
-from termloom.sources.files import read_json_lines, read_persona, write_json
+from termloom.sources.files import read_json_lines, read_persona, read_words, write_json
 from termloom.sources.store import Store
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="termloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("store")
-    p.add_argument("command", choices=("seed", "inspect", "search", "correct", "teach", "project", "reset"))
+    p.add_argument("command", choices=("seed", "words", "inspect", "search", "correct", "teach", "project", "reset"))
     p.add_argument("args", nargs="*")
     for name in ("now", "at", "state", "q"):
         p.add_argument(f"--{name}")
@@ -39,13 +40,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         lexemes, edges = read_persona(spark, a.args[0], a.now)
         store.replace("lexemes", lexemes)
         store.replace("edges", edges)
+    elif a.command == "words":
+        store.replace("words", read_words(spark, a.args[0]))
     elif a.command == "inspect":
         store.inspect().show(1000, truncate=False)
     elif a.command == "search":
         store.search(a.state, a.q).select("lexeme_id", "canonical", "state").show(1000, truncate=False)
     elif a.command == "correct":
         said = read_json_lines(spark, a.args[0], schemas.UTTERANCES)
-        rows = decide.correct(said, store.read("lexemes"), store.read("edges"), settings)
+        words = store.read("words")
+        rows = decide.correct(said, store.read("lexemes"), store.read("edges"), settings, None if words.isEmpty() else words)
         write_json(rows.select("utterance_id", "output_text", "gate_passed", "intervened", "primary_reason", "resolutions"), a.args[1])
     elif a.command == "teach":
         row = {"id": uuid.uuid4().hex, "source": "declared", "polarity": "supports", "after_form": a.args[0], "scope": "global", "accepted": True}

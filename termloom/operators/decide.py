@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import casefold, match_case, overlaps, overreaches, regions, splice, tokens
 from termloom.operators.policies import Context, outcomes
-from termloom.operators.retrieve import candidates
+from termloom.operators.memory import common_forms, synthesise_guards, vocabulary_of
+from termloom.operators.retrieve import candidates, text_key
 from termloom.settings import Settings
 
 # Which reason names an applied change, and words of an instruction that lock its case.
@@ -43,25 +44,35 @@ def verdict(trail: Column, state: Column, settings: Settings) -> Column:
     )
 
 
-def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: list[str] | None = None) -> DataFrame:
-    """One row a candidate of utterances(utterance_id, text, app, persona): its lexeme, span, outcomes, score, verdict, reason.
+def row_key() -> Column:
+    """What makes two rows of utterances one: id, text and where it was said."""
+    return F.struct("utterance_id", F.xxhash64("text", "app", "persona").alias("row"))
 
-    vocabulary: common words, case folded, bounded in number (a word list, not the corpus').
+
+def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None) -> DataFrame:
+    """One row a candidate of utterances(utterance_id, text, app, persona): its lexeme, span, outcomes, score, verdict, reason, and the row_key of what it stands in.
+
+    vocabulary: common words, case folded, as a table (word) or a list; None: the engine's own few. Terms
+    that are common words get the guards that ``memory.synthesise_guards`` makes. Repeated rows count once; rows
+    that share an id but not their text, app and persona are resolved each by itself.
     """
     settings = settings or Settings()
-    found = candidates(utterances, lexemes, settings)
-    rows = utterances.select("utterance_id", "text", "app", "persona").dropDuplicates(["utterance_id"]).join(found, "utterance_id")
+    vocabulary = vocabulary_of(utterances.sparkSession, vocabulary)
+    lexemes = synthesise_guards(lexemes, vocabulary)
+    found = candidates(utterances, lexemes, settings).drop("utterance_id")
+    rows = utterances.select("utterance_id", "text", "app", "persona", row_key().alias("row_key"), text_key().alias("text_key"))
+    rows = rows.dropDuplicates(["row_key"]).join(found, "text_key").drop("text_key")
     rows = rows.withColumns({"toks": tokens(F.col("text")), "regions": regions(F.col("text")), "siblings": F.col("found")})
     rows = rows.select("*", F.explode("found").alias("c")).drop("found")
     x = neighbours(lexemes, edges)
     rows = rows.join(x.select(F.col("lexeme_id").alias("_id"), F.struct(*x.columns).alias("x")), F.col("c.lexeme_id") == F.col("_id")).drop("_id")
-    words = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    rows = common_forms(rows, F.col("c.text"), vocabulary, "ordinary")
     siblings = F.filter("siblings", lambda s: ~((s["lexeme_id"] == F.col("c.lexeme_id")) & (s["start"] == F.col("c.start")) & (s["end"] == F.col("c.end"))))
-    k = Context(F.col("c"), F.col("x"), siblings, F.col("text"), F.col("toks"), F.col("regions"), F.col("app"), F.col("persona"), words)
+    k = Context(F.col("c"), F.col("x"), siblings, F.col("text"), F.col("toks"), F.col("regions"), F.col("app"), F.col("persona"), F.col("ordinary"))
     rows = rows.withColumn("outcomes", outcomes(k, settings.policies))
     rows = rows.withColumn("v", verdict(F.col("outcomes"), F.col("x.state"), settings))
     return rows.select(
-        "utterance_id", "c.lexeme_id", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.text").alias("span_text"),
+        "row_key", "utterance_id", "c.lexeme_id", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.text").alias("span_text"),
         F.col("c.via").alias("via"), F.col("c.score").alias("retrieval_score"), "outcomes", "v.score", "v.verdict", "v.reason",
         F.when(F.col("v.verdict") == "apply", F.col("x.canonical")).alias("replacement"), F.col("x.instruction").alias("instruction"),
     )
@@ -82,18 +93,18 @@ def chosen(resolutions: Column) -> Column:
     return F.aggregate(ordered, none, take)
 
 
-def correct(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: list[str] | None = None, gated: DataFrame | None = None) -> DataFrame:
+def correct(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None, gated: DataFrame | None = None) -> DataFrame:
     """One row for each utterance, also where nothing is done: output_text, gate_passed, intervened, resolutions, primary_reason.
 
     utterances(utterance_id, asr_text, formatted_text, app, persona); without formatted text the recognised
-    text is used. gated: ids of open utterances where known (as ``retrieve.gate`` gives them), else the gate
+    text is used. Rows that share an id are corrected each by its own text. vocabulary as in ``resolve``. gated: ids of open utterances where known (as ``retrieve.gate`` gives them), else the gate
     counts as passed where there are candidates.
     """
     rows = utterances.withColumn("text", F.coalesce(F.when(F.col("formatted_text") != "", F.col("formatted_text")), "asr_text", F.lit("")))
     found = resolve(rows, lexemes, edges, settings, vocabulary)
     each = F.struct("span_start", "span_end", "lexeme_id", "span_text", "replacement", "via", "score", "verdict", "reason", "outcomes", "instruction")
-    grouped = found.groupBy("utterance_id").agg(F.sort_array(F.collect_list(each)).alias("resolutions"))
-    out = rows.join(grouped, "utterance_id", "left")
+    grouped = found.groupBy("row_key").agg(F.sort_array(F.collect_list(each)).alias("resolutions"))
+    out = rows.withColumn("row_key", row_key()).join(grouped, "row_key", "left").drop("row_key")
     if gated is not None:
         out = out.join(gated.select("utterance_id", F.lit(True).alias("gate_passed")), "utterance_id", "left").fillna(False, ["gate_passed"])
     else:
@@ -114,7 +125,7 @@ def verified(decisions: DataFrame, settings: Settings | None = None) -> DataFram
     return out.withColumn("output_text", F.when(F.col("verifier_rejected"), F.col("text")).otherwise(F.col("output_text")))
 
 
-def counterfactual(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings, other: Settings, vocabulary: list[str] | None = None) -> DataFrame:
+def counterfactual(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings, other: Settings, vocabulary: DataFrame | list[str] | None = None) -> DataFrame:
     """Utterances whose output two settings make differ, with both outputs; nothing is recorded."""
     a = correct(utterances, lexemes, edges, settings, vocabulary).select("utterance_id", F.col("output_text").alias("output_a"), F.col("primary_reason").alias("reason_a"))
     b = correct(utterances, lexemes, edges, other, vocabulary).select("utterance_id", F.col("output_text").alias("output_b"), F.col("primary_reason").alias("reason_b"))

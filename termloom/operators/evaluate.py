@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.decide import APPLY_REASONS
+from termloom.session import staged
 
 
 def picked_reason(resolutions: Column, gate_passed: Column) -> Column:
@@ -54,18 +57,37 @@ def percentile(value: Column, fraction: float) -> Column:
 
 
 def nearest_rank(rows: DataFrame, value: str, fractions: list[float], by: list[str] | None = None) -> DataFrame:
-    """The same places without gathering the values of a group: ranks by a window, then the rows at those places."""
-    from pyspark.sql import Window
+    """The same places without gathering the values of a group in one task.
 
+    Distinct values are dealt out by range and ranked within their part; how many values of the group
+    stand in earlier parts is a sum over a table of parts.
+    """
     by = by or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v")
-    ranks = counts.withColumns({"upto": F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy(*by))})
+    dealt = staged(counts.repartitionByRange(*by, "v").withColumn("_part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy(*by, "_part").agg(F.sum("c").alias("_own"))
+    over = Window.partitionBy(*by)
+    parts = parts.select(*by, "_part", F.sum("_own").over(over).alias("n"), (F.sum("_own").over(over.orderBy("_part")) - F.col("_own")).alias("_before"))
+    same = reduce(lambda a, c: a & dealt[c].eqNullSafe(parts[c]), by, dealt["_part"] == parts["_part"])
+    own = Window.partitionBy(*by, "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = dealt.join(parts, same).select(*[dealt[c] for c in by], dealt["_part"], "v", "c", "n", "_before")
+    ranks = ranks.withColumn("upto", F.col("_before") + F.sum("c").over(own))
     place = lambda f: F.least(F.col("n") - 1, F.floor(F.col("n") * f))
     inside = lambda f: (F.col("upto") - F.col("c") <= place(f)) & (place(f) < F.col("upto"))
     return ranks.groupBy(*by).agg(*[F.round(F.max(F.when(inside(f), F.col("v"))), 3).alias(f"p{round(100 * f)}") for f in fractions])
 
 
+def median(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """The exact median of a column (the mean of the middle two), three digits."""
+    return rows.groupBy(*(by or [])).agg(F.round(F.median(value), 3).alias("median"))
+
+
+def gate_rate(decisions: DataFrame) -> DataFrame:
+    """The share of utterances whose gate opened, and of those with a candidate (percent, three digits)."""
+    share = lambda c: F.round(100 * F.avg(c.cast("double")), 3)
+    return decisions.agg(share(F.col("gate_passed")).alias("gate_open"), share(F.size("resolutions") > 0).alias("retrieved"))
+
+
 def rates(judged: DataFrame) -> DataFrame:
     """False interventions among cases that want no change, and recall among those that want one (4 digits)."""
     wants = F.col("expect") == "apply"
@@ -75,10 +97,11 @@ def rates(judged: DataFrame) -> DataFrame:
 
 def overridden(lexemes: DataFrame, overrides: DataFrame) -> DataFrame:
     """lexemes for each case of overrides(case_id, lexeme_id, state, learning_enabled, last_used): given values replace a lexeme's own in that case."""
-    ids = overrides.select("case_id").distinct()
-    patch = overrides.select("case_id", "lexeme_id", *[F.col(c).alias(f"_{c}") for c in ("state", "learning_enabled", "last_used")])
-    rows = ids.join(lexemes).join(patch, ["case_id", "lexeme_id"], "left")  # cases times the terms of one memory, both of bounded number
-    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("state", "learning_enabled", "last_used")}).drop("_state", "_learning_enabled", "_last_used")
+    cases = overrides.groupBy("lexeme_id").agg(F.map_from_entries(F.collect_list(F.struct("case_id", F.struct("state", "learning_enabled", "last_used")))).alias("_patch"))
+    every = overrides.agg(F.sort_array(F.collect_set("case_id")).alias("ids")).first().ids  # the cases of one run
+    rows = lexemes.join(cases, "lexeme_id", "left").withColumn("case_id", F.explode(F.array(*map(F.lit, every)).cast("array<string>")))
+    own = F.try_element_at(F.coalesce("_patch", F.create_map().cast(cases.schema["_patch"].dataType)), F.col("case_id"))
+    return rows.withColumns({c: F.coalesce(own[c], F.col(c)) for c in ("state", "learning_enabled", "last_used")}).drop("_patch").select("case_id", *lexemes.columns)
 
 
 def swept(resolutions: DataFrame, thresholds: list[float]) -> DataFrame:

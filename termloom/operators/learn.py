@@ -53,8 +53,9 @@ def judged(observations: DataFrame, settings: Settings | None = None) -> DataFra
 
 def split_edits(edits: DataFrame) -> DataFrame:
     """Edits of whole texts as one row for each changed run; a rewrite stays whole; unchanged texts are left out."""
-    runs = phonetics.segments_of(F.col("before_form"), F.col("after_form"))
-    rows = edits.withColumn("_runs", runs)
+    pairs = edits.select(F.col("before_form").alias("_b"), F.col("after_form").alias("_a")).distinct()
+    pairs = pairs.withColumn("_runs", phonetics.segments_of(F.col("_b"), F.col("_a")))
+    rows = edits.join(pairs, F.col("before_form").eqNullSafe(F.col("_b")) & F.col("after_form").eqNullSafe(F.col("_a"))).drop("_a", "_b")
     whole = rows.where("_runs is null").drop("_runs")
     parts = rows.where("size(_runs) > 0").withColumn("_r", F.explode("_runs"))
     return whole.unionByName(parts.withColumns({"before_form": F.col("_r.before"), "after_form": F.col("_r.after")}).drop("_runs", "_r"))
@@ -161,8 +162,11 @@ class Memory:
         return term.lexeme_id
 
     def _bury(self, term: Term, reason: str, at: str | None) -> None:
+        """Keep what a term was as it is deleted or renamed; a renamed one replaces itself."""
         forms = [term.canonical, *(v["form"] for v in term.variants.values())]
-        self.tombstones.append({"lexeme_id": term.lexeme_id, "reason": reason, "canonical": term.canonical, "match_forms": forms, "created_at": at})
+        n = sum(t["source_lexeme_id"] == term.lexeme_id for t in self.tombstones)
+        heir = term.lexeme_id if reason == "supersession" else None
+        self.tombstones.append({"id": f"{term.lexeme_id}/{n}", "reason": reason, "canonical": term.canonical, "match_forms": forms, "source_lexeme_id": term.lexeme_id, "replacement_lexeme_id": heir, "created_at": at})
 
     def _penalise(self, term: Term, o: dict) -> None:
         prior = int((o.get("meta") or {}).get("prior_reverts", 0))
@@ -172,15 +176,19 @@ class Memory:
             term.state = "suppressed"
 
     def to_json(self) -> str:
-        return json.dumps([asdict(t) for t in self.terms.values()], ensure_ascii=False)
+        return json.dumps({"terms": [asdict(t) for t in self.terms.values()], "tombstones": self.tombstones}, ensure_ascii=False)
 
     @staticmethod
     def from_json(settings: Settings, data: str | None) -> Memory:
-        return Memory(settings, (Term(**t) for t in json.loads(data or "[]")))
+        kept = json.loads(data or '{"terms": [], "tombstones": []}')
+        made = Memory(settings, (Term(**t) for t in kept["terms"]))
+        made.tombstones = kept["tombstones"]
+        return made
 
 
 VARIANT = "struct<form:string,provenance:string,count:int,last_seen:string>"
-SNAPSHOT = f"memory_id string, lexeme_id string, canonical string, kind string, instruction string, state string, learning_enabled boolean, scope string, scope_ref string, variants array<{VARIANT}>, suppressed_in array<string>, first_seen string, last_used string"
+TOMBSTONE = "struct<id:string,reason:string,canonical:string,match_forms:array<string>,source_lexeme_id:string,replacement_lexeme_id:string,created_at:string>"
+SNAPSHOT = f"memory_id string, lexeme_id string, canonical string, kind string, instruction string, state string, learning_enabled boolean, scope string, scope_ref string, variants array<{VARIANT}>, suppressed_in array<string>, first_seen string, last_used string, tombstones array<{TOMBSTONE}>"
 INPUT = ("memory_id", "id", "source", "polarity", "at", "before_form", "after_form", "scope", "scope_ref", "lexeme_id", "accepted", "note", "meta")
 
 
@@ -192,12 +200,19 @@ def records(rows: pd.DataFrame) -> Iterator[dict]:
 
 
 def snapshot(memory_id: str, memory: Memory) -> pd.DataFrame:
-    rows = [{"memory_id": memory_id} | asdict(t) | {"variants": list(t.variants.values())} for t in memory.terms.values()]
-    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SNAPSHOT.split(", ") if c.split(" ")[0] in Term.__dataclass_fields__ or c.startswith("memory_id")])
+    buried = lambda t: [x for x in memory.tombstones if x["source_lexeme_id"] == t.lexeme_id]
+    rows = [{"memory_id": memory_id} | asdict(t) | {"variants": list(t.variants.values()), "tombstones": buried(t)} for t in memory.terms.values()]
+    return pd.DataFrame(rows, columns=["memory_id", *(c for c in Term.__dataclass_fields__), "tombstones"])[[c.split(" ")[0] for c in SNAPSHOT.split(", ")]]
+
+
+def tombstones_of(folded: DataFrame) -> DataFrame:
+    """The tombstones in a fold's rows, as the store keeps them; ids are told apart by their memory's."""
+    rows = folded.select("memory_id", F.inline("tombstones"))
+    return rows.withColumns({"id": F.concat_ws(":", "memory_id", "id"), "created_at": F.to_timestamp("created_at")}).drop("memory_id")
 
 
 def fold(observations: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The lexemes of each memory_id after all its judged observations. Null memory ids are one memory."""
+    """The lexemes of each memory_id after all its judged observations, each with its tombstones. Null memory ids are one memory."""
     settings = settings or Settings()
     names = [c for c in INPUT if c in observations.columns]
 

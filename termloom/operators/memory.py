@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.text import age_days, casefold, decay, is_common, is_short_acronym
+from termloom.functions.text import age_days, casefold, decay, is_short_acronym
 from termloom.operators.policies import DEFAULT_SUPPORT
 from termloom.settings import CONTRADICTING, Settings
 from termloom.sources import schemas
@@ -94,16 +94,49 @@ def merged_variants(seen: DataFrame) -> DataFrame:
     return rows.select("lexeme_id", "form", "count", "last_seen", name.alias("provenance"))
 
 
-def synthesise_guards(lexemes: DataFrame, vocabulary: list[str]) -> DataFrame:
+#: The engine's own common words, for callers without a list: the words of English grammar and some of its most frequent others.
+COMMON = (
+    "the a an and or but if of to in on at by for with from about into over after before between under again then once here there when where why how all any both each few more most other some "
+    "such no not only own same so than too very can will just should now i me my we our you your he him his she her it its they them their what which who this that these those am is are was "
+    "were be been being have has had do does did would could may might must shall get got go went gone come came see saw say said make made take took know knew think thought want use find give "
+    "tell work call try ask need feel leave put mean keep let begin show hear play run move live day time year people way man woman child world life hand part place week case point number "
+    "good new first last long great little old right big high small large next early young late open please today"
+).split()
+
+
+def vocabulary_of(spark: SparkSession, words: DataFrame | list[str] | None) -> DataFrame:
+    """(word): a table of common words, given as one, as a list, or by default the engine's own."""
+    if isinstance(words, DataFrame):
+        return words.select("word").distinct()
+    return spark.range(1).select(F.explode(F.split(F.lit(" ".join(sorted(set(COMMON if words is None else words)))), " ")).alias("word")).where("word <> ''")
+
+
+def common_forms(rows: DataFrame, form: Column, vocabulary: DataFrame, name: str) -> DataFrame:
+    """rows with the column ``name``: whether all words of a form, a column of theirs, are in vocabulary(word); an empty form is not common.
+
+    Each distinct form is looked up once, by a join.
+    """
+    rows = rows.withColumn("_form", casefold(F.trim(form)))
+    each = rows.select("_form").distinct().select("_form", F.explode(F.split("_form", r"\s+")).alias("word")).where("word <> ''")
+    known = each.join(vocabulary.withColumn("_known", F.lit(True)), "word", "left").groupBy("_form").agg(F.every(F.col("_known").isNotNull()).alias(name))
+    return rows.join(known, "_form", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_form")
+
+
+def synthesise_guards(lexemes: DataFrame, vocabulary: DataFrame | list[str]) -> DataFrame:
     """lexemes with common-word guards for risky forms: common or acronym canonicals, and common variants not merely generated. One with such a guard already stays as it is."""
-    words = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    risky = F.when(is_common(F.col("canonical"), words) | is_short_acronym(F.col("canonical")), F.array(casefold(F.col("canonical")))).otherwise(F.array().cast("array<string>"))
-    forms = F.transform(F.filter("variants", lambda v: (v["provenance"] != "generated") & is_common(v["form"], words)), lambda v: casefold(v["form"]))
+    vocabulary = vocabulary_of(lexemes.sparkSession, vocabulary)
+    own = F.array_union(F.array("canonical"), F.transform(F.filter("variants", lambda v: v["provenance"] != "generated"), lambda v: v["form"]))
+    each = common_forms(lexemes.select("lexeme_id", F.explode(own).alias("form")), F.col("form"), vocabulary, "common").where("common")
+    of = each.groupBy(F.col("lexeme_id").alias("_id")).agg(F.collect_set("form").alias("_common"))
+    rows = lexemes.join(of, F.col("lexeme_id") == F.col("_id"), "left").withColumn("_common", F.coalesce("_common", F.array().cast("array<string>")))
+    is_common = lambda f: F.array_contains(F.col("_common"), f)
+    risky = F.when(is_common(F.col("canonical")) | is_short_acronym(F.col("canonical")), F.array(casefold(F.col("canonical")))).otherwise(F.array().cast("array<string>"))
+    forms = F.transform(F.filter("variants", lambda v: (v["provenance"] != "generated") & is_common(v["form"])), lambda v: casefold(v["form"]))
     support, none = F.array(*map(F.lit, DEFAULT_SUPPORT)), F.lit(None).cast("array<string>")
     guard = lambda f: F.struct(F.lit("common_word").alias("kind"), f.alias("form"), support.alias("support_tokens"), none.alias("veto_tokens"), none.alias("applies_to_forms"), F.lit(None).cast("int").alias("reverts"), F.lit(None).cast("string").alias("scope"), F.lit(True).alias("synthesised"), F.lit("synthesised").alias("note"))
     made = F.transform(F.array_distinct(F.concat(risky, forms)), guard).cast(f"array<{schemas.GUARD}>")
     own = F.exists("guards", lambda g: g["kind"] == "common_word")
-    return lexemes.withColumn("guards", F.when(own, F.col("guards")).otherwise(F.concat("guards", made)))
+    return rows.withColumn("guards", F.when(own, F.col("guards")).otherwise(F.concat("guards", made))).select(*lexemes.columns)
 
 
 def common_words(docs: DataFrame, least: int) -> DataFrame:

@@ -27,7 +27,7 @@ SCOPED_KINDS = ("handle", "code_symbol")
 
 @dataclass(frozen=True)
 class Context:
-    """Columns of a candidate c (struct), its lexeme x (struct with partners and rivals), its siblings, and its utterance."""
+    """Columns of a candidate c (struct), its lexeme x (struct with partners and rivals), its siblings, and its utterance; ordinary: whether all words of its span are common."""
 
     c: Column
     x: Column
@@ -37,7 +37,7 @@ class Context:
     regions: Column
     app: Column
     persona: Column
-    vocabulary: Column
+    ordinary: Column
 
 
 def _outcome(name: str, signal: str, weight: Column | float = 0.0, reason: Column | str | None = None) -> Column:
@@ -125,8 +125,6 @@ def common_word_guard(k: Context) -> Column:
     met = F.exists(k.x["guards"], lambda g: (g["kind"] == "lexical_context") & applies(g) & F.arrays_overlap(low(g["veto_tokens"]), near))
     common = F.filter(k.x["guards"], lambda g: g["kind"] == "common_word")
     written = F.exists(common, lambda g: casefold(F.coalesce(g["form"], F.lit(""))) == own)
-    parts = F.filter(F.split(F.trim(own), r"\s+"), lambda w: w != "")
-    ordinary = (F.size(parts) > 0) & F.forall(parts, lambda w: F.array_contains(k.vocabulary, w))
     flat = lambda f: F.regexp_replace(F.trim(casefold(f)), r"\s+", " ")
     produced = F.exists(k.x["variants"], lambda v: (v["provenance"] != "generated") & (flat(v["form"]) == flat(own)))
     default = F.array(*map(F.lit, DEFAULT_SUPPORT))
@@ -134,7 +132,7 @@ def common_word_guard(k: Context) -> Column:
     signal = helped | _canonical_elsewhere(k) | (F.size(_partners_here(k)) > 0)
     return (
         F.when(met, _outcome(n, "veto", reason="guard_condition_met"))
-        .when(~(written | ordinary), _outcome(n, "neutral"))
+        .when(~(written | k.ordinary), _outcome(n, "neutral"))
         .when(produced & signal, _outcome(n, "support", 0.30, "context_supported"))
         .otherwise(_outcome(n, "veto", reason="common_word_guard"))
     )

@@ -22,10 +22,10 @@ def longest_form(known: DataFrame) -> int:
     return min(MAX_NGRAM, found or 0)
 
 
-def span_rows(utterances: DataFrame, max_len: int) -> DataFrame:
-    """(utterance_id, i0, i1, start, end, text, norm) of all token runs of utterances(utterance_id, text)."""
-    toks = utterances.select("utterance_id", F.col("text").alias("whole"), tokens(F.col("text")).alias("toks"))
-    rows = toks.select("utterance_id", F.inline(spans(F.col("whole"), F.col("toks"), max(1, max_len))))
+def span_rows(utterances: DataFrame, max_len: int, key: str = "utterance_id") -> DataFrame:
+    """(key, i0, i1, start, end, text, norm) of all token runs of utterances(key, text)."""
+    toks = utterances.select(key, F.col("text").alias("whole"), tokens(F.col("text")).alias("toks"))
+    rows = toks.select(key, F.inline(spans(F.col("whole"), F.col("toks"), max(1, max_len))))
     return rows.withColumn("norm", normalise(F.col("text"))).where("norm <> ''")
 
 
@@ -51,7 +51,7 @@ def exact_matches(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Spans whose normal form is one of a lexeme's, with score 1; of equal forms the first."""
     hit = rows.join(known, "norm")
     first = F.min_by(F.struct("form", "via", "count"), F.col("ordinal")).alias("m")
-    keys = ["utterance_id", "i0", "i1", "start", "end", "text", "norm", "lexeme_id"]
+    keys = [rows.columns[0], "i0", "i1", "start", "end", "text", "norm", "lexeme_id"]
     return hit.groupBy(*keys).agg(first).select(*keys, "m.*", F.lit(1.0).alias("score"))
 
 
@@ -64,7 +64,7 @@ def sound_matches(rows: DataFrame, known: DataFrame, max_distance: float) -> Dat
     near = pairs.join(far, ["norm", "form"]).groupBy("norm", "lexeme_id").agg(F.min(F.struct("distance", "ordinal", "form", "count")).alias("m"))
     near = near.where(F.col("m.distance") <= max_distance)
     near = near.select("norm", "lexeme_id", "m.form", F.lit("phonetic").alias("via"), F.lit(0).alias("count"), (1 - F.col("m.distance")).alias("score"))
-    return rows.join(near, "norm").select("utterance_id", "i0", "i1", "start", "end", "text", "norm", "lexeme_id", "form", "via", "count", "score")
+    return rows.join(near, "norm").select(rows.columns[0], "i0", "i1", "start", "end", "text", "norm", "lexeme_id", "form", "via", "count", "score")
 
 
 def undominated(found: Column) -> Column:
@@ -79,16 +79,22 @@ def ranked(found: Column, most: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda k: k["c"])
 
 
+def text_key() -> Column:
+    """What tells the texts of an utterance_id apart that stands for several."""
+    return F.struct("utterance_id", F.xxhash64("text").alias("text"))
+
+
 def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(utterance_id, found): up to eight candidates of each utterance that has any, best first.
+    """(utterance_id, text_key, found): up to eight candidates of each utterance that has any, best first.
 
-    utterances(utterance_id, text); a null text has none; repeated rows of an id and text count once.
+    utterances(utterance_id, text); a null text has none; repeated rows of an id and text count once, and
+    texts that share an id have candidates of their own, told apart by ``text_key``.
     """
     settings, known = settings or Settings(), forms(lexemes)
-    rows = span_rows(utterances.select("utterance_id", "text").distinct(), longest_form(known))
+    rows = span_rows(utterances.select(text_key().alias("key"), "text").dropDuplicates(["key"]), longest_form(known), "key")
     found = exact_matches(rows, known)
     if settings.encoder != "null":
         found = found.unionByName(sound_matches(rows, known, settings.retrieval_max_distance))
     each = F.struct("lexeme_id", "i0", "i1", "start", "end", "text", "norm", "form", "via", "count", "score")
-    grouped = found.groupBy("utterance_id").agg(F.collect_list(each).alias("found"))
-    return grouped.select("utterance_id", ranked(undominated(F.col("found")), settings.max_candidates).alias("found"))
+    grouped = found.groupBy("key").agg(F.collect_list(each).alias("found"))
+    return grouped.select("key.utterance_id", F.col("key").alias("text_key"), ranked(undominated(F.col("found")), settings.max_candidates).alias("found"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from string import ascii_lowercase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -214,7 +215,7 @@ def correct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.utterance_id, c.output_text AS output_a, l.output_b FROM corrected c JOIN loose l USING (utterance_id)""")
 def ablation_no_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stack would do without the policy that leaves quoted text alone."""
-    other = EXACT.with_(policies=tuple(p for p in EXACT.policies if p != "verbatim"))
+    other = replace(EXACT, policies=tuple(p for p in EXACT.policies if p != "verbatim"))
     return decide.counterfactual(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT, other).select("utterance_id", "output_a", "output_b")
 
 

@@ -8,50 +8,56 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import normalise
 from termloom.sources import schemas
 
-TABLES = {"observations": schemas.OBSERVATIONS, "lexemes": schemas.LEXEMES, "edges": schemas.EDGES, "tombstones": schemas.TOMBSTONES, "decisions": schemas.DECISIONS}
-SNAPSHOTS = ("lexemes", "edges")
+TABLES = {"observations": schemas.OBSERVATIONS, "lexemes": schemas.LEXEMES, "edges": schemas.EDGES, "tombstones": schemas.TOMBSTONES, "decisions": schemas.DECISIONS, "words": "word string"}
+SNAPSHOTS = ("lexemes", "edges", "words")
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _file(self, path: str):
+        """The file system of a path, and the path in it."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _exists(self, path: str) -> bool:
+        files, at = self._file(path)
+        return files.exists(at)
+
+    def _pointers(self, name: str) -> DataFrame | None:
+        path = f"{self.path}/{name}.pointer"
+        return self.spark.read.schema("folder string, version long").json(path) if self._exists(path) else None
+
     def _at(self, name: str) -> str | None:
         if name not in SNAPSHOTS:
             return f"{self.path}/{name}"
-        try:
-            last = self.spark.read.schema("folder string, version long").json(f"{self.path}/{name}.pointer").orderBy(F.desc("version")).first()
-        except AnalysisException:
-            return None
+        found = self._pointers(name)
+        last = found.orderBy(F.desc("version"), F.desc("folder")).first() if found is not None else None
         return last.folder if last else None
 
     def read(self, name: str) -> DataFrame:
-        """A table; empty before its first write."""
-        try:
-            if at := self._at(name):
-                return self.spark.read.schema(TABLES[name]).parquet(at)
-        except AnalysisException:
-            pass
+        """A table; empty before its first write. A table that can't be read is an error, not an empty one."""
+        at = self._at(name)
+        if at and self._exists(at):
+            return self.spark.read.schema(TABLES[name]).parquet(at)
         return self.spark.createDataFrame([], TABLES[name])
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.mode("append").parquet(f"{self.path}/{name}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """A new snapshot of lexemes or edges."""
+        """A new snapshot of lexemes, edges or common words."""
         folder = f"{self.path}/{name}-{uuid.uuid4().hex}"
         rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.parquet(folder)
-        try:
-            version = self.spark.read.schema("folder string, version long").json(f"{self.path}/{name}.pointer").count()
-        except AnalysisException:
-            version = 0
+        found = self._pointers(name)
+        version = 1 + (found.agg(F.max("version")).first()[0] or 0) if found is not None else 0
         self.spark.range(1).select(F.lit(folder).alias("folder"), F.lit(version).cast("long").alias("version")).write.mode("append").json(f"{self.path}/{name}.pointer")
 
     def observations(self, until: str | None = None, lexeme_id: str | None = None) -> DataFrame:
@@ -66,11 +72,25 @@ class Store:
     def put_edges(self, rows: DataFrame) -> None:
         """Insert or replace by (a, b, rel)."""
         keys = ["a", "b", "rel"]
+        rows = rows.groupBy(*keys).agg(F.max("weight").alias("weight"))
         self.replace("edges", self.read("edges").join(rows, keys, "left_anti").unionByName(rows))
 
+    def put_tombstones(self, rows: DataFrame) -> None:
+        """Append tombstones; of rows with one id the last counts."""
+        self.append("tombstones", rows)
+
+    def record(self, decisions: DataFrame, at: str) -> None:
+        """Append the rows that ``decide.correct`` gives, each with its trail, the time, and the time of the newest observation it could know of."""
+        seen = self.read("observations").agg(F.max("at")).first()[0]
+        schema = self.spark.createDataFrame([], TABLES["decisions"]).schema
+        given = decisions.withColumns({"at": F.lit(at).cast("timestamp"), "observation_watermark": F.lit(seen).cast("timestamp")})
+        for name in ("verifier_rejected",):
+            given = given if name in given.columns else given.withColumn(name, F.lit(False))
+        self.append("decisions", given.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name != "resolutions" else F.from_json(F.to_json("resolutions"), f.dataType.simpleString()).alias(f.name) for f in schema]))
+
     def tombstones(self) -> DataFrame:
         """The last row of each id."""
-        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("created_at")))
+        last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("created_at"), "reason", "canonical", "source_lexeme_id", "replacement_lexeme_id"))
         return self.read("tombstones").withColumn("_n", last).where("_n = 1").drop("_n")
 
     def recent(self, limit: int) -> DataFrame:
@@ -92,11 +112,24 @@ class Store:
             rows = rows.where(F.lower("canonical").contains(low) | F.exists("variants", lambda v: F.lower(v["form"]).contains(low)))
         return rows.orderBy(F.lower("canonical"))
 
+    def snapshot(self, until: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+        """(lexemes, tombstones, number of observations) as of an instant."""
+        rows = self.tombstones()
+        rows = rows if until is None else rows.where(F.col("created_at") <= F.lit(until).cast("timestamp"))
+        return self.read("lexemes"), rows, self.observations(until).count()
+
     def clear(self) -> None:
-        """Empty memory; files of old snapshots stay until the folder goes."""
-        for name in SNAPSHOTS:
+        """Empty memory; the log, tombstones and decisions stay, and so do files of old snapshots until the folder goes."""
+        for name in ("lexemes", "edges"):
             self.replace(name, self.spark.createDataFrame([], TABLES[name]))
 
+    def truncate(self) -> None:
+        """Empty every table, the log included."""
+        self.clear()
+        for name in TABLES.keys() - set(SNAPSHOTS):
+            files, at = self._file(f"{self.path}/{name}")
+            files.delete(at, True)
+
 
 def forms(lexemes: DataFrame) -> DataFrame:
     """(lexeme_id, form, norm, via, provenance, count, ordinal) of canonical forms (ordinal 0) and variants; retired lexemes have none."""

@@ -34,12 +34,12 @@ def learn_stream(observations: DataFrame, settings: Settings | None = None) -> D
     return observations.select(*names).groupBy("memory_id").applyInPandasWithState(run, SNAPSHOT, "terms string", "update", GroupStateTimeout.NoTimeout)
 
 
-def correct_stream(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: list[str] | None = None):
-    """A foreachBatch function that corrects each micro-batch with a memory snapshot and appends the decisions to a folder."""
+def correct_stream(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None):
+    """A foreachBatch function that corrects each micro-batch with a memory snapshot and writes its decisions to a folder of its own, so a batch that is run again replaces them."""
 
     def sink(path: str):
         def write(batch: DataFrame, epoch: int) -> None:
-            correct(batch, lexemes, edges, settings, vocabulary).select("utterance_id", "output_text", "intervened", "primary_reason").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+            correct(batch, lexemes, edges, settings, vocabulary).select("utterance_id", "output_text", "intervened", "primary_reason").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
         return write
 
