@@ -284,6 +284,17 @@ def posterior_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(memory.posterior(fx.event_lexemes(spark, sf_dir), fx.event_log(spark, sf_dir), F.lit(fx.CLOCK).cast("timestamp"), until=until))
 
 
+@query(f"""SELECT user_id::VARCHAR AS lexeme_id, round(1 + 8 * 0.5 + coalesce(sum(w) FILTER (event_type <> 'error'), 0), 6) AS alpha, round(1 + 2 * 0.5 + coalesce(sum(w) FILTER (event_type = 'error'), 0), 6) AS beta
+FROM (SELECT user_id, event_type, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE {_WEIGHT} * CASE WHEN ts >= TIMESTAMP '{fx.CLOCK}' THEN 1 ELSE exp(-ln(2.0) * ((epoch_us(TIMESTAMP '{fx.CLOCK}') - epoch_us(ts)) / 8.64e10) / 90.0) END END AS w FROM events WHERE user_id IS NOT NULL) GROUP BY user_id""")
+def posterior_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priors fade by half in the 90 days since their last use; rejected evidence counts nothing, evidence not judged does."""
+    used = (F.lit(fx.CLOCK).cast("timestamp") - F.expr("INTERVAL 90 DAYS")).alias("u")
+    lexemes = fx.event_lexemes(spark, sf_dir).withColumns({"prior_alpha": F.lit(9.0), "prior_beta": F.lit(3.0), "last_used": used})
+    n = F.col("id").cast("long") % 7
+    log = fx.event_log(spark, sf_dir).withColumn("accepted", F.when(n == 0, False).when(n > 1, True))
+    return _rounded(memory.posterior(lexemes, log, F.lit(fx.CLOCK).cast("timestamp")))
+
+
 _REVERTS = "r AS (SELECT user_id::VARCHAR AS lexeme_id, 'app:' || (json_extract_string(props, '$.k')::BIGINT % 3) AS scope, count(*)::INTEGER AS reverts FROM events WHERE event_type = 'error' AND user_id IS NOT NULL{} GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
@@ -342,6 +353,68 @@ def common_word_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("term").alias("lexeme_id"), F.coalesce("guards", F.lit(0)).alias("guards"))
 
 
+# --- the whole stack, a scenario for each way a policy can decide ------------------
+
+# Expected by the rules, not from a run: code of the scenario, code of the term, verdict, reason, score, last policy asked.
+_EXPECTED = """expected(code, term, verdict, reason, score, last_policy) AS (VALUES
+  ('qa', 'qa', 'abstain', 'suppressed', 0.0, 'suppression'), ('qb', 'qb', 'abstain', 'suppressed', 0.0, 'suppression'), ('qc', 'qc', 'abstain', 'verbatim_region', 0.0, 'verbatim'),
+  ('qd', 'qd', 'abstain', 'already_canonical', 0.0, 'already_canonical'), ('qe', 'qe', 'apply', 'standing_instruction', 0.55, 'recency'), ('qf', 'qf', 'abstain', 'already_canonical', 0.0, 'already_canonical'),
+  ('qg', 'qg', 'abstain', 'script_mismatch', 0.0, 'script_fit'), ('qh', 'qh', 'abstain', 'out_of_scope', 0.0, 'scope_fit'), ('qi', 'qi', 'apply', 'exact_observed_variant', 0.84, 'recency'),
+  ('qj', 'qj', 'apply', 'exact_observed_variant', 0.66, 'recency'), ('qk', 'qk', 'propose', 'single_observation', 0.49, 'recency'), ('ql', 'ql', 'propose', 'single_observation', 0.34, 'recency'),
+  ('qm', 'qm', 'abstain', 'common_word_guard', 0.0, 'common_word_guard'), ('qn', 'qn', 'apply', 'context_supported', 0.96, 'recency'), ('qo', 'qo', 'abstain', 'guard_condition_met', 0.0, 'common_word_guard'),
+  ('qp', 'qp', 'abstain', 'already_canonical', 0.0, 'already_canonical'), ('qp', 'qp', 'apply', 'context_supported', 0.96, 'recency'), ('qq', 'qq', 'abstain', 'common_word_guard', 0.0, 'common_word_guard'),
+  ('qr', 'qr', 'apply', 'context_supported', 0.96, 'recency'), ('qs', 'qs', 'apply', 'context_supported', 0.59, 'recency'), ('qs', 'qsp', 'abstain', 'already_canonical', 0.0, 'already_canonical'),
+  ('qt', 'qt', 'apply', 'context_supported', 0.79, 'recency'), ('qt', 'qtp', 'abstain', 'already_canonical', 0.0, 'already_canonical'), ('qt', 'qtr', 'abstain', 'already_canonical', 0.0, 'already_canonical'),
+  ('qu', 'qu', 'abstain', 'ambiguous_conflict', 0.0, 'conflict'), ('qu', 'qur', 'abstain', 'ambiguous_conflict', 0.0, 'conflict'), ('qv', 'qv', 'abstain', 'superseded_by_longer_span', 0.0, 'conflict'),
+  ('qv', 'qvl', 'apply', 'exact_observed_variant', 0.66, 'recency'), ('qw', 'qw', 'apply', 'exact_observed_variant', 0.61, 'recency'), ('qx', 'qx', 'abstain', 'dormant_without_support', 0.0, 'recency'),
+  ('qy', 'qy', 'propose', 'below_activation_threshold', 0.66, 'recency'), ('ra', 'ra', 'apply', 'exact_observed_variant', 0.84, 'recency'))"""
+_POLICY_TEXTS = ", ".join("('{}', '{}')".format(c, t.replace("'", "''")) for c, t, _, _ in fx.POLICY_TEXTS)
+
+
+def _policy_rows(spark: SparkSession, sf_dir: str, run: Callable[..., DataFrame]) -> DataFrame:
+    lexemes, edges, common = fx.policy_memory(spark, sf_dir)
+    return run(fx.policy_utterances(spark, sf_dir), lexemes, edges, EXACT, common)
+
+
+@query(f"""WITH {_NAMES}, {_EXPECTED} SELECT name || '#' || code AS utterance_id, replace(name, ' ', '_') || '-' || term AS lexeme_id, verdict, reason, round(score::DOUBLE, 6) AS score, last_policy FROM names, expected""")
+def policy_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in every scenario of the fixture: each policy supports, opposes or vetoes in some."""
+    rows = _policy_rows(spark, sf_dir, decide.resolve)
+    return rows.select("utterance_id", "lexeme_id", "verdict", "reason", F.round("score", 6).alias("score"), F.element_at("outcomes", -1)["policy"].alias("last_policy"))
+
+
+@query(f"""WITH {_NAMES}, said(code, said) AS (VALUES {_POLICY_TEXTS}), new(code, old, own) AS (VALUES ('qe', '{{n}} qe', '{{n}} QE'), ('qi', 'hqi', 'qi'), ('qj', 'hqj', 'qj'), ('qn', 'hqn', 'qn'), ('qp', 'hqp', 'qp'),
+  ('qr', 'hqr', 'qr'), ('qs', 'hqs', 'qs'), ('qt', 'hqt', 'qt'), ('qv', 'hqv long', 'qv long'), ('qw', 'hqw', 'qw'), ('ra', 'hra', 'ra'))
+SELECT name || '#' || code AS utterance_id, replace(CASE WHEN old IS NULL THEN said ELSE replace(said, old, own) END, '{{n}}', name) AS output_text, code <> 'qz' AS gate_passed, old IS NOT NULL AS intervened
+FROM names, said LEFT JOIN new USING (code)""")
+def policy_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_rows(spark, sf_dir, decide.correct).select("utterance_id", "output_text", "gate_passed", "intervened")
+
+
+@query(f"""WITH {_NAMES}, said(code, said) AS (VALUES {_POLICY_TEXTS}) SELECT name || '#same' AS utterance_id, replace(said, '{{n}}', name) AS text,
+  replace(CASE code WHEN 'qj' THEN replace(said, 'hqj', 'qj') WHEN 'qw' THEN replace(said, 'hqw', 'qw') ELSE said END, '{{n}}', name) AS output_text FROM names, said WHERE code IN ('qa', 'qj', 'qw')""")
+def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share an id are corrected each by its own text."""
+    lexemes, edges, common = fx.policy_memory(spark, sf_dir)
+    said = fx.policy_utterances(spark, sf_dir).where("code in ('qa', 'qj', 'qw')").withColumn("utterance_id", F.concat("name", F.lit("#same")))
+    return decide.correct(said, lexemes, edges, EXACT, common).select("utterance_id", "text", "output_text")
+
+
+@query(f"""WITH {_NAMES}, codes(code) AS (VALUES {", ".join(f"('{t[0]}')" for t in fx.POLICY_TERMS)})
+SELECT replace(name, ' ', '_') || '-' || code AS lexeme_id FROM names, codes WHERE code NOT IN ('qa', 'qz', 'ra')""")
+def applicable_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that may be hinted to a formatter in one app: not suppressed, retired or bound elsewhere."""
+    return memory.applicable(fx.policy_memory(spark, sf_dir)[0], app="slack").select("lexeme_id")
+
+
+@query(f"""WITH {_NAMES}, codes(code, n) AS (VALUES {", ".join(f"('{t[0]}', {int('guard' in t[4])})" for t in fx.POLICY_TERMS)})
+SELECT replace(name, ' ', '_') || '-' || code AS lexeme_id, CASE WHEN code IN ('qq', 'qr') THEN 1 ELSE n END::INTEGER AS guards FROM names, codes""")
+def default_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards after a memory is loaded: terms with a form of common words get one."""
+    lexemes, _, common = fx.policy_memory(spark, sf_dir)
+    return memory.synthesise_guards(lexemes, common).select("lexeme_id", F.size("guards").alias("guards"))
+
+
 # --- sounds ---------------------------------------------------------------------
 
 

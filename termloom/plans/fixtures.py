@@ -92,3 +92,65 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as utterances."""
     rows = table(spark, sf_dir, "conversations")
     return rows.select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("utterance_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: One scenario for each way a policy can decide: code, text, app, persona. {n}: a name; a term's canonical form ends with its code, a heard one with h and its code.
+POLICY_TEXTS = (
+    ("qa", "we use {n} hqa daily", None, None), ("qb", "we use {n} hqb daily", None, None), ("qc", 'they wrote "{n} hqc" here', None, None), ("qd", "the {n} qd runs", None, None),
+    ("qe", "the {n} qe runs", None, None), ("qf", "the {n} qf runs", None, None), ("qg", "we use {n} कमल daily", None, None), ("qh", "we use {n} hqh daily", "mail", None),
+    ("qi", "we use {n} hqi daily", "slack", None), ("qj", "we use {n} hqj daily", "mail", None), ("qk", "we use {n} hqk daily", None, None), ("ql", "we use {n} hql daily", None, None),
+    ("qm", "we ate {n} hqm daily", None, None), ("qn", "the {n} hqn service", None, None), ("qo", "the {n} hqo fruit service", None, None), ("qp", "{n} qp and then {n} hqp", None, None),
+    ("qq", "we ate {n} hqq daily", None, None), ("qr", "the {n} hqr pipeline", None, None), ("qs", "ask {n} hqs about {n} qsp", None, None), ("qt", "{n} hqt with {n} qtp or {n} qtr", None, None),
+    ("qu", "ask {n} hqu today", None, None), ("qv", "see {n} hqv long now", None, None), ("qw", "we use {n} hqw daily", None, None), ("qx", "we use {n} hqx daily", None, None),
+    ("qy", "we use {n} hqy daily", None, None), ("qz", "we use {n} hqz daily", None, None), ("ra", "we use {n} hra daily", None, "ada"),
+)
+#: Terms: code, how the canonical form ends, how its one variant ends, provenance, and what else isn't usual.
+POLICY_TERMS = (
+    ("qa", "qa", "hqa", "observed", {"state": "suppressed"}), ("qb", "qb", "hqb", "observed", {"guard": ("user_suppression", None, None)}), ("qc", "qc", "hqc", "observed", {}), ("qd", "qd", "hqd", "observed", {}),
+    ("qe", "QE", "hqe", "observed", {"instruction": "uppercase, please"}), ("qf", "QF", "hqf", "observed", {}), ("qg", "qg", "कमल", "observed", {}), ("qh", "qh", "hqh", "observed", {"kind": "handle", "binding": ("app", "slack")}),
+    ("qi", "qi", "hqi", "observed", {"binding": ("app", "slack")}), ("qj", "qj", "hqj", "observed", {"binding": ("app", "slack")}), ("qk", "qk", "hqk", "declared", {}), ("ql", "ql", "hql", "generated", {}),
+    ("qm", "qm", "hqm", "observed", {"guard": ("common_word", "service", None)}), ("qn", "qn", "hqn", "observed", {"guard": ("common_word", "service", None)}), ("qo", "qo", "hqo", "observed", {"guard": ("lexical_context", None, "fruit")}),
+    ("qp", "qp", "hqp", "observed", {"guard": ("common_word", "service", None)}), ("qq", "qq", "hqq", "observed", {}), ("qr", "qr", "hqr", "observed", {}), ("qs", "qs", "hqs", "generated", {}), ("qsp", "qsp", "hqsp", "observed", {}),
+    ("qt", "qt", "hqt", "generated", {}), ("qtp", "qtp", "hqtp", "observed", {}), ("qtr", "qtr", "hqtr", "observed", {}), ("qu", "qu", "hqu", "observed", {}), ("qur", "qur", "hqu", "observed", {}), ("qv", "qv", "hqv", "observed", {}),
+    ("qvl", "qv long", "hqv long", "observed", {}), ("qw", "qw", "hqw", "observed", {"state": "dormant"}), ("qx", "qx", "hqx", "declared", {"state": "dormant"}), ("qy", "qy", "hqy", "observed", {"state": "proposed"}),
+    ("qz", "qz", "hqz", "observed", {"state": "retired"}), ("ra", "ra", "hra", "observed", {"binding": ("persona", "ada")}),
+)
+POLICY_EDGES = (("qs", "qsp", "cooccurs"), ("qtp", "qt", "cooccurs"), ("qt", "qtr", "cooccurs"), ("qu", "qur", "conflicts"), ("qvl", "qv", "conflicts"))
+#: Words that are common there besides those of the names.
+POLICY_COMMON = ("hqq", "hqr")
+
+
+def _literals(rows, names: tuple[str, ...]) -> Column:
+    text = lambda v: F.lit(v).cast("string")
+    return F.inline(F.array(*[F.struct(*[text(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]))
+
+
+def _term_id(code: Column) -> Column:
+    return F.concat(F.replace("name", F.lit(" "), F.lit("_")), F.lit("-"), code)
+
+
+def policy_memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lexemes, edges, common words) of the scenarios, for each part name."""
+    rows = names(spark, sf_dir).select("name")
+    flat = [(c, own, heard, p, x.get("state", "active"), x.get("kind", "term"), x.get("instruction"), *x.get("binding", ("global", None)), *x.get("guard", (None, None, None))) for c, own, heard, p, x in POLICY_TERMS]
+    t = rows.select("name", _literals(flat, ("code", "own", "heard", "provenance", "state", "kind", "instruction", "scope", "ref", "guard", "support", "veto")))
+    form = lambda end: F.concat_ws(" ", "name", end)
+    some = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+    none = lambda kind: F.lit(None).cast(kind)
+    guard = F.struct(F.col("guard").alias("kind"), F.when(F.col("guard") == "common_word", form("heard")).alias("form"), some("support").alias("support_tokens"), some("veto").alias("veto_tokens"), none("array<string>").alias("applies_to_forms"), none("int").alias("reverts"), none("string").alias("scope"), F.lit(False).alias("synthesised"), none("string").alias("note"))
+    now = F.lit(CLOCK).cast("timestamp")
+    terms = t.select(
+        _term_id(F.col("code")).alias("lexeme_id"), form("own").alias("canonical"), "kind", "instruction",
+        F.array(F.struct(form("heard").alias("form"), "provenance", F.lit(2).alias("count"), now.alias("last_seen"))).alias("variants"),
+        F.when(F.col("guard").isNotNull(), F.array(guard)).otherwise(F.array()).cast(f"array<{schemas.GUARD}>").alias("guards"), F.array(F.struct("scope", "ref")).alias("bindings"),
+        *[F.lit(v).alias(n) for n, v in (("prior_alpha", 1.0), ("prior_beta", 1.0), ("alpha", 3.0), ("beta", 1.0))], "state", F.lit(True).alias("learning_enabled"), now.alias("first_seen"), now.alias("last_used"),
+    )
+    edges = rows.select("name", _literals(POLICY_EDGES, ("x", "y", "rel"))).select(_term_id(F.col("x")).alias("a"), _term_id(F.col("y")).alias("b"), "rel", F.lit(1.0).alias("weight"))
+    common = rows.select(F.explode(F.concat(F.split("name", " "), F.array(*map(F.lit, POLICY_COMMON)))).alias("word")).distinct()
+    return terms, edges, common
+
+
+def policy_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = names(spark, sf_dir).select("name", _literals(POLICY_TEXTS, ("code", "said", "app", "persona")))
+    text = F.replace("said", F.lit("{n}"), F.col("name"))
+    return rows.select(F.concat_ws("#", "name", "code").alias("utterance_id"), F.lit("").alias("asr_text"), text.alias("formatted_text"), "app", "persona", "name", "code", text.alias("text"))
