@@ -67,11 +67,10 @@ def nearest_rank(rows: DataFrame, value: str, fractions: list[float], by: list[s
     dealt = staged(counts.repartitionByRange(*by, "v").withColumn("_part", F.spark_partition_id()), "values")
     parts = dealt.groupBy(*by, "_part").agg(F.sum("c").alias("_own"))
     over = Window.partitionBy(*by)
-    parts = parts.select(*by, "_part", F.sum("_own").over(over).alias("n"), (F.sum("_own").over(over.orderBy("_part")) - F.col("_own")).alias("_before"))
-    same = reduce(lambda a, c: a & dealt[c].eqNullSafe(parts[c]), by, dealt["_part"] == parts["_part"])
+    parts = parts.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_of"), F.sum("_own").over(over).alias("n"), (F.sum("_own").over(over.orderBy("_part")) - F.col("_own")).alias("_before"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_of_{c}")), by, F.col("_part") == F.col("_of"))
     own = Window.partitionBy(*by, "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = dealt.join(parts, same).select(*[dealt[c] for c in by], dealt["_part"], "v", "c", "n", "_before")
-    ranks = ranks.withColumn("upto", F.col("_before") + F.sum("c").over(own))
+    ranks = dealt.join(parts, same).withColumn("upto", F.col("_before") + F.sum("c").over(own))
     place = lambda f: F.least(F.col("n") - 1, F.floor(F.col("n") * f))
     inside = lambda f: (F.col("upto") - F.col("c") <= place(f)) & (place(f) < F.col("upto"))
     return ranks.groupBy(*by).agg(*[F.round(F.max(F.when(inside(f), F.col("v"))), 3).alias(f"p{round(100 * f)}") for f in fractions])

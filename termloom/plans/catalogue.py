@@ -457,7 +457,31 @@ def phonetic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.names(spark, sf_dir).withColumn("distance", F.round(phonetics.distance_of(F.col("name"), F.col("heard")), 6))
 
 
-@query()
+_FOLD_TOKEN = f"(CASE WHEN {_fold_sql('t')} = '' THEN t ELSE {_fold_sql('t')} END)"
+# Spans of one or two tokens; their keys; pairs of a span and a term that share one; the length of their common subsequence, by bits; the distance; the candidates left, in order.
+_HEARD = rf"""{_UTTERANCES}, forms AS (SELECT replace(name, ' ', '_') AS lexeme_id, name AS form, {norm('name')} AS norm FROM names),
+toks AS (SELECT utterance_id, regexp_extract_all(text, '{TOKEN}') AS w, string_split_regex(text, '{TOKEN}') AS g FROM utterances),
+pos AS (SELECT utterance_id, w, g, i, unnest(CASE WHEN i < len(w) THEN [1, 2] ELSE [1] END) AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM toks)),
+spans AS (SELECT utterance_id, CASE n WHEN 1 THEN w[i] ELSE w[i] || g[i + 1] || w[i + 1] END AS span, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(g[1:i], lambda x: length(x))) AS s FROM pos),
+placed AS (SELECT utterance_id, span, s, s + length(span) AS e, {norm('span')} AS norm FROM spans),
+words AS (SELECT norm FROM forms UNION SELECT norm FROM placed WHERE norm <> ''),
+folded AS (SELECT norm, list_transform(string_split(norm, ' '), lambda t: {_FOLD_TOKEN}) AS t FROM words),
+chunks AS (SELECT norm, list_concat(CASE WHEN len(t) > 1 THEN [array_to_string(t, '')] ELSE [] END, t) AS c FROM folded),
+bones AS (SELECT norm, c, list_concat(c, list_filter(list_transform(c, lambda x: CASE WHEN regexp_matches(x, '[aeiou]') THEN regexp_replace(x, '[aeiou]', '', 'g') ELSE '' END), lambda x: length(x) >= 3)) AS b FROM chunks),
+keys AS (SELECT norm, list_distinct(list_filter(list_transform(c, lambda x: {_metaphone_sql('x')}), lambda x: x <> '')) AS own, list_distinct(list_filter(list_transform(b, lambda x: {_metaphone_sql('x')}), lambda x: length(x) >= 2)) AS k FROM bones),
+pairs AS (SELECT p.norm, f.lexeme_id, f.form, a.own AS a, b.own AS b, replace(p.norm, ' ', '') AS x, replace(f.norm, ' ', '') AS y
+  FROM (SELECT DISTINCT norm FROM placed WHERE norm <> '' AND norm NOT IN (SELECT norm FROM forms)) p JOIN keys a USING (norm) JOIN forms f ON true JOIN keys b ON b.norm = f.norm AND len(list_intersect(a.k, b.k)) > 0),
+bits(norm, lexeme_id, i, v) AS (SELECT norm, lexeme_id, 0, (1::BIGINT << length(y)) - 1 FROM pairs UNION ALL
+  SELECT norm, lexeme_id, i + 1, ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length(y)) - 1) FROM (SELECT b.*, p.x, p.y, list_sum(list_transform(range(1, length(p.y) + 1), lambda j: CASE WHEN p.y[j] = p.x[b.i + 1] THEN 1::BIGINT << (j - 1) ELSE 0 END))::BIGINT AS m
+    FROM bits b JOIN pairs p ON p.norm = b.norm AND p.lexeme_id = b.lexeme_id WHERE b.i < length(p.x))),
+far AS (SELECT p.norm, p.lexeme_id, CASE WHEN x = y THEN 0 ELSE greatest(0, 1 - (0.40 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + 0.35 * jaro_winkler_similarity(y, x) + 0.25 * 2 * (length(y) - bit_count(v)) / (length(x) + length(y)))) END AS d
+  FROM pairs p JOIN bits b ON b.norm = p.norm AND b.lexeme_id = p.lexeme_id AND b.i = length(p.x)),
+hits AS (SELECT utterance_id, lexeme_id, span, s, e, 'canonical' AS via, 1.0::DOUBLE AS score FROM placed JOIN forms USING (norm) UNION ALL SELECT utterance_id, lexeme_id, span, s, e, 'phonetic', 1 - d FROM placed JOIN far USING (norm) WHERE d <= 0.34),
+best AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.utterance_id = h.utterance_id AND o.lexeme_id = h.lexeme_id AND o.s < h.e AND h.s < o.e AND (o.score > h.score OR (o.score = h.score AND o.e - o.s > h.e - h.s)))),
+heard AS (SELECT *, (row_number() OVER (PARTITION BY utterance_id ORDER BY score DESC, e - s DESC, s, lexeme_id) - 1)::INTEGER AS rank FROM best)"""
+
+
+@query(f"WITH RECURSIVE {_HEARD} SELECT utterance_id, rank, lexeme_id, span AS text, via, round(score, 6) AS score FROM heard WHERE rank < 8")
 def sound_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the full stack, where mishearings are not on file."""
     memory_ = fx.lexemes(fx.names(spark, sf_dir), F.col("name"))
@@ -465,6 +489,18 @@ def sound_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("utterance_id", F.posexplode("found").alias("rank", "c")).select("utterance_id", "rank", "c.lexeme_id", "c.text", "c.via", F.round("c.score", 6).alias("score"))
 
 
+@query(f"""WITH RECURSIVE {_HEARD},
+q AS (SELECT h.*, h.span = f.form AS own, u.carrier = 1 AND h.s >= strpos(u.text, '"') - 1 AND h.e <= length(u.text) - strpos(reverse(u.text), '"') + 1 AS quoted FROM heard h JOIN forms f USING (lexeme_id) JOIN utterances u USING (utterance_id) WHERE rank < 8),
+p AS (SELECT *, CASE WHEN quoted OR own OR via = 'canonical' THEN 0.0 WHEN score < 0.7 THEN -0.2 ELSE 0.3 + 0.35 * (score - 0.7) / 0.3 END AS total FROM q)
+SELECT utterance_id, lexeme_id, span AS text, CASE WHEN total >= 0.55 THEN 'apply' WHEN total >= 0.3 THEN 'propose' ELSE 'abstain' END AS verdict,
+  CASE WHEN quoted THEN 'verbatim_region' WHEN own OR via = 'canonical' THEN 'already_canonical' WHEN total >= 0.55 THEN 'phonetic_high_confidence' WHEN total >= 0.3 THEN 'single_observation' ELSE 'below_threshold' END AS reason, round(total, 6) AS score FROM p""")
+def sound_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the default stack, by sound, where no mishearing is on file."""
+    memory_ = fx.lexemes(fx.names(spark, sf_dir), F.col("name"))
+    rows = decide.resolve(fx.part_utterances(spark, sf_dir), memory_, fx.no_edges(spark), vocabulary=[])
+    return rows.select("utterance_id", "lexeme_id", F.col("span_text").alias("text"), "verdict", "reason", F.round("score", 6).alias("score"))
+
+
 # --- checks, learning, cases ------------------------------------------------------
 
 
