@@ -78,10 +78,16 @@ def seeds(ids: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordIds(dict):
-    """64-bit hashes of words, none of them 0, kept for those seen."""
+    """64-bit hashes of words, kept for those seen; 0 for words that a filter knows no item to have, so that their windows are passed over."""
+
+    def __init__(self, known: Filter | None = None) -> None:
+        self.known = known
 
     def __missing__(self, word: str) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word) | 1
+        found = xxhash.xxh64_intdigest(word) | 1
+        if self.known and not self.known.has(found):
+            found = 0
+        self[word] = found
         return found
 
     def of(self, ws: list[str]) -> np.ndarray:
@@ -199,12 +205,17 @@ class Index:
 
 
 class Filter:
-    """A Bloom filter of seeds: false for all that no item has."""
+    """A Bloom filter of words and seeds: false for all that no item has."""
 
     PROBES = 6
 
     def __init__(self, n_bits: int, bits: np.ndarray) -> None:
-        self.n_bits, self.bits = n_bits, bits
+        self.n_bits, self.bits, self.name = n_bits, bits, f"decontaminate-{xxhash.xxh64_hexdigest(bits)}"
+
+    def has(self, h: int) -> bool:
+        """Whether one hash may be an item's."""
+        step, last = (h >> 32) | 1, self.n_bits - 1
+        return all(self.bits[(at := (h + step * k) & last) >> 3] >> (at & 7) & 1 for k in range(self.PROBES))
 
     @staticmethod
     def places(h: np.ndarray, n_bits: int, probe: int) -> np.ndarray:
@@ -255,13 +266,14 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def seed_filter(items: DataFrame) -> tuple[Broadcast, list[int]]:
-    """The filter of all items' seeds, at most MOST_BITS bits, made on the executors; and the masks that they use."""
+    """The filter of all items' words and seeds, at most MOST_BITS bits, made on the executors; and the masks that they use."""
     total = items.agg(F.sum("words").alias("n"), F.collect_set(F.least("words", F.lit(SHORT + 2))).alias("sizes")).first()
     n_bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, int((total.n or 0) * FILTER_BITS - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = Index(list(zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True))).seeds()
+            own = Index(list(zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True)))
+            h = np.unique(np.concatenate((own.seeds(), own.ids[own.ids != 0])))
             at = np.unique(np.concatenate([Filter.places(h, n_bits, k) for k in range(Filter.PROBES)]).astype(np.int64))
             word, first = np.unique(at >> 6, return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, dtype=np.uint64)
@@ -279,7 +291,7 @@ def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
     known, masks = seed_filter(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = shared("decontaminate", "words", WordIds)
+        kept = shared(known.value.name, "words", lambda: WordIds(known.value))
         for b in batches:
             near = []
             for texts in _steps(b.column("text")):
