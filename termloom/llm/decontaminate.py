@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,32 +78,53 @@ def seeds(ids: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+class Vocabulary:
+    """The words of a bounded number of items as rows of a table of 64-bit hashes; row 0, hash 0, is for all other words, so that their windows are passed over."""
+
+    def __init__(self, texts: list[str]) -> None:
+        own = dict.fromkeys(w for t in texts for w in words(t))
+        self.row = {w: n for n, w in enumerate(own, 1)}
+        self.table = np.array([0, *(xxhash.xxh64_intdigest(w) | 1 for w in own)], dtype=np.uint64)
+
+    def of(self, texts: list[list[str]], n: int) -> np.ndarray:
+        """The hashes of all n words of texts."""
+        return self.table[np.fromiter(map(self.row.get, chain.from_iterable(texts), repeat(0)), dtype=np.int64, count=n)]
+
+
 class WordIds(dict):
-    """64-bit hashes of words, kept for those seen; 0 for words that a filter knows no item to have, so that their windows are passed over."""
+    """The same for items of any number: words seen are kept, row 0 is for those that a filter knows no item to have."""
 
-    def __init__(self, known: Filter | None = None) -> None:
-        self.known = known
+    def __init__(self, known: Filter) -> None:
+        self.known, self.table, self.rows = known, np.zeros(1024, dtype=np.uint64), 1
 
     def __missing__(self, word: str) -> int:
-        found = xxhash.xxh64_intdigest(word) | 1
-        if self.known and not self.known.has(found):
-            found = 0
-        self[word] = found
-        return found
-
-    def of(self, ws: list[str]) -> np.ndarray:
-        found = np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
+        h, row = xxhash.xxh64_intdigest(word) | 1, 0
+        if self.known.has(h):
+            row, self.rows = self.rows, self.rows + 1
+            if row == len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[row] = h
+        self[word] = row
+        return row
+
+    def of(self, texts: list[list[str]], n: int) -> np.ndarray:
+        """The hashes of all n words of texts."""
+        found = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=n)
+        found = self.table[found]
         trim(self, KEPT)
+        if self.rows > 4 * KEPT:  # rows of words that went
+            self.clear()
+            self.rows = 1
         return found
 
 
-def laid_out(texts: list[str | None], kept: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(texts: list[str | None], kept: Vocabulary | WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts as hashes, with SPAN zeros after each text, and where texts begin and how long they are."""
     split = [words(t) for t in texts]
     length = np.array([len(w) for w in split], dtype=np.int64)
     starts = np.cumsum(np.concatenate(([0], length + SPAN)))
     ids = np.zeros(starts[-1], dtype=np.uint64)
-    flat = kept.of([w for ws in split for w in ws])
+    flat = kept.of(split, int(length.sum()))
     ids[np.arange(len(flat)) + np.repeat(np.arange(len(split)) * SPAN, length)] = flat
     return ids, starts, length
 
@@ -113,7 +135,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         items = [(i, t) for i, t in items if words(t)]
         self.item = np.array([i for i, _ in items], dtype=np.int64)
-        self.ids, self.start, self.length = laid_out([t for _, t in items], WordIds())
+        self.words = Vocabulary([t for _, t in items])
+        self.ids, self.start, self.length = laid_out([t for _, t in items], self.words)
         self.masks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         of = np.repeat(np.arange(len(items)), self.length + SPAN)
         uses = [set(masks_of(n)) for n in self.length.tolist()]
@@ -209,8 +232,8 @@ class Filter:
 
     PROBES = 6
 
-    def __init__(self, n_bits: int, bits: np.ndarray) -> None:
-        self.n_bits, self.bits, self.name = n_bits, bits, f"decontaminate-{xxhash.xxh64_hexdigest(bits)}"
+    def __init__(self, n_bits: int, bits: np.ndarray, vocabulary: Vocabulary | None = None) -> None:
+        self.n_bits, self.bits, self.vocabulary, self.name = n_bits, bits, vocabulary, f"decontaminate-{xxhash.xxh64_hexdigest(bits)}"
 
     def has(self, h: int) -> bool:
         """Whether one hash may be an item's."""
@@ -283,7 +306,8 @@ def seed_filter(items: DataFrame) -> tuple[Broadcast, list[int]]:
     flat = np.zeros(n_bits >> 6, dtype="<u8")
     flat[found.column("at").to_numpy()] = found.column("word").to_numpy().view("<u8")
     masks = sorted({m for n in total.sizes or [] for m in masks_of(n)})
-    return items.sparkSession.sparkContext.broadcast(Filter(n_bits, flat.view(np.uint8))), masks
+    few = Vocabulary([r.text for r in items.select("text").toLocalIterator()]) if (total.n or 0) <= BLOCK_WORDS else None  # else words are looked up in the filter
+    return items.sparkSession.sparkContext.broadcast(Filter(n_bits, flat.view(np.uint8), few)), masks
 
 
 def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -291,7 +315,7 @@ def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
     known, masks = seed_filter(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = shared(known.value.name, "words", lambda: WordIds(known.value))
+        kept = known.value.vocabulary or shared(known.value.name, "words", lambda: WordIds(known.value))
         for b in batches:
             near = []
             for texts in _steps(b.column("text")):
@@ -316,11 +340,11 @@ def overlaps(near: DataFrame, items: DataFrame) -> DataFrame | None:
         packed = spark.sparkContext.broadcast(cloudpickle.dumps(Index(block)))
 
         def run(batches: Iterator[pa.RecordBatch], packed: Broadcast = packed) -> Iterator[pa.RecordBatch]:
-            index, kept = cloudpickle.loads(packed.value), shared("decontaminate", "words", WordIds)
+            index = cloudpickle.loads(packed.value)
             for b in batches:
                 at, rows = 0, []
                 for texts in _steps(b.column("text")):
-                    rows += [(at + k, *r) for k, r in sorted(index.overlaps(*laid_out(texts, kept)).items())]
+                    rows += [(at + k, *r) for k, r in sorted(index.overlaps(*laid_out(texts, index.words)).items())]
                     at += len(texts)
                 own = b.select(["doc", "hash"]).take(pa.array([r[0] for r in rows], pa.int64()))
                 for n, name in enumerate(("item_id", "n_items", "matched_words", "start_word", "end_word"), 1):

@@ -94,7 +94,7 @@ def test_accepted_overlaps_have_a_seed():
 def test_repeated_words_take_bounded_memory():
     index = dc.Index([(1, "ha " * 20_000), (2, "a b " * 2_000)])
     tracemalloc.start()
-    got = index.overlaps(*dc.laid_out(["ha " * 100_000, "b a " * 3_000, "x " * 50], dc.WordIds()))
+    got = index.overlaps(*dc.laid_out(["ha " * 100_000, "b a " * 3_000, "x " * 50], index.words))
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 1 << 30
