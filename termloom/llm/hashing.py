@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections import Counter
 from collections.abc import Callable
 from operator import eq
 
@@ -67,35 +68,49 @@ def _indices(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes * _LAST) >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def _distinct(found: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of an array, which is sorted in place."""
+    found.sort()
+    keep = np.ones(len(found), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=keep[1:])
+    return found[keep]
+
+
 def gram_indices(text: str | None, bits: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct indices of the words and their heads, their bigrams and the pairs that skip one or two words."""
     both = hashes.of(_WORD.findall((text or "").lower()))
     h = both[:, 0]
     pairs = [h[:-gap] * _MIX[gap - 1, 0] + h[gap:] * _MIX[gap - 1, 1] for gap in (1, 2, 3) if len(h) > gap]
     hashes.trim()
-    return np.unique(_indices(np.concatenate([both.ravel(), *pairs]), bits))
+    return _distinct(_indices(np.concatenate([both.ravel(), *pairs]), bits))
 
 
 #: ASCII codes by class, and one for all others: 0 white space, 1 letters and digits, 2 capitals, 3 the rest.
 _CLASS = np.array([0 if chr(c).isspace() else 2 if chr(c).isupper() else 1 if chr(c).isalnum() else 3 for c in range(128)] + [1])
-_SHAPE = str.maketrans({c: "0" for c in "0123456789"})
-_RUNS = re.compile(r"(.)\1+", re.S)
-_CASED = re.compile(r"[^\W\d_]")
+#: Code points from here on have no class of their own in shapes.
+_LAST_LETTER = 0x323B0
+
 
+def shape_table() -> np.ndarray:
+    """What each code point is in the shape of a word: letters a or A, digits 0, white space a blank, others themselves."""
+    table = np.arange(_LAST_LETTER, dtype=np.uint32)
+    for n in range(_LAST_LETTER):
+        c = chr(n)
+        if c.isspace():
+            table[n] = 32
+        elif c in "0123456789":
+            table[n] = 48
+        elif c.isalnum() and not c.isdecimal():
+            table[n] = 65 if c.isupper() else 97
+    return table
 
-class Shapes(dict):
-    """The shape of a word: letters as a or A, digits as 0, runs as one. Those of long words are not kept."""
 
-    def __missing__(self, word: str) -> str:
-        core = word.rstrip(".,")
-        if core.isalpha() and core[1:].islower():  # most words
-            tail = "".join(c for c, before in zip(word[len(core) :], " " + word[len(core) :], strict=False) if c != before)
-            found = self[word] = ("Aa" if core[0].isupper() else "a") + tail
-            return found
-        found = _RUNS.sub(r"\1", _CASED.sub(lambda m: "A" if m[0].isupper() else "a", word).translate(_SHAPE))
-        if len(word) <= 64:
-            self[word] = found
-        return found
+def word_shapes(codes: np.ndarray, table: np.ndarray) -> dict[str, int]:
+    """The shapes of a text's words, runs as one, with their numbers; codes: its code points."""
+    of = table[np.minimum(codes, _LAST_LETTER - 1)]
+    of = np.where(codes < _LAST_LETTER, of, codes)
+    first = np.concatenate(([True], of[1:] != of[:-1]))[: len(of)]
+    return Counter(of[first].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split())
 
 
 def _share(part: int, whole: int) -> int:
@@ -103,22 +118,18 @@ def _share(part: int, whole: int) -> int:
     return 0 if not part else max(1, 8 + int(np.floor(np.log2(part / whole))))
 
 
-def style_indices(text: str | None, bits: int, hashes: WordHashes, shapes: Shapes) -> np.ndarray:
-    """Indices of what a text looks like: shares of its word shapes, repeated lines and words, length."""
+def style_indices(text: str | None, bits: int, hashes: WordHashes, table: np.ndarray) -> np.ndarray:
+    """Indices of what a text looks like (table: shape_table()): shares of its word shapes, repeated lines and words, length."""
     words = (text or "").split()
-    seen: dict[str, int] = {}
-    for w in words:
-        s = shapes[w]
-        seen[s] = seen.get(s, 0) + 1
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    seen = word_shapes(codes, table)
     lines = [x for x in (text or "").split("\n") if x.strip()]
     names = [f"s{_share(n, len(words))}{s}" if len(s) <= 64 else f"s{_share(n, len(words))}{s[:8]}{xxhash.xxh64_hexdigest(s)}" for s, n in seen.items()]
     names += [f"w{int(8 * len(set(words)) / len(words))}", f"r{_share(sum(map(eq, words, words[1:])), len(words))}"] if words else ["empty"]
     names += [f"l{int(8 * len(set(lines)) / len(lines))}", f"m{min(8, int(np.log2(len(lines))))}"] if lines else []
     names.append(f"n{int(np.log2(len(words) + 1))}")
-    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
     blank, letter, upper, other = np.bincount(_CLASS[np.minimum(codes, 128)], minlength=4).tolist()
     names.append(f"u{8 * upper // max(1, letter + upper)}")
     names.append(f"p{16 * other // max(1, letter + upper + other)}")
     hashes.trim()
-    trim(shapes, _KEPT)
-    return np.unique(_indices(hashes.of(names)[:, 0], bits))
+    return _distinct(_indices(hashes.of(names)[:, 0], bits))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.hashing import Shapes, WordHashes, gram_indices, shared, style_indices
+from termloom.llm.hashing import WordHashes, gram_indices, shape_table, shared, style_indices
 from termloom.llm.toxicity import examples, held_out
 
 #: As for toxicity: 2 ** BITS weights, MAX_ROWS labelled documents.
@@ -27,7 +27,7 @@ def grade(labels: DataFrame) -> Column:
     return F.when(quality == 0, 0).when(quality >= 1, F.when(toxic > 0, 1).otherwise(2))
 
 
-def _features(text: str | None, bits: int, hashes: WordHashes, shapes: Shapes) -> tuple[np.ndarray, int]:
+def _features(text: str | None, bits: int, hashes: WordHashes, shapes: np.ndarray) -> tuple[np.ndarray, int]:
     """Indices of style, then of word n-grams, and how many are of style."""
     style = style_indices(text, bits, hashes, shapes)
     return np.concatenate((style, gram_indices(text, bits, hashes))), len(style)
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, rating: Column, grades: int = GRADES
     """Indices and weights that aren't zero, and the thresholds (none without usable labels)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shapes = shared("hashing", "words", WordHashes), shared("hashing", "shapes", Shapes)
+        hashes, shapes = shared("hashing", "words", WordHashes), shared("hashing", "shapes", shape_table)
         for b in batches:
             found = [_features(t.as_py(), bits, hashes, shapes) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int32())], names=["doc_id", "y", "at", "style"])
@@ -105,7 +105,7 @@ def quality(docs: DataFrame, labels: DataFrame, rating: Column | None = None, gr
     at, w, cut = fit(docs, labels, grade(labels) if rating is None else rating, grades, bits, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shapes, dense = shared("hashing", "words", WordHashes), shared("hashing", "shapes", Shapes), np.zeros(1 << bits)
+        hashes, shapes, dense = shared("hashing", "words", WordHashes), shared("hashing", "shapes", shape_table), np.zeros(1 << bits)
         dense[at] = w
         for b in batches:
             found = [_features(t.as_py(), bits, hashes, shapes) for t in b.column(1)]
