@@ -13,6 +13,8 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress, pairwise, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from termloom.session import staged
 
 CAPACITY, OPEN_BINS, SEPARATOR = 2048, 1024, 0
 #: Tasks whose open bins are packed together, text characters tokenised at a time, chunks of text whose ids are kept.
-MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 200_000
+MERGED_TASKS, STEP_CHARS, KEPT_CHUNKS = 64, 2_000_000, 300_000
 
 
 class Bins:
@@ -88,10 +90,12 @@ def _encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     ends[[n for t, n in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
     ids_of = lambda texts: [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(new: list[str]) -> None:
-        cores = [c.rstrip(_MARKS) for c in new]
-        words = list({c for c in cores if c.isalpha()} - kept.keys())
-        rest = {c for c, core in zip(new, cores, strict=True) if not core.isalpha()}
+    def learn(new: set[str]) -> None:
+        words = [c for c in new if c.isalpha()]
+        rest = new.difference(words)
+        marked = [(c, core) for c in rest if (core := c.rstrip(_MARKS)).isalpha()]
+        rest.difference_update([c for c, _ in marked])
+        words += {core for _, core in marked if core not in kept and core not in new}
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = ids_of([" ".join(some)])[0]
@@ -100,22 +104,25 @@ def _encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
                 rest.update(some)  # not one word each after all
                 continue
             raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            for c, i, j in zip(some, bounds, bounds[1:], strict=False):
-                kept[c] = raw[i:j]
-        rest.update(c[len(core) :] for c, core in zip(new, cores, strict=True) if core.isalpha())
+            kept.update(zip(some, [raw[i:j] for i, j in pairwise(bounds)], strict=True))
+        rest.update(c[len(core) :] for c, core in marked)
         rest = list(rest - kept.keys())
         for c, ids in zip(rest, ids_of(rest), strict=True):
             kept[c] = ids.tobytes()
-        for c, core in zip(new, cores, strict=True):
-            if c not in kept:
-                kept[c] = kept[core] + kept[c[len(core) :]]
+        for c, core in marked:
+            kept[c] = kept[core] + kept[c[len(core) :]]
 
     def encode(texts: list[str | None]) -> list[bytes]:
         plain = [t is None or "<|" not in t and unicodedata.is_normalized("NFC", t) for t in texts]
         split = [(t or "").replace("\n", " ").replace("Σ", "σ").lower().split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        if new := set().union(*(s for s in split if s)) - kept.keys():
-            learn(list(new))
-        out = [b"".join(map(kept.__getitem__, s)) if s else ids_of([t])[0].tobytes() for s, t in zip(split, texts, strict=True)]
+        found = [list(map(kept.get, s)) if s else [] for s in split]
+        missing = [list(compress(range(len(f)), map(is_, f, repeat(None)))) for f in found]
+        if new := {s[i] for s, m in zip(split, missing, strict=True) for i in m}:
+            learn(new)
+        for s, f, m in zip(split, found, missing, strict=True):
+            for i in m:
+                f[i] = kept[s[i]]
+        out = [b"".join(f) if s else ids_of([t])[0].tobytes() for s, f, t in zip(split, found, texts, strict=True)]
         trim(kept, KEPT_CHUNKS)
         return out
 
