@@ -11,6 +11,7 @@ from termloom.functions.text import casefold, match_case, overlaps, overreaches,
 from termloom.operators.policies import Context, outcomes
 from termloom.operators.memory import common_forms, synthesise_guards, vocabulary_of
 from termloom.operators.retrieve import candidates, text_key
+from termloom.session import staged
 from termloom.settings import Settings
 
 # Which reason names an applied change, and words of an instruction that lock its case.
@@ -59,7 +60,7 @@ def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     settings = settings or Settings()
     vocabulary = vocabulary_of(utterances.sparkSession, vocabulary)
     lexemes = synthesise_guards(lexemes, vocabulary)
-    found = candidates(utterances, lexemes, settings).drop("utterance_id")
+    found = staged(candidates(utterances, lexemes, settings).drop("utterance_id"), "candidates")  # read twice, and few beside the texts
     rows = utterances.select("utterance_id", "text", "app", "persona", row_key().alias("row_key"), text_key().alias("text_key"))
     rows = rows.dropDuplicates(["row_key"]).join(found, "text_key").drop("text_key")
     rows = rows.withColumns({"toks": tokens(F.col("text")), "regions": regions(F.col("text")), "siblings": F.col("found")})
