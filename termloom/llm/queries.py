@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import ann, chat, decontaminate, fim, packing, pii, quality, resample, simhash, toxicity, urlfilter, warc
+from termloom.llm import ann, chat, decontaminate, fim, media, packing, pii, quality, resample, simhash, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,6 +170,12 @@ SELECT doc_id, n::BIGINT AS n, form,
 """
 
 
+@query
+def op12_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, hashes and features of every document stored as a progressive JPEG and read back."""
+    return media.digest(media.decode(media.encode(table(spark, sf_dir, "documents"))))
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document, drawn towards the benchmark."""
