@@ -28,12 +28,13 @@ from termloom.llm.hashing import shared, trim
 from termloom.session import staged
 
 #: Fixed masks: 1 marks a position that counts. No overlap that is accepted lacks a seed, for items of SHORT words or more.
-MASKS = ("111111", "1111011", "11101011", "110110011", "11010001101")
+MASKS = ("111111", "1111011", "11101011", "110110011", "11010001101", "11001010011", "101001111", "10110111")
 #: Masks for items of just so many words, which the others would miss; items of fewer words than SHORT must agree whole.
 SHORT, SHORTEST_INSIDE = 6, 3
-SHORT_MASKS = {n: ("1" * n,) for n in range(1, SHORT)} | {6: ("11111",), 7: ("1110111",)}
+SHORT_MASKS = {n: ("1" * n,) for n in range(1, SHORT)} | {6: ("11111", "101111", "110111", "111011", "111101"), 7: ("1110111", "1011111", "1101111", "1111101"), 8: ("1011111",), 10: ("11001111", "1011111")}
 SPAN = max(map(len, MASKS))
-#: A stretch scores 1 for a word that agrees and MISS for one that doesn't; it needs so many agreeing words, or this share of a shorter item's.
+#: An item needs so many agreeing words, or this share of its own if those are fewer: then all words count that agree where it is laid. Of longer items
+#: the best stretch counts, where a word scores 1 if it agrees and MISS if not; so words that agree beyond two substituted ones for each four of them may be given up.
 MISS, MIN_WORDS, MIN_SHARE = -2, 12, 0.8
 #: Words of test items in one block of the index (about 100 bytes a word where it is broadcast), characters of documents compared at a time, hits laid out at a time.
 BLOCK_WORDS, STEP_CHARS, STEP_HITS = 250_000, 1_000_000, 2_000_000
@@ -189,14 +190,20 @@ class Index:
         return np.unique(np.concatenate(out), axis=0)
 
     def stretch(self, ids: np.ndarray, shift: int, item: int) -> tuple[int, int, int]:
-        """Of the item laid at shift: agreeing words of the best stretch (of equally good ones the first and shortest), and its bounds in ids."""
+        """Of the item laid at shift: agreeing words of a short item, or of the best stretch (of equally good ones the longest, then the first), and their bounds in ids."""
         s, n = self.start[item], self.length[item]
         low, high = max(0, -shift), min(n, len(ids) - shift)
         same = self.ids[s + low : s + high] == ids[shift + low : shift + high]
-        total = np.concatenate(([0], np.cumsum(np.where(same, 1, MISS))))
-        least = np.minimum.accumulate(total)
-        end = int(np.argmax(total - least))
-        begin = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
+        if MIN_SHARE * n <= MIN_WORDS:
+            at = np.flatnonzero(same)
+            begin, end = (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+        else:
+            total = np.concatenate(([0], np.cumsum(np.where(same, 1, MISS))))
+            least = np.minimum.accumulate(total)
+            ends = np.flatnonzero(total - least == (total - least).max())
+            begins = np.searchsorted(-least, -least[ends])  # the first place so low
+            k = int(np.argmax(ends - begins))
+            begin, end = int(begins[k]), int(ends[k])
         return int(same[begin:end].sum()), shift + low + begin, shift + low + end
 
     def needed(self, item: int, text: int) -> int:
@@ -289,8 +296,8 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def seed_filter(items: DataFrame) -> tuple[Broadcast, list[int]]:
-    """The filter of all items' words and seeds, at most MOST_BITS bits, made on the executors; and the masks that they use."""
-    total = items.agg(F.sum("words").alias("n"), F.collect_set(F.least("words", F.lit(SHORT + 2))).alias("sizes")).first()
+    """The filter of all items' words and seeds, at most MOST_BITS bits, made on the executors and packed by value, so that they need no copy of this package; and the masks that they use."""
+    total = items.agg(F.sum("words").alias("n"), F.collect_set(F.least("words", F.lit(max(SHORT_MASKS) + 1))).alias("sizes")).first()
     n_bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, int((total.n or 0) * FILTER_BITS - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,15 +314,16 @@ def seed_filter(items: DataFrame) -> tuple[Broadcast, list[int]]:
     flat[found.column("at").to_numpy()] = found.column("word").to_numpy().view("<u8")
     masks = sorted({m for n in total.sizes or [] for m in masks_of(n)})
     few = Vocabulary([r.text for r in items.select("text").toLocalIterator()]) if (total.n or 0) <= BLOCK_WORDS else None  # else words are looked up in the filter
-    return items.sparkSession.sparkContext.broadcast(Filter(n_bits, flat.view(np.uint8), few)), masks
+    return items.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Filter(n_bits, flat.view(np.uint8), few))), masks
 
 
 def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs(text), all columns, that share a seed with an item, and few that don't: one scan of all documents."""
-    known, masks = seed_filter(items)
+    packed, masks = seed_filter(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = known.value.vocabulary or shared(known.value.name, "words", lambda: WordIds(known.value))
+        known = cloudpickle.loads(packed.value)
+        kept = known.vocabulary or shared(known.name, "words", lambda: WordIds(known))
         for b in batches:
             near = []
             for texts in _steps(b.column("text")):
@@ -323,7 +331,7 @@ def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
                 own = np.zeros(len(texts), dtype=bool)
                 for mask in masks:
                     at, h = seeds(ids, mask)
-                    own[np.searchsorted(starts, at[known.value.passing(h)], "right") - 1] = True
+                    own[np.searchsorted(starts, at[known.passing(h)], "right") - 1] = True
                 near.append(own)
             yield b.filter(pa.array(np.concatenate(near)))
 

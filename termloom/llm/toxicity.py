@@ -6,18 +6,19 @@ what is broadcast is a short list of bounded size (at most 2 ** bits entries).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from termloom.llm.hashing import WordHashes, gram_indices, shared
 from termloom.session import staged
 
-#: Weights are 2 ** BITS at most; MAX_ROWS labelled documents, taken in the order of a hash of their ids, are learned from, and of them so many as have MAX_CHARS characters together.
+#: Weights are 2 ** BITS at most; MAX_ROWS labelled documents, taken in the order of a hash of their ids, are learned from, and of them those that fit into MAX_CHARS characters together.
 BITS, MAX_ROWS, MAX_CHARS, EPOCHS = 20, 8_000, 64_000_000, 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 FOLDS = 5
@@ -61,18 +62,34 @@ def sample(labels: DataFrame, target: Column, max_rows: int = MAX_ROWS) -> DataF
     return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Numbers of the sizes that are taken in order as long as they add up to at most ``most``; one that doesn't fit is passed over."""
+    out, left = [], most
+    for n, size in enumerate(sizes):
+        if size <= left:
+            out.append(n)
+            left -= size
+    return out
+
+
 def examples(docs: DataFrame, labels: DataFrame, target: Column, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(doc_id, y, text) of the sampled labels' documents: one text for each id (of rows that repeat it the one with the least hash), and the first in the order of the ids' hashes with at most max_chars characters together.
+    """(doc_id, y, text) of the sampled labels' documents: one text for each id (of rows that repeat it the one with the least hash), in the order of the ids' hashes, of at most max_chars characters together; a text that doesn't fit is passed over.
 
-    Only hashes and lengths are grouped, so however often an id repeats, one row of it leaves each task.
+    Only hashes and lengths are grouped, so however often an id repeats, one row of it leaves each task. The
+    driver sees hashes and lengths of at most max_rows texts. Warns where there is no labelled text;
+    ValueError if there are some, but each is longer than max_chars.
     """
     chosen = F.broadcast(staged(sample(labels, target, max_rows), "labels"))  # at most max_rows rows of 12 bytes
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = own.join(chosen, "doc_id").select("doc_id", "y", F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("n")).alias("of"))
-    one = staged(rows.groupBy("doc_id", "y").agg(F.min("of").alias("of")).select("doc_id", "y", "of.hash", "of.n"), "examples")
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of at most max_rows rows
-    kept = F.broadcast(one.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("doc_id", "y", "hash"))
-    texts = own.join(kept, "doc_id").where(F.xxhash64("text") == F.col("hash"))
+    one = rows.groupBy("doc_id", "y").agg(F.min("of").alias("of")).select("doc_id", "y", "of.hash", "of.n")
+    found = one.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    kept = found.take(np.array(fitting(found.column("n").to_pylist(), max_chars), dtype=np.int64)).select(["doc_id", "y", "hash"])
+    if not found.num_rows:
+        warnings.warn("no labelled text to learn from", stacklevel=2)
+    elif not kept.num_rows:
+        raise ValueError(f"no labelled text has at most {max_chars} characters")
+    texts = own.join(F.broadcast(docs.sparkSession.createDataFrame(kept.to_pylist(), "doc_id long, y int, hash long")), "doc_id").where(F.xxhash64("text") == F.col("hash"))
     return texts.groupBy("doc_id", "y").agg(F.first("text").alias("text"))
 
 
@@ -119,8 +136,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BIT
 def toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text), learned from labels(doc_id, toxic).
 
-    Null texts count as empty. Without usable labels each score is 0. Of rows that repeat a labelled
-    doc_id one is learned from.
+    Null texts count as empty. Without usable labels each score is 0, with a warning; labelled texts that
+    are all too long to learn from are an error. Of rows that repeat a labelled doc_id one is learned from.
     Rows that repeat a doc_id are scored by their own texts; a null id is not held out; extra columns
     are ignored; an empty table gives an empty result.
     """

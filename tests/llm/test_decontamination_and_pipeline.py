@@ -30,7 +30,7 @@ def placed(text):
 
 
 def brute(text, items):
-    """Every item at every shift: the best stretch (the first of equals), +1 for a word that agrees and -2 for one that doesn't."""
+    """Every item at every shift: all words that agree of items of up to 15 words, else those of the best stretch (the longest of equals), +1 for a word that agrees and -2 for one that doesn't."""
     w, out = dc.words(text), []
     for i, t in items:
         b = dc.words(t)
@@ -38,16 +38,12 @@ def brute(text, items):
             continue
         best = 0
         for shift in range(-len(b), len(w)):
-            run = n = most = words_ = 0
-            for j, x in enumerate(b):
-                if 0 <= shift + j < len(w):
-                    same = x == w[shift + j]
-                    run, n = (run + 1, n + 1) if same else (run - 2, n)
-                    if run <= 0:
-                        run = n = 0
-                    if run > most:
-                        most, words_ = run, n
-            best = max(best, words_)
+            same = [0 <= shift + j < len(w) and x == w[shift + j] for j, x in enumerate(b)]
+            run = most = (0, 0)  # score, agreeing words
+            for x in same:
+                run = max((0, 0), (run[0] + 1, run[1] + 1) if x else (run[0] - 2, run[1]))
+                most = max(most, run)
+            best = max(best, sum(same) if len(b) <= 15 else most[1])
         if best >= (len(b) if len(b) < dc.SHORT else min(dc.MIN_WORDS, -(-len(b) * 4 // 5))):
             out.append((best, i))
     return out
@@ -80,8 +76,8 @@ def test_against_brute_force(spark, docs, monkeypatch, block):
 
 
 def test_accepted_overlaps_have_a_seed():
-    """Each pattern of substitutions that verification accepts, in items of up to 17 words, has a window of a mask."""
-    for n in range(dc.SHORT, 18):
+    """Each pattern of substitutions that verification accepts, in items of up to 18 words, has a window of a mask."""
+    for n in range(dc.SHORT, 19):
         index = dc.Index([(1, " ".join(f"w{i}" for i in range(n)))])
         for k in range(0, n - index.needed(0, 99) + 1):
             for zeros in itertools.combinations(range(n), k):
@@ -91,6 +87,19 @@ def test_accepted_overlaps_have_a_seed():
                     assert len(index.diagonals(np.concatenate((ids, np.zeros(dc.SPAN, dtype=np.uint64))), np.array([0, n + dc.SPAN]))), (n, zeros)
 
 
+def test_every_single_substitution_is_found():
+    for n in range(6, 21):
+        index = dc.Index([(1, " ".join(f"w{i}" for i in range(n)))])
+        for k in range(n):
+            text = " ".join(["x"] * 9 + [f"w{i}" if i != k else "zzz" for i in range(n)] + ["y"] * 9)
+            got = index.overlaps(*dc.laid_out([text], index.words))
+            assert got[0][2] >= min(n - 1, 12), (n, k, got)
+    index = dc.Index([(1, " ".join(f"w{i}" for i in range(15)))])
+    for bad in itertools.combinations(range(15), 3):  # 12 of 15
+        text = " ".join("zzz" if i in bad else f"w{i}" for i in range(15))
+        assert index.overlaps(*dc.laid_out([text], index.words))[0][2] == 12
+
+
 def test_repeated_words_take_bounded_memory():
     index = dc.Index([(1, "ha " * 20_000), (2, "a b " * 2_000)])
     tracemalloc.start()

@@ -63,6 +63,43 @@ def test_repeats_of_a_labelled_id_are_learned_from_once(spark, tables):
     assert 0 < rows <= 3000
 
 
+def test_texts_over_the_bound_are_passed_over(spark, tables):
+    docs, labels, _ = tables
+    assert toxicity.fitting([5, 3, 9, 1, 2, 1], 6) == [0, 3] and toxicity.fitting([], 6) == [] and toxicity.fitting([7], 6) == []
+    rows = [(i, "long " * 300 if i % 3 else f"short {i}") for i in range(400)]
+    few = toxicity.examples(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.col("toxic").cast("int"), max_chars=1000).collect()
+    assert len(few) > 50 and all(len(r.text) < 1000 for r in few) and sum(len(r.text) for r in few) <= 1000
+    with pytest.raises(ValueError, match="at most 5 characters"):
+        toxicity.examples(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.col("toxic").cast("int"), max_chars=5)
+    with pytest.warns(UserWarning, match="no labelled text"):
+        toxicity.fit(docs, labels.limit(0))
+
+
+def test_weights_are_those_of_a_plain_ftrl(spark, tables):
+    """Per coordinate, from the published update: z += g - (sqrt(n + g g) - sqrt(n)) / alpha w, n += g g; w = 0 within L1."""
+    docs, labels, _ = tables
+    rows = toxicity.examples(docs, labels, F.col("toxic").cast("int")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").collect()
+    z, n, bias = Counter(), Counter(), 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0 if i == bias else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    hashes = WordHashes()
+    found = [([*gram_indices(r.text, toxicity.BITS, hashes).tolist(), bias], r.y) for r in rows]
+    for _ in range(toxicity.EPOCHS):
+        for at, y in found:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    at, w = toxicity.fit(docs, labels)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(at.tolist()) == set(want) and all(abs(want[i] - x) < 1e-9 for i, x in zip(at.tolist(), w.tolist(), strict=True))
+
+
 def test_scores_against_a_plain_scorer(spark, tables):
     docs, labels, _ = tables
     at, w = toxicity.fit(docs, labels)
