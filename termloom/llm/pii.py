@@ -1,11 +1,13 @@
 """Personal data and secrets replaced by keyed surrogates, in DataFrame functions only.
 
 A surrogate is a function of a secret key and the entity, so one entity has one surrogate wherever it
-stands. It keeps type and format: separators, letter case and classes, country codes, network digit and
-check digit of cards, check digits of bank accounts, the form of network addresses, gender and script of
-names. A pass over all entities finds surrogates shared by two of them, or equal to a real one, and gives
-those a further attempt until all are distinct. Parts of an address before and after its at sign are
-entities of their own.
+stands and however it is written. It keeps type and format: separators, letter case and classes, country
+codes, network digit and check digit of cards, check digits of bank accounts, the form of network addresses,
+gender and script of names. A pass over all entities finds surrogates shared by two of them, or equal to a
+real one, and gives those a further attempt until all are distinct. Parts of an address before and after its
+at sign are entities of their own, and so is each part of a name, with or without a title and whatever the
+title: how often it is a last name, a man's or a woman's in all texts decides what its surrogate looks like.
+A name or password that a text has once is replaced wherever that text has it.
 
 The patterns repeat single characters, possessive groups or groups of few repetitions only: Java's
 matcher recurses for any other repeated group, and a long text would overflow its stack.
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.columns import unused
+from termloom.llm.skew import join_hot
 from termloom.session import staged
 
 MALE, FEMALE = r"Mr|Herr|Señor|Monsieur|Signor|г-н|господин", r"Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Signora|г-жа|госпожа"
@@ -40,11 +43,11 @@ PATTERNS = {
     "password": r"(?i:password|passwd|pwd|secret)[=:][ \t]*[^\s\"'<>,;]{6,}",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "ip": r"(?<![\d.])(?<!(?i:version|release|build|firmware) )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(_iban(n, c) for n, c in IBAN.items()) + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7})(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,3}|0\d)(?:[ .-]\d{2}){3,4}|\+\d{8,15}|\+\d{1,3}[ .-](?:\(\d{1,4}\)|\d{1,4})[ .-]\d{6,8})(?!\w)",
+    "card": r"(?<![\d.-])(?!00)\d(?:[ -]?\d){12,18}(?!\d)",
+    "phone": r"(?<![\w+])(?!(?:(?:19|20)\d\d[ .-]){2}(?:19|20)\d\d(?!\d))(?:(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?|\d{1,3}[ .-])?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|(?:(?:\+|00)\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,3}|0\d)(?:[ .-]\d{2}){3,4}|(?:\+|00)\d{8,15}|(?:\+|00)\d{1,3}[ .-](?:\(\d{1,4}\)|\d{1,4})[ .-]\d{6,8})(?!\w)",
     "person": rf"(?<![\p{{L}}-]){TITLE}\.? {NAME}(?: {NAME}){{0,2}}",
 }
 #: No entity starts inside an ASCII word; one look back spares most positions the alternatives.
@@ -76,16 +79,21 @@ def _hash(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return F.concat(*[F.sha2(F.concat(of, F.lit(f"\x1f{n}")), 256) for n in range(3)])
 
 
+#: No type: digits in the form of a card whose check digit is wrong.
+NONE, NAMES = "none", ("latin", "cyrillic")
+
+
 def kind_of(found: Column) -> Column:
     """The first type whose whole pattern the match has."""
     whole = {k: F.regexp_extract(found, f"^(?:{p})$", 0) != "" for k, p in PATTERNS.items()}
-    return reduce(lambda acc, k: acc.when(whole[k], k), list(whole)[1:], F.when(whole["email"], "email"))
+    whole["card"] = whole["card"] & (_luhn(found) == 0)
+    return reduce(lambda acc, k: acc.when(whole[k], k), list(whole)[1:], F.when(whole["email"], "email")).otherwise(NONE)
 
 
 def _normal(kind: Column, found: Column) -> Column:
-    """What makes two mentions one entity: letters without case, no separators, passwords without their label."""
-    bare = F.regexp_replace(found, "[^A-Za-z0-9]", "")
-    return F.when(kind.isin("email", "domain"), F.lower(found)).when(kind == "ip", found).when(kind == "password", F.regexp_replace(found, r"^[^=:]*[=:][ \t]*", "")).when(kind == "key", bare).otherwise(F.lower(bare))
+    """What makes two mentions one entity: letters without case, no separators, phones without the zeros before a country code and the one that isn't dialled from abroad."""
+    bare = F.regexp_replace(F.when(kind == "phone", F.regexp_replace(found, r"^00|\(0\)", "")).otherwise(found), "[^A-Za-z0-9]", "")
+    return F.when(kind.isin("email", "domain"), F.lower(found)).when(kind.isin("ip", "password"), found).when(kind == "key", bare).otherwise(F.lower(bare))
 
 
 def _masked(text: Column, h: Column, hexes: Column, keep: Column, by_place: Column) -> Column:
@@ -156,129 +164,183 @@ def _pick(of: list[str], h: Column, at: int) -> Column:
     return F.get(F.split(F.lit(" ".join(of)), " "), _number(h, at, len(of)))
 
 
-def _name(kind: Column, token: Column, h: Column, attempt: Column) -> Column:
-    """A made-up name of the kind's script, gender and part; further attempts are longer."""
+def _name(kind: Column, style: Column, token: Column, h: Column, attempt: Column) -> Column:
+    """A made-up name of the kind's script and of a style (m, f or x, then s for a last name); further attempts are longer."""
 
     def made(table: dict, end: Column) -> Column:
         more = F.concat_ws("", F.transform(F.sequence(F.lit(1), attempt + 2), lambda i: F.get(F.split(F.lit(" ".join(table["inner"])), " "), _number(h, i + 4, len(table["inner"])))))
         return F.concat(_pick(table["heads"], h, 0), more, end)
 
     end_of = lambda t, k: _pick(t[k], h, 1)
-    latin = F.when(kind.endswith("s"), end_of(LATIN, "s")).when(kind.contains("_f"), end_of(LATIN, "f")).when(kind.contains("_x"), end_of(LATIN, "x")).otherwise(end_of(LATIN, "m"))
-    cyrillic = F.when(kind.endswith("fs"), end_of(CYRILLIC, "sf")).when(kind.endswith("xs"), end_of(CYRILLIC, "sx")).when(kind.endswith("s"), end_of(CYRILLIC, "sm"))
-    cyrillic = cyrillic.when(kind.contains("_f"), end_of(CYRILLIC, "f")).when(kind.contains("_x"), end_of(CYRILLIC, "x")).otherwise(end_of(CYRILLIC, "m"))
-    out = F.when(kind.startswith("cyrillic"), made(CYRILLIC, cyrillic)).otherwise(made(LATIN, latin))
+    by_gender = lambda t, last: F.when(style.startswith("f"), end_of(t, last + "f")).when(style.startswith("x"), end_of(t, last + "x")).otherwise(end_of(t, last + "m"))
+    latin = F.when(style.endswith("s"), end_of(LATIN, "s")).otherwise(by_gender(LATIN, ""))
+    cyrillic = F.when(style.endswith("s"), by_gender(CYRILLIC, "s")).otherwise(by_gender(CYRILLIC, ""))
+    out = F.when(kind == "cyrillic", made(CYRILLIC, cyrillic)).otherwise(made(LATIN, latin))
     return F.when((F.upper(token) == token) & (F.length(token) > 1), F.upper(out)).otherwise(out)
 
 
+LABEL = r"^[^=:]*[=:][ \t]*"
+
+
 def parts(found: Column) -> Column:
-    """The entities of a match as array of (kind, norm, value): one, or one for each part of a person's name or an address.
+    """The entities of a match as array of (kind, norm, value, mark): none, one, or one for each part of a person's name or an address.
 
-    What stands before an address's at sign is named by the whole address, so equal ones in two domains are two entities.
+    What stands before an address's at sign is named by the whole address, so equal ones in two domains are
+    two entities. mark: of names the title's gender (m, f, x), then s for the last of them.
     """
     return _let(F.struct(found.alias("m"), kind_of(found).alias("kind")), lambda x: _parts(x["m"], x["kind"]))
 
 
+def _entity(kind: Column, norm: Column, value: Column, mark: Column | None = None) -> Column:
+    return F.struct(kind.alias("kind"), norm.alias("norm"), value.alias("value"), (F.lit("") if mark is None else mark).alias("mark"))
+
+
+def _core(name: Column) -> Column:
+    return F.regexp_replace(name, "['\u2019]s$", "")
+
+
 def _parts(found: Column, kind: Column) -> Column:
     title = F.regexp_extract(found, rf"^{TITLE}\.? ", 0)
     names = F.split(F.substr(found, F.length(title) + 1), " ")
     gender = F.when(title.rlike(rf"^(?:{FEMALE})\.? "), "f").when(title.rlike(rf"^(?:{MALE})\.? "), "m").otherwise("x")
 
     def token(t: Column, i: Column) -> Column:
-        cyrillic, last = t.rlike(r"\p{IsCyrillic}"), i == F.size(names) - 1
-        sort = F.when(cyrillic, F.concat(F.lit("cyrillic_"), gender, F.when(last, "s").otherwise(""))).when(last, "latin_s").otherwise(F.concat(F.lit("latin_"), gender))
-        return F.struct(sort.alias("kind"), F.lower(t).alias("norm"), t.alias("value"))
+        sort = F.when(t.rlike(r"\p{IsCyrillic}"), NAMES[1]).otherwise(NAMES[0])
+        return _entity(sort, F.lower(_core(t)), _core(t), F.concat(gender, F.when(i == F.size(names) - 1, "s").otherwise("")))
 
-    one = F.array(F.struct(kind.alias("kind"), _normal(kind, found).alias("norm"), found.alias("value")))
-    entity = lambda k, n, v: F.struct(F.lit(k).alias("kind"), n.alias("norm"), v.alias("value"))
-    domain = F.substring_index(found, "@", -1)
-    address = F.array(entity("email", F.lower(found), F.substring_index(found, "@", 1)), entity("domain", F.lower(domain), domain))
-    return F.when(kind == "person", F.transform(names, token)).when(kind == "email", address).otherwise(one)
+    domain, secret = F.substring_index(found, "@", -1), F.regexp_replace(found, LABEL, "")
+    address = F.array(_entity(F.lit("email"), F.lower(found), F.substring_index(found, "@", 1)), _entity(F.lit("domain"), F.lower(domain), domain))
+    one = F.array(_entity(kind, _normal(kind, found), found))
+    none = F.filter(one, lambda _: F.lit(False))
+    return F.when(kind == NONE, none).when(kind == "person", F.transform(names, token)).when(kind == "email", address).when(kind == "password", F.array(_entity(kind, secret, secret))).otherwise(one)
 
 
-def surrogate(kind: Column, norm: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one entity, as parts() gives them."""
-    bound = F.struct(kind.alias("kind"), value.alias("value"), attempt.alias("attempt"), _hash(key, kind, norm, attempt).alias("h"))
-    return _let(bound, lambda x: _surrogate(x["kind"], x["value"], x["attempt"], x["h"]))
+def surrogate(kind: Column, norm: Column, value: Column, style: Column, attempt: Column, key: str) -> Column:
+    """The replacement of one entity, as parts() gives them; style: of names, see _name."""
+    bound = F.struct(kind.alias("kind"), norm.alias("norm"), value.alias("value"), style.alias("style"), attempt.alias("attempt"), _hash(key, kind, norm, attempt).alias("h"))
+    return _let(bound, lambda x: _surrogate(x["kind"], x["norm"], x["value"], x["style"], x["attempt"], x["h"]))
 
 
-def _surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Column:
-    label = F.when(kind == "password", F.regexp_extract(value, r"^[^=:]*[=:][ \t]*", 0)).when(kind == "phone", F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ .(-])|[17]|\d{2})", 0)).otherwise("")
-    body = F.substr(value, F.length(label) + 1)
-    hexes = (kind == "hex") | ((kind == "password") & body.rlike("^[0-9a-f]+$"))
-    keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0)
+#: Digits of phone numbers that stay: a country code of one to three digits, or the zero before an area code.
+CODES = r"^(?:[17]|2[1-69]\d|3[578]\d|42\d|50\d|59\d|6[7-9]\d|8[0578]\d|9[679]\d|0|\d\d)"
+
+
+def _surrogate(kind: Column, norm: Column, value: Column, style: Column, attempt: Column, h: Column) -> Column:
+    hexes = (kind == "hex") | ((kind == "password") & norm.rlike("^[0-9a-f]+$"))
+    keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "card", 1).when(kind == "phone", F.length(F.regexp_extract(norm, CODES, 0))).otherwise(0)
+    body = F.when(kind == "phone", F.regexp_replace(F.replace(value, F.lit("(0)"), F.lit("(+)")), "^00", "++")).otherwise(value)  # these aren't digits of the number
     given = F.struct(body.alias("body"), hexes.alias("hexes"), keep.alias("keep"))
     masked = _let(given, lambda x: _masked(x["body"], h, x["hexes"], x["keep"], kind.isin("password", "email")))
 
     def whole(new: Column) -> Column:
-        return F.when(kind == "card", _checked(value, new)).when(kind == "iban", _valid_iban(value, new)).when(kind == "email", _longer(new, attempt, h)).otherwise(F.concat(label, new))
+        phone = F.replace(F.regexp_replace(new, r"^\+\+", "00"), F.lit("(+)"), F.lit("(0)"))
+        return F.when(kind == "card", _checked(value, new)).when(kind == "iban", _valid_iban(value, new)).when(kind == "email", _longer(new, attempt, h)).when(kind == "phone", phone).otherwise(new)
 
-    return F.when(kind == "ip", _ip(value, h)).when(kind == "domain", _domain(value, h, attempt)).when(kind.rlike("^(latin|cyrillic)_"), _name(kind, value, h, attempt)).otherwise(_let(masked, whole))
+    return F.when(kind == "ip", _ip(value, h)).when(kind == "domain", _domain(value, h, attempt)).when(kind.isin(*NAMES), _name(kind, style, value, h, attempt)).otherwise(_let(masked, whole))
 
 
 def _compared(kind: Column, norm: Column, of: Column) -> Column:
     """What must be distinct: parts before an at sign only within their domain, as domains' surrogates are distinct themselves."""
-    return F.when(kind.rlike("^(latin|cyrillic)_"), F.lower(of)).when(kind == "email", F.concat_ws("@", F.lower(of), F.substring_index(norm, "@", -1))).otherwise(_normal(kind, of))
+    return F.when(kind.isin(*NAMES), F.lower(of)).when(kind == "email", F.concat_ws("@", F.lower(of), F.substring_index(norm, "@", -1))).otherwise(_normal(kind, of))
+
+
+def entities_of(mentions: DataFrame) -> DataFrame:
+    """(kind, norm, style, n) of the distinct entities of mentions(kind, norm, mark): their styles by most of their mentions, ties neutral, and how many mentions they have."""
+    count = lambda x: F.count(F.when(x, 1))
+    mark = F.col("mark")
+    found = mentions.groupBy("kind", "norm").agg(F.count("*").alias("n"), count(mark.startswith("m")).alias("m"), count(mark.startswith("f")).alias("f"), count(mark.endswith("s")).alias("s"))
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("x")
+    style = F.when(F.col("kind").isin(*NAMES), F.concat(gender, F.when(2 * F.col("s") >= F.col("n"), "s").otherwise(""))).otherwise("")
+    return found.select("kind", "norm", style.alias("style"), "n")
 
 
 def collisions(entities: DataFrame, key: str, max_attempts: int = 50) -> DataFrame | None:
-    """(kind, norm, attempt) of the entities(kind, norm), distinct, whose first surrogate isn't their own; None if there are none."""
+    """(kind, norm, style, n, attempt) of those entities(kind, norm, style, n) whose surrogate doesn't follow from kind and norm alone: all names, and entities whose first surrogate isn't their own. None if there are none."""
 
     def tried(rows: DataFrame, n: int) -> DataFrame:
         value = F.when(F.col("kind") == "email", F.substring_index("norm", "@", 1)).otherwise(F.col("norm"))
-        new = surrogate(F.col("kind"), F.col("norm"), value, F.lit(n), key)
-        return rows.select("kind", "norm", F.lit(n).alias("attempt"), _compared(F.col("kind"), F.col("norm"), new).alias("new"))
+        new = surrogate(F.col("kind"), F.col("norm"), value, F.col("style"), F.lit(n), key)
+        return rows.select("kind", "norm", "style", "n", F.lit(n).alias("attempt"), _compared(F.col("kind"), F.col("norm"), new).alias("new"))
 
-    def split(rows: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def split(rows: DataFrame, taken: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Those whose surrogate is free and theirs, and the rest. Of several with one surrogate the least entity keeps it."""
         owner = rows.groupBy("kind", "new").agg(F.min("norm").alias("owner")).join(taken, ["kind", "new"], "left_anti")
         marked = rows.join(owner, ["kind", "new"], "left").withColumn("own", F.col("owner").eqNullSafe(F.col("norm")))
-        return marked.where("own").drop("own", "owner"), marked.where("not own").select("kind", "norm")
+        marked = staged(marked.drop("owner"), name)
+        return marked.where("own").drop("own"), marked.where("not own").select("kind", "norm", "style", "n")
 
     real = entities.where("kind <> 'email'").select("kind", F.col("norm").alias("new"))  # no address with a new domain is a real one
-    done, rest = split(tried(entities, 0), real)
-    rest = staged(rest, "rest")
+    done, rest = split(tried(entities, 0), real, "first")
+    found = done.where(F.col("kind").isin(*NAMES))
     if rest.isEmpty():
-        return None
-    taken, found = real.union(done.select("kind", "new")), None
+        return None if found.isEmpty() else found.drop("new")
+    taken = real.union(done.select("kind", "new"))
     for n in range(1, max_attempts):
-        done, rest = split(staged(tried(rest, n), "tried"), taken)
-        done, rest = staged(done, "done"), staged(rest, "rest")
-        found = done if found is None else found.union(done)
+        done, rest = split(staged(tried(rest, n), "tried"), taken, "again")
+        found = found.union(done)
         taken = taken.union(done.select("kind", "new"))
         if rest.isEmpty():
-            return found.select("kind", "norm", "attempt")
+            return found.drop("new")
     raise RuntimeError("no distinct surrogates")
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
-    """The rows and columns of docs(doc_id, text) with ``text`` replaced and ``n_entities`` (int) added.
+    """The rows and columns of docs(doc_id, text) with ``text`` replaced and ``n_entities`` (int, those found by their form) added.
 
     Null texts stay null, with no entities. Rows that repeat stay; extra columns stay, but an own
-    n_entities is replaced; an empty table gives an empty result. Rare surrogates that need a further
-    attempt are joined by document; without any there is no join and no shuffle of texts.
+    n_entities is replaced; an empty table gives an empty result. What names look like and rare surrogates
+    that need a further attempt are joined by document; without any there is no join and no shuffle of texts.
     """
     text, names = F.col("text"), [c for c in docs.columns if c.lower() != "n_entities"]
-    row, own, again = (unused(docs, c) for c in ("row", "found", "tries"))
+    row, own, again, known, pattern = (unused(docs, c) for c in ("row", "found", "tries", "known", "pattern"))
     none = F.array().cast("array<string>")
     found = F.coalesce(F.when(_hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), none)
-    entities = docs.select(F.explode(found).alias("m")).select(F.inline(parts(F.col("m")))).select("kind", "norm").distinct()
-    exceptions = collisions(staged(entities, "entities"), key)
+    row_of = F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text"))
+    exploded = docs.select(row_of.alias("row"), F.explode(found).alias("m")).select("row", F.inline(parts(F.col("m"))))
+    mentions = staged(exploded.select("row", "kind", "norm", "mark"), "mentions")
+    exceptions = collisions(staged(entities_of(mentions), "entities"), key)
     rows = docs.select(*names, found.alias(own))
-    untried = F.create_map().cast("map<string,int>")
+    entity = F.concat_ws("\x1f", "kind", "norm")
+    how = F.struct("style", "attempt")
+    untried = F.create_map().cast("map<string,struct<style:string,attempt:int>>")
     if exceptions is None:
         rows = rows.withColumn(again, untried)
     else:
-        rows = rows.withColumn(row, F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text")))
-        named = rows.select(F.col(row).alias("row"), F.explode(own).alias("m")).select("row", F.inline(parts(F.col("m")))).select("row", "kind", "norm").distinct()
-        tries = named.join(exceptions, ["kind", "norm"]).groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("tries"))
+        rows = rows.withColumn(row, row_of)
+        named = exceptions.select(entity.alias("entity"), "n", how.alias("how"))
+        tries = join_hot(mentions.select("row", entity.alias("entity")), named, "entity", "n", mentions.count())
+        tries = tries.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "how"))).alias("tries"))
         tries = tries.select(F.col("row").alias(unused(docs, "other")), F.col("tries").alias(again))
         rows = rows.join(tries, F.col(row).eqNullSafe(F.col(tries.columns[0])), "left").drop(row, tries.columns[0]).withColumn(again, F.coalesce(F.col(again), untried))
 
-    def replaced(m: Column) -> Column:
-        new = F.transform(parts(m), lambda e: surrogate(e["kind"], e["norm"], e["value"], F.coalesce(F.try_element_at(F.col(again), F.concat_ws("\x1f", e["kind"], e["norm"])), F.lit(0)), key))
-        return F.concat(F.regexp_extract(m, rf"^{TITLE}\.? (?={NAME})", 0), F.when(kind_of(m) == "email", F.concat_ws("@", new)).otherwise(F.concat_ws(" ", new)))
+    def new_of(e: Column) -> Column:
+        at = F.try_element_at(F.col(again), F.concat_ws("\x1f", e["kind"], e["norm"]))
+        return surrogate(e["kind"], e["norm"], e["value"], F.coalesce(at["style"], F.lit("")), F.coalesce(at["attempt"], F.lit(0)), key)
+
+    # names and passwords of the text, also in capitals, with what replaces them wherever they stand
+    anywhere = F.filter(F.flatten(F.transform(F.filter(F.col(own), lambda m: m.rlike(f"^(?:{PATTERNS['person']}|{PATTERNS['password']})$")), parts)), lambda e: e["kind"].isin("password", *NAMES))
+    pair = lambda e: F.struct(e["value"].alias("hit"), new_of(e).alias("new"))
+    capital = F.transform(F.filter(anywhere, lambda e: e["kind"] != "password"), lambda e: _entity(e["kind"], e["norm"], F.upper(e["value"]), e["mark"]))
+    rows = rows.withColumn(known, F.array_distinct(F.transform(F.concat(anywhere, capital), pair)))
+    quoted = F.array_join(F.transform(F.col(known), lambda k: F.concat(F.lit(r"\Q"), F.replace(k["hit"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
+    rows = rows.withColumn(pattern, F.when(F.size(known) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}_])"))))
 
-    gaps = F.split(text, F.lit(ANY), F.lit(-1))
-    joined = F.concat_ws("", F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(own), replaced(F.get(own, i))).otherwise(F.lit("")))))
-    return rows.withColumn("text", F.when(F.size(own) > 0, joined).otherwise(text)).withColumn("n_entities", F.size(own)).select(*names, "n_entities")
+    def woven(pieces: Column, hits: Column, put: Callable[[Column], Column]) -> Column:
+        return F.concat_ws("", F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(hits), put(F.get(hits, i))).otherwise(F.lit("")))))
+
+    def replaced(m: Column) -> Column:
+        kind = kind_of(m)
+        head = F.when(kind == "person", F.regexp_extract(m, rf"^{TITLE}\.? (?={NAME})", 0)).when(kind == "password", F.regexp_extract(m, LABEL, 0)).otherwise("")
+        tails = F.transform(F.split(F.substr(m, F.length(head) + 1), " "), lambda t: F.substr(t, F.length(_core(t)) + 1))
+        new = F.transform(parts(m), new_of)
+        by_kind = F.when(kind == NONE, m).when(kind == "email", F.concat_ws("@", new)).when(kind == "person", F.concat_ws(" ", F.zip_with(new, tails, lambda x, y: F.concat(x, y)))).otherwise(F.concat_ws(" ", new))
+        return F.concat(head, by_kind)
+
+    def elsewhere(gap: Column) -> Column:
+        hits = F.regexp_extract_all(gap, F.col(pattern), F.lit(0))
+        put = lambda h: F.get(F.filter(F.col(known), lambda k: k["hit"] == h), 0)["new"]
+        return F.when(F.col(pattern).isNull(), gap).otherwise(_let(hits, lambda h: woven(F.split(gap, F.col(pattern), -1), h, put)))
+
+    gaps = F.transform(F.split(text, F.lit(ANY), F.lit(-1)), elsewhere)
+    n = F.size(F.filter(F.col(own), lambda m: kind_of(m) != NONE))
+    return rows.withColumn("text", F.when(F.size(own) > 0, woven(gaps, F.col(own), replaced)).otherwise(text)).withColumn("n_entities", n).select(*names, "n_entities")
