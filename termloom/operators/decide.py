@@ -13,6 +13,7 @@ from termloom.operators.memory import common_forms, synthesise_guards, vocabular
 from termloom.operators.retrieve import candidates, text_key
 from termloom.session import staged
 from termloom.settings import Settings
+from termloom.sources.store import with_memory
 
 # Which reason names an applied change, and words of an instruction that lock its case.
 APPLY_REASONS = ("standing_instruction", "context_supported", "exact_observed_variant", "declared_by_user", "phonetic_high_confidence")
@@ -20,13 +21,14 @@ CASE_LOCKS = ("lowercase", "capitalis", "capitaliz", "upper", "hyphenated")
 
 
 def neighbours(lexemes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lexemes with partners (cooccurs) and rivals (conflicts), edges read both ways; retired rivals don't count."""
-    both = edges.select("a", "b", "rel").union(edges.select("b", "a", "rel"))
-    live = both.join(lexemes.where("state <> 'retired'").select(F.col("lexeme_id").alias("b")), "b", "left_semi")
-    of = live.groupBy("a").agg(*[F.collect_set(F.when(F.col("rel") == rel, F.col("b"))).alias(name) for rel, name in (("cooccurs", "partners"), ("conflicts", "rivals"))])
+    """Lexemes with partners (cooccurs) and rivals (conflicts) in their memory, edges read both ways; retired rivals don't count."""
+    names, lexemes, edges = lexemes.columns, with_memory(lexemes), with_memory(edges)
+    both = edges.select("memory_id", "a", "b", "rel").union(edges.select("memory_id", "b", "a", "rel"))
+    live = both.join(lexemes.where("state <> 'retired'").select("memory_id", F.col("lexeme_id").alias("b")), ["memory_id", "b"], "left_semi")
+    of = live.groupBy(F.col("memory_id").alias("_memory"), "a").agg(*[F.collect_set(F.when(F.col("rel") == rel, F.col("b"))).alias(name) for rel, name in (("cooccurs", "partners"), ("conflicts", "rivals"))])
     none = F.array().cast("array<string>")
-    out = lexemes.join(of, lexemes["lexeme_id"] == of["a"], "left").drop("a")
-    return out.withColumns({n: F.coalesce(n, none) for n in ("partners", "rivals")})
+    out = lexemes.join(of, (lexemes["lexeme_id"] == of["a"]) & (lexemes["memory_id"] == of["_memory"]), "left")
+    return out.select(*names, *[F.coalesce(n, none).alias(n) for n in ("partners", "rivals")])
 
 
 def verdict(trail: Column, state: Column, settings: Settings) -> Column:
@@ -46,27 +48,30 @@ def verdict(trail: Column, state: Column, settings: Settings) -> Column:
 
 
 def row_key() -> Column:
-    """What makes two rows of utterances one: id, text and where it was said."""
-    return F.struct("utterance_id", F.xxhash64("text", "app", "persona").alias("row"))
+    """What makes two rows of utterances one: id, text, where it was said, and the memory."""
+    return F.struct("utterance_id", F.xxhash64("text", "app", "persona", "memory_id").alias("row"))
 
 
 def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None) -> DataFrame:
-    """One row a candidate of utterances(utterance_id, text, app, persona): its lexeme, span, outcomes, score, verdict, reason, and the row_key of what it stands in.
+    """One row a candidate of utterances(utterance_id, text, app, persona[, memory_id]): its lexeme, span, outcomes, score, verdict, reason, and the row_key of what it stands in.
 
     vocabulary: common words, case folded, as a table (word) or a list; None: the engine's own few. Terms
     that are common words get the guards that ``memory.synthesise_guards`` makes. Repeated rows count once; rows
-    that share an id but not their text, app and persona are resolved each by itself.
+    that share an id but not their text, app, persona and memory are resolved each by itself. With memory_id on
+    utterances, lexemes and edges each utterance is decided by its own memory, all memories in one job.
     """
-    settings = settings or Settings()
+    settings, many = settings or Settings(), "memory_id" in utterances.columns
+    utterances, lexemes, edges = with_memory(utterances), with_memory(lexemes), with_memory(edges)
     vocabulary = vocabulary_of(utterances.sparkSession, vocabulary)
     lexemes = synthesise_guards(lexemes, vocabulary)
     found = staged(candidates(utterances, lexemes, settings).drop("utterance_id"), "candidates")  # read twice, and few beside the texts
-    rows = utterances.select("utterance_id", "text", "app", "persona", row_key().alias("row_key"), text_key().alias("text_key"))
+    rows = utterances.select("utterance_id", "memory_id", "text", "app", "persona", row_key().alias("row_key"), text_key().alias("text_key"))
     rows = rows.dropDuplicates(["row_key"]).join(found, "text_key").drop("text_key")
     rows = rows.withColumns({"toks": tokens(F.col("text")), "regions": regions(F.col("text")), "siblings": F.col("found")})
     rows = rows.select("*", F.explode("found").alias("c")).drop("found")
     x = neighbours(lexemes, edges)
-    rows = rows.join(x.select(F.col("lexeme_id").alias("_id"), F.struct(*x.columns).alias("x")), F.col("c.lexeme_id") == F.col("_id")).drop("_id")
+    of = x.select(F.col("memory_id").alias("_memory"), F.col("lexeme_id").alias("_id"), F.struct(*x.columns).alias("x"))
+    rows = rows.join(of, (F.col("c.lexeme_id") == F.col("_id")) & (F.col("memory_id") == F.col("_memory"))).drop("_id", "_memory")
     rows = common_forms(rows, F.col("c.text"), vocabulary, "ordinary")
     siblings = F.filter("siblings", lambda s: ~((s["lexeme_id"] == F.col("c.lexeme_id")) & (s["start"] == F.col("c.start")) & (s["end"] == F.col("c.end"))))
     k = Context(F.col("c"), F.col("x"), siblings, F.col("text"), F.col("toks"), F.col("regions"), F.col("app"), F.col("persona"), F.col("ordinary"))
@@ -75,7 +80,7 @@ def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     return rows.select(
         "row_key", "utterance_id", "c.lexeme_id", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.text").alias("span_text"),
         F.col("c.via").alias("via"), F.col("c.score").alias("retrieval_score"), "outcomes", "v.score", "v.verdict", "v.reason",
-        F.when(F.col("v.verdict") == "apply", F.col("x.canonical")).alias("replacement"), F.col("x.instruction").alias("instruction"),
+        F.when(F.col("v.verdict") == "apply", F.col("x.canonical")).alias("replacement"), F.col("x.instruction").alias("instruction"), *["memory_id"] * many,
     )
 
 
@@ -97,17 +102,19 @@ def chosen(resolutions: Column) -> Column:
 def correct(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None, gated: DataFrame | None = None) -> DataFrame:
     """One row for each utterance, also where nothing is done: output_text, gate_passed, intervened, resolutions, primary_reason.
 
-    utterances(utterance_id, asr_text, formatted_text, app, persona); without formatted text the recognised
+    utterances(utterance_id, asr_text, formatted_text, app, persona[, memory_id]); without formatted text the recognised
     text is used. Rows that share an id are corrected each by its own text. vocabulary as in ``resolve``. gated: ids of open utterances where known (as ``retrieve.gate`` gives them), else the gate
     counts as passed where there are candidates.
     """
-    rows = utterances.withColumn("text", F.coalesce(F.when(F.col("formatted_text") != "", F.col("formatted_text")), "asr_text", F.lit("")))
+    many = "memory_id" in utterances.columns
+    rows = with_memory(utterances).withColumn("text", F.coalesce(F.when(F.col("formatted_text") != "", F.col("formatted_text")), "asr_text", F.lit("")))
     found = resolve(rows, lexemes, edges, settings, vocabulary)
     each = F.struct("span_start", "span_end", "lexeme_id", "span_text", "replacement", "via", "score", "verdict", "reason", "outcomes", "instruction")
     grouped = found.groupBy("row_key").agg(F.sort_array(F.collect_list(each)).alias("resolutions"))
     out = rows.withColumn("row_key", row_key()).join(grouped, "row_key", "left").drop("row_key")
     if gated is not None:
-        out = out.join(gated.select("utterance_id", F.lit(True).alias("gate_passed")), "utterance_id", "left").fillna(False, ["gate_passed"])
+        own = [c for c in ("utterance_id", "memory_id") if c in gated.columns]
+        out = out.join(gated.select(*own, F.lit(True).alias("gate_passed")), own, "left").fillna(False, ["gate_passed"])
     else:
         out = out.withColumn("gate_passed", F.col("resolutions").isNotNull())
     out = out.withColumn("resolutions", F.coalesce("resolutions", F.array().cast(grouped.schema["resolutions"].dataType)))
@@ -115,7 +122,8 @@ def correct(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     out = out.withColumn("output_text", splice(F.col("text"), F.col("changes")))
     first = F.coalesce(F.get(F.filter("resolutions", lambda r: r["verdict"] == "apply"), 0), F.get("resolutions", 0))
     applied = F.exists("resolutions", lambda r: r["verdict"] == "apply")
-    return out.withColumns({"intervened": applied & (F.col("output_text") != F.col("text")), "primary_reason": first["reason"]})
+    out = out.withColumns({"intervened": applied & (F.col("output_text") != F.col("text")), "primary_reason": first["reason"]})
+    return out if many else out.drop("memory_id")
 
 
 def verified(decisions: DataFrame, settings: Settings | None = None) -> DataFrame:

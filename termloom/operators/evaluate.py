@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.operators.decide import APPLY_REASONS
+from termloom.operators.decide import APPLY_REASONS, correct
 from termloom.session import staged
+from termloom.settings import Settings
+from termloom.sources.store import with_memory
 
 
 def picked_reason(resolutions: Column, gate_passed: Column) -> Column:
@@ -94,13 +96,38 @@ def rates(judged: DataFrame) -> DataFrame:
     return judged.agg(rate(F.col("outcome") == "harmful", ~wants).alias("false_interventions"), rate(F.col("outcome") == "useful", wants).alias("recall"))
 
 
-def overridden(lexemes: DataFrame, overrides: DataFrame) -> DataFrame:
-    """lexemes for each case of overrides(case_id, lexeme_id, state, learning_enabled, last_used): given values replace a lexeme's own in that case."""
-    cases = overrides.groupBy("lexeme_id").agg(F.map_from_entries(F.collect_list(F.struct("case_id", F.struct("state", "learning_enabled", "last_used")))).alias("_patch"))
-    every = overrides.agg(F.sort_array(F.collect_set("case_id")).alias("ids")).first().ids  # the cases of one run
-    rows = lexemes.join(cases, "lexeme_id", "left").withColumn("case_id", F.explode(F.array(*map(F.lit, every)).cast("array<string>")))
-    own = F.try_element_at(F.coalesce("_patch", F.create_map().cast(cases.schema["_patch"].dataType)), F.col("case_id"))
-    return rows.withColumns({c: F.coalesce(own[c], F.col(c)) for c in ("state", "learning_enabled", "last_used")}).drop("_patch").select("case_id", *lexemes.columns)
+#: What a case may give its terms instead of their own.
+OVERRIDES = ("state", "learning_enabled", "last_used", "guards")
+
+
+def case_memories(cases: DataFrame, lexemes: DataFrame, edges: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, lexemes, edges) in which memory_id names for every case the memory that it asks for.
+
+    cases(case_id[, memory_id]), lexemes and edges with the memory_id of a persona, overrides(case_id, lexeme_id
+    and any of OVERRIDES; nulls keep a term's own value). A case without overrides uses its persona's memory
+    as it is; one with some has a memory of its own, ``case:`` and its id, a copy with the given values. Of
+    rows that repeat a case and a lexeme the first in the order of the values counts; lexemes that the memory
+    lacks are passed over.
+    """
+    cases, lexemes, edges = with_memory(cases), with_memory(lexemes), with_memory(edges)
+    given = [c for c in OVERRIDES if c in overrides.columns]
+    patch = overrides.groupBy("case_id", "lexeme_id").agg(F.min(F.struct(*given)).alias("_patch"))
+    own = overrides.select("case_id").distinct().withColumn("_own", F.concat(F.lit("case:"), "case_id"))
+    cases = cases.join(own, "case_id", "left")
+    copies = cases.where("_own is not null").select("case_id", "memory_id", "_own").distinct()
+    copied = lexemes.join(copies, "memory_id").join(patch, ["case_id", "lexeme_id"], "left")
+    copied = copied.withColumns({c: F.coalesce(F.col(f"_patch.{c}"), F.col(c)) for c in given} | {"memory_id": F.col("_own")}).select(*lexemes.columns)
+    links = edges.join(copies, "memory_id").withColumn("memory_id", F.col("_own")).select(*edges.columns)
+    return cases.withColumn("memory_id", F.coalesce("_own", "memory_id")).drop("_own"), lexemes.unionByName(copied), edges.unionByName(links)
+
+
+def run_cases(cases: DataFrame, lexemes: DataFrame, edges: DataFrame, overrides: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None) -> DataFrame:
+    """Every case of cases(case_id, asr_text, formatted_text, app, persona, expect, expected, expected_reason[, must_not_contain]) corrected with the memory that it asks for, all in one job: output, reason (picked_reason), outcome, passed."""
+    cases, lexemes, edges = case_memories(cases, lexemes, edges, overrides)
+    said = cases.select(F.col("case_id").alias("utterance_id"), "memory_id", "asr_text", "formatted_text", "app", "persona")
+    done = correct(said, lexemes, edges, settings, vocabulary)
+    done = done.select(F.col("utterance_id").alias("case_id"), F.col("text").alias("source"), F.col("output_text").alias("output"), picked_reason(F.col("resolutions"), F.col("gate_passed")).alias("reason"))
+    return judge(cases.join(done, "case_id"))
 
 
 def swept(resolutions: DataFrame, thresholds: list[float]) -> DataFrame:

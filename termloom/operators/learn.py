@@ -92,24 +92,81 @@ class Term:
             old["provenance"] = provenance
 
 
+class Index:
+    """An inverted index from normal forms and sounds to terms, kept up to date as terms change.
+
+    Terms within the attribution distance share a compared key or differ by blanks and hyphens only: without a
+    common key the other two parts of a distance are too small. So the terms under a form's keys are all that
+    can match it, and a look-up costs what they are, however many terms there are.
+    """
+
+    def __init__(self) -> None:
+        self.by_form: dict[str, dict[str, None]] = {}
+        self.by_sound: dict[str, dict[str, None]] = {}
+        self.of: dict[str, tuple[set[str], set[str]]] = {}
+        self.place: dict[str, int] = {}
+
+    def upsert(self, term: Term) -> None:
+        """Take a term in, or in again after a change; a retired one goes."""
+        place = self.place.get(term.lexeme_id, len(self.place))
+        self.remove(term.lexeme_id)
+        self.place[term.lexeme_id] = place
+        if term.state == "retired":
+            return
+        entry = term.norms() - {""}, phonetics.sound_keys(term.canonical)
+        self.of[term.lexeme_id] = entry
+        for table, keys in zip((self.by_form, self.by_sound), entry, strict=True):
+            for k in keys:
+                table.setdefault(k, {})[term.lexeme_id] = None
+
+    def remove(self, lexeme_id: str) -> None:
+        for table, keys in zip((self.by_form, self.by_sound), self.of.pop(lexeme_id, (set(), set())), strict=True):
+            for k in keys:
+                table[k].pop(lexeme_id)
+                if not table[k]:
+                    del table[k]
+
+    def exact(self, norm: str) -> str | None:
+        """The first term, in the order they came, that has the normal form."""
+        return min(self.by_form.get(norm, ()), key=self.place.__getitem__, default=None)
+
+    def near(self, form: str) -> list[str]:
+        """All terms that may be within the attribution distance of a form, in the order they came."""
+        return sorted({i for k in phonetics.sound_keys(form) for i in self.by_sound.get(k, ())}, key=self.place.__getitem__)
+
+
 class Memory:
     """The ordered fold of one memory's judged observations."""
 
     def __init__(self, settings: Settings, terms: Iterable[Term] = ()) -> None:
-        self.settings, self.terms, self.tombstones = settings, {t.lexeme_id: t for t in terms}, []
+        if settings.attribution_distance >= phonetics.WEIGHTS[0]:
+            raise ValueError(f"attribution_distance must be below {phonetics.WEIGHTS[0]}, as the index finds no farther terms")
+        self.settings, self.terms, self.tombstones, self.index = settings, {}, [], Index()
+        self.buried: dict[str, int] = {}
+        for t in terms:
+            self.terms[t.lexeme_id] = t
+            self.index.upsert(t)
 
     def match(self, form: str) -> Term | None:
-        """The first term that has the form, else the nearest in sound within the limit."""
+        """The first live term that has the form, else the nearest in sound within the limit."""
         flat = phonetics.normalise(form)
-        live = [t for t in self.terms.values() if t.state != "retired"]
-        exact = next((t for t in live if flat and flat in t.norms()), None)
-        if exact or not flat or not live:
-            return exact
-        near = min(live, key=lambda t: phonetics.distance(t.canonical, form))
-        return near if phonetics.distance(near.canonical, form) <= self.settings.attribution_distance else None
+        if not flat:
+            return None
+        found = self.index.exact(flat)
+        if found is None:
+            near = [(phonetics.distance(self.terms[i].canonical, form), n, i) for n, i in enumerate(self.index.near(form))]
+            far, _, found = min(near, default=(1.0, 0, None))
+            found = found if far <= self.settings.attribution_distance else None
+        return self.terms.get(found)
 
     def observe(self, o: dict) -> str | None:
         """Fold one observation; the id of the term it is about."""
+        found = self._observe(o)
+        if found is not None:
+            self.index.upsert(self.terms[found])
+        return found
+
+    def _observe(self, o: dict) -> str | None:
         source, at, after, before = o["source"], o.get("at"), o.get("after_form") or "", o.get("before_form")
         if o.get("accepted") is False:
             return None
@@ -150,7 +207,7 @@ class Memory:
 
     def _instruct(self, o: dict, after: str, at: str | None) -> str | None:
         flat = phonetics.normalise(after)
-        term = next((t for t in self.terms.values() if flat and flat in t.norms()), None)
+        term = self.terms.get(self.index.exact(flat))
         if term is None:
             if not flat:
                 return None
@@ -164,7 +221,8 @@ class Memory:
     def _bury(self, term: Term, reason: str, at: str | None) -> None:
         """Keep what a term was as it is deleted or renamed; a renamed one replaces itself."""
         forms = [term.canonical, *(v["form"] for v in term.variants.values())]
-        n = sum(t["source_lexeme_id"] == term.lexeme_id for t in self.tombstones)
+        n = self.buried.get(term.lexeme_id, 0)
+        self.buried[term.lexeme_id] = n + 1
         heir = term.lexeme_id if reason == "supersession" else None
         self.tombstones.append({"id": f"{term.lexeme_id}/{n}", "reason": reason, "canonical": term.canonical, "match_forms": forms, "source_lexeme_id": term.lexeme_id, "replacement_lexeme_id": heir, "created_at": at})
 
@@ -183,6 +241,8 @@ class Memory:
         kept = json.loads(data or '{"terms": [], "tombstones": []}')
         made = Memory(settings, (Term(**t) for t in kept["terms"]))
         made.tombstones = kept["tombstones"]
+        for t in made.tombstones:
+            made.buried[t["source_lexeme_id"]] = made.buried.get(t["source_lexeme_id"], 0) + 1
         return made
 
 
@@ -199,9 +259,13 @@ def records(rows: pd.DataFrame) -> Iterator[dict]:
         yield {k: (None if v is None or (not isinstance(v, (dict, list, str)) and pd.isna(v)) else v) for k, v in r.items()} | {"at": str(r["at"])}
 
 
-def snapshot(memory_id: str, memory: Memory) -> pd.DataFrame:
-    buried = lambda t: [x for x in memory.tombstones if x["source_lexeme_id"] == t.lexeme_id]
-    rows = [{"memory_id": memory_id} | asdict(t) | {"variants": list(t.variants.values()), "tombstones": buried(t)} for t in memory.terms.values()]
+def snapshot(memory_id: str, memory: Memory, ids: Iterable[str] | None = None) -> pd.DataFrame:
+    """Rows of a memory's terms, or of those with some ids."""
+    buried: dict[str, list[dict]] = {}
+    for t in memory.tombstones:
+        buried.setdefault(t["source_lexeme_id"], []).append(t)
+    terms = memory.terms.values() if ids is None else [memory.terms[i] for i in ids]
+    rows = [{"memory_id": memory_id} | asdict(t) | {"variants": list(t.variants.values()), "tombstones": buried.get(t.lexeme_id, [])} for t in terms]
     return pd.DataFrame(rows, columns=["memory_id", *(c for c in Term.__dataclass_fields__), "tombstones"])[[c.split(" ")[0] for c in SNAPSHOT.split(", ")]]
 
 

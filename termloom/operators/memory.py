@@ -15,6 +15,7 @@ from termloom.functions.text import age_days, casefold, decay, is_short_acronym
 from termloom.operators.policies import DEFAULT_SUPPORT
 from termloom.settings import CONTRADICTING, Settings
 from termloom.sources import schemas
+from termloom.sources.store import with_memory
 
 RANKS = {"generated": 1, "declared": 2, "observed": 3}
 
@@ -124,11 +125,12 @@ def common_forms(rows: DataFrame, form: Column, vocabulary: DataFrame, name: str
 
 def synthesise_guards(lexemes: DataFrame, vocabulary: DataFrame | list[str]) -> DataFrame:
     """lexemes with common-word guards for risky forms: common or acronym canonicals, and common variants not merely generated. One with such a guard already stays as it is."""
-    vocabulary = vocabulary_of(lexemes.sparkSession, vocabulary)
+    vocabulary, names = vocabulary_of(lexemes.sparkSession, vocabulary), lexemes.columns
+    lexemes = with_memory(lexemes)
     own = F.array_union(F.array("canonical"), F.transform(F.filter("variants", lambda v: v["provenance"] != "generated"), lambda v: v["form"]))
-    each = common_forms(lexemes.select("lexeme_id", F.explode(own).alias("form")), F.col("form"), vocabulary, "common").where("common")
-    of = each.groupBy(F.col("lexeme_id").alias("_id")).agg(F.collect_set("form").alias("_common"))
-    rows = lexemes.join(of, F.col("lexeme_id") == F.col("_id"), "left").withColumn("_common", F.coalesce("_common", F.array().cast("array<string>")))
+    each = common_forms(lexemes.select("memory_id", "lexeme_id", F.explode(own).alias("form")), F.col("form"), vocabulary, "common").where("common")
+    of = each.groupBy(F.col("memory_id").alias("_memory"), F.col("lexeme_id").alias("_id")).agg(F.collect_set("form").alias("_common"))
+    rows = lexemes.join(of, (F.col("lexeme_id") == F.col("_id")) & (F.col("memory_id") == F.col("_memory")), "left").withColumn("_common", F.coalesce("_common", F.array().cast("array<string>")))
     is_common = lambda f: F.array_contains(F.col("_common"), f)
     risky = F.when(is_common(F.col("canonical")) | is_short_acronym(F.col("canonical")), F.array(casefold(F.col("canonical")))).otherwise(F.array().cast("array<string>"))
     forms = F.transform(F.filter("variants", lambda v: (v["provenance"] != "generated") & is_common(v["form"])), lambda v: casefold(v["form"]))
@@ -136,7 +138,7 @@ def synthesise_guards(lexemes: DataFrame, vocabulary: DataFrame | list[str]) ->
     guard = lambda f: F.struct(F.lit("common_word").alias("kind"), f.alias("form"), support.alias("support_tokens"), none.alias("veto_tokens"), none.alias("applies_to_forms"), F.lit(None).cast("int").alias("reverts"), F.lit(None).cast("string").alias("scope"), F.lit(True).alias("synthesised"), F.lit("synthesised").alias("note"))
     made = F.transform(F.array_distinct(F.concat(risky, forms)), guard).cast(f"array<{schemas.GUARD}>")
     own = F.exists("guards", lambda g: g["kind"] == "common_word")
-    return rows.withColumn("guards", F.when(own, F.col("guards")).otherwise(F.concat("guards", made))).select(*lexemes.columns)
+    return rows.withColumn("guards", F.when(own, F.col("guards")).otherwise(F.concat("guards", made))).select(*names)
 
 
 def common_words(docs: DataFrame, least: int) -> DataFrame:

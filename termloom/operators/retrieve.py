@@ -3,6 +3,9 @@
 Spans of tokens meet the memory on equal normal forms; spans without such a form meet it on shared
 blocking keys, computed once for each distinct form. Memory is the small side of these joins: adaptive
 execution broadcasts it while it is small and shuffles it when it is not.
+
+Utterances and terms may have a memory_id: each utterance then meets the terms of its memory only. Joins are
+on the memory and the form or key, so a memory that most utterances use is spread over tasks by its forms.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from termloom.functions import phonetics
 from termloom.functions.text import MAX_NGRAM, normalise, overlaps, spans, tokens
 from termloom.settings import Settings
-from termloom.sources.store import forms
+from termloom.sources.store import forms, with_memory
 
 
 def longest_form(known: DataFrame) -> int:
@@ -23,48 +26,54 @@ def longest_form(known: DataFrame) -> int:
 
 
 def span_rows(utterances: DataFrame, max_len: int, key: str = "utterance_id") -> DataFrame:
-    """(key, i0, i1, start, end, text, norm) of all token runs of utterances(key, text)."""
-    toks = utterances.select(key, F.col("text").alias("whole"), tokens(F.col("text")).alias("toks"))
-    rows = toks.select(key, F.inline(spans(F.col("whole"), F.col("toks"), max(1, max_len))))
+    """(key, memory_id, i0, i1, start, end, text, norm) of all token runs of utterances(key, text[, memory_id])."""
+    toks = with_memory(utterances).select(key, "memory_id", F.col("text").alias("whole"), tokens(F.col("text")).alias("toks"))
+    rows = toks.select(key, "memory_id", F.inline(spans(F.col("whole"), F.col("toks"), max(1, max_len))))
     return rows.withColumn("norm", normalise(F.col("text"))).where("norm <> ''")
 
 
 def key_rows(known: DataFrame) -> DataFrame:
-    """(lexeme_id, key) of all forms."""
+    """(memory_id, lexeme_id, key) of all forms."""
     of = known.select("form").distinct().select("form", F.explode(phonetics.keys_of(F.col("form"))).alias("key"))
-    return known.select("lexeme_id", "form").join(of, "form").select("lexeme_id", "key").distinct()
+    return known.select("memory_id", "lexeme_id", "form").join(of, "form").select("memory_id", "lexeme_id", "key").distinct()
+
+
+def heard_rows(norms: DataFrame) -> DataFrame:
+    """(memory_id, norm, key) of norms(memory_id, norm); each form is encoded once, however many memories have it."""
+    of = norms.select("norm").distinct().select("norm", F.explode(phonetics.keys_of(F.col("norm"))).alias("key"))
+    return norms.join(of, "norm").select("memory_id", "norm", "key")
 
 
 def gate(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(utterance_id) of utterances with a span whose form, or one of its keys, is known. An empty memory opens for none."""
+    """(utterance_id, and memory_id if utterances have it) of utterances with a span whose form, or one of its keys, is known in their memory. An empty memory opens for none."""
     settings, known = settings or Settings(), forms(lexemes)
+    own = ["utterance_id", *(["memory_id"] if "memory_id" in utterances.columns else [])]
     rows = span_rows(utterances, longest_form(known))
-    open_ = rows.join(known, "norm", "left_semi").select("utterance_id")
+    open_ = rows.join(known, ["memory_id", "norm"], "left_semi").select(*own)
     if settings.encoder != "null":
-        norms = rows.select("norm").distinct().select("norm", F.explode(phonetics.keys_of(F.col("norm"))).alias("key"))
-        heard = norms.join(key_rows(known), "key", "left_semi").select("norm").distinct()
-        open_ = open_.union(rows.join(heard, "norm", "left_semi").select("utterance_id"))
+        heard = heard_rows(rows.select("memory_id", "norm").distinct()).join(key_rows(known), ["memory_id", "key"], "left_semi").select("memory_id", "norm").distinct()
+        open_ = open_.union(rows.join(heard, ["memory_id", "norm"], "left_semi").select(*own))
     return open_.distinct()
 
 
 def exact_matches(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Spans whose normal form is one of a lexeme's, with score 1; of equal forms the first."""
-    hit = rows.join(known, "norm")
+    """Spans whose normal form is one of a lexeme's in their memory, with score 1; of equal forms the first."""
+    hit = rows.join(known, ["memory_id", "norm"])
     first = F.min_by(F.struct("form", "via", "count"), F.col("ordinal")).alias("m")
-    keys = [rows.columns[0], "i0", "i1", "start", "end", "text", "norm", "lexeme_id"]
+    keys = [rows.columns[0], "memory_id", "i0", "i1", "start", "end", "text", "norm", "lexeme_id"]
     return hit.groupBy(*keys).agg(first).select(*keys, "m.*", F.lit(1.0).alias("score"))
 
 
 def sound_matches(rows: DataFrame, known: DataFrame, max_distance: float) -> DataFrame:
     """Spans without an exact form that sound like a lexeme's: its nearest form (ties: the first) within max_distance."""
-    norms = rows.select("norm").distinct().join(known.select("norm").distinct(), "norm", "left_anti")
-    heard = norms.select("norm", F.explode(phonetics.keys_of(F.col("norm"))).alias("key")).join(key_rows(known), "key").select("norm", "lexeme_id").distinct()
-    pairs = heard.join(known.select("lexeme_id", "form", "count", "ordinal"), "lexeme_id")
+    norms = rows.select("memory_id", "norm").distinct().join(known.select("memory_id", "norm").distinct(), ["memory_id", "norm"], "left_anti")
+    heard = heard_rows(norms).join(key_rows(known), ["memory_id", "key"]).select("memory_id", "norm", "lexeme_id").distinct()
+    pairs = heard.join(known.select("memory_id", "lexeme_id", "form", "count", "ordinal"), ["memory_id", "lexeme_id"])
     far = pairs.select("norm", "form").distinct().withColumn("distance", phonetics.distance_of(F.col("form"), F.col("norm")))
-    near = pairs.join(far, ["norm", "form"]).groupBy("norm", "lexeme_id").agg(F.min(F.struct("distance", "ordinal", "form", "count")).alias("m"))
+    near = pairs.join(far, ["norm", "form"]).groupBy("memory_id", "norm", "lexeme_id").agg(F.min(F.struct("distance", "ordinal", "form", "count")).alias("m"))
     near = near.where(F.col("m.distance") <= max_distance)
-    near = near.select("norm", "lexeme_id", "m.form", F.lit("phonetic").alias("via"), F.lit(0).alias("count"), (1 - F.col("m.distance")).alias("score"))
-    return rows.join(near, "norm").select(rows.columns[0], "i0", "i1", "start", "end", "text", "norm", "lexeme_id", "form", "via", "count", "score")
+    near = near.select("memory_id", "norm", "lexeme_id", "m.form", F.lit("phonetic").alias("via"), F.lit(0).alias("count"), (1 - F.col("m.distance")).alias("score"))
+    return rows.join(near, ["memory_id", "norm"]).select(rows.columns[0], "memory_id", "i0", "i1", "start", "end", "text", "norm", "lexeme_id", "form", "via", "count", "score")
 
 
 def undominated(found: Column) -> Column:
@@ -80,18 +89,18 @@ def ranked(found: Column, most: int) -> Column:
 
 
 def text_key() -> Column:
-    """What tells the texts of an utterance_id apart that stands for several."""
-    return F.struct("utterance_id", F.xxhash64("text").alias("text"))
+    """What tells the texts and memories of an utterance_id apart that stands for several."""
+    return F.struct("utterance_id", F.xxhash64("text", "memory_id").alias("text"))
 
 
 def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(utterance_id, text_key, found): up to eight candidates of each utterance that has any, best first.
 
-    utterances(utterance_id, text); a null text has none; repeated rows of an id and text count once, and
+    utterances(utterance_id, text[, memory_id]); a null text has none; repeated rows of an id and text count once, and
     texts that share an id have candidates of their own, told apart by ``text_key``.
     """
     settings, known = settings or Settings(), forms(lexemes)
-    rows = span_rows(utterances.select(text_key().alias("key"), "text").dropDuplicates(["key"]), longest_form(known), "key")
+    rows = span_rows(with_memory(utterances).select(text_key().alias("key"), "memory_id", "text").dropDuplicates(["key"]), longest_form(known), "key")
     found = exact_matches(rows, known)
     if settings.encoder != "null":
         found = found.unionByName(sound_matches(rows, known, settings.retrieval_max_distance))

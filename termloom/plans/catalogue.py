@@ -248,6 +248,47 @@ def eval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(F.col("slice") == "kind", "outcome").otherwise(F.col("slice")).alias("slice"), "value", "cases", "passed", "pass_rate")
 
 
+def _memories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(utterances, lexemes) of two memories: both have heard the same forms, one spells all names in capitals."""
+    rows, own = fx.part_memory(spark, sf_dir), F.explode(F.array(F.lit("loud"), F.lit("plain"))).alias("memory_id")
+    rows = rows.select("*", own).withColumn("canonical", F.when(F.col("memory_id") == "loud", F.upper("canonical")).otherwise(F.col("canonical")))
+    return fx.part_utterances(spark, sf_dir).select("*", own), rows
+
+
+_LOUD = """loud AS (SELECT utterance_id, max(text[:span_start] || upper(canonical) || text[span_end + 1:]) AS loud_text FROM verdicts WHERE verdict = 'apply' GROUP BY utterance_id),
+both_ AS (SELECT memory_id, c.utterance_id, c.carrier, c.name, c.text, CASE memory_id WHEN 'plain' THEN output_text ELSE coalesce(loud_text, c.text) END AS output_text, primary_reason
+  FROM corrected c LEFT JOIN loud USING (utterance_id), (VALUES ('loud'), ('plain')) m(memory_id))"""
+
+
+@query(f"WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, {_LOUD} SELECT memory_id, utterance_id, output_text, output_text <> text AS intervened, primary_reason FROM both_")
+def many_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each utterance corrected by two memories that spell one form differently, in one job."""
+    utterances, lexemes = _memories(spark, sf_dir)
+    return decide.correct(utterances, lexemes, fx.no_edges(spark), EXACT).select("memory_id", "utterance_id", "output_text", "intervened", "primary_reason")
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, {_LOUD},
+cases AS (SELECT utterance_id || '@' || memory_id || '@' || o AS case_id, carrier, text, o = 'x' AND length(name) % 2 = 0 AS off, output_text, coalesce(primary_reason, 'gate_closed') AS reason, carrier IN (0, 4, 5) AS wants FROM both_, (VALUES ('x'), ('-')) v(o)),
+done AS (SELECT case_id, text, wants AND NOT off AS wants, output_text AS expected, CASE WHEN off THEN text ELSE output_text END AS output, CASE WHEN off AND reason <> 'gate_closed' THEN 'suppressed' ELSE reason END AS reason FROM cases)
+SELECT case_id, output, reason, CASE WHEN wants THEN 'useful' ELSE 'correct_abstention' END AS outcome, true AS passed FROM done""")
+def case_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases over two memories, half of them with a memory of their own: names of even length are suppressed there, others dormant."""
+    utterances, lexemes = _memories(spark, sf_dir)
+    rows = utterances.select("*", F.explode(F.array(F.lit("x"), F.lit("-"))).alias("o"))
+    spelt = F.when(F.col("memory_id") == "loud", F.upper("name")).otherwise(F.col("name"))
+    titled = F.concat(F.upper(F.substr(spelt, F.lit(1), F.lit(1))), F.substr(spelt, F.lit(2)))
+    heard = F.regexp_replace("name", *fx.FIRST_VOWEL)
+    upper = F.concat(F.upper(F.substr(heard, F.lit(1), F.lit(1))), F.substr(heard, F.lit(2)))
+    off = (F.col("o") == "x") & (F.length("name") % 2 == 0)
+    wants = F.col("carrier").isin(0, 4, 5) & ~off
+    cases = rows.select(
+        F.concat_ws("@", "utterance_id", "memory_id", "o").alias("case_id"), "memory_id", "asr_text", "formatted_text", "app", "persona", "name", "o", F.when(wants, "apply").otherwise("abstain").alias("expect"),
+        F.replace(F.replace("text", heard, spelt), upper, titled).alias("expected"), F.when(F.col("carrier") == 3, "gate_closed").when(off, "suppressed").alias("expected_reason"),
+    )
+    overrides = cases.where("o = 'x'").select("case_id", F.replace("name", F.lit(" "), F.lit("_")).alias("lexeme_id"), F.when(F.length("name") % 2 == 0, "suppressed").otherwise("dormant").alias("state"))
+    return evaluate.run_cases(cases, lexemes, fx.no_edges(spark), overrides, EXACT).select("case_id", "output", "reason", "outcome", "passed")
+
+
 @query(f"""WITH {_NAMES}, w AS (SELECT replace(name, ' ', '_') AS id, string_split(name, ' ') AS w FROM names),
 e AS (SELECT a.id AS lexeme_id, b.id AS other, a.w[1] = b.w[1] AS rival, a.w[2] = b.w[2] AS partner FROM w a JOIN w b ON a.id <> b.id)
 SELECT w.id AS lexeme_id, count(*) FILTER (e.partner)::INTEGER AS n_partners, count(*) FILTER (e.rival)::INTEGER AS n_rivals FROM w LEFT JOIN e ON e.lexeme_id = w.id GROUP BY w.id""")

@@ -131,9 +131,14 @@ class Store:
             files.delete(at, True)
 
 
+def with_memory(rows: DataFrame) -> DataFrame:
+    """rows with memory_id, by which terms, edges and utterances of many memories are told apart; rows without one, and nulls, belong to one memory."""
+    return rows.withColumn("memory_id", F.coalesce("memory_id", F.lit("")) if "memory_id" in rows.columns else F.lit(""))
+
+
 def forms(lexemes: DataFrame) -> DataFrame:
-    """(lexeme_id, form, norm, via, provenance, count, ordinal) of canonical forms (ordinal 0) and variants; retired lexemes have none."""
+    """(memory_id, lexeme_id, form, norm, via, provenance, count, ordinal) of canonical forms (ordinal 0) and variants; retired lexemes have none."""
     canonical = F.struct(F.lit(0).alias("ordinal"), F.col("canonical").alias("form"), F.lit("canonical").alias("via"), F.lit(None).cast("string").alias("provenance"), F.lit(0).alias("count"))
     others = F.transform("variants", lambda v, i: F.struct((i + 1).alias("ordinal"), v["form"].alias("form"), F.concat(v["provenance"], F.lit("_variant")).alias("via"), v["provenance"].alias("provenance"), v["count"].alias("count")))
-    rows = lexemes.where("state <> 'retired'").select("lexeme_id", F.inline(F.concat(F.array(canonical), others)))
+    rows = with_memory(lexemes).where("state <> 'retired'").select("memory_id", "lexeme_id", F.inline(F.concat(F.array(canonical), others)))
     return rows.withColumn("norm", normalise(F.col("form"))).where("norm <> ''")

@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import phonetics
 from termloom.operators import decide, evaluate, generate, learn, memory, retrieve
 from termloom.settings import Settings
 from termloom.sources import schemas
@@ -231,3 +234,55 @@ def test_registry_contract():
 
     queries, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 25
+
+
+def scanned(terms, form, limit):
+    """What a plain scan of all terms matches."""
+    flat = phonetics.normalise(form)
+    live = [t for t in terms if t.state != "retired"]
+    exact = next((t for t in live if flat and flat in t.norms()), None)
+    if exact or not flat or not live:
+        return exact
+    near = min(live, key=lambda t: phonetics.distance(t.canonical, form))
+    return near if phonetics.distance(near.canonical, form) <= limit else None
+
+
+def test_index_matches_as_a_scan_does():
+    """Over random forms, renames, deletions and several scripts; every change is seen by the next look-up."""
+    rng = random.Random(5)
+    parts = "ka ki ra ri ma mi vi wi sha cha bh dh th na ni lo la zee ee oo ja".split()
+    name = lambda: "".join(rng.choices(parts, k=rng.randint(2, 4))).capitalize() if rng.random() < 0.8 else rng.choice(["भावना", "कमल", "विजय", "ಭಾವನ", "data-lake", "Data Lake", "kamal"])
+    memory = learn.Memory(Settings())
+    for n in range(400):
+        form, ids = name(), list(memory.terms)
+        wanted = scanned(memory.terms.values(), form, Settings().attribution_distance)
+        got = memory.match(form)
+        assert (got and got.lexeme_id) == (wanted and wanted.lexeme_id), form
+        o = {"id": str(n), "source": "post_edit", "at": str(n), "after_form": form, "before_form": name() if rng.random() < 0.4 else None, "polarity": "supports"}
+        if ids and n % 7 == 0:
+            o |= {"source": "declared", "lexeme_id": rng.choice(ids), "after_form": name()}
+        elif ids and n % 11 == 0:
+            o |= {"source": "declared", "lexeme_id": rng.choice(ids), "after_form": " ", "note": "forget it"}
+        memory.observe(o)
+    kept = learn.Memory.from_json(Settings(), memory.to_json())
+    assert kept.to_json() == memory.to_json() and kept.buried == memory.buried and len(memory.tombstones) > 20
+    for form in [name() for _ in range(60)]:
+        assert (kept.match(form) and kept.match(form).lexeme_id) == (memory.match(form) and memory.match(form).lexeme_id)
+    with pytest.raises(ValueError, match="attribution_distance"):
+        learn.Memory(Settings(attribution_distance=0.5))
+
+
+def test_a_look_up_does_not_grow_with_the_memory(monkeypatch):
+    """100,000 terms: a look-up measures the distance to few of them."""
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(7))
+    few, many, real, calls = [], [], phonetics.distance, []
+    terms = [learn.Term(f"t{i}", name()) for i in range(100_000)]
+    monkeypatch.setattr(phonetics, "distance", lambda a, b: calls.append(1) or real(a, b))
+    for n, counts in ((1_000, few), (100_000, many)):
+        memory = learn.Memory(Settings(), terms[:n])
+        for form in [name() for _ in range(200)] + [t.canonical + "h" for t in terms[:50]]:
+            calls.clear()
+            memory.match(form)
+            counts.append(len(calls))
+    assert max(many) < 300 and sum(many) / len(many) < 20

@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.__main__ import main
-from termloom.operators import decide, evaluate, formatting, generate
+from termloom.operators import decide, evaluate, formatting, generate, retrieve
 from termloom.settings import Settings
 from termloom.sources import schemas
 from tests.test_engine import KIVI, lexeme
 
+EXACT = Settings(encoder="null")
+
 
 def test_prompts_and_replay(spark):
     said = spark.createDataFrame([("u", "open kiwi now", "", None, None, "mail")], schemas.UTTERANCES)
@@ -35,9 +37,31 @@ def test_trace_json_and_sweep(spark):
 
 
 def test_overrides(spark):
-    x = spark.createDataFrame([KIVI], schemas.LEXEMES)
-    o = spark.createDataFrame([("c1", "kivi", "dormant", None, None), ("c2", "other", None, None, None)], "case_id string, lexeme_id string, state string, learning_enabled boolean, last_used timestamp")
-    assert {r.case_id: r.state for r in evaluate.overridden(x, o).collect()} == {"c1": "dormant", "c2": "active"}
+    """Cases share their persona's memory unless something is overridden; then only that case's copy changes."""
+    x = spark.createDataFrame([KIVI, lexeme("tarang", "Tarang", [("tarung", "observed", 1)])], schemas.LEXEMES).withColumn("memory_id", F.explode(F.array(F.lit("p1"), F.lit("p2"))))
+    edges = spark.createDataFrame([("kivi", "tarang", "cooccurs", 1.0)], schemas.EDGES).withColumn("memory_id", F.lit("p1"))
+    o = spark.createDataFrame([("c1", "kivi", "suppressed", None), ("c1", "nobody", "active", None), ("c2", "kivi", None, False)], "case_id string, lexeme_id string, state string, learning_enabled boolean")
+    cases = spark.createDataFrame([("c1", "p1"), ("c2", "p2"), ("c3", "p1"), ("c4", None)], "case_id string, memory_id string")
+    now, terms, links = evaluate.case_memories(cases, x, edges, o)
+    assert {r.case_id: r.memory_id for r in now.collect()} == {"c1": "case:c1", "c2": "case:c2", "c3": "p1", "c4": ""}
+    got = {(r.memory_id, r.lexeme_id): (r.state, r.learning_enabled) for r in terms.collect()}
+    assert len(got) == 8 and got["case:c1", "kivi"] == ("suppressed", True) and got["case:c1", "tarang"] == got["p1", "kivi"] == ("active", True) and got["case:c2", "kivi"] == ("active", False)
+    assert {r.memory_id for r in links.collect()} == {"p1", "case:c1"}
+    said = cases.selectExpr("*", "'' AS asr_text", "'open kiwi and tarung' AS formatted_text", "null AS app", "null AS persona", "'apply' AS expect", "'open Kivi and Tarang' AS expected", "cast(null AS string) AS expected_reason")
+    done = {r.case_id: (r.output, r.passed) for r in evaluate.run_cases(said, x, edges, o, EXACT).collect()}
+    assert done == {"c1": ("open kiwi and Tarang", False), "c2": ("open Kivi and Tarang", True), "c3": ("open Kivi and Tarang", True), "c4": ("open kiwi and tarung", False)}
+
+
+def test_memories_never_mix(spark):
+    """The gate, sounds, guards and rivals of one memory say nothing about another's utterances."""
+    terms = spark.createDataFrame([KIVI, lexeme("kiwi-bird", "Kiwi Bird", [("kiwi", "observed", 1)])], schemas.LEXEMES).withColumn("memory_id", F.when(F.col("lexeme_id") == "kivi", "a").otherwise("b"))
+    both = spark.createDataFrame([("u", "", "open kiwi", None, None, m) for m in "abc"] + [("v", "", "open keewee", None, None, m) for m in "ab"], "utterance_id string, asr_text string, formatted_text string, app string, persona string, memory_id string")
+    got = {(r.utterance_id, r.memory_id): r.output_text for r in decide.correct(both, terms, spark.createDataFrame([], schemas.EDGES)).collect()}
+    assert got[("u", "a")] == "open Kivi" and got[("u", "b")] == "open Kiwi Bird" and got[("u", "c")] == "open kiwi"
+    opened = retrieve.gate(both.withColumn("text", F.col("formatted_text")), terms)
+    assert {(r.utterance_id, r.memory_id) for r in opened.collect()} >= {("u", "a"), ("u", "b"), ("v", "a")} and not opened.where("memory_id = 'c'").count()
+    edges = spark.createDataFrame([("kivi", "kiwi-bird", "conflicts", 1.0, "a")], schemas.EDGES + ", memory_id string")
+    assert decide.neighbours(terms, edges).where("size(rivals) > 0").count() == 0
 
 
 def test_generators(spark):
