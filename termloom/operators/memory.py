@@ -39,13 +39,73 @@ def evidence(observations: DataFrame, now: Column, settings: Settings | None = N
     return rows.groupBy("lexeme_id").agg(F.sum(F.when(~against, w).otherwise(0.0)).alias("gained"), F.sum(F.when(against, w).otherwise(0.0)).alias("lost"))
 
 
+DAY = 86_400_000_000
+
+
+def partials(observations: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(lexeme_id, scope, day, gained, lost, reverts): evidence summed by lexeme, scope and day, weighed as of the day's end.
+
+    day: the number of its end in days since 1970, UTC, and evidence at that very instant belongs to it. Sums
+    of the same half-life can be merged, and fade further by one factor a day, so posteriors and states as of
+    an instant need no look at the log of days before.
+    """
+    settings = settings or Settings()
+    rows = observations.where(F.col("lexeme_id").isNotNull())
+    at = F.unix_micros("at")
+    day = F.ceil(at / F.lit(DAY)).cast("long")
+    against = F.coalesce(F.col("polarity"), F.when(F.col("source").isin(*CONTRADICTING), "contradicts").otherwise("supports")) == "contradicts"
+    w = F.when(F.col("accepted").eqNullSafe(F.lit(False)), 0.0).otherwise(source_weight(F.col("source"), settings) * decay((day * DAY - at) / F.lit(DAY), settings.half_life_days))
+    sums = [F.sum(F.when(~against, w).otherwise(0.0)).alias("gained"), F.sum(F.when(against, w).otherwise(0.0)).alias("lost"), F.count(F.when(F.col("source") == "revert", 1)).alias("reverts")]
+    return rows.groupBy("lexeme_id", scope_key(F.col("scope"), F.col("scope_ref")).alias("scope"), day.alias("day")).agg(*sums)
+
+
+def merged_partials(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two tables of partials as one, such as yesterday's and those of rows that came since, however late."""
+    sums = [F.sum(c).alias(c) for c in ("gained", "lost", "reverts")]
+    return old.unionByName(new).groupBy("lexeme_id", "scope", "day").agg(*sums)
+
+
+def known_days(now: Column, until: Column | None = None) -> Column:
+    """The last day that is over, as of the earlier of two instants: evidence after its end isn't read from partials."""
+    return F.floor(F.unix_micros(now if until is None else F.least(now, until)) / F.lit(DAY)).cast("long")
+
+
+def evidence_of(sums: DataFrame, now: Column, settings: Settings | None = None, until: Column | None = None, rest: DataFrame | None = None) -> DataFrame:
+    """What ``evidence`` gives, from partials of the days that are over and rest, the observations of the day that isn't (others in it are left out)."""
+    settings = settings or Settings()
+    over = known_days(now, until)
+    fade = decay(F.unix_micros(now) / F.lit(DAY) - F.col("day"), settings.half_life_days)
+    rows = sums.where(F.col("day") <= over).groupBy("lexeme_id").agg(F.sum(F.col("gained") * fade).alias("gained"), F.sum(F.col("lost") * fade).alias("lost"))
+    if rest is not None:
+        rows = rows.unionByName(evidence(rest.where(F.unix_micros("at") > over * DAY), now, settings, until))
+        rows = rows.groupBy("lexeme_id").agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"))
+    return rows
+
+
+def reverts_of(sums: DataFrame, now: Column, settings: Settings | None = None, until: Column | None = None, rest: DataFrame | None = None) -> DataFrame:
+    """What ``reverts`` gives, from the same."""
+    settings = settings or Settings()
+    over = known_days(now, until)
+    rows = sums.where(F.col("day") <= over).select("lexeme_id", "scope", "reverts")
+    if rest is not None:
+        late = rest.where((F.unix_micros("at") > over * DAY) & (F.col("source") == "revert") & F.col("lexeme_id").isNotNull())
+        late = late if until is None else late.where(F.col("at") <= until)
+        rows = rows.unionByName(late.select("lexeme_id", scope_key(F.col("scope"), F.col("scope_ref")).alias("scope"), F.lit(1).cast("long").alias("reverts")))
+    return rows.groupBy("lexeme_id", "scope").agg(F.sum("reverts").cast("int").alias("reverts")).where(F.col("reverts") >= settings.reverts_to_suppress)
+
+
 def posterior(lexemes: DataFrame, observations: DataFrame, now: Column, settings: Settings | None = None, until: Column | None = None) -> DataFrame:
     """lexemes with alpha and beta anew: the prior's excess over Beta(1, 1), decayed since last (else first) use, and the evidence."""
+    return posterior_from(lexemes, evidence(observations, now, settings, until), now, settings)
+
+
+def posterior_from(lexemes: DataFrame, gains: DataFrame, now: Column, settings: Settings | None = None) -> DataFrame:
+    """The same from evidence (lexeme_id, gained, lost)."""
     settings = settings or Settings()
     anchor = F.coalesce("last_used", "first_seen")
     faded = F.when(anchor.isNull(), 1.0).otherwise(decay(age_days(now, anchor), settings.half_life_days))
     left = lambda c: 1.0 + (F.coalesce(c, F.lit(1.0)) - 1.0) * faded
-    rows = lexemes.join(evidence(observations, now, settings, until), "lexeme_id", "left")
+    rows = lexemes.join(gains, "lexeme_id", "left")
     return rows.withColumns({"alpha": left("prior_alpha") + F.coalesce("gained", F.lit(0.0)), "beta": left("prior_beta") + F.coalesce("lost", F.lit(0.0))}).drop("gained", "lost")
 
 
@@ -70,10 +130,10 @@ def reverts(observations: DataFrame, settings: Settings | None = None, until: Co
     return rows.groupBy("lexeme_id", scope_key(F.col("scope"), F.col("scope_ref")).alias("scope")).agg(F.count("*").cast("int").alias("reverts")).where(F.col("reverts") >= settings.reverts_to_suppress)
 
 
-def suppress(lexemes: DataFrame, observations: DataFrame, settings: Settings | None = None, until: Column | None = None) -> DataFrame:
-    """lexemes with a suppression guard for each such scope that has none, and their state suppressed."""
+def suppress(lexemes: DataFrame, reverted: DataFrame) -> DataFrame:
+    """lexemes, given reverts(lexeme_id, scope, reverts), with a suppression guard for each such scope that has none, and their state suppressed."""
     guard = F.struct(F.lit("user_suppression").alias("kind"), F.lit(None).cast("string").alias("form"), *[F.lit(None).cast("array<string>").alias(n) for n in ("support_tokens", "veto_tokens", "applies_to_forms")], F.col("reverts"), F.col("scope"), F.lit(False).alias("synthesised"), F.lit(None).cast("string").alias("note"))
-    of = reverts(observations, settings, until).groupBy("lexeme_id").agg(F.sort_array(F.collect_list(guard)).cast(f"array<{schemas.GUARD}>").alias("new"))
+    of = reverted.groupBy("lexeme_id").agg(F.sort_array(F.collect_list(guard)).cast(f"array<{schemas.GUARD}>").alias("new"))
     rows = lexemes.join(of, "lexeme_id", "left")
     has = lambda s: F.exists("guards", lambda g: (g["kind"] == "user_suppression") & g["scope"].eqNullSafe(s))
     fresh = F.filter(F.coalesce("new", F.array().cast(f"array<{schemas.GUARD}>")), lambda n: ~has(n["scope"]))
@@ -83,7 +143,14 @@ def suppress(lexemes: DataFrame, observations: DataFrame, settings: Settings | N
 
 def project(lexemes: DataFrame, observations: DataFrame, now: Column, settings: Settings | None = None, until: Column | None = None) -> DataFrame:
     """The memory the log gives as of an instant: confidence, suppression, state."""
-    rows = suppress(posterior(lexemes, observations, now, settings, until), observations, settings, until)
+    rows = suppress(posterior(lexemes, observations, now, settings, until), reverts(observations, settings, until))
+    return rows.withColumn("state", state_of(now, settings)).select(*lexemes.columns)
+
+
+def project_from(lexemes: DataFrame, sums: DataFrame, now: Column, settings: Settings | None = None, until: Column | None = None, rest: DataFrame | None = None) -> DataFrame:
+    """The same from partials and the observations of the day that isn't over."""
+    rows = posterior_from(lexemes, evidence_of(sums, now, settings, until, rest), now, settings)
+    rows = suppress(rows, reverts_of(sums, now, settings, until, rest))
     return rows.withColumn("state", state_of(now, settings)).select(*lexemes.columns)
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from string import ascii_lowercase
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 from termloom.functions import phonetics, text
 from termloom.operators import decide, evaluate, generate, learn, memory, retrieve
 from termloom.plans import fixtures as fx
+from termloom.session import scratch_dir, staged
 from termloom.settings import Settings
+from termloom.sources.store import Store
 
 FLAGSHIP = "correct_text"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,6 +329,21 @@ def posterior_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(memory.posterior(fx.event_lexemes(spark, sf_dir), fx.event_log(spark, sf_dir), F.lit(fx.CLOCK).cast("timestamp"), until=until))
 
 
+def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials of the event log, made of two parts of it that share days and then merged and written."""
+    log = fx.event_log(spark, sf_dir)
+    late = F.col("id").cast("long") % 5 == 0
+    return staged(memory.merged_partials(memory.partials(log.where(~late)), memory.partials(log.where(late))), "partials")
+
+
+@query(f"SELECT lexeme_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM ({_posterior_sql(AS_OF)})")
+def posterior_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As posterior_asof, from sums by day alone."""
+    now, until = (F.lit(x).cast("timestamp") for x in (fx.CLOCK, AS_OF))
+    gains = memory.evidence_of(_sums(spark, sf_dir), now, until=until)
+    return _rounded(memory.posterior_from(fx.event_lexemes(spark, sf_dir), gains, now))
+
+
 @query(f"""SELECT user_id::VARCHAR AS lexeme_id, round(1 + 8 * 0.5 + coalesce(sum(w) FILTER (event_type <> 'error'), 0), 6) AS alpha, round(1 + 2 * 0.5 + coalesce(sum(w) FILTER (event_type = 'error'), 0), 6) AS beta
 FROM (SELECT user_id, event_type, CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE {_WEIGHT} * CASE WHEN ts >= TIMESTAMP '{fx.CLOCK}' THEN 1 ELSE exp(-ln(2.0) * ((epoch_us(TIMESTAMP '{fx.CLOCK}') - epoch_us(ts)) / 8.64e10) / 90.0) END END AS w FROM events WHERE user_id IS NOT NULL) GROUP BY user_id""")
 def posterior_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,6 +379,37 @@ def lexeme_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lexeme_id", "state")
 
 
+_NOON = "2024-01-19 12:30:00"
+_NOON_STATE = _state_sql(_NOON)
+
+
+@query(f"""WITH {_REVERTS.replace("r AS", "r1 AS", 1).format(_NOON_STATE[1])} SELECT lexeme_id, state, confidence FROM ({_NOON_STATE[0]})""")
+def state_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States as of an instant within a day: sums of the days before it, and that day's log."""
+    now, until = (F.lit(x).cast("timestamp") for x in (fx.CLOCK, _NOON))
+    log = fx.event_log(spark, sf_dir)
+    rest = log.where((F.col("at") > F.lit(_NOON[:10]).cast("timestamp")) & (F.col("at") <= until))
+    rows = memory.project_from(fx.event_lexemes(spark, sf_dir), _sums(spark, sf_dir), now, until=until, rest=rest)
+    return rows.select("lexeme_id", "state", F.round(F.col("alpha") / (F.col("alpha") + F.col("beta")), 3).alias("confidence"))
+
+
+@query(f"""WITH {_NAMES}, n AS (SELECT name, replace(name, ' ', '_') AS lexeme_id, length(name) % 3 AS k FROM names)
+SELECT '2024-01-01' AS instant, lexeme_id, name AS canonical, 'active' AS state FROM n
+UNION ALL SELECT '2024-01-10', lexeme_id, CASE WHEN k = 0 THEN upper(name) ELSE name END, CASE WHEN k = 0 THEN 'proposed' ELSE 'active' END FROM n WHERE k <> 1
+UNION ALL SELECT '2024-01-20', lexeme_id, CASE WHEN k = 0 THEN upper(name) ELSE name END, CASE WHEN k = 0 THEN 'proposed' ELSE 'active' END FROM n""")
+def memory_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A memory as it was at three instants: some names respelt and others removed by key, then put back."""
+    store = Store(spark, f"{scratch_dir(spark)}/termloom-instants-{uuid4().hex}")
+    rows, k = fx.part_memory(spark, sf_dir), F.length("canonical") % 3
+    store.replace("lexemes", rows, "2023-12-31T00:00:00")
+    respelt = rows.where(k == 0).withColumns({"canonical": F.upper("canonical"), "state": F.lit("proposed")})
+    store.put("lexemes", respelt, "2024-01-05T00:00:00")
+    store.table("lexemes").remove(rows.where(k == 1).select("lexeme_id"), "2024-01-06T00:00:00")
+    store.put("lexemes", rows.where(k == 1), "2024-01-15T00:00:00")
+    at = lambda t: store.snapshot(t)[0].select(F.lit(t).alias("instant"), "lexeme_id", "canonical", "state")
+    return reduce(DataFrame.unionByName, map(at, ("2024-01-01", "2024-01-10", "2024-01-20")))
+
+
 @query(f"""WITH {_R0}, {_R1}, a AS ({_THEN_STATE[0]}), b AS ({_NOW_STATE[0]})
 SELECT * FROM (SELECT lexeme_id, CASE WHEN a.state <> b.state THEN 'state' WHEN a.confidence <> b.confidence THEN 'confidence' END AS change, a.state AS state_before, b.state AS state_after
 FROM a FULL JOIN b USING (lexeme_id)) WHERE change IS NOT NULL""")

@@ -1,21 +1,22 @@
 """The store: log, memory and decisions as Parquet tables in one folder.
 
-The log and the decisions are appended to; memory tables are snapshots, each written beside the last and
-named in a small pointer table, so a reader never meets a half-written one.
+The log and the decisions are appended to; memory tables have rows by key and versions (see versions), so a
+reader never meets a half-written one, writers at the same time lose nothing, and memory can be read as it
+was at any instant.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import normalise
 from termloom.sources import schemas
+from termloom.sources.versions import Table
 
 TABLES = {"observations": schemas.OBSERVATIONS, "lexemes": schemas.LEXEMES, "edges": schemas.EDGES, "tombstones": schemas.TOMBSTONES, "decisions": schemas.DECISIONS, "words": "word string"}
-SNAPSHOTS = ("lexemes", "edges", "words")
+#: Tables with rows by key.
+KEYS = {"lexemes": ["lexeme_id"], "edges": ["a", "b", "rel"], "words": ["word"]}
 
 
 class Store:
@@ -27,38 +28,28 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _exists(self, path: str) -> bool:
-        files, at = self._file(path)
-        return files.exists(at)
-
-    def _pointers(self, name: str) -> DataFrame | None:
-        path = f"{self.path}/{name}.pointer"
-        return self.spark.read.schema("folder string, version long").json(path) if self._exists(path) else None
-
-    def _at(self, name: str) -> str | None:
-        if name not in SNAPSHOTS:
-            return f"{self.path}/{name}"
-        found = self._pointers(name)
-        last = found.orderBy(F.desc("version"), F.desc("folder")).first() if found is not None else None
-        return last.folder if last else None
-
-    def read(self, name: str) -> DataFrame:
-        """A table; empty before its first write. A table that can't be read is an error, not an empty one."""
-        at = self._at(name)
-        if at and self._exists(at):
-            return self.spark.read.schema(TABLES[name]).parquet(at)
+    def table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.path}/{name}", TABLES[name], KEYS[name])
+
+    def read(self, name: str, until: str | None = None) -> DataFrame:
+        """A table; empty before its first write. Memory tables also as of an instant. A table that can't be read is an error, not an empty one."""
+        if name in KEYS:
+            return self.table(name).read(until)
+        files, at = self._file(f"{self.path}/{name}")
+        if files.exists(at):
+            return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
         return self.spark.createDataFrame([], TABLES[name])
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.mode("append").parquet(f"{self.path}/{name}")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """A new snapshot of lexemes, edges or common words."""
-        folder = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.parquet(folder)
-        found = self._pointers(name)
-        version = 1 + (found.agg(F.max("version")).first()[0] or 0) if found is not None else 0
-        self.spark.range(1).select(F.lit(folder).alias("folder"), F.lit(version).cast("long").alias("version")).write.mode("append").json(f"{self.path}/{name}.pointer")
+    def replace(self, name: str, rows: DataFrame, at: str | None = None) -> None:
+        """All lexemes, edges or common words anew."""
+        self.table(name).replace(rows, at)
+
+    def put(self, name: str, rows: DataFrame, at: str | None = None) -> None:
+        """Insert or replace lexemes, edges or common words by key; only their buckets are written."""
+        self.table(name).put(rows, at)
 
     def observations(self, until: str | None = None, lexeme_id: str | None = None) -> DataFrame:
         """The log in the order of time and id, up to an instant, of one lexeme."""
@@ -67,13 +58,11 @@ class Store:
         return (rows if lexeme_id is None else rows.where(F.col("lexeme_id") == lexeme_id)).orderBy("at", "id")
 
     def lexeme(self, lexeme_id: str) -> DataFrame:
-        return self.read("lexemes").where(F.col("lexeme_id") == lexeme_id)
+        return self.table("lexemes").get(lexeme_id)
 
     def put_edges(self, rows: DataFrame) -> None:
-        """Insert or replace by (a, b, rel)."""
-        keys = ["a", "b", "rel"]
-        rows = rows.groupBy(*keys).agg(F.max("weight").alias("weight"))
-        self.replace("edges", self.read("edges").join(rows, keys, "left_anti").unionByName(rows))
+        """Insert or replace by (a, b, rel); of rows that repeat one the largest weight counts."""
+        self.put("edges", rows.groupBy("a", "b", "rel").agg(F.max("weight").alias("weight")))
 
     def put_tombstones(self, rows: DataFrame) -> None:
         """Append tombstones; of rows with one id the last counts."""
@@ -116,17 +105,17 @@ class Store:
         """(lexemes, tombstones, number of observations) as of an instant."""
         rows = self.tombstones()
         rows = rows if until is None else rows.where(F.col("created_at") <= F.lit(until).cast("timestamp"))
-        return self.read("lexemes"), rows, self.observations(until).count()
+        return self.read("lexemes", until), rows, self.observations(until).count()
 
     def clear(self) -> None:
-        """Empty memory; the log, tombstones and decisions stay, and so do files of old snapshots until the folder goes."""
+        """Empty memory; the log, tombstones and decisions stay, and so do earlier versions until the folder goes."""
         for name in ("lexemes", "edges"):
             self.replace(name, self.spark.createDataFrame([], TABLES[name]))
 
     def truncate(self) -> None:
         """Empty every table, the log included."""
         self.clear()
-        for name in TABLES.keys() - set(SNAPSHOTS):
+        for name in TABLES.keys() - set(KEYS):
             files, at = self._file(f"{self.path}/{name}")
             files.delete(at, True)
 
