@@ -93,7 +93,11 @@ class Table:
 
     def read(self, until: str | None = None) -> DataFrame:
         """All rows, as they are or as they were at an instant."""
-        return self._rows(sorted(self.version(until)["buckets"].values()))
+        return self.read_version(self.version(until))
+
+    def read_version(self, version: dict) -> DataFrame:
+        """All rows of a version, as ``version`` gives it."""
+        return self._rows(sorted(version["buckets"].values()))
 
     def get(self, *key: object) -> DataFrame:
         """The row of one key, out of its bucket alone."""
