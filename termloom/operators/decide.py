@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import casefold, match_case, overlaps, overreaches, regions, splice, tokens
 from termloom.operators.policies import Context, outcomes
 from termloom.operators.memory import common_forms, synthesise_guards, vocabulary_of
-from termloom.operators.retrieve import candidates, text_key
+from termloom.operators.retrieve import candidates, ranked, text_key, undominated, within
 from termloom.session import staged
 from termloom.settings import Settings
 from termloom.sources.store import with_memory
@@ -31,8 +32,13 @@ def neighbours(lexemes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(*names, *[F.coalesce(n, none).alias(n) for n in ("partners", "rivals")])
 
 
-def verdict(trail: Column, state: Column, settings: Settings) -> Column:
-    """struct<score, verdict, reason> of a policy trail."""
+#: Settings that rows of utterances may bring with them, and the name of a row's set of them.
+PARAMETERS = ("retrieval_max_distance", "apply_score", "propose_score")
+SET = "parameter"
+
+
+def verdict(trail: Column, state: Column, settings: Settings | SimpleNamespace) -> Column:
+    """struct<score, verdict, reason> of a policy trail; settings: apply_score and propose_score, as numbers or Columns."""
     last = F.element_at(trail, -1)
     vetoed = F.coalesce(last["signal"] == "veto", F.lit(False))
     score = F.aggregate(trail, F.lit(0.0), lambda a, o: a + o["weight"])
@@ -47,9 +53,14 @@ def verdict(trail: Column, state: Column, settings: Settings) -> Column:
     )
 
 
-def row_key() -> Column:
-    """What makes two rows of utterances one: id, text, where it was said, and the memory."""
-    return F.struct("utterance_id", F.xxhash64("text", "app", "persona", "memory_id").alias("row"))
+def brought(utterances: DataFrame) -> list[str]:
+    """The columns of utterances that tell their rows' own settings."""
+    return [c for c in (SET, *PARAMETERS) if c in utterances.columns]
+
+
+def row_key(more: list[str]) -> Column:
+    """What makes two rows of utterances one: id, text, where it was said, the memory, and settings of their own."""
+    return F.struct("utterance_id", F.xxhash64("text", "app", "persona", "memory_id", *more).alias("row"))
 
 
 def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, settings: Settings | None = None, vocabulary: DataFrame | list[str] | None = None) -> DataFrame:
@@ -59,14 +70,20 @@ def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     that are common words get the guards that ``memory.synthesise_guards`` makes. Repeated rows count once; rows
     that share an id but not their text, app, persona and memory are resolved each by itself. With memory_id on
     utterances, lexemes and edges each utterance is decided by its own memory, all memories in one job.
+    PARAMETERS among the columns of utterances hold for their rows instead of settings', up to its retrieval
+    distance: texts are searched once, however many rows decide anew what was found.
     """
     settings, many = settings or Settings(), "memory_id" in utterances.columns
     utterances, lexemes, edges = with_memory(utterances), with_memory(lexemes), with_memory(edges)
     vocabulary = vocabulary_of(utterances.sparkSession, vocabulary)
     lexemes = synthesise_guards(lexemes, vocabulary)
-    found = staged(candidates(utterances, lexemes, settings).drop("utterance_id"), "candidates")  # read twice, and few beside the texts
-    rows = utterances.select("utterance_id", "memory_id", "text", "app", "persona", row_key().alias("row_key"), text_key().alias("text_key"))
+    own = brought(utterances)
+    apart = "retrieval_max_distance" in own
+    found = staged(candidates(utterances, lexemes, settings, not apart).drop("utterance_id"), "candidates")  # read twice, and few beside the texts
+    rows = utterances.select("utterance_id", "memory_id", "text", "app", "persona", *own, row_key(own).alias("row_key"), text_key().alias("text_key"))
     rows = rows.dropDuplicates(["row_key"]).join(found, "text_key").drop("text_key")
+    if apart:
+        rows = rows.withColumn("found", ranked(undominated(within(F.col("found"), F.col("retrieval_max_distance"))), settings.max_candidates))
     rows = rows.withColumns({"toks": tokens(F.col("text")), "regions": regions(F.col("text")), "siblings": F.col("found")})
     rows = rows.select("*", F.explode("found").alias("c")).drop("found")
     x = neighbours(lexemes, edges)
@@ -76,11 +93,12 @@ def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     siblings = F.filter("siblings", lambda s: ~((s["lexeme_id"] == F.col("c.lexeme_id")) & (s["start"] == F.col("c.start")) & (s["end"] == F.col("c.end"))))
     k = Context(F.col("c"), F.col("x"), siblings, F.col("text"), F.col("toks"), F.col("regions"), F.col("app"), F.col("persona"), F.col("ordinary"))
     rows = rows.withColumn("outcomes", outcomes(k, settings.policies))
-    rows = rows.withColumn("v", verdict(F.col("outcomes"), F.col("x.state"), settings))
+    limits = SimpleNamespace(**{p: F.col(p) if p in own else getattr(settings, p) for p in PARAMETERS})
+    rows = rows.withColumn("v", verdict(F.col("outcomes"), F.col("x.state"), limits))
     return rows.select(
         "row_key", "utterance_id", "c.lexeme_id", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.text").alias("span_text"),
         F.col("c.via").alias("via"), F.col("c.score").alias("retrieval_score"), "outcomes", "v.score", "v.verdict", "v.reason",
-        F.when(F.col("v.verdict") == "apply", F.col("x.canonical")).alias("replacement"), F.col("x.instruction").alias("instruction"), *["memory_id"] * many,
+        F.when(F.col("v.verdict") == "apply", F.col("x.canonical")).alias("replacement"), F.col("x.instruction").alias("instruction"), *["memory_id"] * many, *own,
     )
 
 
@@ -111,7 +129,7 @@ def correct(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     found = resolve(rows, lexemes, edges, settings, vocabulary)
     each = F.struct("span_start", "span_end", "lexeme_id", "span_text", "replacement", "via", "score", "verdict", "reason", "outcomes", "instruction")
     grouped = found.groupBy("row_key").agg(F.sort_array(F.collect_list(each)).alias("resolutions"))
-    out = rows.withColumn("row_key", row_key()).join(grouped, "row_key", "left").drop("row_key")
+    out = rows.withColumn("row_key", row_key(brought(rows))).join(grouped, "row_key", "left").drop("row_key")
     if gated is not None:
         own = [c for c in ("utterance_id", "memory_id") if c in gated.columns]
         out = out.join(gated.select(*own, F.lit(True).alias("gate_passed")), own, "left").fillna(False, ["gate_passed"])

@@ -7,6 +7,7 @@ order of time and id; many memories fold in parallel. Judging needs no order and
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -15,9 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import phonetics, text
+from termloom.operators import memory
+from termloom.session import staged
 from termloom.settings import CONTRADICTING, Settings
+from termloom.sources import schemas
+from termloom.sources.store import with_memory
 
 DIRECT = ("declared", "instruction")
+LEXEME_COLUMNS = tuple(c.split(" ")[0] for c in re.split(r", (?=\w+ )", re.sub(r"<[^ ]*>", "", schemas.LEXEMES)))
 FORGET = ("forget", "delete", "remove", "drop")
 RANKS = {"generated": 1, "declared": 2, "observed": 3}
 
@@ -269,10 +275,15 @@ def snapshot(memory_id: str, memory: Memory, ids: Iterable[str] | None = None) -
     return pd.DataFrame(rows, columns=["memory_id", *(c for c in Term.__dataclass_fields__), "tombstones"])[[c.split(" ")[0] for c in SNAPSHOT.split(", ")]]
 
 
-def tombstones_of(folded: DataFrame) -> DataFrame:
-    """The tombstones in a fold's rows, as the store keeps them; ids are told apart by their memory's."""
+def tombstones_of(folded: DataFrame, with_memories: bool = False) -> DataFrame:
+    """The tombstones in a fold's rows, as the store keeps them, on demand with their memories; ids are told apart by their memory's."""
     rows = folded.select("memory_id", F.inline("tombstones"))
-    return rows.withColumns({"id": F.concat_ws(":", "memory_id", "id"), "created_at": F.to_timestamp("created_at")}).drop("memory_id")
+    return rows.withColumns({"id": F.concat_ws(":", "memory_id", "id"), "created_at": F.to_timestamp("created_at")}).drop(*[] if with_memories else ["memory_id"])
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows by memory over as many tasks as a shuffle has: small memories cost much more than their bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "memory_id")
 
 
 def fold(observations: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -286,7 +297,72 @@ def fold(observations: DataFrame, settings: Settings | None = None) -> DataFrame
             memory.observe(o)
         return snapshot(key[0], memory)
 
-    return observations.select(*names).groupBy("memory_id").applyInPandas(run, SNAPSHOT)
+    return _spread(observations.select(*names)).groupBy("memory_id").applyInPandas(run, SNAPSHOT)
+
+
+KNOWN = ("memory_id", "lexeme_id", "canonical", "kind", "instruction", "state", "learning_enabled", "scope", "scope_ref", "variants", "suppressed_in", "first_seen", "last_used")
+
+
+def _seeds(rows: pd.DataFrame) -> Iterator[Term]:
+    """Terms that a memory has before its observations, in the order of their ids."""
+    for r in rows.sort_values("lexeme_id").to_dict("records"):
+        given = {k: None if isinstance(r[k], float) or r[k] is pd.NaT else r[k] for k in KNOWN[1:]}
+        given["variants"] = {v["form"].casefold(): dict(v) for v in r["variants"]}
+        yield Term(**given | {"suppressed_in": list(r["suppressed_in"]), "learning_enabled": bool(r["learning_enabled"])})
+
+
+def fold_log(observations: DataFrame, lexemes: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The fold of judged observations into memories that have lexemes: SNAPSHOT rows of all terms, and for each observation a row with its id in observation_id and the term that it is about (null: none)."""
+    settings = settings or Settings()
+    names = [c for c in INPUT if c in observations.columns]
+    first = F.get("bindings", 0)
+    variants = F.transform("variants", lambda v: F.struct(v["form"].alias("form"), v["provenance"].alias("provenance"), v["count"].alias("count"), v["last_seen"].cast("string").alias("last_seen")))
+    scopes = F.transform(F.filter("guards", lambda g: g["kind"] == "user_suppression"), lambda g: F.coalesce(g["scope"], F.lit("global")))
+    known = with_memory(lexemes).withColumns({"scope": F.coalesce(first["scope"], F.lit("global")), "scope_ref": first["ref"], "suppressed_in": scopes, "variants": variants, "first_seen": F.col("first_seen").cast("string"), "last_used": F.col("last_used").cast("string")})
+    columns = [c.split(" ")[0] for c in SNAPSHOT.split(", ")]
+
+    def run(key: tuple, rows: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        memory = Memory(settings, _seeds(seeds))
+        told = [(o["id"], memory.observe(o)) for o in records(rows)]
+        terms = snapshot(key[0], memory).assign(observation_id=None)
+        found = pd.DataFrame([{"memory_id": key[0], "lexeme_id": t, "observation_id": i} for i, t in told], columns=[*columns, "observation_id"])
+        found = found.astype(object).where(found.notna(), None)
+        return pd.concat([x.astype(object) for x in (terms, found) if len(x)] or [terms])
+
+    groups = [_spread(x).groupBy("memory_id") for x in (with_memory(observations).select(*names), known.select(*KNOWN))]
+    return groups[0].cogroup(groups[1]).applyInPandas(run, f"{SNAPSHOT}, observation_id string")
+
+
+def observe(lexemes: DataFrame, observations: DataFrame, now: Column, settings: Settings | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lexemes, log, tombstones), each with memory_id, after observations: judged, folded in order into their memories, and projected.
+
+    lexemes and observations may have a memory_id, and both the column that now names. log: the observations
+    with verdict and term. history: judged and attributed evidence of before, which counts for confidence too.
+    """
+    settings = settings or Settings()
+    lexemes, rows = with_memory(lexemes), judged(with_memory(observations), settings)
+    found = staged(fold_log(rows, lexemes, settings), "folded")
+    of = found.where("observation_id is not null").select("memory_id", F.col("observation_id").alias("id"), F.col("lexeme_id").alias("_of"))
+    log = rows.join(of, ["memory_id", "id"], "left").withColumn("lexeme_id", F.coalesce("_of", "lexeme_id")).drop("_of")
+    terms = found.where("observation_id is null")
+    more = [c for c in lexemes.columns if c not in LEXEME_COLUMNS and c != "memory_id"]
+    old = lexemes.select("memory_id", "lexeme_id", *[F.col(c).alias(f"_{c}") for c in ("guards", "bindings", "prior_alpha", "prior_beta", "first_seen")])
+    context = lexemes.select("memory_id", *more).union(rows.select("memory_id", *more)).dropDuplicates(["memory_id"]) if more else None
+    guards = F.coalesce("_guards", F.array().cast(f"array<{schemas.GUARD}>"))
+    fresh = F.filter("suppressed_in", lambda s: ~F.exists(guards, lambda g: (g["kind"] == "user_suppression") & (F.coalesce(g["scope"], F.lit("global")) == s)))
+    null = lambda kind: F.lit(None).cast(kind)
+    guard = lambda s: F.struct(F.lit("user_suppression").alias("kind"), null("string").alias("form"), *[null("array<string>").alias(n) for n in ("support_tokens", "veto_tokens", "applies_to_forms")], F.lit(settings.reverts_to_suppress).alias("reverts"), s.alias("scope"), F.lit(False).alias("synthesised"), null("string").alias("note"))
+    after = terms.join(old, ["memory_id", "lexeme_id"], "left").withColumns({
+        "variants": F.transform("variants", lambda v: F.struct(v["form"].alias("form"), v["provenance"].alias("provenance"), v["count"].alias("count"), F.to_timestamp(v["last_seen"]).alias("last_seen"))),
+        "guards": F.concat(guards, F.transform(fresh, guard).cast(f"array<{schemas.GUARD}>")), "bindings": F.coalesce("_bindings", F.array(F.struct(F.col("scope").alias("scope"), F.col("scope_ref").alias("ref")))),
+        "prior_alpha": F.coalesce("_prior_alpha", F.lit(1.0)), "prior_beta": F.coalesce("_prior_beta", F.lit(1.0)), "alpha": F.lit(1.0), "beta": F.lit(1.0),
+        "first_seen": F.coalesce("_first_seen", F.to_timestamp("first_seen")), "last_used": F.to_timestamp("last_used"),
+    }).select("memory_id", *LEXEME_COLUMNS)
+    after = after.join(context, "memory_id") if more else after
+    scoped = lambda df: df.withColumn("lexeme_id", F.concat_ws("\x1f", "memory_id", "lexeme_id"))
+    evidence = log if history is None else log.unionByName(with_memory(history), allowMissingColumns=True)
+    out = memory.project(scoped(after), scoped(evidence.where("lexeme_id is not null")), now, settings)
+    return out.withColumn("lexeme_id", F.element_at(F.split("lexeme_id", "\x1f"), -1)), log, tombstones_of(terms, True)
 
 
 def attributed(observations: DataFrame, known: DataFrame, settings: Settings | None = None) -> DataFrame:

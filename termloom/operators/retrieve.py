@@ -93,8 +93,13 @@ def text_key() -> Column:
     return F.struct("utterance_id", F.xxhash64("text", "memory_id").alias("text"))
 
 
-def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(utterance_id, text_key, found): up to eight candidates of each utterance that has any, best first.
+def within(found: Column, max_distance: Column) -> Column:
+    """Of an array of candidates those that sound near enough, and those of an equal form."""
+    return F.filter(found, lambda c: (c["via"] != "phonetic") | (c["score"] >= 1 - max_distance))
+
+
+def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None, pruned: bool = True) -> DataFrame:
+    """(utterance_id, text_key, found): up to eight candidates of each utterance that has any, best first; not pruned: all candidates, dominated ones too.
 
     utterances(utterance_id, text[, memory_id]); a null text has none; repeated rows of an id and text count once, and
     texts that share an id have candidates of their own, told apart by ``text_key``.
@@ -106,4 +111,5 @@ def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | N
         found = found.unionByName(sound_matches(rows, known, settings.retrieval_max_distance))
     each = F.struct("lexeme_id", "i0", "i1", "start", "end", "text", "norm", "form", "via", "count", "score")
     grouped = found.groupBy("key").agg(F.collect_list(each).alias("found"))
-    return grouped.select("key.utterance_id", F.col("key").alias("text_key"), ranked(undominated(F.col("found")), settings.max_candidates).alias("found"))
+    kept = ranked(undominated(F.col("found")), settings.max_candidates) if pruned else F.col("found")
+    return grouped.select("key.utterance_id", F.col("key").alias("text_key"), kept.alias("found"))

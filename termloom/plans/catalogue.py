@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -592,6 +593,39 @@ def sound_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("utterance_id", "lexeme_id", F.col("span_text").alias("text"), "verdict", "reason", F.round("score", 6).alias("score"))
 
 
+_SWEPT = _HEARD.replace("hits AS (SELECT utterance_id", """params(parameter, dist, app) AS (VALUES """ + ", ".join(f"('{n}', {x.get('retrieval_max_distance', 0.34)}::DOUBLE, {x.get('apply_score', 0.55)}::DOUBLE)" for n, x in evaluate.GRID.items()) + "),\nhits AS (SELECT parameter, utterance_id").replace(
+    "FROM placed JOIN forms USING (norm) UNION ALL SELECT utterance_id", "FROM placed JOIN forms USING (norm), params UNION ALL SELECT parameter, utterance_id").replace("FROM placed JOIN far USING (norm) WHERE d <= 0.34", "FROM placed JOIN far USING (norm), params WHERE d <= dist").replace(
+    "WHERE o.utterance_id = h.utterance_id", "WHERE o.parameter = h.parameter AND o.utterance_id = h.utterance_id").replace("PARTITION BY utterance_id ORDER", "PARTITION BY parameter, utterance_id ORDER")
+
+
+@query(f"""WITH RECURSIVE {_SWEPT},
+q AS (SELECT h.*, h.span = f.form AS own, u.carrier = 1 AND h.s >= strpos(u.text, '"') - 1 AND h.e <= length(u.text) - strpos(reverse(u.text), '"') + 1 AS quoted FROM heard h JOIN forms f USING (lexeme_id) JOIN utterances u USING (utterance_id) WHERE rank < 8),
+p AS (SELECT *, CASE WHEN quoted OR own OR via = 'canonical' THEN 0.0 WHEN score < 0.7 THEN -0.2 ELSE 0.3 + 0.35 * (score - 0.7) / 0.3 END AS total FROM q JOIN params USING (parameter))
+SELECT parameter, count(*)::BIGINT AS candidates, count(*) FILTER (total >= app)::BIGINT AS applied, count(*) FILTER (total < app AND total >= 0.3)::BIGINT AS proposed FROM p GROUP BY parameter""")
+def sound_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by sound with each of nine scores and seven distances, from one retrieval."""
+    memory_ = fx.lexemes(fx.names(spark, sf_dir), F.col("name"))
+    said, settings = evaluate.swept(fx.part_utterances(spark, sf_dir))
+    rows = decide.resolve(said, memory_, fx.no_edges(spark), settings, [])
+    return rows.groupBy("parameter").agg(F.count("*").alias("candidates"), F.count_if(F.col("verdict") == "apply").alias("applied"), F.count_if(F.col("verdict") == "propose").alias("proposed"))
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, params(parameter, app) AS (VALUES {", ".join(f"('{n}', {x.get('apply_score', 0.55)}::DOUBLE)" for n, x in evaluate.GRID.items())}),
+s AS (SELECT c.*, CASE length(name) % 3 WHEN 0 THEN 0.66 WHEN 1 THEN 0.49 ELSE 0.34 END::DOUBLE AS total FROM corrected c),
+j AS (SELECT parameter, carrier IN (0, 4, 5) AS wants, carrier IN (0, 4, 5) AND total >= app AS done FROM s, params)
+SELECT parameter, count(*)::BIGINT AS cases, count(*) FILTER (done = wants)::BIGINT AS passed, count(*) FILTER (done)::BIGINT AS useful, count(*) FILTER (wants AND NOT done)::BIGINT AS missed, 0::BIGINT AS harmful, count(*) FILTER (NOT wants)::BIGINT AS correct_abstention FROM j GROUP BY parameter""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that pass with each score and distance, where forms are observed, declared or generated."""
+    rows = fx.part_memory(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, ("observed", "declared", "generated"))), F.length("canonical") % 3 + 1)
+    rows = rows.withColumn("variants", F.transform("variants", lambda v: v.withField("provenance", kind)))
+    said = F.get(F.array(*map(F.lit, fx.CARRIERS)), F.col("carrier"))
+    titled = F.concat(F.upper(F.substr("name", F.lit(1), F.lit(1))), F.substr("name", F.lit(2)))
+    wanted = F.replace(F.replace(F.replace(said, F.lit("{f}"), F.col("name")), F.lit("{c}"), F.col("name")), F.lit("{F}"), titled)
+    cases = fx.part_utterances(spark, sf_dir).withColumns({"case_id": F.col("utterance_id"), "expect": F.when(F.col("carrier").isin(0, 4, 5), "apply").otherwise("abstain"), "expected": wanted, "expected_reason": F.lit(None).cast("string")})
+    return evaluate.sweep(cases, rows, fx.no_edges(spark), None, EXACT, [])
+
+
 # --- checks, learning, cases ------------------------------------------------------
 
 
@@ -650,6 +684,17 @@ def learner_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("memory_id", "lexeme_id", "canonical", "state", F.size("variants").alias("n_variants"))
 
 
+_CLAIMED = ", ".join(f"('{code}', '{k}')" for code, _, _, claims in fx.LEARNING for k in json.loads(claims))
+
+
+@query(f"""WITH {_NAMES}, n AS (SELECT name, {_RUN_DISTANCE} <= 0.45 AS near FROM names), claims(code, claim) AS (VALUES {_CLAIMED})
+SELECT name || '#' || code AS case_id, claim, CASE WHEN code IN ('typo', 'wrong') THEN claim = 'lexeme_id'
+  WHEN near THEN true WHEN code = 'edit' THEN claim = 'tombstone_created' WHEN code = 'twice' THEN false WHEN code = 'known' THEN claim NOT IN ('canonical', 'state', 'variants_added', 'variant_count', 'confidence_decreased') ELSE true END AS passed FROM n, claims""")
+def learning_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every claim of fourteen learning cases comes to, for each name; typo claims something unknown, wrong what doesn't hold."""
+    return evaluate.learning_cases(*fx.learning(spark, sf_dir)).select("case_id", "claim", "passed")
+
+
 @query(f"""WITH {_NAMES}, t AS (SELECT string_split(name, ' ')[2] || ':lx-' || name || '#0' AS of, name, heard FROM names)
 SELECT of || '/0' AS id, 'supersession' AS reason, name AS canonical, name || '|' || heard AS match_forms, split_part(of, ':', 2) AS source_lexeme_id, split_part(of, ':', 2) AS replacement_lexeme_id FROM t
 UNION ALL SELECT of || '/1', 'user_delete', 'my ' || name, 'my ' || name || '|' || heard || '|' || name, split_part(of, ':', 2), NULL FROM t""")

@@ -154,3 +154,41 @@ def policy_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = names(spark, sf_dir).select("name", _literals(POLICY_TEXTS, ("code", "said", "app", "persona")))
     text = F.replace("said", F.lit("{n}"), F.col("name"))
     return rows.select(F.concat_ws("#", "name", "code").alias("utterance_id"), F.lit("").alias("asr_text"), text.alias("formatted_text"), "app", "persona", "name", "code", text.alias("text"))
+
+
+#: Learning cases for each name: code, whether the memory has the name, what is observed (source, before, after, note, on the name's lexeme), claims. {n}: the name, {h}: a mishearing.
+LEARNING = (
+    ("edit", False, (("post_edit", "{h}", "{n}", None, False),), '{"lexeme_created": true, "canonical": "{n}", "state": "proposed", "variants_added": [{"form": "{h}", "provenance": "observed"}], "observation_accepted": true, "tombstone_created": false}'),
+    ("twice", False, (("post_edit", "{h}", "{n}", None, False), ("post_edit", "{h}", "{n}", None, False)), '{"state": "active", "variant_count": {"{h}": 2}}'),
+    ("declared", False, (("declared", None, "{n}", None, False),), '{"lexeme_created": true, "state": "active", "variants_added": [], "guard_created": false, "instruction_set": false}'),
+    ("ambient", False, (("ambient", None, "{n}", None, False),), '{"lexeme_created": true, "state": "proposed"}'),
+    ("rewrite", False, (("post_edit", "call the {n}", "a wholly other thing to say", None, False),), '{"lexeme_created": false, "observation_accepted": false, "reason": "rewrite"}'),
+    ("known", True, (("post_edit", "{h}", "{n}", None, False),), '{"lexeme_created": false, "canonical": "{n}", "state": "active", "variants_added": [{"form": "{h}", "provenance": "observed"}], "variant_count": {"{h}": 3}, "confidence_decreased": false}'),
+    ("revert", True, (("revert", None, "{n}", None, True),), '{"lexeme_created": false, "confidence_decreased": true, "guard_created": false}'),
+    ("reverts", True, (("revert", None, "{n}", None, True), ("revert", None, "{n}", None, True)), '{"state": "suppressed", "guard_created": {"kind": "user_suppression"}, "confidence_decreased": true}'),
+    ("rename", True, (("declared", None, "{n} two", None, True),), '{"lexeme_created": false, "canonical": "{n} two", "variants_added": [{"form": "{n}", "provenance": "observed"}], "tombstone_created": {"reason": "supersession", "match_forms_preserved": true}}'),
+    ("forget", True, (("declared", None, " ", "forget it", True), ("post_edit", None, "{n}", None, True)), '{"state": "retired", "tombstone_created": {"reason": "user_delete"}, "lexeme_recreated": false}'),
+    ("instruct", True, (("instruction", None, "{n}", "in capitals", False),), '{"lexeme_created": false, "instruction_set": true}'),
+    ("disuse", True, (), '{"lexeme_id": "{id}", "state": "dormant", "confidence_decreased": true}'),
+    ("typo", True, (), '{"lexeme_id": "{id}", "sate": "active"}'),
+    ("wrong", False, (("declared", None, "{n}", None, False),), '{"state": "dormant", "guard_created": true, "tombstone_created": true, "variant_count": {"{h}": 1}, "confidence_decreased": true}'),
+)
+
+
+def learning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cases, lexemes, observations) of LEARNING for each part name; a case's memory has its name alone, or nothing."""
+    rows = names(spark, sf_dir).withColumn("id", F.replace("name", F.lit(" "), F.lit("_")))
+    fill = lambda c: F.replace(F.replace(F.replace(c, F.lit("{n}"), F.col("name")), F.lit("{h}"), F.col("heard")), F.lit("{id}"), F.col("id"))
+    flat = rows.select("*", _literals([(code, "1" if known else "0", claims) for code, known, _, claims in LEARNING], ("code", "known", "claims")))
+    cases = flat.select(
+        F.concat_ws("#", "name", "code").alias("case_id"), F.when(F.col("known") == "1", F.col("id")).otherwise("none").alias("memory_id"),
+        F.when(F.col("code") == "disuse", "2024-12-01 00:00:00").otherwise(CLOCK).cast("timestamp").alias("clock"), fill(F.col("claims")).alias("claims"),
+    )
+    said = [(code, str(i), *o[:4], "1" if o[4] else "0") for code, _, found, _ in LEARNING for i, o in enumerate(found)]
+    o = rows.select("*", _literals(said, ("code", "i", "source", "before", "after", "note", "own")))
+    observations = o.select(
+        F.concat_ws("#", "name", "code").alias("case_id"), F.concat_ws("#", "name", "code", "i").alias("id"), "source", F.lit(None).cast("string").alias("polarity"), F.timestamp_seconds(F.unix_timestamp(F.lit(CLOCK)) - 60 + F.col("i").cast("int")).alias("at"),
+        fill(F.col("before")).alias("before_form"), fill(F.col("after")).alias("after_form"), F.lit("global").alias("scope"), F.lit(None).cast("string").alias("scope_ref"), F.when(F.col("own") == "1", F.col("id")).alias("lexeme_id"), "note",
+    )
+    terms = part_memory(spark, sf_dir).withColumns({"memory_id": F.col("lexeme_id"), "prior_alpha": F.lit(6.0)})
+    return cases, terms, observations

@@ -32,8 +32,25 @@ def test_trace_json_and_sweep(spark):
     line = rows.select(formatting.trace(F.col("resolutions")).alias("t")).first().t
     assert line.startswith("kiwi -> kivi: apply (exact_observed_variant)") and "exact_variant support 0.72" in line
     assert json.loads(formatting.as_json(rows).first().json)["output_text"] == "open Kivi now"
-    got = {r.apply_score: r.applied for r in evaluate.swept(decide.resolve(said.withColumn("text", F.col("formatted_text")), x, e), [0.5, 0.9]).collect()}
-    assert got == {0.5: 1, 0.9: 0}
+
+
+def test_sweeps_decide_anew(spark):
+    """Each entry of a grid gives what its settings alone would give: candidates, verdicts, choice and text."""
+    x = spark.createDataFrame([KIVI, lexeme("t", "Tarang", [("tarung", "generated", 1)]), lexeme("s", "Sarita")], schemas.LEXEMES)
+    e = spark.createDataFrame([], schemas.EDGES)
+    texts = ["open kiwi now", "tarung and Tarrang", "Sareeta met saritta or sarit", "keewee, tarrong", "nothing"]
+    cases = spark.createDataFrame([(f"c{i}", "", t, None, None, "abstain", t, None) for i, t in enumerate(texts)], "case_id string, asr_text string, formatted_text string, app string, persona string, expect string, expected string, expected_reason string")
+    grid = {"a": {"apply_score": 0.35}, "b": {"apply_score": 0.75}, "c": {"retrieval_max_distance": 0.05}, "d": {"retrieval_max_distance": 0.45, "propose_score": 0.1}, "e": {}}
+    rows, settings = evaluate.swept(cases, grid)
+    got = {(r.parameter, r.case_id): (r.output, r.reason) for r in evaluate.run_cases(rows, x, e, None, settings).collect()}
+    assert len(got) == 25 and len({tuple(got[n, f"c{i}"] for i in range(5)) for n in grid}) >= 4
+    for n, own in grid.items():
+        alone = {r.case_id: (r.output, r.reason) for r in evaluate.run_cases(cases, x, e, None, Settings(**own)).collect()}
+        assert {c: v for (p, c), v in got.items() if p == n} == alone, n
+    counts = {r.parameter: (r.cases, r.passed) for r in evaluate.sweep(cases, x, e, grid).collect()}
+    assert counts == {n: (5, sum(got[n, f"c{i}"][0] == t for i, t in enumerate(texts))) for n in grid}
+    with pytest.raises(ValueError, match="half_life"):
+        evaluate.swept(cases, {"x": {"half_life_days": 1.0}})
 
 
 def test_overrides(spark):
