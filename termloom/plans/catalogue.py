@@ -17,7 +17,8 @@ from termloom.operators import decide, evaluate, generate, learn, memory, retrie
 from termloom.plans import fixtures as fx
 from termloom.session import scratch_dir, staged
 from termloom.settings import Settings
-from termloom.sources.store import Store
+from termloom.sources import schemas
+from termloom.sources.store import Store, forms
 
 FLAGSHIP = "correct_text"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -743,3 +744,121 @@ def generate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of every place of every rule."""
     names = fx.names(spark, sf_dir).select("name")
     return generate.cases(names, _CASE_CARRIERS, per_rule=8)
+
+
+# --- store, attribution, native script, texts with many terms ------------------
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with the part names, as many observations of each as its length leaves by three, and their corrected utterances."""
+    store, rows = Store(spark, f"{scratch_dir(spark)}/termloom-store-{uuid4().hex}"), fx.part_memory(spark, sf_dir)
+    store.replace("lexemes", rows)
+    log = rows.select("lexeme_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where(F.col("k") < F.length("lexeme_id") % 3)
+    null = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], schemas.OBSERVATIONS).schema}
+    given = {"id": F.concat_ws("#", "lexeme_id", "k"), "lexeme_id": F.col("lexeme_id"), "source": F.lit("post_edit"), "at": F.lit(fx.CLOCK).cast("timestamp")}
+    store.append("observations", log.select(*[c.alias(n) for n, c in (null | given).items()]))
+    return store
+
+
+@query(f"WITH {_NAMES} SELECT replace(name, ' ', '_') AS lexeme_id, name AS canonical, 'term' AS kind, 'active' AS state, 0.75::DOUBLE AS confidence, 1 AS variants, (length(name) % 3)::BIGINT AS observations FROM names")
+def store_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a stored term with the counts of its variants and observations."""
+    return _store(spark, sf_dir).inspect()
+
+
+@query(f"WITH {_NAMES} SELECT replace(name, ' ', '_') AS lexeme_id FROM names WHERE contains(name, 'an') OR contains(heard, 'oo')")
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    return store.search("active", "AN").union(store.search(q="oo")).select("lexeme_id").distinct()
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, d AS (SELECT utterance_id, output_text, primary_reason, carrier < 3 AS late FROM corrected)
+SELECT utterance_id, output_text, primary_reason, CASE WHEN late THEN 2 ELSE 1 END AS day FROM d ORDER BY late DESC, utterance_id LIMIT 250""")
+def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 250 recorded decisions, of two batches recorded on two days."""
+    store = _store(spark, sf_dir)
+    for day, part in ((1, F.col("carrier") >= 3), (2, F.col("carrier") < 3)):
+        store.record(decide.correct(fx.part_utterances(spark, sf_dir).where(part), store.read("lexemes"), fx.no_edges(spark), EXACT), f"2024-03-0{day} 00:00:00")
+    return store.recent(250).select("utterance_id", "output_text", "primary_reason", F.dayofmonth("at").alias("day"))
+
+
+@query(f"""WITH {_NAMES}, o AS (SELECT name, heard, unnest(['own', 'form', 'sound', 'none']) AS kind FROM names)
+SELECT name || '#' || kind AS id, CASE kind WHEN 'own' THEN 'given' WHEN 'form' THEN replace(name, ' ', '_') WHEN 'sound' THEN CASE WHEN heard = name OR {_NAME_DISTANCE} <= 0.2 THEN replace(name, ' ', '_') END END AS lexeme_id FROM o""")
+def attributed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom evidence is about: whom it names, who has the form, who sounds like it, or nobody."""
+    known = forms(fx.lexemes(fx.names(spark, sf_dir), F.col("name")))
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), f.cast("string").alias("after_form"), x.cast("string").alias("lexeme_id")) for k, f, x in (("own", F.lit("any"), F.lit("given")), ("form", F.initcap("name"), F.lit(None)), ("sound", F.col("heard"), F.lit(None)), ("none", F.lit("zzyzx qwrt"), F.lit(None)))]))
+    rows = fx.names(spark, sf_dir).select("name", "heard").select("name", kinds)
+    return learn.attributed(rows.select(F.concat_ws("#", "name", "kind").alias("id"), "after_form", "lexeme_id"), known).select("id", "lexeme_id")
+
+
+@query(f"""WITH {_NAMES}, w AS (SELECT name, string_split(heard, ' ')[1] AS b, string_split(name, ' ')[1] AS a FROM names WHERE heard <> name)
+SELECT name, 'one' AS kind, b AS before_form, a AS after_form FROM w UNION ALL SELECT name, 'two', b, a FROM w UNION ALL SELECT name, 'two', 'kolar', 'color' FROM w
+UNION ALL SELECT name, 'rewrite', name || ' is here', 'now something else stands there' FROM w""")
+def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of whole texts, one row for each changed run; unchanged texts teach nothing, rewrites stay whole."""
+    rows = fx.names(spark, sf_dir).where("heard <> name")
+    said = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    n, h = F.col("name"), F.col("heard")
+    kinds = (("one", said("we ship ", h, " now"), said("we ship ", n, " now")), ("two", said("the kolar of ", h), said("the color of ", n)), ("same", said("see ", n), said("see ", n)), ("rewrite", said(n, " is here"), F.lit("now something else stands there")))
+    edits = rows.select("name", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), b.alias("before_form"), a.alias("after_form")) for k, b, a in kinds])))
+    return learn.split_edits(edits).select("name", "kind", "before_form", "after_form")
+
+
+_SYLLABLES = "kgtdnpmrlshbv"
+
+
+@query(f"""WITH {_NAMES}, c AS (SELECT name, string_split(regexp_replace(name, '[^{_SYLLABLES}]', '', 'g'), '') AS c FROM names)
+SELECT script, name, array_to_string(list_transform(c, lambda x, i: x || ['a', 'i', 'u', 'e', 'o'][(i - 1) % 5 + 1]), '') AS reading,
+  (2 * power(2, least(3, CASE WHEN script = 5 THEN 0 ELSE len(list_filter(c, lambda x: x IN ('b', 'v'))) END)))::INTEGER AS n_readings FROM c, range(0, 9) s(script)""")
+def native_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names' consonants, each with a vowel, written in nine scripts and read again: an owed a, signs, and letters with two readings."""
+    letters = {v: k for k, v in reversed(phonetics.CONSONANTS.items()) if len(v) == 1 and k < 0x58}
+    signs = ["", *[chr(x) for x in (0x3F, 0x41, 0x47, 0x4B)]]
+    c = F.split(F.regexp_replace("name", f"[^{_SYLLABLES}]", ""), "")
+    scripts = []
+    for n, base in enumerate(phonetics.BLOCKS):
+        native = "".join(chr(base + letters[x]) for x in _SYLLABLES)
+        vowels = F.array(*[F.lit(chr(base + ord(x)) if x else "") for x in signs])
+        word = F.translate(F.array_join(F.transform(F.filter(c, lambda x: x != ""), lambda x, i: F.concat(x, F.get(vowels, i % 5))), ""), _SYLLABLES, native)  # noqa: B023
+        scripts.append(F.struct(F.lit(n).cast("long").alias("script"), word.alias("word")))
+    rows = fx.names(spark, sf_dir).select("name", F.inline(F.array(*scripts)))
+    of = rows.select("word").distinct().withColumn("readings", phonetics.readings_of(F.col("word")))
+    return rows.join(of, "word").select("script", "name", F.get("readings", 0).alias("reading"), F.size("readings").alias("n_readings"))
+
+
+@query(f"""WITH {_NAMES}, r AS (SELECT length(name) % 4 AS g, name, heard, row_number() OVER (PARTITION BY length(name) % 4 ORDER BY length(heard) DESC, name) AS best FROM names)
+SELECT g::VARCHAR AS utterance_id, string_agg(CASE WHEN best <= 8 THEN name ELSE heard END, ' , ' ORDER BY name) AS output_text, least(8, count(*))::INTEGER AS n FROM r GROUP BY g""")
+def crowded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with more terms than are looked at: the eight longest are put right, each in its place, and the rest stays."""
+    rows = fx.names(spark, sf_dir).groupBy((F.length("name") % 4).cast("string").alias("utterance_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "heard"))), lambda x: x["heard"]), " , ").alias("formatted_text"))
+    said = rows.withColumns({c: F.lit(None).cast("string") for c in ("asr_text", "app", "persona")})
+    return decide.correct(said, fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT).select("utterance_id", "output_text", F.size("resolutions").alias("n"))
+
+
+@query(f"""WITH {_NAMES}, w AS (SELECT name, string_split(name, ' ')[1] AS a FROM names)
+SELECT name, name AS quoted, upper(a[1]) || a[2:] AS telling, length(a) >= 3 AS acronym, substr(sha256('{{"name":"' || name || '"}}'), 1, 32) AS print FROM w""")
+def instruction_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term an instruction is about, quoted or telling by its capital; acronyms; fingerprints."""
+    first = F.get(F.split("name", " "), 0)
+    said = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    rows = fx.names(spark, sf_dir).select("name", first.alias("a"))
+    return rows.select(
+        "name", text.term_of_instruction(said('always write "', F.col("name"), '" that way')).alias("quoted"), text.term_of_instruction(said("remember that ", F.initcap("a"), " is spelt so")).alias("telling"),
+        text.is_short_acronym(F.upper(F.substr("a", F.lit(1), F.lit(3)))).alias("acronym"), text.fingerprint(F.struct("name")).alias("print"),
+    )
+
+
+@query("SELECT event_type, round(median(value), 3) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def value_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.median(fx.table(spark, sf_dir, "events").where("value is not null"), "value", ["event_type"])
+
+
+@query(f"""WITH {_UTTERANCES}, {_FORMS}, {_SPANS}, {_VERDICTS}, {_OUTPUT}, {_JUDGED}
+SELECT round(100 * avg(gate_passed::INTEGER), 3) AS gate_open, round(100 * avg(gate_passed::INTEGER), 3) AS retrieved,
+  round((SELECT avg((outcome = 'harmful')::INTEGER) FROM judged WHERE carrier NOT IN (0, 4, 5)), 4) AS false_interventions, round((SELECT avg((outcome = 'useful')::INTEGER) FROM judged WHERE carrier IN (0, 4, 5)), 4) AS recall FROM corrected""")
+def decision_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of open gates, of utterances with candidates, of false interventions, and recall."""
+    rows = decide.correct(fx.part_utterances(spark, sf_dir), fx.part_memory(spark, sf_dir), fx.no_edges(spark), EXACT)
+    one = lambda df: df.withColumn("_of", F.lit("all"))
+    return one(evaluate.gate_rate(rows)).join(one(evaluate.rates(_judged(spark, sf_dir))), "_of").drop("_of")
