@@ -1,7 +1,7 @@
 """WARC archives: a writer of gzip members, one a record, and a reader that salvages damaged files.
 
-Archives are written by Spark's text writer, a member a row; the separator it adds is an empty gzip
-member, so each file is a plain sequence of members. The reader checks each record (gzip checksum,
+Archives are written by Spark's text writer, a file a row of bounded bytes; the separator it adds is an
+empty gzip member, so each file is a plain sequence of members. The reader checks each record (gzip checksum,
 version line, length, block and payload digests, end mark). After a failed check it looks for the next
 valid member or version line, goes on from there and logs the bytes between as a gap.
 """
@@ -24,13 +24,18 @@ from termloom.session import scratch_dir, staged
 
 #: An empty gzip member.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0]) + bytes(8)
-#: Payload bytes an archive is planned for, records it holds at most, payload bytes it can hold at most, and the size classes of payloads that are written apart so that they can't: the last class has one a file.
-ARCHIVE_BYTES, ARCHIVE_RECORDS, MOST_BYTES, CLASSES = 48_000_000, 20_000, 1_300_000_000, (1 << 16, 1 << 21, 1 << 26)
+#: Compressed bytes from which an archive ends, and records it holds at most.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 24_000_000, 20_000
+#: Repeated payloads up to this number are sent to all tasks, at about 100 bytes each; more are joined.
+BROADCAST_ROWS = 100_000
+#: Lines a header has at most.
+HEADER_LINES = 200
 #: What a damaged archive's member may inflate to: no more fits in a row.
 LARGEST = (1 << 31) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_VERSION = re.compile(rb"WARC/1\.\d{1,9}[ \t]{0,9}\r\n")
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -65,36 +70,39 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
 
     Of rows with equal payloads of at least min_bytes bytes, those with the largest page_id are
     responses and others revisit it. Null html is an empty payload; a null page_id counts as least;
-    extra columns are ignored; an empty table gives no archive.
+    extra columns are ignored; an empty table gives no archive. The table is scanned twice, for digests
+    and to write; a third time where more than BROADCAST_ROWS payloads repeat. An archive has
+    ARCHIVE_BYTES and its last record at most, so none outgrows what a row can hold by its number of records.
     """
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/termloom-warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    size_class = lambda c: sum((c > most).cast("int") for most in CLASSES)
     same = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), F.max(F.octet_length("html")).alias("bytes"))
-    same = staged(same, "digests")
-    sizes = {r.k: r for r in same.groupBy(size_class(F.col("bytes")).alias("k")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")).collect()}
     shared = same.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).select("sha", "last", F.lit(True).alias("shared"), "n")
-    rows = join_hot(rows, shared, "sha", "n", sum(r.n for r in sizes.values()), "left")
+    shared = staged(shared, "digests")
+    found = shared.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    if found.keys <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(shared.drop("n")), "sha", "left")
+    else:
+        rows = join_hot(rows, shared, "sha", "n", found.rows, "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"), size_class(F.octet_length("html")).alias("k"))
+    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = lambda members: pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+        found, size = [], 0
         for b in batches:
-            found, size = [], 0
-            for page_id, url, html, refers_to, again, _ in zip(*b.columns, strict=True):
+            for page_id, url, html, refers_to, again in zip(*b.columns, strict=True):
                 found.append(member(record(page_id.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py(), again.as_py())))
                 size += len(found[-1])
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["value"])
+                if size >= ARCHIVE_BYTES or len(found) >= ARCHIVE_RECORDS:
+                    yield archive(found)
                     found, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["value"])
+        if found:
+            yield archive(found)
 
-    for k in sizes or [0]:
-        n, size = (sizes[k].n, sizes[k].bytes) if sizes else (1, 0)
-        most = max(1, min(ARCHIVE_RECORDS, int(ARCHIVE_BYTES / max(1, size / n)), MOST_BYTES // CLASSES[k] if k < len(CLASSES) else 1))
-        out = rows.where(F.col("k") == k).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-        out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", most).text(f"{path}/size-{k}")
+    out = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -113,20 +121,26 @@ def _damaged(reason: str, data: bytes, end: int) -> Damaged:
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at a place of uncompressed data and the place after it; raises Damaged if a check fails."""
-    if not data.startswith(b"WARC/1.", at):
+    version = _VERSION.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)  # a url may be of any length
-    if end < 0:
-        raise Damaged("no end of header")
-    fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        k, sep, v = line.partition(b":")
+    fields, start = {}, version.end()
+    for _ in range(HEADER_LINES):  # a line may be of any length; one that is none ends the search, so damaged data isn't read over and over
+        end = data.find(b"\r\n", start)
+        if end < 0:
+            raise Damaged("no end of header")
+        if end == start:
+            break
+        k, sep, v = data[start:end].partition(b":")
         if not sep:
             raise Damaged("header line")
         fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        start = end + 2
+    else:
+        raise Damaged("header of too many lines")
     if not fields.get("content-length", "").isdigit():
         raise Damaged("length")
-    start, n = end + 4, int(fields["content-length"])
+    start, n = end + 2, int(fields["content-length"])
     block = data[start : start + n]
     if len(block) < n:
         raise Damaged("truncated")

@@ -1,3 +1,6 @@
+import os
+import random
+import time
 import base64
 import hashlib
 import re
@@ -144,13 +147,36 @@ def test_a_record_within_a_damaged_payload_is_none():
         assert ids(data) == [2]
 
 
-def test_sizes_are_written_apart(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "CLASSES", (10, 100, 1000))
-    monkeypatch.setattr(warc, "MOST_BYTES", 200)
-    pages = spark.createDataFrame([(i, "u", "x" * n + str(i)) for i, n in enumerate([1] * 30 + [50] * 5 + [500] * 3 + [5000] * 2)], "page_id long, url string, html string")
-    path = warc.write(pages.coalesce(1), str(tmp_path / "s"))
-    held = warc.read(spark, path).groupBy("archive").agg(F.sum("payload_bytes").alias("n"), F.count("*").alias("c")).collect()
-    assert sum(r.c for r in held) == 40 and all(r.n <= 300 or r.c == 1 for r in held)
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """By their bytes, but for the last record, and by their records; whatever is joined or broadcast."""
+    rows = [(i, "u", "".join(random.Random(i).choices("abcdefgh", k=n)) if i % 3 else "the same") for i, n in enumerate([1] * 30 + [50] * 5 + [500] * 3 + [5000] * 2 + [60_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    wanted = None
+    for most, records, keys in ((4000, 100, 100_000), (1 << 20, 7, 0)):
+        monkeypatch.setattr(warc, "ARCHIVE_BYTES", most)
+        monkeypatch.setattr(warc, "ARCHIVE_RECORDS", records)
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", keys)
+        path = warc.write(pages, str(tmp_path / f"s{most}"))
+        sizes = {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+        found = warc.read(spark, path).cache()
+        held = found.groupBy("archive").agg(F.count("*").alias("c"), F.max("start").alias("last")).collect()
+        assert len(held) == len(sizes) >= 5 and all(r.c <= records and (r.last < most or r.c == 1) for r in held)
+        got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in found.collect())
+        assert wanted in (None, got) and len(got) == len(rows) and sum(x[1] == "revisit" for x in got) == len(rows) - len({x[2] for x in rows})
+        wanted = got
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.", b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n", b"WARC/1.1\r\nContent-Length: 5", b"\x1f\x8b\x08WARC/1.0\r\n"])
+def test_salvage_of_much_junk_takes_linear_time(junk):
+    good = warc.record(1, "http://x", b"kept")
+    took = []
+    for n in (60_000, 480_000):
+        data = junk * (n // len(junk))
+        began = time.process_time()
+        found = list(warc.salvage(data + good))
+        took.append(time.process_time() - began)
+        assert [r["page_id"] for _, _, r, _ in found if r] in ([1], []) and sum(e - s for s, e, _, _ in found) >= len(data)
+    assert took[1] < 25 * max(took[0], 0.02)
 
 
 def several(n):
