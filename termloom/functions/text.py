@@ -75,6 +75,23 @@ def spans(text: Column, toks: Column, max_len: Column | int = MAX_NGRAM) -> Colu
     return F.flatten(F.transform(toks, from_))
 
 
+def norm_spans(toks: Column, max_len: int = MAX_NGRAM) -> Column:
+    """array<struct<i0,i1,start,end,norm>> of the same runs with their normal forms: what stands between tokens is a blank there, so those of the tokens, each found once, are joined."""
+    flat = F.transform(toks, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), normalise(t["text"]).alias("norm")))
+
+    def of(flat: Column) -> Column:
+        def one(t: Column, i: Column, n: int) -> Column:
+            last = F.get(flat, i + n - 1)
+            parts = F.filter(F.transform(F.slice(flat, i + 1, F.lit(n)), lambda x: x["norm"]), lambda x: x != "")
+            norm = t["norm"] if n == 1 else F.array_join(parts, " ")
+            return F.when(last.isNotNull(), F.struct(i.alias("i0"), (i + n).cast("int").alias("i1"), t["start"].alias("start"), last["end"].alias("end"), norm.alias("norm")))
+
+        runs = F.flatten(F.transform(flat, lambda t, i: F.array(*[one(t, i, n) for n in range(1, max_len + 1)])))
+        return F.filter(runs, lambda r: r["norm"] != "")
+
+    return F.get(F.transform(F.array(flat), of), 0)  # bound, so it is made once
+
+
 def regions(text: Column) -> Column:
     """array<struct<start,end>> of quoted text and code; each kind is found on its own."""
     text = F.coalesce(text, F.lit(""))

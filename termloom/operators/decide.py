@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import casefold, match_case, overlaps, overreaches, regions, splice, tokens
 from termloom.operators.policies import Context, outcomes
 from termloom.operators.memory import common_forms, synthesise_guards, vocabulary_of
-from termloom.operators.retrieve import candidates, ranked, text_key, undominated, within
+from termloom.operators.retrieve import places, ranked, spoken, text_key, undominated, within
 from termloom.session import staged
 from termloom.settings import Settings
 from termloom.sources.store import with_memory
@@ -79,11 +79,12 @@ def resolve(utterances: DataFrame, lexemes: DataFrame, edges: DataFrame, setting
     lexemes = synthesise_guards(lexemes, vocabulary)
     own = brought(utterances)
     apart = "retrieval_max_distance" in own
-    found = staged(candidates(utterances, lexemes, settings, not apart).drop("utterance_id"), "candidates")  # read twice, and few beside the texts
+    found = staged(places(utterances, lexemes, settings, not apart), "candidates")  # read twice, and few beside the texts
     rows = utterances.select("utterance_id", "memory_id", "text", "app", "persona", *own, row_key(own).alias("row_key"), text_key().alias("text_key"))
     rows = rows.dropDuplicates(["row_key"]).join(found, "text_key").drop("text_key")
     if apart:
         rows = rows.withColumn("found", ranked(undominated(within(F.col("found"), F.col("retrieval_max_distance"))), settings.max_candidates))
+    rows = rows.withColumn("found", spoken(F.col("found"), F.coalesce("text", F.lit(""))))
     rows = rows.withColumns({"toks": tokens(F.col("text")), "regions": regions(F.col("text")), "siblings": F.col("found")})
     rows = rows.select("*", F.explode("found").alias("c")).drop("found")
     x = neighbours(lexemes, edges)

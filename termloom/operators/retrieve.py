@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import phonetics
-from termloom.functions.text import MAX_NGRAM, normalise, overlaps, spans, tokens
+from termloom.functions.text import MAX_NGRAM, norm_spans, overlaps, tokens
 from termloom.settings import Settings
 from termloom.sources.store import forms, with_memory
 
@@ -26,10 +26,8 @@ def longest_form(known: DataFrame) -> int:
 
 
 def span_rows(utterances: DataFrame, max_len: int, key: str = "utterance_id") -> DataFrame:
-    """(key, memory_id, i0, i1, start, end, text, norm) of all token runs of utterances(key, text[, memory_id])."""
-    toks = with_memory(utterances).select(key, "memory_id", F.col("text").alias("whole"), tokens(F.col("text")).alias("toks"))
-    rows = toks.select(key, "memory_id", F.inline(spans(F.col("whole"), F.col("toks"), max(1, max_len))))
-    return rows.withColumn("norm", normalise(F.col("text"))).where("norm <> ''")
+    """(key, memory_id, i0, i1, start, end, norm) of all token runs of utterances(key, text[, memory_id])."""
+    return with_memory(utterances).select(key, "memory_id", F.inline(norm_spans(tokens(F.col("text")), max(1, max_len))))
 
 
 def key_rows(known: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def exact_matches(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Spans whose normal form is one of a lexeme's in their memory, with score 1; of equal forms the first."""
     hit = rows.join(known, ["memory_id", "norm"])
     first = F.min_by(F.struct("form", "via", "count"), F.col("ordinal")).alias("m")
-    keys = [rows.columns[0], "memory_id", "i0", "i1", "start", "end", "text", "norm", "lexeme_id"]
+    keys = [rows.columns[0], "memory_id", "i0", "i1", "start", "end", "norm", "lexeme_id"]
     return hit.groupBy(*keys).agg(first).select(*keys, "m.*", F.lit(1.0).alias("score"))
 
 
@@ -73,7 +71,7 @@ def sound_matches(rows: DataFrame, known: DataFrame, max_distance: float) -> Dat
     near = pairs.join(far, ["norm", "form"]).groupBy("memory_id", "norm", "lexeme_id").agg(F.min(F.struct("distance", "ordinal", "form", "count")).alias("m"))
     near = near.where(F.col("m.distance") <= max_distance)
     near = near.select("memory_id", "norm", "lexeme_id", "m.form", F.lit("phonetic").alias("via"), F.lit(0).alias("count"), (1 - F.col("m.distance")).alias("score"))
-    return rows.join(near, ["memory_id", "norm"]).select(rows.columns[0], "memory_id", "i0", "i1", "start", "end", "text", "norm", "lexeme_id", "form", "via", "count", "score")
+    return rows.join(near, ["memory_id", "norm"]).select(rows.columns[0], "memory_id", "i0", "i1", "start", "end", "norm", "lexeme_id", "form", "via", "count", "score")
 
 
 def undominated(found: Column) -> Column:
@@ -98,18 +96,30 @@ def within(found: Column, max_distance: Column) -> Column:
     return F.filter(found, lambda c: (c["via"] != "phonetic") | (c["score"] >= 1 - max_distance))
 
 
-def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None, pruned: bool = True) -> DataFrame:
-    """(utterance_id, text_key, found): up to eight candidates of each utterance that has any, best first; not pruned: all candidates, dominated ones too.
+def spoken(found: Column, text: Column) -> Column:
+    """An array of candidates with the part of the text that each stands on."""
+    part = lambda c: F.substr(text, c["start"] + 1, c["end"] - c["start"]).alias("text")
+    names = lambda c, *of: [c[n].alias(n) for n in of]
+    return F.transform(found, lambda c: F.struct(*names(c, "lexeme_id", "i0", "i1", "start", "end"), part(c), *names(c, "norm", "form", "via", "count", "score")))
+
+
+def candidates(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(utterance_id, text_key, found): up to eight candidates of each utterance that has any, best first.
 
     utterances(utterance_id, text[, memory_id]); a null text has none; repeated rows of an id and text count once, and
     texts that share an id have candidates of their own, told apart by ``text_key``.
     """
+    rows = with_memory(utterances).select("utterance_id", text_key().alias("text_key"), "text").dropDuplicates(["text_key"])
+    return rows.join(places(utterances, lexemes, settings), "text_key").select("utterance_id", "text_key", spoken(F.col("found"), F.coalesce("text", F.lit(""))).alias("found"))
+
+
+def places(utterances: DataFrame, lexemes: DataFrame, settings: Settings | None = None, pruned: bool = True) -> DataFrame:
+    """(text_key, found): the same candidates without their texts, which few need; not pruned: all of them, dominated ones too."""
     settings, known = settings or Settings(), forms(lexemes)
     rows = span_rows(with_memory(utterances).select(text_key().alias("key"), "memory_id", "text").dropDuplicates(["key"]), longest_form(known), "key")
     found = exact_matches(rows, known)
     if settings.encoder != "null":
         found = found.unionByName(sound_matches(rows, known, settings.retrieval_max_distance))
-    each = F.struct("lexeme_id", "i0", "i1", "start", "end", "text", "norm", "form", "via", "count", "score")
-    grouped = found.groupBy("key").agg(F.collect_list(each).alias("found"))
-    kept = ranked(undominated(F.col("found")), settings.max_candidates) if pruned else F.col("found")
-    return grouped.select("key.utterance_id", F.col("key").alias("text_key"), kept.alias("found"))
+    each = F.struct("lexeme_id", "i0", "i1", "start", "end", "norm", "form", "via", "count", "score")
+    grouped = found.groupBy(F.col("key").alias("text_key")).agg(F.collect_list(each).alias("found"))
+    return grouped.withColumn("found", ranked(undominated(F.col("found")), settings.max_candidates)) if pruned else grouped

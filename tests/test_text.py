@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -103,3 +104,14 @@ def test_changed_segments():
     assert phonetics.changed_segments("a b", "a b") == []
     for before, after in (("", "a"), ("a b", "a b c"), ("a b c d e", "x b y d z")):
         assert phonetics.changed_segments(before, after) is None
+
+
+@pytest.mark.parametrize("sample", ["", "a, b c", "it’s @here—now! #tag - x", "  Straße  ΣΑΣ  ", "भावना met (O'Neil) 🙂 x", "@ # ’ a", "x" * 50 + "\n\ty-z"])
+def test_normal_forms_of_runs(spark, sample):
+    """Joined from those of the tokens they are those of the runs' texts."""
+    toks = text.tokens(F.col("t"))
+    a = one(spark, text.spans(F.col("t"), toks, 4), t=sample)
+    b = one(spark, text.norm_spans(toks, 4), t=sample)
+    norms = one(spark, F.transform(text.spans(F.col("t"), toks, 4), lambda x: text.normalise(x["text"])), t=sample)
+    want = sorted((r.i0, r.i1, r.start, r.end, n) for r, n in zip(a, norms, strict=True) if n)
+    assert sorted((r.i0, r.i1, r.start, r.end, r.norm) for r in b) == want
