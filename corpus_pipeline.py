@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies (five-word shingles, similarity 0.8 or more)."""
+    """The document with the smallest id of each class of near copies (five-word shingles, similarity 0.8 or more), by SimHash fingerprints, pigeonring filtering and an exact check."""
     return shingles.survivors(docs)
 
 

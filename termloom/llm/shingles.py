@@ -1,7 +1,9 @@
 """Near copies by word shingles: classes of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: BANDS keys of ROWS minima each, so a pair of similarity s is missed
-with probability (1 - s^ROWS)^BANDS, 2e-5 at 0.8 and less above. Documents joined by candidates are
+Each set has a SimHash fingerprint, and fingerprints are linked by pigeonring filtering as in simhash.
+As most pairs of similarity 0.8 differ in more bits than that method can search for, MinHash bands add
+candidates: BANDS keys of ROWS minima each, so a pair of similarity s that the fingerprints leave out is
+missed with probability (1 - s^ROWS)^BANDS, 2e-5 at 0.8 and less above. Documents joined by either are
 gathered, and within a gathering an exact join (prefix filter, rarest shingles first) finds the pairs
 that pass; candidates that don't pass are not linked.
 """
@@ -53,6 +55,14 @@ def _name(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)) if len(own) else 0
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, a signed long: a bit is 1 if set in over half the shingles."""
+    count, step = np.zeros(64, dtype=np.int64), 1 << 16
+    for at in range(0, len(own), step):  # very long texts in steps
+        count += simhash.ones(own[at : at + step])
+    return int(np.packbits(2 * count > len(own), bitorder="little").view("<i8")[0])
+
+
 def band_keys(own: np.ndarray) -> np.ndarray:
     """The keys of a set, a key a band; none for sets under SMALLEST."""
     if len(own) < SMALLEST:
@@ -67,20 +77,21 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, _hash, fp, keys, n) of docs(doc_id, _hash, text): name, band keys and size of each row's set."""
+    """(doc_id, _hash, fp, bits, keys, n) of docs(doc_id, _hash, text): name, fingerprint, band keys and size of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys, sizes = [], [np.zeros(0, dtype="<i8")], []
+            fps, bits, keys, sizes = [], [], [np.zeros(0, dtype="<i8")], []
             for text in b.column(2):
                 own = shingles(text.as_py())
                 fps.append(_name(own))
+                bits.append(fingerprint(own))
                 keys.append(band_keys(own).view("<i8"))
                 sizes.append(len(own))
             lists = pa.ListArray.from_arrays(np.cumsum([*map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), lists, pa.array(sizes, pa.int64())], names=["doc_id", "_hash", "fp", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(bits, pa.int64()), lists, pa.array(sizes, pa.int64())], names=["doc_id", "_hash", "fp", "bits", "keys", "n"])
 
-    return docs.select("doc_id", "_hash", "text").mapInArrow(run, "doc_id long, _hash long, fp long, keys array<long>, n long")
+    return docs.select("doc_id", "_hash", "text").mapInArrow(run, "doc_id long, _hash long, fp long, bits long, keys array<long>, n long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +180,23 @@ def _compare(block: int):
     return run
 
 
+def near_fingerprints(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) over the names of the sets rows(fp, bits, n) whose different fingerprints are linked, from and to the least name with each."""
+    heads = staged(rows.where(F.col("n") >= SMALLEST).groupBy("bits").agg(F.min("fp").alias("head")), "heads")
+    found = simhash.links(heads.select(F.col("bits").alias("fp")))
+    found = found.join(heads.select(F.col("bits").alias("u"), F.col("head").alias("a")), "u")
+    return found.join(heads.select(F.col("bits").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def links(docs: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) over the names of the sets rows(doc_id, _hash, fp, keys, n) of docs(doc_id, _hash, text), with the components that all similar pairs give.
+    """Edges (u, v) over the names of the sets rows(doc_id, _hash, fp, bits, keys, n) of docs(doc_id, _hash, text), with the components that all similar pairs give.
 
-    Only the texts that share a key with another set are read again and dealt out, one of each set.
+    Only the texts that share a key or a near fingerprint with another set are read again and dealt out, one of each set.
     """
-    keyed = rows.groupBy("fp").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "fp")
+    own = F.when(F.col("n") >= SMALLEST, F.array(F.xxhash64("bits"))).otherwise(F.array().cast("array<long>"))  # equal fingerprints
+    keyed = rows.groupBy("fp").agg(F.first(F.concat("keys", own)).alias("keys")).select(F.explode("keys").alias("key"), "fp")
     near = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "u long, v long")
-    stars = connected_components(near)
+    stars = connected_components(near.union(near_fingerprints(rows)))
     member = staged(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(stars.select("v", "v").distinct()), "gathered")
     one = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("best"), F.first("n").alias("n"))
     one = staged(one.join(member, "fp").select("root", "fp", "best.doc_id", "best._hash", "n"), "members")

@@ -35,6 +35,11 @@ CHAIN = np.array([[sum(((1 << WIDTHS[k % SEGMENTS]) - 1) << STARTS[k % SEGMENTS]
 BUDGET = [n * RADIUS // SEGMENTS for n in range(1, SEGMENTS + 1)]
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text; null and wordless texts give zero."""
     words = (text or "").encode().lower().split()
@@ -50,7 +55,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     for at in range(0, n, step):  # very long texts in steps
         part = slice(at, min(n, at + step))
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[part].tolist(), ends[shingle - 1 :][part].tolist(), strict=True)], dtype="<u8")
-        count += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
+        count += ones(hashes)
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from termloom.llm import shingles
+from termloom.llm import shingles, simhash
 
 RNG = random.Random(5)
 VOCABULARY = ["".join(RNG.choices("abcdefghij", k=5)) for _ in range(3000)]
@@ -71,3 +71,21 @@ def test_bands_find_similar_sets():
         x = rng.integers(0, 1 << 63, 110, dtype=np.uint64)
         a, b = np.sort(x[:100]), np.sort(np.concatenate((x[:89], x[100:110])))  # 89 of 110 in both
         assert np.any(shingles.band_keys(a) == shingles.band_keys(b))
+
+
+def test_pigeonring_links_fingerprints(spark, monkeypatch):
+    """Without any bands, near copies with up to RADIUS other bits are found by their fingerprints alone."""
+    monkeypatch.setattr(shingles, "band_keys", lambda own: np.zeros(0, dtype=np.uint64))
+    rows = [t for _ in range(12) for base in [" ".join(RNG.choices(VOCABULARY, k=900))] for t in (base, edited(base, 1), edited(base, 2))]
+    rows += [" ".join(RNG.choices(VOCABULARY, k=60)) for _ in range(20)]
+    sets = [shingles.shingles(t) for t in rows]
+    bits = np.array([shingles.fingerprint(s) for s in sets], dtype=np.int64).view(np.uint64)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None])
+    near = apart <= simhash.RADIUS
+    assert np.any(near & (apart > 0))
+    least = list(range(len(rows)))
+    for _ in rows:
+        least = [min(least[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.survivors(docs).collect()) == sorted(set(least)) and len(set(least)) < len(rows) - 12
+    assert int(bits[-1]) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in sets[-1]) > len(sets[-1]))
