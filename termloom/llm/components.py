@@ -31,9 +31,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     An empty edge list gives an empty frame.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = staged(now, "edges"), None
+    now, before = staged(now, "edges", shuffled=True), None
     for _ in range(max_rounds):
-        after = staged(_small_star(_large_star(now)), "stars")
+        after = staged(_small_star(_large_star(now)), "stars", shuffled=True)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(mark) == before or mark[0] == 0:
             return after

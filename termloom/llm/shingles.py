@@ -182,7 +182,7 @@ def _compare(block: int):
 
 def near_fingerprints(rows: DataFrame) -> DataFrame:
     """Edges (u, v) over the names of the sets rows(fp, bits, n) whose different fingerprints are linked, from and to the least name with each."""
-    heads = staged(rows.where(F.col("n") >= SMALLEST).groupBy("bits").agg(F.min("fp").alias("head")), "heads")
+    heads = staged(rows.where(F.col("n") >= SMALLEST).groupBy("bits").agg(F.min("fp").alias("head")), "heads", shuffled=True)
     found = simhash.links(heads.select(F.col("bits").alias("fp")))
     found = found.join(heads.select(F.col("bits").alias("u"), F.col("head").alias("a")), "u")
     return found.join(heads.select(F.col("bits").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -197,11 +197,11 @@ def links(docs: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = rows.groupBy("fp").agg(F.first(F.concat("keys", own)).alias("keys")).select(F.explode("keys").alias("key"), "fp")
     near = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "u long, v long")
     stars = connected_components(near.union(near_fingerprints(rows)))
-    member = staged(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(stars.select("v", "v").distinct()), "gathered")
+    member = staged(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(stars.select("v", "v").distinct()), "gathered", shuffled=True)
     one = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("best"), F.first("n").alias("n"))
-    one = staged(one.join(member, "fp").select("root", "fp", "best.doc_id", "best._hash", "n"), "members")
+    one = staged(one.join(member, "fp").select("root", "fp", "best.doc_id", "best._hash", "n"), "members", shuffled=True)
     total = one.groupBy("root").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    dealt = staged(one.join(total, "root").select("root", "fp", "doc_id", "_hash", "blocks"), "dealt")
+    dealt = staged(one.join(total, "root").select("root", "fp", "doc_id", "_hash", "blocks"), "dealt", shuffled=True)
     wanted = F.broadcast(dealt) if dealt.count() * 48 <= simhash.BROADCAST_BYTES else dealt
     texts = docs.select("doc_id", "_hash", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["_hash"] == wanted["_hash"])).select("root", "fp", "text", "blocks")
     own = F.pmod(F.xxhash64("fp"), "blocks")

@@ -232,13 +232,13 @@ def text_hash() -> Column:
 def one_of_each(docs: DataFrame, rows: DataFrame, stars: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs(doc_id, text) that survivors() keeps, from rows(doc_id, _hash, fp) and the stars (u, v) that the distinct fp have."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")
-    each = staged(rows.groupBy("doc_id", "_hash", "fp").agg(F.count("*").alias("n")), "rows")
-    best = staged(each.groupBy("fp").agg(F.min(own).alias("best"), F.count("*").alias("own")), "distinct")
-    root = staged(best.join(_classes(best, stars(best.select("fp"))), "fp"), "classes")
+    each = staged(rows.groupBy("doc_id", "_hash", "fp").agg(F.count("*").alias("n")), "rows", shuffled=True)
+    best = staged(each.groupBy("fp").agg(F.min(own).alias("best"), F.count("*").alias("own")), "distinct", shuffled=True)
+    root = staged(best.join(_classes(best, stars(best.select("fp"))), "fp"), "classes", shuffled=True)
     kept = root.groupBy("root").agg(F.min("best").alias("kept"), F.count("*").alias("m"))
-    named = staged(join_hot(root, kept, "root", "m", root.count()).select("fp", "kept", "own"), "named")
+    named = staged(join_hot(root, kept, "root", "m", root.count()).select("fp", "kept", "own"), "named", shuffled=True)
     told = join_hot(each, named, "fp", "own", each.count()).withColumn("stays", own.eqNullSafe(F.col("kept")))
-    told = staged(told.select("doc_id", "_hash", "n", "stays"), "told")
+    told = staged(told.select("doc_id", "_hash", "n", "stays"), "told", shuffled=True)
     doc, text = unused(docs, "told_doc"), unused(docs, "told_hash")
     bounded = lambda d: F.broadcast(d) if d.count() * 32 <= BROADCAST_BYTES else d
     listed = lambda d: bounded(d.select(F.col("doc_id").alias(doc), F.col("_hash").alias(text)))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most bytes of rows that go to a Python worker at once (and one row beyond), and most files a core that staged() writes of shuffled rows.
+BATCH_BYTES, FILES = 4 << 20, 4
+
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "termloom") -> SparkSession:
     """A local session with the settings the engine assumes (UTC, AQE, Arrow)."""
@@ -36,12 +39,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have BATCH_BYTES at most, or the session's own limit if that is less.
+
+    By Spark's own limit, 10,000 rows or 64 MB, a batch of texts may take that much several times over at once:
+    in the executor's direct memory, doubled as it fills, in the worker, and in both again on its way back.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
+def staged(df: DataFrame, name: str, shuffled: bool = False) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The folder is removed when the driver's file system closes.
+    shuffled: the rows come from a shuffle and are few beside the texts; at most FILES files a core are
+    written, however many partitions the shuffle has. The folder is removed when the driver's file system closes.
     """
     spark = df.sparkSession
+    if shuffled:
+        df = df.coalesce(FILES * spark.sparkContext.defaultParallelism)
     path = f"{scratch_dir(spark)}/termloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -4,11 +4,13 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from termloom.llm import decontaminate as dc
 from termloom.llm import packing
+from termloom.session import small_batches, staged
 
 RNG = random.Random(3)
 VOCABULARY = ["".join(RNG.choices("abcdefghij", k=5)) for _ in range(400)]
@@ -164,6 +166,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert sum(r.length for r in final) == sum(len(ids([t.text])[0]) // 4 + 1 for t in now.select("text").collect())
 
 
+def test_stages_send_texts_in_small_batches(spark, tmp_path):
+    limit, rows = "spark.sql.execution.arrow.maxBytesPerBatch", [(n, "abc def " * 12_500) for n in range(120)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    before = spark.conf.get(limit)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "pii":  # no Python there
+                spark.conf.set(limit, before)
+                stage(spark, texts.limit(1), str(tmp_path))
+                found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+                assert max(found) < (5 << 20) and sum(found) > 12_000_000, name
+        spark.conf.set(limit, "1m")
+        small_batches(spark)
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_shuffled_rows_are_staged_in_few_files(spark):
+    rows = spark.range(3000).repartition(100, "id")
+    assert len(staged(rows, "few", shuffled=True).inputFiles()) == 4 * spark.sparkContext.defaultParallelism
+    assert staged(rows, "few", shuffled=True).agg({"id": "sum"}).first()[0] == 2999 * 1500
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
